@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import packing, pieces, quality_rules, simhash
+from . import packing, pieces, quality_model, quality_rules, secrets, simhash
 
 
 def queries() -> dict:
     return {
+        "op1_quality_nbsvm": quality_model.op1_quality_nbsvm,
+        "op3_secrets": secrets.op3_secrets,
         "op4_sentencepiece": pieces.op4_sentencepiece,
         "op5_quality_rules": quality_rules.op5_quality_rules,
         "op7_pack": packing.op7_pack,
