@@ -178,8 +178,8 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     return fit(sets, [r["y"] for r in found])
 
 
-def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.3) -> DataFrame:
-    """doc_id, score and predicted of every row; only the text counts, null as empty."""
+def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text: str = "text", threshold: float = 0.3) -> DataFrame:
+    """The columns ``keep``, score and predicted of every row; only the text counts, null as empty."""
 
     def make():
         extract = Features()
@@ -190,7 +190,7 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
 
         return run
 
-    return map_texts(docs, [doc_id], text, make, "score double, predicted int")
+    return map_texts(docs, list(keep), text, make, "score double, predicted int")
 
 
 def op1_quality_nbsvm(spark, sf_dir: str) -> DataFrame:

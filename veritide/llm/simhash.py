@@ -225,6 +225,16 @@ def near_duplicates(
     )
 
 
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: int = 3) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of each group the document with the smallest doc_id stays.
+
+    Rows that repeat a doc_id count as one document and stay or go together;
+    so do those without one.
+    """
+    stay = near_duplicates(docs, doc_id, text, threshold).where("kept").select(F.col("doc_id").alias("stay_id")).distinct()
+    return docs.join(stay, docs[doc_id].eqNullSafe(stay["stay_id"]), "left_semi")
+
+
 def op8_simhash(spark, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate group of every document."""
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id", "kept")
