@@ -9,8 +9,7 @@ which batches of one shape are drawn; the plan needs no shuffle.
 
 from __future__ import annotations
 
-import os
-import re
+import json
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -23,57 +22,39 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, Str
 
 from .common import slices, tokenizer_file
 
-#: A space with another white space or an end of the text beside it.
-_ODD_SPACE = re.compile(r" \s|\s |\A | \Z")
-#: Before a single space between two characters that are not white space the pre-tokenizer always cuts.
-_CUT = re.compile(r"(?<=\S)(?= \S)")
-_CACHED_CHUNK, _CACHE_SIZE = 64, 300_000
+# Fixed value: how byte-level BPE cuts a text before merging.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-class ChunkEncoder:
-    """Encodes texts with a byte-level BPE of the tokenizers library, remembering the ids of short chunks.
+class ByteEncoder:
+    """Encodes with the vocabulary of a tokenizers file of the byte-level BPE kind.
 
-    The pre-tokenizer cuts before each single space between two other
-    characters, so that the chunks in between can be encoded apart.
+    The merges of such a file are its ids in order, so the ids serve as ranks
+    for the faster of the two libraries; strings of special tokens are ordinary
+    text.  The tests hold the ids against the tokenizers library.
     """
 
     def __init__(self, path: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-
-    def chunks(self, text: str) -> list[str]:
-        if not text:
-            return []
-        if _ODD_SPACE.search(text):
-            return _CUT.split(text)
-        first, *rest = text.split(" ")
-        return [first, *[" " + x for x in rest]]
+        import tiktoken
+
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)
+        special = {t["id"] for t in model.get("added_tokens", ())}
+        # Printable bytes stand for themselves, the others for the code points from 256 on.
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        byte_of = {chr(b): b for b in plain}
+        byte_of |= {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in byte_of.values())}
+        ranks = {bytes(map(byte_of.__getitem__, p)): i for p, i in model["model"]["vocab"].items() if i not in special}
+        self.encode_one = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
-        split = [self.chunks(t) for t in texts]
-        if len(self.known) > _CACHE_SIZE:
-            self.known.clear()
-        ids = self.known
-        new = list({c for s in split for c in s if c not in ids})
-        if new:
-            found = {}
-            for c, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                found[c] = np.asarray(e.ids, "<u4").tobytes()
-            ids.update((c, b) for c, b in found.items() if len(c) <= _CACHED_CHUNK)
-            long = {c: b for c, b in found.items() if len(c) > _CACHED_CHUNK}
-            if long:
-                return [b"".join([ids[c] if c in ids else long[c] for c in s]) for s in split]
-        return [b"".join([ids[c] for c in s]) for s in split]
+        return [np.array(self.encode_one(t), "<u4").tobytes() for t in texts]
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> ChunkEncoder:
-    return ChunkEncoder(path)
+def encoder(path: str) -> ByteEncoder:
+    return ByteEncoder(path)
 
 
 def piece_lengths(n: int, max_len: int = 2048) -> list[int]:
