@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.store import cut
+
 #: What passes along each kind of edge.
 ATTENUATION = {"copy": 1.0, "rename": 1.0, "transform": 0.7, "aggregate": 0.35, "join": 0.9, "filter": 0.8}
 
@@ -33,10 +35,10 @@ def blast_radius(edges: DataFrame, start: str, floor: float = 0.01, depth: int =
         )
         known = best.select(F.col("node").alias("k"), F.col("strength").alias("s"))
         front = reached.join(known, F.col("node") == F.col("k"), "left").where(F.col("s").isNull() | (F.col("strength") > F.col("s"))).select("node", "strength", "hops")
-        front = front.persist()
+        front = cut(front)
         if front.isEmpty():
             break
-        best = best.unionByName(front).groupBy("node").agg(F.max("strength").alias("strength"), F.min_by("hops", -F.col("strength")).alias("hops"))
+        best = cut(best.unionByName(front).groupBy("node").agg(F.max("strength").alias("strength"), F.min_by("hops", -F.col("strength")).alias("hops")))
     return best.where(F.col("node") != start)
 
 
@@ -70,7 +72,8 @@ def trust(nodes: DataFrame, edges: DataFrame, how: str = "min_product", depth: i
         passed = edges.join(up, "source").select("target", (1 - (1 - F.col("trust")) * _factor()).alias("passed"))
         inputs = passed.groupBy(F.col("target").alias("t")).agg(combine.alias("inputs"))
         value = F.least("own", "inputs") if how == "min" else F.col("own") * F.col("inputs")
-        new = current.join(inputs, F.col("node") == F.col("t"), "left").select("node", "own", F.when(F.col("inputs").isNull(), F.col("own")).otherwise(value).alias("trust")).persist()
+        new = current.join(inputs, F.col("node") == F.col("t"), "left").select("node", "own", F.when(F.col("inputs").isNull(), F.col("own")).otherwise(value).alias("trust"))
+        new = cut(new)
         moved = new.join(current.select(F.col("node").alias("k"), F.col("trust").alias("old")), F.col("node") == F.col("k")).where(F.abs(F.col("trust") - F.col("old")) > 1e-12)
         current = new
         if moved.isEmpty():

@@ -13,7 +13,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import cut
+
 AMOUNT = "decimal(38,6)"
+RATE = "decimal(18,9)"
 
 
 def normal_key(c: Column) -> Column:
@@ -53,10 +56,10 @@ class Side:
         """Key columns k0.., amount (null if any row lacks one), rows."""
         value = F.col(self.amount).try_cast(AMOUNT)
         if self.rates is not None:
-            rates = self.rates.select(F.col("currency").alias("__ccy"), F.col("rate").cast(AMOUNT).alias("__rate"))
+            rates = self.rates.select(F.col("currency").alias("__ccy"), F.col("rate").cast(RATE).alias("__rate"))
             df = df.join(F.broadcast(rates) if rates.count() <= 10_000 else rates, F.col(self.currency) == F.col("__ccy"), "left")
             missing = F.col("__rate").isNull() & F.col(self.amount).isNotNull()
-            value = value * F.when(missing, F.raise_error(F.lit("no rate for a currency")).cast(AMOUNT)).otherwise(F.col("__rate"))
+            value = value * F.when(missing, F.raise_error(F.lit("no rate for a currency")).cast(RATE)).otherwise(F.col("__rate"))
         value = (value * F.lit(str(-self.scale if self.negate else self.scale)).cast(AMOUNT)).cast(AMOUNT)
         if self.places is not None:
             value = F.bround(value, self.places).cast(AMOUNT)
@@ -100,6 +103,7 @@ def shifted_match(matched: DataFrame, day_key: str, window: int) -> DataFrame:
     """
     keys = [c for c in matched.columns if c.startswith("k")]
     other = [k for k in keys if k != day_key]
+    matched = cut(matched)
     exact = matched.where("left_rows is not null and right_rows is not null").withColumn("offset", F.lit(None).cast("int"))
     lefts = matched.where("right_rows is null").select(*keys, "left", "left_rows")
     rights = matched.where("left_rows is null").select(*[F.col(k).alias(f"r_{k}") for k in keys], "right", "right_rows")
@@ -110,12 +114,12 @@ def shifted_match(matched: DataFrame, day_key: str, window: int) -> DataFrame:
             [F.col(k).eqNullSafe(F.col(f"r_{k}")) for k in other]
             + [F.date_add(F.col(day_key).try_cast("date"), offset).cast("string") == F.col(f"r_{day_key}")],
         )
-        pairs = lefts.join(rights, on).withColumn("offset", F.lit(offset))
+        pairs = cut(lefts.join(rights, on).withColumn("offset", F.lit(offset)))
         done = done.unionByName(pairs.select(*keys, "left", "right", "left_rows", "right_rows", "offset"))
         taken = pairs.select(*[F.col(k).alias(f"t_{k}") for k in keys], *[F.col(f"r_{k}").alias(f"u_{k}") for k in keys])
         same = lambda p, q: reduce(lambda x, y: x & y, [F.col(f"{p}{k}").eqNullSafe(F.col(f"{q}{k}")) for k in keys])
-        lefts = lefts.join(taken, same("", "t_"), "left_anti")
-        rights = rights.join(taken, same("r_", "u_"), "left_anti")
+        lefts = cut(lefts.join(taken, same("", "t_"), "left_anti"))
+        rights = cut(rights.join(taken, same("r_", "u_"), "left_anti"))
     none = F.lit(None)
     done = done.unionByName(
         lefts.select(*keys, "left", none.cast(AMOUNT).alias("right"), "left_rows", none.cast("long").alias("right_rows"), none.cast("int").alias("offset"))

@@ -22,13 +22,19 @@ def tag(stream: DataFrame, controls: Sequence[RowCheck], column: str = "violatio
     return stream.withColumn(column, violated(controls))
 
 
+def _timed(stream: DataFrame, time: str, late: str) -> DataFrame:
+    """Event times as instants, with a watermark on streams."""
+    out = stream.withColumn(time, F.col(time).cast("timestamp"))
+    return out.withWatermark(time, late) if out.isStreaming else out
+
+
 def window_verdicts(stream: DataFrame, controls: Sequence[RowCheck], time: str, width: str, late: str = "0 seconds", slide: str | None = None) -> DataFrame:
     """(start, control, scanned_rows, violating_rows, verdict) of windows aligned to the epoch.
 
     All controls share one streaming aggregation; messages later than ``late``
     are left out.
     """
-    source = stream.withWatermark(time, late) if stream.isStreaming else stream
+    source = _timed(stream, time, late)
     parts = []
     for i, c in enumerate(controls):
         s = c.scope()
@@ -48,7 +54,7 @@ def window_verdicts(stream: DataFrame, controls: Sequence[RowCheck], time: str,
 
 def session_verdicts(stream: DataFrame, control: RowCheck, key: str, time: str, gap: str, late: str = "0 seconds") -> DataFrame:
     """Counts per key and session, sessions ending after ``gap`` without a message."""
-    source = stream.withWatermark(time, late) if stream.isStreaming else stream
+    source = _timed(stream, time, late)
     s = control.scope()
     out = source.groupBy(key, F.session_window(time, gap).alias("w")).agg(F.count_if(s).alias("scanned_rows"), F.count_if(s & control.violating()).alias("violating_rows"))
     return out.select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "scanned_rows", "violating_rows").withColumn("verdict", control.verdict(F.col))
