@@ -1,3 +1,48 @@
 """DuckDB SQL for the queries that SQL can express over whole tables."""
 
-ORACLE: dict[str, str] = {}
+from __future__ import annotations
+
+from .secrets import BASE_RULES, EXTRA_RULES
+
+
+def _literal(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def secrets_sql() -> str:
+    """Matches and the pieces between them give every span's place."""
+    parts = []
+    for rank, r in enumerate(BASE_RULES + EXTRA_RULES):
+        p = _literal(r.pattern)
+        parts.append(
+            f"""SELECT doc_id, {rank} AS rank, '{r.kind}' AS kind, {r.least} AS least, string_split_regex(t, {p}) AS gaps,
+            regexp_extract_all(t, {p}) AS hits, regexp_extract_all(t, {p}, {r.group}) AS parts FROM d WHERE regexp_matches(t, {p})"""
+        )
+    kinds = ", ".join(f"count(*) FILTER (WHERE kind = '{r.kind}') AS n_{r.kind}" for r in BASE_RULES)
+    counts = ", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in BASE_RULES)
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), m AS ({' UNION ALL '.join(parts)}),
+    e AS (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM m),
+    s AS (SELECT doc_id, rank, kind, CAST(list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i-1], lambda x: length(x))), 0) AS BIGINT) AS a, length(hits[i]) AS n
+          FROM e WHERE length(parts[i]) >= least),
+    g AS (SELECT doc_id, {kinds}, coalesce(string_agg(concat(kind, ':', a, ':', a + n), ',' ORDER BY a, rank) FILTER (WHERE rank < {len(BASE_RULES)}), '') AS base,
+          string_agg(concat(kind, ':', a, ':', a + n), ',' ORDER BY a, rank) AS spans FROM s GROUP BY doc_id)
+    SELECT d.doc_id, {counts}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (doc_id)"""
+
+
+LINES = """WITH docs AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+  l AS (SELECT doc_id, i, ls[i] AS line FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM docs)),
+  big AS (SELECT *, row_number() OVER (ORDER BY doc_id, i) AS p FROM l WHERE length(line) >= 20),
+  d AS (SELECT line, min(p) AS p, CAST(length(line) AS BIGINT) AS n FROM big GROUP BY line),
+  k AS (SELECT line, p, n, unnest([n, n - 1]) AS short FROM d),
+  h AS (SELECT line, p, n, short, 0 AS side, left(line, CAST(short // 2 AS BIGINT)) AS half FROM k UNION ALL SELECT line, p, n, short, 1, right(line, CAST(short // 2 AS BIGINT)) FROM k),
+  c AS (SELECT DISTINCT a.line AS x, a.n AS xn, b.line AS y, b.n AS yn, b.p AS p FROM h a JOIN h b ON a.short = b.short AND a.side = b.side AND a.half = b.half AND a.p < b.p),
+  near AS (SELECT DISTINCT p FROM c WHERE CASE WHEN xn = yn THEN len(list_filter(range(1, xn + 1), lambda i: substr(x, i, 1) <> substr(y, i, 1))) <= 1
+     WHEN xn = yn + 1 THEN len(list_filter(range(0, xn), lambda i: left(x, i) || substr(x, i + 2) = y)) > 0
+     WHEN yn = xn + 1 THEN len(list_filter(range(0, yn), lambda i: left(y, i) || substr(y, i + 2) = x)) > 0 ELSE FALSE END),
+  gone AS (SELECT doc_id, i FROM big JOIN d USING (line) WHERE big.p <> d.p UNION SELECT doc_id, i FROM big JOIN near USING (p)),
+  kept AS (SELECT l.doc_id, string_agg(line, chr(10) ORDER BY l.i) AS text FROM l ANTI JOIN gone g ON l.doc_id = g.doc_id AND l.i = g.i GROUP BY l.doc_id),
+  n AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY 1)
+  SELECT d.doc_id, CAST(len(ls) AS BIGINT) AS n_lines, coalesce(n, 0) AS n_removed, CAST(length(coalesce(k.text, '')) AS BIGINT) AS n_chars, sha256(coalesce(k.text, '')) AS text_sha256
+  FROM docs d LEFT JOIN kept k USING (doc_id) LEFT JOIN n USING (doc_id)"""
+
+ORACLE: dict[str, str] = {"op3_secrets": secrets_sql(), "op6_line_dedup": LINES}
