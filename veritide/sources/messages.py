@@ -35,7 +35,7 @@ def swift_mt(df: DataFrame, message: str) -> DataFrame:
     """Adds fields (array of tag, value) of block 4, the message type and the sender."""
     block = F.regexp_extract(message, r"(?s)\{4:\s*(.*?)-\}", 1)
     tag = r"(?s)(?:^|\n):([0-9]{2}[A-Z]?):(.*?)(?=\n:[0-9]{2}[A-Z]?:|\n?$)"
-    fields = F.arrays_zip(F.regexp_extract_all(block, F.lit(tag), 1).alias("tag"), F.transform(F.regexp_extract_all(block, F.lit(tag), 2), F.trim).alias("value"))
+    fields = F.arrays_zip(F.regexp_extract_all(block, F.lit(tag), 1).alias("tag"), F.transform(F.regexp_extract_all(block, F.lit(tag), 2), lambda x: F.trim(x)).alias("value"))
     kind = F.regexp_extract(message, r"\{2:[IO]([0-9]{3})", 1)
     return df.withColumns({"mt": kind, "sender": F.regexp_extract(message, r"\{1:[A-Z][0-9]{2}([A-Z0-9]{8})", 1), "fields": fields})
 

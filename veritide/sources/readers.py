@@ -115,7 +115,7 @@ def rest_source(spark: SparkSession, name: str, fetch, schema: str) -> None:
         def schema(self):
             return schema
 
-        def reader(self, _):
+        def reader(self, schema):
             return Pages(self.options)
 
     spark.dataSource.register(Endpoint)
