@@ -85,13 +85,20 @@ def packed_decimal(raw, scale: int = 0) -> Column:
     return F.when(h.rlike("^[0-9]+[CDF]$"), (number / F.lit(10**scale).cast("decimal(20,0)")).cast(f"decimal(31,{scale})"))
 
 
-def fixed_width(df: DataFrame, raw: str, layout: list[tuple[str, int, int, str]], charset: str = "IBM037") -> DataFrame:
+def decode_bytes(raw: Column, charset: str) -> Column:
+    """Text of a one-byte character set that Spark doesn't decode itself, such as an EBCDIC code page."""
+    plain = bytes(range(1, 256))
+    pairs = [(a, b) for a, b in zip(plain.decode("iso-8859-1"), plain.decode(charset), strict=True) if a != b]
+    return F.translate(F.decode(raw, "iso-8859-1"), "".join(a for a, _ in pairs), "".join(b for _, b in pairs))
+
+
+def fixed_width(df: DataFrame, raw: str, layout: list[tuple[str, int, int, str]], charset: str = "cp037") -> DataFrame:
     """Fields (name, 1-based start, bytes, kind) of a binary record; kind is text, zoned, or packed:scale."""
     out = {}
     for name, start, size, kind in layout:
         part = F.substring(raw, start, size)
         if kind == "text":
-            out[name] = F.trim(F.decode(part, charset))
+            out[name] = F.trim(decode_bytes(part, charset))
         elif kind == "zoned":
             text = F.hex(part)
             digits = F.regexp_replace(text, "[0-9A-F]([0-9])", "$1")
