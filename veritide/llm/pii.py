@@ -102,6 +102,7 @@ _TOKEN = re.compile(r"[0-9]+|[A-Za-z]+|[^\s]|[ \t]+|\n")
 #: What a region of interest must hold: two digits close together, an @, or a spelled-out one.
 _SEED = re.compile(r"[0-9][^A-Za-z\n]{0,3}[0-9]|@|[\[(](?i:at)[\])]")
 _REACH = 64
+_SPACE = re.compile(r"\s")
 #: Tokens of the longest segment.
 MAX_SEGMENT = 16
 _CUES = {
@@ -113,11 +114,17 @@ _CUES = {
 
 
 def regions(text: str) -> list[tuple[int, int]]:
-    """Stretches around seeds, merged where they meet."""
+    """Stretches around seeds, out to white space or the stretch before, merged where they meet."""
     out: list[list[int]] = []
     for m in _SEED.finditer(text):
         a, b = max(0, m.start() - _REACH), min(len(text), m.end() + _REACH)
-        if out and a <= out[-1][1]:
+        done = out[-1][1] if out else 0
+        if b <= done:
+            continue
+        while a > done and not text[a - 1].isspace():
+            a -= 1
+        b = end.start() if (end := _SPACE.search(text, b)) else len(text)
+        if out and a <= done:
             out[-1][1] = b
         else:
             out.append([a, b])
@@ -361,10 +368,6 @@ def field_spans(text: str, field: Field) -> list[tuple[int, int, str]]:
     """Spans that the field finds in the regions of a text."""
     out = []
     for a, b in regions(text):
-        while a > 0 and not text[a - 1].isspace() and _REACH:
-            a -= 1
-            if text[a] == "\n":
-                break
         out += [(a + s, a + e, k) for s, e, k in field.decode(text[a:b])]
     return out
 
