@@ -224,7 +224,8 @@ def dedup(
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.struct(*[F.col(c) for c in keep] or [F.lit(0)]).alias("others"))
     drops = cut(dropped_lines(source.select("doc_id", "text"), max_edits, min_chars)).withColumnsRenamed({"doc_id": "drop_id", "mark": "drop_mark"})
     marked = source.withColumn("mark", F.xxhash64("text"))
-    joined = marked.join(drops, (F.col("mark") == F.col("drop_mark")) & F.col("doc_id").eqNullSafe(F.col("drop_id")), "left")
+    # Hashing the drops spares sorting whole texts; both keys together are as good as unique, so no partition grows hot.
+    joined = marked.join(drops.hint("shuffle_hash"), (F.col("mark") == F.col("drop_mark")) & F.col("doc_id").eqNullSafe(F.col("drop_id")), "left")
     lines = F.split("text", "\n", -1)
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("numbers"))
     left = F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
@@ -232,7 +233,7 @@ def dedup(
         "doc_id",
         *[F.col(f"others.`{c}`").alias(c) for c in keep],
         F.when(F.col("numbers").isNull(), F.col("text")).otherwise(left).alias("text"),
-        F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
+        F.coalesce(1 + F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))), F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce(F.size("numbers"), F.lit(0)).cast("long").alias("n_removed"),
     )
 
