@@ -39,6 +39,13 @@ class PieceCodec:
         if any(_MARK in p.lstrip(_MARK) for p in self.ids):
             raise ValueError("this model has pieces with white space inside a word")
         self.byte_of = {i: int(self.pieces[i][3:5], 16) for i in range(n) if sp.is_byte(i)}
+        self.shown = [p.replace(_MARK, " ") for p in self.pieces]
+        self.number = [str(i) for i in range(n)]
+        #: Code points without a piece of their own have -1 - code point.
+        self.first = -1 - np.arange(0x110000, dtype=np.int32)
+        for p, i in self.ids.items():
+            if len(p) == 1:
+                self.first[ord(p)] = i
         self.byte_id = [0] * 256
         for i, b in self.byte_of.items():
             self.byte_id[b] = i
@@ -78,11 +85,11 @@ class PieceCodec:
             out.append(marks[:-1])
         return out
 
-    def merge(self, words: list[str]) -> list[np.ndarray]:
-        """The ids of each word, with -1 - code point for characters that have no piece."""
+    def merge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words end to end, with -1 - code point for characters that have no piece, and where each word ends."""
         lengths = np.array([len(w) for w in words])
-        ids = self.ids
-        symbol = np.array([ids.get(c, -1 - ord(c)) for w in words for c in w], np.int64)
+        points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4")
+        symbol = self.first[points].astype(np.int64)
         word = np.repeat(np.arange(len(words)), lengths)
         done_symbol, done_word = [], []
         while len(symbol):
@@ -123,11 +130,14 @@ class PieceCodec:
         owner = np.concatenate(done_word) if done_word else np.zeros(0, np.int64)
         order = np.argsort(owner, kind="stable")
         counts = np.bincount(owner, minlength=len(words))
-        return np.split(flat[order], np.cumsum(counts)[:-1])
+        return flat[order], np.cumsum(counts)
 
-    def finish(self, symbols: np.ndarray) -> list[int]:
+    def finish(self, symbols: list[int]) -> list[int]:
+        """Ids, with characters that have no piece as their bytes."""
+        if min(symbols) >= 0:
+            return symbols
         out: list[int] = []
-        for s in symbols.tolist():
+        for s in symbols:
             if s >= 0:
                 out.append(s)
             else:
@@ -136,6 +146,8 @@ class PieceCodec:
 
     def surface(self, ids: list[int]) -> str:
         """What the ids of whole words stand for, marks as spaces."""
+        if self.byte_of.keys().isdisjoint(ids):
+            return "".join([self.shown[i] for i in ids])
         out, pending = [], bytearray()
         for i in ids:
             if i in self.byte_of:
@@ -144,7 +156,7 @@ class PieceCodec:
             if pending:
                 out.append(pending.decode("utf-8", "replace"))
                 pending.clear()
-            out.append(self.pieces[i].replace(_MARK, " "))
+            out.append(self.shown[i])
         if pending:
             out.append(pending.decode("utf-8", "replace"))
         return "".join(out)
@@ -155,10 +167,14 @@ class PieceCodec:
         if len(self.known) > _CACHE_SIZE:
             self.known.clear()
         known, long = self.known, {}
-        new = list({w for s in split for w in s if w not in known})
-        for w, symbols in zip(new, self.merge(new) if new else [], strict=True):
-            ids = self.finish(symbols)
-            (known if len(w) <= _CACHED_WORD else long)[w] = (",".join(map(str, ids)), self.surface(ids))
+        new = list({w for s in split for w in s}.difference(known))
+        if new:
+            flat, ends = self.merge(new)
+            symbols, at, number = flat.tolist(), 0, self.number
+            for w, end in zip(new, ends.tolist(), strict=True):
+                ids = self.finish(symbols[at:end])
+                at = end
+                (known if len(w) <= _CACHED_WORD else long)[w] = (",".join([number[i] for i in ids]), self.surface(ids))
         if long:
             return [[known[w] if w in known else long[w] for w in s] for s in split]
         return [[known[w] for w in s] for s in split]
