@@ -63,7 +63,9 @@ class Side:
         value = (value * F.lit(str(-self.scale if self.negate else self.scale)).cast(AMOUNT)).cast(AMOUNT)
         if self.places is not None:
             value = F.bround(value, self.places).cast(AMOUNT)
-        keys = [normal_key(F.col(k)).alias(f"k{i}") for i, k in enumerate(self.keys)]
+        # The text of a whole number is normal as it is, without patterns for every row.
+        whole = {c for c, kind in df.dtypes if kind in ("tinyint", "smallint", "int", "bigint")}
+        keys = [(F.col(k).cast("string") if k in whole else normal_key(F.col(k))).alias(f"k{i}") for i, k in enumerate(self.keys)]
         rows = df.select(*keys, value.alias("v"))
         return rows.groupBy(*[f"k{i}" for i in range(len(self.keys))]).agg(
             F.when(F.count_if(F.col("v").isNull()) == 0, F.sum("v").cast(AMOUNT)).alias("amount"),
