@@ -60,3 +60,20 @@ def test_round_trip(spark, library):
 
 def test_empty_table(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_added_tokens_have_the_ids_of_the_unmodified_library(spark):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(tokenizer_file("byte_bpe_50k.json"))
+    marked = ["<|endoftext|>", "a <|endoftext|> b", "x<|endoftext|><|endoftext|>\n y", "<|endoftext", "it's<|endoftext|>'s  ", " <|ENDOFTEXT|>"]
+    t = texts() + marked + [a + b for a, b in zip(texts()[50:1050], marked * 200)]
+    want = [e.ids for e in plain.encode_batch(t, add_special_tokens=False)]
+    assert [50256 in x for x in want[-len(marked) - 1000 :][: len(marked)]] == [True, True, True, False, True, False]
+    enc = packing.encoder(tokenizer_file("byte_bpe_50k.json"))
+    assert [np.frombuffer(b, "<u4").tolist() for b in enc.encode_marked(t)] == want
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(marked)], "doc_id long, text string")
+    by_doc = {}
+    for r in sorted(packing.pack(df, with_ids=True).collect(), key=lambda r: r.start):
+        by_doc.setdefault(r.doc_id, []).extend(r.ids)
+    assert [by_doc[i] for i in range(len(marked))] == [plain.encode(x, add_special_tokens=False).ids + [1] for x in marked]

@@ -12,7 +12,7 @@ from __future__ import annotations
 import json
 import zlib
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +30,9 @@ class ByteEncoder:
     """Encodes with the vocabulary of a tokenizers file of the byte-level BPE kind.
 
     The merges of such a file are its ids in order, so the ids serve as ranks
-    for the faster of the two libraries; strings of special tokens are ordinary
-    text.  The tests hold the ids against the tokenizers library.
+    for the faster of the two libraries.  ``encode`` takes strings of the file's
+    added tokens as ordinary text, ``encode_marked`` gives them their ids, as the
+    tokenizers library does by default.  The tests hold both against it.
     """
 
     def __init__(self, path: str):
@@ -39,18 +40,28 @@ class ByteEncoder:
 
         with open(path, encoding="utf-8") as f:
             model = json.load(f)
-        special = {t["id"] for t in model.get("added_tokens", ())}
+        added = model.get("added_tokens", ())
+        if any(t.get(k) for t in added for k in ("single_word", "lstrip", "rstrip")):
+            raise ValueError(f"{path}: added tokens that take in or need what stands around them are not supported")
+        marked = {t["content"]: t["id"] for t in added}
+        special = set(marked.values())
         # Printable bytes stand for themselves, the others for the code points from 256 on.
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         byte_of = {chr(b): b for b in plain}
         byte_of |= {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in byte_of.values())}
         ranks = {bytes(map(byte_of.__getitem__, p)): i for p, i in model["model"]["vocab"].items() if i not in special}
-        self.encode_one = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=marked)
+        self.encode_one = encoding.encode_ordinary
+        self.encode_one_marked = partial(encoding.encode, allowed_special="all") if marked else encoding.encode_ordinary
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
         return [np.array(self.encode_one(t), "<u4").tobytes() for t in texts]
 
+    def encode_marked(self, texts: list[str]) -> list[bytes]:
+        """As encode(), but the file's added tokens have their own ids."""
+        return [np.array(self.encode_one_marked(t), "<u4").tobytes() for t in texts]
+
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> ByteEncoder:
@@ -74,7 +85,8 @@ def pack(
 ) -> DataFrame:
     """Pieces of all documents: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, bucket[, ids].
 
-    ``max_len`` must be a power of two.  Each document's ids are followed by
+    ``max_len`` must be a power of two.  Strings of the tokenizer file's added
+    tokens have those tokens' ids wherever they stand in a text.  Each document's ids are followed by
     ``end_id``; a null or empty text has that id alone, so every row yields at
     least one piece.  Rows with equal or null doc_id are packed each by itself.
     sequence_id is unique (a sequence holds one piece, offset is 0); bucket is
@@ -101,7 +113,7 @@ def pack(
                 crc: list[int] = []
                 total: list[int] = []
                 ids: list[np.ndarray] = []
-                for i, body in enumerate(enc.encode(texts), a):
+                for i, body in enumerate(enc.encode_marked(texts), a):
                     body += end
                     view, n, at = memoryview(body), len(body) // 4, 0
                     for k in piece_lengths(n, max_len):
