@@ -88,3 +88,14 @@ def test_enforcement(spark, tmp_path):
     again = judge.enforce(stream, [RowCheck("v", "v > 0")], "block", lambda d, _: None, lambda d, _: None, f"{tmp_path}/c2", most_dead=1)
     with pytest.raises(Exception, match="dead letters"):
         again.awaitTermination()
+
+
+def test_large_blocks_are_compared_whole(spark):
+    hot = spark.range(1100).select(F.col("id").alias("k"), F.lit("one").alias("g"))
+    pairs, wide = entity.blocked_pairs(hot, "k", {"g": F.col("g")})
+    assert pairs.count() == 1100 * 1099 // 2 and wide.count() == 1
+    rows = [(i % 90, None if i % 13 == 0 else "ab"[i % 3 == 0], i % 7) for i in range(100)] + [(None, "a", 1)]
+    df = spark.createDataFrame(rows, "k long, g string, h long")
+    got = entity.blocked_pairs(df, "k", {"g": F.col("g"), "h": F.col("h")}, largest=8)[0].collect()
+    want = {(a[0], b[0]) for a in rows[:-1] for b in rows[:-1] if a[0] < b[0] and (a[1] and a[1] == b[1] or a[2] == b[2])}
+    assert sorted((r.a, r.b) for r in got) == sorted(want)

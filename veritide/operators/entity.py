@@ -56,19 +56,29 @@ class Field:
 
 
 def blocked_pairs(df: DataFrame, record: str, keys: Mapping[str, Column], largest: int = 1000) -> tuple[DataFrame, DataFrame]:
-    """(pairs a < b that share some key, keys too common to compare).
+    """(pairs a < b that share some key, keys of more than ``largest`` records).
 
-    A block of more than ``largest`` records tells nothing and would emit its
-    square; it is reported instead, for a finer key to be added.
+    Every block is compared whole.  One of more than ``largest`` records is cut
+    into sub-blocks, and each pair of these is a join key of its own, so that no
+    task has more than the pairs of two sub-blocks.  Such keys emit their square
+    and are also reported, for a finer key to be chosen.
     """
     long = reduce(DataFrame.union, [df.select(F.lit(n).alias("rule"), k.cast("string").alias("key"), F.col(record).alias("id")) for n, k in keys.items()])
-    long = long.where("key is not null")
+    long = long.where("key is not null and id is not null")
     sizes = long.groupBy("rule", "key").agg(F.count(F.lit(1)).alias("n"))
     wide = sizes.where(F.col("n") > largest)
-    small = long.join(sizes.where(F.col("n").between(2, largest)), ["rule", "key"])
-    other = small.select("rule", "key", F.col("id").alias("b"))
-    pairs = small.join(other, ["rule", "key"]).where(F.col("id") < F.col("b")).select(F.col("id").alias("a"), "b").distinct()
-    return pairs, wide
+    parts = F.ceil(F.col("n") / largest).cast("int")
+    # Equal ids fall into one sub-block, so ids of two sub-blocks differ.
+    placed = (
+        long.join(sizes.where("n > 1"), ["rule", "key"])
+        .select("rule", "key", "id", F.pmod(F.xxhash64("id"), parts).cast("int").alias("mine"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
+        .select("rule", "key", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), "mine", "id")
+    )
+    group = ["rule", "key", "p", "q"]
+    left = placed.where("mine = p").select(*group, "id")
+    right = placed.where("mine = q").select(*group, F.col("id").alias("other"))
+    met = left.join(right, group).where((F.col("p") < F.col("q")) | (F.col("id") < F.col("other")))
+    return met.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct(), wide
 
 
 def agreements(pairs: DataFrame, df: DataFrame, record: str, fields: Sequence[Field]) -> DataFrame:
