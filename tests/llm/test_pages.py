@@ -59,3 +59,36 @@ def test_odd_pages_and_columns(spark):
     assert [r.text for r in got if r.page_id in (None, 10, 11)] == ["The & title\nFirst paragraph here.\nSecond <one> a < b."] * 3
     assert [r.text for r in got if r.page_id in (0, 1)] == ["", ""]
     assert pages.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_unclosed_elements_leave_the_article():
+    model = pages.trained()
+    body = "<article>" + "".join(f"<p>Sentence number {i} of a long article about rivers and the towns along them.</p>" for i in range(6)) + "</article>"
+    want = model.extract([f"<html><body>{body}</body></html>"])[0]
+    assert want.count("rivers") == 6
+    for before, after in (
+        ("<datalist><option value=a><option value=b></datalist>", ""),
+        ("<datalist><option value=a>Bern<option value=b>Rome</datalist>", "<select><option>x</option></select>"),
+        ("<div><button>Menu</div>", ""),
+        ("<div><button>Menu</div>", "<div><button>Send</button></div>"),
+        ("<div><noscript>Script is off</div>", "<noscript>Script is off</noscript>"),
+        ("<div><svg><path d=x></div>", "<svg></svg>"),
+        ("<div><noscript><p>Script is off</noscript></div><div><button><div>Menu</div></button></div>", ""),
+    ):
+        got = model.extract([f"<html><body>{before}{body}{after}</body></html>"])[0]
+        assert got.endswith(want), before
+    for before in ("<button>", "<noscript>", "<video>", "<canvas>", "<object>", "<audio>", "<svg>", "<option>", "<option>Bern"):
+        assert want in model.extract([f"<html><body>{before}{body}<button>Send</button></body></html>"])[0], before
+
+
+def test_text_of_formulas_stays_and_closed_elements_go():
+    _, blocks = pages.parse("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds<p><svg><text>no</text></svg><button>no</button><select><option>no<option>no</select><p>yes")
+    assert [t for _, t in blocks] == ["so x=2 holds", "yes"]
+
+
+def test_many_unclosed_elements_take_linear_time():
+    import time
+
+    began = time.time()
+    pages.parse("<svg>" * 100_000 + "<button>" * 100_000 + "<p>x</p>" + "</svg>" * 3)
+    assert time.time() - began < 20

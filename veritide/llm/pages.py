@@ -23,10 +23,14 @@ from .common import map_texts, table
 # Kinds of elements.
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark picture q s samp small "
-    "source span strike strong sub sup time tt u var wbr".split()
+    "source span strike strong sub sup time tt u var wbr "
+    "math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom mfenced menclose msub msup msubsup "
+    "munder mover munderover mmultiscripts mprescripts mtable mtr mtd semantics annotation".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SKIPPED = frozenset("script style noscript template iframe object svg math head title select option textarea button canvas video audio".split())
+#: Elements whose content is text up to their own end tag, or to the end of the page.
+RAW = frozenset("script style textarea title iframe".split())
+SKIPPED = RAW | frozenset("noscript template object svg head select option button canvas video audio".split())
 _CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 _TAGS = frozenset(
     "html body article main section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table tbody thead tr td th blockquote pre "
@@ -66,8 +70,56 @@ class Node:
         self.chars = self.links = self.below = self.below_links = 0
 
 
+#: Skipped elements that can't hold one another: a second one ends the first.
+_ALONE = frozenset("noscript head select option button".split())
+
+
+def _raw_end(page: str, tag: str, at: int) -> int:
+    stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.IGNORECASE).search(page, at)
+    return stop.end() if stop else len(page)
+
+
+def _closed(page: str) -> dict[int, int]:
+    """Ends of the skipped elements that have an end tag of their own, before their parent's, by the place after their start tag."""
+    ends: dict[int, int] = {}
+    stack: list[tuple[str, int]] = []
+    places: dict[str, list[int]] = {}
+    at = 0
+    while m := _MARKUP.search(page, at):
+        at = m.end()
+        tag = (m[2] or m[5] or "").lower()
+        if not tag or tag in INLINE or tag in VOID or not page.endswith(">", m.start(), m.end()):
+            continue
+        mine = places.setdefault(tag, [])
+        if m[1] or m[4]:
+            if mine:
+                place, start = mine[-1], stack[mine[-1]][1]
+                while len(stack) > place:
+                    name, _ = stack.pop()
+                    if places[name] and places[name][-1] == len(stack):
+                        places[name].pop()
+                if tag in SKIPPED:
+                    ends[start] = at
+        elif not (m[3] or m[6] or "").endswith("/"):
+            if tag in RAW:
+                at = _raw_end(page, tag, at)
+                continue
+            if tag in _ALONE:
+                mine.clear()
+            mine.append(len(stack))
+            stack.append((tag, at))
+    return ends
+
+
 def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
-    """Nodes in page order, the root first, and blocks of text as (node, text)."""
+    """Nodes in page order, the root first, and blocks of text as (node, text).
+
+    Skipped elements go with what they hold if they have an end tag of their own.
+    Of those without one, options end at the next block element or end tag, and
+    the others melt into the element around them, so that no article is lost.
+    """
+    stops = _closed(page)
+    quiet = False
     nodes = [Node(-1, 0, "html", frozenset())]
     blocks: list[tuple[int, str]] = []
     stack = [0]
@@ -76,7 +128,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     at, end = 0, len(page)
 
     def text(piece: str) -> None:
-        if piece:
+        if piece and not quiet:
             piece = html.unescape(piece)
             pending.append(piece)
             if anchors:
@@ -109,13 +161,15 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             elif tag == "a":
                 anchors = 0 if closing else 1
             continue
+        quiet = False
         if tag in SKIPPED:
             if not closing and not attributes.endswith("/"):
-                stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.IGNORECASE).search(page, at)
-                if stop:
-                    at = stop.end()
-                elif tag != "head":
-                    at = end
+                if tag in RAW:
+                    at = _raw_end(page, tag, at)
+                elif at in stops:
+                    at = stops[at]
+                else:
+                    quiet = tag == "option"
             flush()
             continue
         flush()
