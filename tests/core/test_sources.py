@@ -3,7 +3,7 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
-from veritide.operators import entity, feeds
+from veritide.operators import entity, feeds, incidents, lineage
 from veritide.plans.controls import RowCheck
 from veritide.sources import messages, readers, sinks
 from veritide.streaming import judge
@@ -99,3 +99,16 @@ def test_large_blocks_are_compared_whole(spark):
     got = entity.blocked_pairs(df, "k", {"g": F.col("g"), "h": F.col("h")}, largest=8)[0].collect()
     want = {(a[0], b[0]) for a in rows[:-1] for b in rows[:-1] if a[0] < b[0] and (a[1] and a[1] == b[1] or a[2] == b[2])}
     assert sorted((r.a, r.b) for r in got) == sorted(want)
+
+
+def test_roots_and_trust_travel_any_number_of_hops(spark):
+    names = [f"n{i:02}" for i in range(16)]
+    edges = spark.createDataFrame([(a, b, "copy") for a, b in zip(names, names[1:])], "source string, target string, kind string")
+    alerts = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "node string, i int").select("node", F.timestamp_seconds("i").alias("ts"))
+    assert {r.root for r in incidents.incidents(alerts, edges).collect()} == {"n00"}
+    with pytest.raises(RuntimeError):
+        incidents.incidents(alerts, edges, max_rounds=5)
+    nodes = spark.createDataFrame([(n, 0.25 if n == "n00" else 1.0) for n in names], "node string, trust double")
+    assert {r.trust for r in lineage.trust(nodes, edges).collect()} == {0.25}
+    with pytest.raises(RuntimeError):
+        lineage.trust(nodes, edges, max_rounds=5)

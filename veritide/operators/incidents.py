@@ -8,15 +8,18 @@ from pyspark.sql import functions as F
 from ..sources.store import cut
 
 
-def incidents(alerts: DataFrame, edges: DataFrame, minutes: int = 60, depth: int = 12) -> DataFrame:
+def incidents(alerts: DataFrame, edges: DataFrame, minutes: int = 60, max_rounds: int = 1000) -> DataFrame:
     """(node, ts, root, since): each alert with the furthest upstream node that alerted shortly before it.
 
     alerts: (node, ts), one per node; edges: (source, target).  Alerts hand their
-    root downstream, one hop for each round, until none changes.
+    root downstream, one hop for each round, until none changes; alerts of one
+    instant on a cycle of edges have no first one and raise an error.
     """
     gap = minutes * 60
     state = cut(alerts.select("node", "ts", F.col("node").alias("root"), F.col("ts").alias("since")))
-    for _ in range(depth):
+    # No path is longer than there are alerts.
+    rounds = min(max_rounds, state.count() + 1)
+    for _ in range(rounds):
         up = state.select(F.col("node").alias("source"), F.col("root").alias("u_root"), F.col("since").alias("u_since"), F.col("ts").alias("u_ts"))
         given = edges.join(up, "source").select(F.col("target").alias("t"), "u_root", "u_since", "u_ts")
         near = (F.unix_timestamp(F.col("ts").cast("timestamp")) - F.unix_timestamp(F.col("u_ts").cast("timestamp"))).between(0, gap)
@@ -29,6 +32,8 @@ def incidents(alerts: DataFrame, edges: DataFrame, minutes: int = 60, depth: int
         state = new
         if moved.isEmpty():
             break
+    else:
+        raise RuntimeError(f"incident roots did not settle in {rounds} rounds")
     return state
 
 

@@ -55,19 +55,20 @@ def dataset_edges(edges: DataFrame) -> DataFrame:
     return out.groupBy("source", "target").agg(F.count(F.lit(1)).alias("columns"))
 
 
-def trust(nodes: DataFrame, edges: DataFrame, how: str = "min_product", depth: int = 12) -> DataFrame:
+def trust(nodes: DataFrame, edges: DataFrame, how: str = "min_product", max_rounds: int = 1000) -> DataFrame:
     """(node, trust) from own trust and that of inputs along attenuated edges.
 
     A deficit of trust passes along an edge scaled by its attenuation; ``how``
     combines inputs: min (the weakest), product, mean, or min_product (own trust
-    times the weakest input).
+    times the weakest input).  Rounds go on until no value moves; an error is
+    raised if that takes more than ``max_rounds``.
     """
     combine = {
         "min": F.min("passed"), "min_product": F.min("passed"),
         "product": F.exp(F.sum(F.log(F.greatest("passed", F.lit(1e-12))))), "mean": F.avg("passed"),
     }[how]
     current = nodes.select("node", F.col("trust").cast("double").alias("own"), F.col("trust").cast("double").alias("trust"))
-    for _ in range(depth):
+    for _ in range(max_rounds):
         up = current.select(F.col("node").alias("source"), "trust")
         passed = edges.join(up, "source").select("target", (1 - (1 - F.col("trust")) * _factor()).alias("passed"))
         inputs = passed.groupBy(F.col("target").alias("t")).agg(combine.alias("inputs"))
@@ -78,6 +79,8 @@ def trust(nodes: DataFrame, edges: DataFrame, how: str = "min_product", depth: i
         current = new
         if moved.isEmpty():
             break
+    else:
+        raise RuntimeError(f"trust did not settle in {max_rounds} rounds")
     return current.select("node", "trust")
 
 
