@@ -12,9 +12,7 @@ from veritide.llm.common import tokenizer_file
 def library():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(tokenizer_file("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(tokenizer_file("byte_bpe_50k.json"))
 
 
 def texts():
@@ -62,16 +60,34 @@ def test_empty_table(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_added_tokens_have_the_ids_of_the_unmodified_library(spark):
-    from tokenizers import Tokenizer
+def test_very_long_runs(spark, library):
+    n = 2_000_000
+    long = [" " * n + "x", "a" * n, "é\n" + " \n\t" * (n // 3) + "y", "<|endoftext|>" + "\u3000" * 600_000, "!" * 300_000 + " " * 50_000]
+    df = spark.createDataFrame(list(enumerate(long)), "doc_id long, text string")
+    got = {}
+    for r in packing.pack(df).select("doc_id", "start", "length", "ids_crc32").collect():
+        got.setdefault(r.doc_id, []).append(r)
+    for i, text in enumerate(long):
+        ids = np.array(library.encode(text, add_special_tokens=False).ids + [1], "<u4")
+        assert sum(r.length for r in got[i]) == len(ids)
+        for r in got[i]:
+            assert zlib.crc32(ids[r.start : r.start + r.length].tobytes()) == r.ids_crc32
+
+
+def test_query_shows_the_buckets(spark, tmp_path):
+    spark.createDataFrame([(1, "one two three"), (2, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = packing.op7_pack(spark, str(tmp_path)).collect()
+    assert rows and all(r.bucket == r.length and r.bucket & (r.bucket - 1) == 0 and r.offset == 0 for r in rows)
+
 
-    plain = Tokenizer.from_file(tokenizer_file("byte_bpe_50k.json"))
+def test_added_tokens_have_the_ids_of_the_unmodified_library(spark, library):
+    plain = library
     marked = ["<|endoftext|>", "a <|endoftext|> b", "x<|endoftext|><|endoftext|>\n y", "<|endoftext", "it's<|endoftext|>'s  ", " <|ENDOFTEXT|>"]
     t = texts() + marked + [a + b for a, b in zip(texts()[50:1050], marked * 200)]
     want = [e.ids for e in plain.encode_batch(t, add_special_tokens=False)]
     assert [50256 in x for x in want[-len(marked) - 1000 :][: len(marked)]] == [True, True, True, False, True, False]
     enc = packing.encoder(tokenizer_file("byte_bpe_50k.json"))
-    assert [np.frombuffer(b, "<u4").tolist() for b in enc.encode_marked(t)] == want
+    assert [np.frombuffer(b, "<u4").tolist() for b in enc.encode(t)] == want
     df = spark.createDataFrame([(i, x) for i, x in enumerate(marked)], "doc_id long, text string")
     by_doc = {}
     for r in sorted(packing.pack(df, with_ids=True).collect(), key=lambda r: r.start):

@@ -10,6 +10,7 @@ which batches of one shape are drawn; the plan needs no shuffle.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache, partial
@@ -26,17 +27,22 @@ from .common import slices, tokenizer_file
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+#: Runs of white space from this length on go to the tokenizers library, as the faster one's stack is too small for very long ones.
+LONG_RUN = 20_000
+_LONG = re.compile(r"\s{%d}" % LONG_RUN)
+
+
 class ByteEncoder:
-    """Encodes with the vocabulary of a tokenizers file of the byte-level BPE kind.
+    """Encodes with the vocabulary of a tokenizers file of the byte-level BPE kind, as that library does by default.
 
-    The merges of such a file are its ids in order, so the ids serve as ranks
-    for the faster of the two libraries.  ``encode`` takes strings of the file's
-    added tokens as ordinary text, ``encode_marked`` gives them their ids, as the
-    tokenizers library does by default.  The tests hold both against it.
+    The merges of such a file make its ids in order, which is checked, so the ids
+    serve as ranks for the faster of the two libraries.  The file's added tokens
+    have their own ids wherever they stand in a text.
     """
 
     def __init__(self, path: str):
         import tiktoken
+        from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             model = json.load(f)
@@ -45,22 +51,28 @@ class ByteEncoder:
             raise ValueError(f"{path}: added tokens that take in or need what stands around them are not supported")
         marked = {t["content"]: t["id"] for t in added}
         special = set(marked.values())
+        vocabulary = model["model"]["vocab"]
+        merges = [m.split(" ") if isinstance(m, str) else m for m in model["model"]["merges"]]
+        made = [vocabulary[a + b] for a, b in merges]
+        if made != sorted(made):
+            raise ValueError(f"{path}: its merges do not make its ids in order, so ids can't serve as ranks")
         # Printable bytes stand for themselves, the others for the code points from 256 on.
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         byte_of = {chr(b): b for b in plain}
         byte_of |= {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in byte_of.values())}
-        ranks = {bytes(map(byte_of.__getitem__, p)): i for p, i in model["model"]["vocab"].items() if i not in special}
+        ranks = {bytes(map(byte_of.__getitem__, p)): i for p, i in vocabulary.items() if i not in special}
         encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=marked)
-        self.encode_one = encoding.encode_ordinary
-        self.encode_one_marked = partial(encoding.encode, allowed_special="all") if marked else encoding.encode_ordinary
+        self.quick = partial(encoding.encode, allowed_special="all")
+        self.library = Tokenizer.from_file(path)
+
+    def ids(self, text: str) -> list[int]:
+        if len(text) >= LONG_RUN and _LONG.search(text):
+            return self.library.encode(text, add_special_tokens=False).ids
+        return self.quick(text)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
-        return [np.array(self.encode_one(t), "<u4").tobytes() for t in texts]
-
-    def encode_marked(self, texts: list[str]) -> list[bytes]:
-        """As encode(), but the file's added tokens have their own ids."""
-        return [np.array(self.encode_one_marked(t), "<u4").tobytes() for t in texts]
+        return [np.array(self.ids(t), "<u4").tobytes() for t in texts]
 
 
 @lru_cache(maxsize=2)
@@ -113,7 +125,7 @@ def pack(
                 crc: list[int] = []
                 total: list[int] = []
                 ids: list[np.ndarray] = []
-                for i, body in enumerate(enc.encode_marked(texts), a):
+                for i, body in enumerate(enc.encode(texts), a):
                     body += end
                     view, n, at = memoryview(body), len(body) // 4, 0
                     for k in piece_lengths(n, max_len):
@@ -154,9 +166,9 @@ def write_buckets(pieces: DataFrame, path: str) -> None:
 
 
 def op7_pack(spark, sf_dir: str) -> DataFrame:
-    """Every document packed into sequences of at most 2048 tokens."""
+    """Every document packed into sequences of at most 2048 tokens; see pack() for nulls, empty texts and repeats."""
     from .common import table
 
     return pack(table(spark, sf_dir, "documents")).select(
-        "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"
+        "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "bucket"
     )
