@@ -1,7 +1,9 @@
 import hashlib
 import re
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from veritide.llm import secrets
 
@@ -31,9 +33,10 @@ def brute(text):
     return sorted(out)
 
 
-@pytest.mark.parametrize("limit", [0, 20_000])
-def test_against_plain_search(spark, monkeypatch, limit):
-    monkeypatch.setattr(secrets, "BROADCAST_ROWS", limit)
+@pytest.mark.parametrize("most", [1, 1024])
+def test_against_plain_search(spark, monkeypatch, most):
+    monkeypatch.setattr(secrets, "MOST_BUCKETS", most)
+    monkeypatch.setattr(secrets, "BITS", 100_000)
     rows = [(i, t, "extra") for i, t in enumerate(TEXTS)] + [(None, TEXTS[2], "x"), (3, TEXTS[3], "again")]
     df = spark.createDataFrame(rows, "doc_id long, text string, key string")
     got = secrets.scan(df).collect()
@@ -64,3 +67,22 @@ def test_query_columns(spark, tmp_path):
 
 def test_empty_table(spark):
     assert secrets.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_many_matches_in_one_text(spark):
+    text = "token=abcdefgh " * 100_000 + "x" * 500_000 + " deadbeefdeadbeefdeadbeef01" * 1001
+    began = time.time()
+    got = secrets.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()[0].spans
+    assert time.time() - began < 60
+    assert [tuple(s) for s in got] == brute(text)
+
+
+def test_bits_are_those_of_the_candidates(spark):
+    keys = [0, 1, -1, 32767, 32768, 2**62, -(2**63), 99]
+    found = spark.createDataFrame([(k, k % 2 == 0) for k in keys], "key long, is_even boolean")
+    rows = spark.createDataFrame([(k,) for k in [*keys, 5, 6, -7]], "key long")
+    bitmaps = secrets.marks(found, ["even"], 4)
+    assert bitmaps.count() <= 4
+    joined = rows.join(bitmaps, F.pmod(F.shiftright("key", 15), F.lit(4)) == F.col("bucket"), "left")
+    got = {r[0]: r[1] for r in joined.select("key", secrets._marked(F.col("bits_even"))).collect()}
+    assert got == {**{k: k % 2 == 0 for k in keys}, 5: False, 6: False, -7: False}

@@ -6,11 +6,17 @@ match must contain (of the lower-cased text).  The index holds one posting per
 postings of each document leaves the candidates of each rule, and only those
 are searched with the expression itself.  A rule without a mandatory trigram
 searches every document.
+
+Texts never move: candidates are marked in bitmaps of bounded size, which go to
+every task and tell there which texts to search.  Two documents may share a bit;
+the search itself then finds nothing, so results are exact at every size.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 from operator import and_, or_
@@ -20,8 +26,8 @@ from pyspark.sql import functions as F
 
 from .common import cut, table
 
-#: Candidate rows up to this many are sent to every task; more are joined by a shuffle.
-BROADCAST_ROWS = 20_000
+#: Buckets of 32,768 bits, four KB for each rule; there are at least BITS bits a candidate up to the most buckets.
+MOST_BUCKETS, BITS = 1024, 16
 _EXPAND = 24
 
 
@@ -166,45 +172,66 @@ def candidates(postings: DataFrame, queries: dict[str, Query], key: str = "key")
     return flags.where(reduce(or_, [F.col(f"is_{n}") for n in queries]))
 
 
+def marks(found: DataFrame, names: list[str], buckets: int, key: str = "key") -> DataFrame:
+    """(bucket, a bitmap of 32,768 bits for each name): the bits of the keys that are candidates; at most ``buckets`` rows."""
+    position = F.pmod(key, F.lit(32768))
+    bucket = F.pmod(F.shiftright(key, 15), F.lit(buckets))
+    return found.groupBy(bucket.alias("bucket")).agg(*[F.bitmap_construct_agg(F.when(F.col(f"is_{n}"), position)).alias(f"bits_{n}") for n in names])
+
+
+def _marked(bits: Column, key: str = "key") -> Column:
+    position = F.pmod(key, F.lit(32768)).cast("int")
+    byte = F.conv(F.hex(F.substring(bits, F.floor(position / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    return F.coalesce(F.getbit(byte, position % 8) == 1, F.lit(False))
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once however often body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _running(start: Column, steps: Column, step: Callable[[Column], Column], row: Callable[[Column, Column], Column], kind: str) -> Column:
+    """row(total before it, z) of each z of ``steps``, where step(z) adds to the total; for short arrays."""
+    nothing = F.struct(start.alias("at"), F.array().cast(f"array<{kind}>").alias("out"))
+    walk = F.aggregate(
+        steps, nothing, lambda acc, z: F.struct((acc["at"] + step(z)).alias("at"), F.concat(acc["out"], F.array(row(acc["at"], z))).alias("out"))
+    )
+    return walk["out"]
+
+
 def _spans(rule: Rule, rank: int, text: Column) -> Column:
     """Matches of a rule as an array of (start, rank, end, kind), in code points, end exclusive.
 
     The pieces between the matches and the matches themselves give the positions.
+    Running totals are taken in chunks of the square root of the matches, so that
+    no fold carries a long array.
     """
-    zipped = F.arrays_zip(
-        F.slice(F.split(text, rule.pattern, -1), 1, F.size(F.regexp_extract_all(text, F.lit(rule.pattern), 0))).alias("gap"),
-        F.regexp_extract_all(text, F.lit(rule.pattern), 0).alias("hit"),
-        F.regexp_extract_all(text, F.lit(rule.pattern), rule.group).alias("part"),
-    )
-    sizes = F.transform(
-        zipped,
-        lambda z: F.struct(
-            F.length(z["gap"]).alias("gap"), F.length(z["hit"]).alias("hit"), F.length(z["part"]).alias("part")
-        ),
-    )
-    row = "start int, rank int, end int, kind string, part int"
-    walked = F.aggregate(
-        sizes,
-        F.struct(F.lit(0).alias("at"), F.array().cast(f"array<struct<{row.replace(' ', ':').replace(',:', ',')}>>").alias("out")),
-        lambda acc, z: F.struct(
-            (acc["at"] + z["gap"] + z["hit"]).alias("at"),
-            F.concat(
-                acc["out"],
-                F.array(
-                    F.struct(
-                        (acc["at"] + z["gap"]).alias("start"),
-                        F.lit(rank).alias("rank"),
-                        (acc["at"] + z["gap"] + z["hit"]).alias("end"),
-                        F.lit(rule.kind).alias("kind"),
-                        z["part"].alias("part"),
-                    )
-                ),
-            ).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    good = F.filter(walked, lambda s: s["part"] >= rule.least)
-    return F.transform(good, lambda s: F.struct(s["start"], s["rank"], s["end"], s["kind"]))
+    hits = F.regexp_extract_all(text, F.lit(rule.pattern), 0)
+    parts = F.regexp_extract_all(text, F.lit(rule.pattern), rule.group) if rule.group else hits
+
+    def sizes(hits: Column) -> Column:
+        zipped = F.arrays_zip(F.split(text, rule.pattern, -1).alias("gap"), hits.alias("hit"), (parts if rule.group else hits).alias("part"))
+        lengths = lambda z: F.struct(F.length(z["gap"]).alias("gap"), F.length(z["hit"]).alias("hit"), F.length(z["part"]).alias("part"))
+        return F.transform(F.slice(zipped, 1, F.size(hits)), lengths)
+
+    def chunked(z: Column) -> Column:
+        wide = F.ceil(F.sqrt(F.size(z))).cast("int")
+        return F.transform(F.sequence(F.lit(1), F.size(z), wide), lambda i: F.slice(z, i, wide))
+
+    step = lambda z: z["gap"] + z["hit"]
+
+    def placed(chunks: Column) -> Column:
+        totals = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), lambda acc, z: acc + step(z)))
+        before = _running(F.lit(0), totals, lambda n: n, lambda at, n: at, "int")
+        row = lambda at, z: F.struct((at + z["gap"]).alias("start"), (at + step(z)).alias("end"), z["part"].alias("part"))
+        each = F.transform(
+            F.arrays_zip(chunks.alias("chunk"), before.alias("before")),
+            lambda x: _running(x["before"], x["chunk"], step, row, "struct<start:int,end:int,part:int>"),
+        )
+        return F.flatten(each)
+
+    good = F.filter(_let(_let(_let(hits, sizes), chunked), placed), lambda s: s["part"] >= rule.least)
+    return F.transform(good, lambda s: F.struct(s["start"], F.lit(rank).alias("rank"), s["end"], F.lit(rule.kind).alias("kind")))
 
 
 _ARRAY = "array<struct<start:int,rank:int,end:int,kind:string>>"
@@ -224,14 +251,15 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rules: tup
     if queries:
         wanted = set().union(*map(trigrams_of, queries.values()))
         found = cut(candidates(index(source, wanted), queries))
-        if found.count() <= BROADCAST_ROWS:
-            found = F.broadcast(found)
-        source = source.join(found, "key", "left")
+        bits = max(1, BITS * found.count())
+        buckets = min(MOST_BUCKETS, 1 << (math.ceil(bits / 32768) - 1).bit_length())
+        bitmaps = F.broadcast(marks(found, list(queries), buckets))
+        source = source.join(bitmaps, F.pmod(F.shiftright("key", 15), F.lit(buckets)) == F.col("bucket"), "left")
     each = []
     for rank, rule in enumerate(rules):
         search = F.col("text").rlike(rule.pattern)
         if rule.kind in queries:
-            search = F.coalesce(F.col(f"is_{rule.kind}"), F.lit(False)) & search
+            search = _marked(F.col(f"bits_{rule.kind}")) & search
         each.append(F.when(search, _spans(rule, rank, F.col("text"))).otherwise(F.array().cast(_ARRAY)))
     return source.select("doc_id", F.array_sort(F.concat(*each)).alias("spans"))
 
@@ -246,7 +274,7 @@ def _count(kind: str) -> Column:
 
 
 def op3_secrets(spark, sf_dir: str) -> DataFrame:
-    """Secrets in every document."""
+    """Secrets in every document; see scan() for nulls, empty texts and repeats."""
     found = scan(table(spark, sf_dir, "documents"))
     kinds = [r.kind for r in BASE_RULES]
     base = F.filter("spans", lambda s: s["kind"].isin(kinds))
