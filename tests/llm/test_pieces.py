@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 import pytest
 
@@ -43,3 +44,31 @@ def test_query_columns(spark, library):
         assert r.decoded == library.decode(ids)
         assert r.decoded_sha256 == hashlib.sha256(r.decoded.encode()).hexdigest()
     assert pieces.encode(df.limit(0)).count() == 0
+
+
+def test_very_long_words(library):
+    codec = pieces.codec(tokenizer_file("piece_bpe_32k.model"))
+    rng = random.Random(9)
+    letters = lambda kinds, n: "".join(rng.choice(kinds) for _ in range(n))
+    many = [letters("abcdefghijklmnopqrstuvwxyz", 1_000_000), "a" * 1_000_000, "th" * 200_000, letters("ab", 200_000), letters(["the", "re", "in", "t", "h", "e", "é", "🙂"], 100_000)]
+    began = time.time()
+    got = [codec.encode(t) for t in many]
+    assert time.time() - began < 60
+    assert got == library.encode(many)
+
+
+def test_short_words_of_many_ambiguous_merges(library):
+    codec = pieces.codec(tokenizer_file("piece_bpe_32k.model"))
+    rng = random.Random(10)
+    unsafe = [p for p, i in codec.ids.items() if len(p) > 1 and not codec.safe[i]]
+    many = ["".join(rng.choice(unsafe) for _ in range(rng.randrange(1, 40))) for _ in range(3000)]
+    assert [codec.encode(t) for t in many] == library.encode(many)
+
+
+def test_cuts_are_where_no_piece_reaches_across():
+    codec = pieces.codec(tokenizer_file("piece_bpe_32k.model"))
+    rng = random.Random(11)
+    word = "".join(rng.choice("abqzxk9é漢=") for _ in range(300))
+    spans = [(i, i + n) for i in range(len(word)) for n in range(2, 17) if i + n <= len(word) and word[i : i + n] in codec.ids]
+    want = [not any(a < i < b for a, b in spans) for i in range(len(word))]
+    assert codec.cuts(word).tolist() == want and sum(want) > 20

@@ -6,8 +6,9 @@ distinct word is encoded once.  All new words of a slice lie end to end in one
 flat array of symbols.  A round looks up the rank of every adjacent pair, takes
 the smallest rank in each word, merges its occurrences from the left at once,
 and compacts the array; words without a pair leave it.  Where a merged piece
-could open a pair of no larger rank than its own, a word merges only the first
-occurrence in a round, so that the order is always that of the library.
+opens a pair of no larger rank than its own with a neighbour, its word merges up
+to that occurrence in a round, so that the order is always that of the library.
+Long words are first cut where no piece spans: no merge can cross such a place.
 """
 
 from __future__ import annotations
@@ -23,12 +24,15 @@ from .common import map_texts, table, tokenizer_file
 _MARK = "▁"
 _NONE = np.iinfo(np.int64).max
 _CACHED_WORD, _CACHE_SIZE = 48, 200_000
+#: What shows whether a model normalises texts in another way than this module takes for granted.
+_PROBES = ("a b", " a", "  a  b ", "\u3000x\ta\nb\r", "ﬁ Å e\u0301 ½", "\u200b\ufeffa", "A\x00b", "▁a▁▁b", "1234", "漢字🙂")
 
 
 class PieceCodec:
     """Tables of a BPE model with byte fallback, identity normalisation and a dummy prefix."""
 
     def __init__(self, path: str):
+        import ahocorasick
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -68,6 +72,13 @@ class PieceCodec:
             np.minimum.at(first_after, side, self.rank[self.values])
         self.safe = first_after > self.rank
         self.known: dict[str, tuple[str, str]] = {}
+        self.finder = ahocorasick.Automaton()
+        for p in self.ids:
+            if len(p) > 1:
+                self.finder.add_word(p, len(p))
+        self.finder.make_automaton()
+        if any(self.encode(t) != sp.encode(t) for t in _PROBES):
+            raise ValueError(f"{path}: the model normalises texts, cuts words or falls back otherwise than this encoder")
 
     def words(self, text: str) -> list[str]:
         """Words of a text, each with the marks before it; a text that isn't empty gets one mark more in front."""
@@ -85,20 +96,39 @@ class PieceCodec:
             out.append(marks[:-1])
         return out
 
+    def cuts(self, word: str) -> np.ndarray:
+        """Marks the characters before which no piece that occurs in the word reaches across."""
+        edge = np.zeros(len(word) + 1, np.int64)
+        found = np.array([(end, n) for end, n in self.finder.iter(word)], np.int64).reshape(-1, 2)
+        np.add.at(edge, found[:, 0] - found[:, 1] + 2, 1)
+        np.add.at(edge, found[:, 0] + 1, -1)
+        return np.cumsum(edge[:-1]) == 0
+
+    def pairs(self, a: np.ndarray, b: np.ndarray, joined: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Piece and rank of each pair that is ``joined``; rank _NONE where there is no such piece."""
+        key = np.where(joined & (a >= 0) & (b >= 0), a * self.n + b, -1)
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        piece = self.values[at]
+        found = self.keys[at] == key
+        return np.where(found, piece, 0), np.where(found, self.rank[piece], _NONE)
+
     def merge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words end to end, with -1 - code point for characters that have no piece, and where each word ends."""
         lengths = np.array([len(w) for w in words])
         points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4")
         symbol = self.first[points].astype(np.int64)
-        word = np.repeat(np.arange(len(words)), lengths)
+        owner = np.repeat(np.arange(len(words)), lengths)
+        begin = np.ones(len(owner), bool)
+        begin[1:] = owner[1:] != owner[:-1]
+        ends = np.cumsum(lengths)
+        for i in np.flatnonzero(lengths > _CACHED_WORD).tolist():
+            begin[ends[i] - lengths[i] : ends[i]] |= self.cuts(words[i])
+        word = np.cumsum(begin) - 1
+        owner = owner[begin]
         done_symbol, done_word = [], []
         while len(symbol):
-            a, b = symbol[:-1], symbol[1:]
-            key = np.where((word[:-1] == word[1:]) & (a >= 0) & (b >= 0), a * self.n + b, -1)
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            found = self.keys[at] == key
-            piece = np.append(np.where(found, self.values[at], 0), 0)
-            rank = np.append(np.where(found, self.rank[self.values[at]], _NONE), _NONE)
+            piece, rank = self.pairs(symbol[:-1], symbol[1:], word[:-1] == word[1:])
+            piece, rank = np.append(piece, 0), np.append(rank, _NONE)
             new = np.ones(len(word), bool)
             new[1:] = word[1:] != word[:-1]
             starts = np.flatnonzero(new)
@@ -115,23 +145,40 @@ class PieceCodec:
             head = np.ones(len(where), bool)
             head[1:] = where[1:] != where[:-1] + 1
             run = np.maximum.accumulate(np.where(head, np.arange(len(where)), 0))
-            take = (np.arange(len(where)) - run) % 2 == 0
-            seg = segment[where]
-            leftmost = np.ones(len(where), bool)
-            leftmost[1:] = seg[1:] != seg[:-1]
-            careful = np.zeros(len(starts), bool)
-            np.logical_or.at(careful, seg, ~self.safe[piece[where]])
-            where = where[np.where(careful[seg], leftmost, take)]
+            where = where[(np.arange(len(where)) - run) % 2 == 0]
+            if not self.safe[piece[where]].all():
+                where = where[self.in_order(where, symbol, word, piece, least, segment)]
             symbol[where] = piece[where]
             keep = ~over
             keep[where + 1] = False
             symbol, word = symbol[keep], word[keep]
         flat = np.concatenate(done_symbol) if done_symbol else np.zeros(0, np.int64)
-        owner = np.concatenate(done_word) if done_word else np.zeros(0, np.int64)
-        order = np.argsort(owner, kind="stable")
-        counts = np.bincount(owner, minlength=len(words))
+        place = np.concatenate(done_word) if done_word else np.zeros(0, np.int64)
+        order = np.argsort(place, kind="stable")
+        counts = np.bincount(owner[place], minlength=len(words))
         return flat[order], np.cumsum(counts)
 
+    def in_order(self, where: np.ndarray, symbol: np.ndarray, word: np.ndarray, piece: np.ndarray, least: np.ndarray, segment: np.ndarray) -> np.ndarray:
+        """Marks the merges that come before any merge that this round opens: up to the first in each word that opens one.
+
+        When a merge is made, those to its left are made and those to its right are not.
+        """
+        made, own = piece[where], word[where]
+        before, after = np.maximum(where - 1, 0), np.minimum(where + 2, len(symbol) - 1)
+        left = symbol[before]
+        follows = np.zeros(len(where), bool)
+        follows[1:] = where[1:] == where[:-1] + 2
+        left[1:] = np.where(follows[1:], made[:-1], left[1:])
+        opened = np.minimum(
+            self.pairs(left, made, (where > 0) & (word[before] == own))[1],
+            self.pairs(made, symbol[after], (where + 2 < len(symbol)) & (word[after] == own))[1],
+        )
+        opens = opened <= least[where]
+        seg = segment[where]
+        first = np.full(int(seg.max()) + 1, len(where))
+        np.minimum.at(first, seg[opens], np.flatnonzero(opens))
+        return np.arange(len(where)) <= first[seg]
+
     def finish(self, symbols: list[int]) -> list[int]:
         """Ids, with characters that have no piece as their bytes."""
         if min(symbols) >= 0:
@@ -180,6 +227,7 @@ class PieceCodec:
         return [[known[w] for w in s] for s in split]
 
     def encode(self, text: str) -> list[int]:
+        """The ids of one text."""
         return [int(i) for ids, _ in self.encode_words([text])[0] for i in ids.split(",")]
 
     def decode(self, ids: list[int]) -> str:
@@ -235,5 +283,5 @@ def encode(
 
 
 def op4_sentencepiece(spark, sf_dir: str) -> DataFrame:
-    """Every document encoded and decoded."""
+    """Every document encoded and decoded; see encode() for nulls, empty texts and repeats."""
     return encode(table(spark, sf_dir, "documents"))
