@@ -31,9 +31,9 @@ def secrets_sql() -> str:
 
 LINES = """WITH docs AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
   l AS (SELECT doc_id, i, ls[i] AS line FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM docs)),
-  big AS (SELECT *, row_number() OVER (ORDER BY doc_id, i) AS p FROM l WHERE length(line) >= 20),
+  big AS (SELECT *, row_number() OVER (ORDER BY doc_id, i) AS p FROM l WHERE trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) <> ''),
   d AS (SELECT line, min(p) AS p, CAST(length(line) AS BIGINT) AS n FROM big GROUP BY line),
-  k AS (SELECT line, p, n, unnest([n, n - 1]) AS short FROM d),
+  k AS (SELECT line, p, n, unnest([n, n - 1]) AS short FROM d WHERE n >= 20),
   h AS (SELECT line, p, n, short, 0 AS side, left(line, CAST(short // 2 AS BIGINT)) AS half FROM k UNION ALL SELECT line, p, n, short, 1, right(line, CAST(short // 2 AS BIGINT)) FROM k),
   c AS (SELECT DISTINCT a.line AS x, a.n AS xn, b.line AS y, b.n AS yn, b.p AS p FROM h a JOIN h b ON a.short = b.short AND a.side = b.side AND a.half = b.half AND a.p < b.p),
   near AS (SELECT DISTINCT p FROM c WHERE CASE WHEN xn = yn THEN len(list_filter(range(1, xn + 1), lambda i: substr(x, i, 1) <> substr(y, i, 1))) <= 1
