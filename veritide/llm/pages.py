@@ -45,7 +45,7 @@ _LEXICON = {
     "ad": "ad ads advert advertisement adverts sponsor sponsored promo promotion banner-ad adsense commercial",
     "form": "form newsletter subscribe signup search login contactform",
     "talk": "comment comments disqus respond discussion replies reply reviews thread commentlist",
-    "share": "share social related recommended trending tags byline meta author-box popular more",
+    "share": "share social related recommended trending popular more",
     "main": "content article post story entry main body text article-body post-content entry-content prose",
 }
 _WORD_OF = {w: k for k, ws in _LEXICON.items() for w in ws.split()}
@@ -295,11 +295,12 @@ class Model:
         return out
 
 
-def labelled_pages(n: int, seed: int = 5) -> list[tuple[list[Node], np.ndarray]]:
+def labelled_pages(n: int, seed: int = 5, unknown: float = 0.0) -> list[tuple[list[Node], np.ndarray]]:
     """Parsed pages and which nodes are content, in layouts of many kinds.
 
     The generator marks content elements with an attribute that the parser's
-    features don't see.
+    features don't see.  A share ``unknown`` of the names is invented, so that
+    tags, links and lengths must tell what the lexicon can't.
     """
     rng = random.Random(seed)
 
@@ -320,6 +321,8 @@ def labelled_pages(n: int, seed: int = 5) -> list[tuple[list[Node], np.ndarray]]
         return "".join(element("p", "", rng.choice(["", "<b>"]) + sentence(rng.choice([1, 2, 5]), rng.choice([5, 60, 150] if content else [5, 40, 60])), content) for _ in range(k))
 
     def named(kind: str) -> str:
+        if unknown and rng.random() < unknown:
+            return words(1, 1) + rng.choice(["", "-x1", "__wrap", " c12"])
         return rng.choice(_LEXICON[kind].split())
 
     def boilerplate() -> str:
@@ -402,9 +405,9 @@ def _marks(page: str) -> np.ndarray:
 
 
 @lru_cache(maxsize=2)
-def trained(pages: int = 600, rounds: int = 150, seed: int = 5) -> Model:
+def trained(pages: int = 600, rounds: int = 150, seed: int = 5, unknown: float = 0.2) -> Model:
     """Weights by gradient ascent on the penalised conditional likelihood of generated pages."""
-    data = labelled_pages(pages, seed)
+    data = labelled_pages(pages, seed, unknown)
     index: dict[str, int] = {}
     trees = Trees([d[0] for d in data], index, grow=True)
     truth = np.concatenate([d[1] for d in data])
@@ -446,5 +449,5 @@ def extract(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), html_c
 
 
 def op10_main_text(spark, sf_dir: str) -> DataFrame:
-    """Main text of every page."""
+    """Main text of every page; see extract() for nulls, empty pages and repeats."""
     return extract(table(spark, sf_dir, "pages"))
