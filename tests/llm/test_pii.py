@@ -1,6 +1,10 @@
 import hashlib
+import itertools
 import random
 import re
+import time
+
+import numpy as np
 
 from veritide.llm import pii
 
@@ -66,3 +70,72 @@ def test_query_and_redaction(spark, tmp_path):
         spans = plain(texts[2 if r.doc_id is None else r.doc_id])
         assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, b, k in spans).encode()).hexdigest()
         assert r.n_phone == sum(k == "phone" for _, _, k in spans) and r.n_ip == sum(k == "ip" for _, _, k in spans)
+
+
+def test_lines_decode_as_the_whole_text_does():
+    field = pii.trained()
+    rng = random.Random(12)
+    parts = ["a", "1", "22", "4242 4242 4242 4242", "call 918-555-2191", "jo12 [at] example [dot] com", "(at)", "@", ".", "-", " ", "\n", "\n", "\r", "\u00a0", "x1y2z3w4v5u6t7", "+49 171 5552191", "é", "phone", ",", "1 a 2 b 3 c 4 d 5 e 6 f 7"]
+    texts = ["".join(t for t, _ in pii.labelled_sentences(12, seed)) for seed in range(20)]
+    texts += ["".join(rng.choice(parts) + rng.choice(["", " "]) for _ in range(rng.randrange(0, 60))) for _ in range(1500)]
+    for t in texts:
+        assert pii.field_spans(t, field) == field.decode(t), t
+
+
+def all_runs(text):
+    """Candidates by looking at every run of tokens."""
+    toks = [m.span() for m in pii._TOKEN.finditer(text)]
+    out = []
+    for i in range(len(toks)):
+        for j in range(i + 1, min(i + pii.MAX_SEGMENT, len(toks)) + 1):
+            if text[toks[j - 1][0]] == "\n":
+                break
+            if (f := pii.segment_features(text, toks, i, j)) is not None:
+                out.append((i, j, f))
+    return toks, out
+
+
+def test_sums_and_best_segmentation_against_enumeration():
+    """All sets of segments that don't overlap, with all kinds, of short texts."""
+    rng = random.Random(13)
+    field = pii.trained()
+    checked = 0
+    for text, _ in pii.labelled_sentences(200, 31):
+        toks, segments = all_runs(text)
+        assert pii.lattice(text) == (toks, segments)
+        if not 1 <= len(segments) <= 7:
+            continue
+        checked += 1
+        scores = field.scores(segments) + np.array([[rng.gauss(0, 1) for _ in pii.KINDS] for _ in segments])
+        total, weight, best = 0.0, np.zeros_like(scores), 0.0
+        for chosen in itertools.product(range(-1, len(pii.KINDS)), repeat=len(segments)):
+            taken = sorted((segments[s][0], segments[s][1]) for s, k in enumerate(chosen) if k >= 0)
+            if any(a[1] > b[0] for a, b in zip(taken, taken[1:], strict=False)):
+                continue
+            value = sum(scores[s][k] for s, k in enumerate(chosen) if k >= 0)
+            total += np.exp(value)
+            best = max(best, sum(field.scores(segments)[s][k] for s, k in enumerate(chosen) if k >= 0)) if checked <= 5 else best
+            for s, k in enumerate(chosen):
+                if k >= 0:
+                    weight[s, k] += np.exp(value)
+        partition, marginal = pii.expectations(len(toks), segments, scores)
+        assert abs(partition - np.log(total)) < 1e-6 * max(1, abs(partition))
+        assert np.allclose(marginal, weight / total, atol=1e-6)
+        if checked <= 5:
+            where = {(toks[i][0], toks[j - 1][1]): s for s, (i, j, _) in enumerate(segments)}
+            plain_scores = field.scores(segments)
+            assert abs(sum(plain_scores[where[a, b]][pii.KINDS.index(k)] for a, b, k in field.decode(text)) - best) < 1e-9
+        if checked == 25:
+            break
+    assert checked >= 10
+
+
+def test_dense_and_very_long_texts():
+    field = pii.trained()
+    dense = "mail a.b@x.org or +1 (918) 555-2191\n" * 20_000
+    long = "7" * 1_000_000 + " call 918-555-2191 " + "ab" * 500_000 + "@x.org"
+    began = time.time()
+    base, spans = pii.find(dense, field)
+    assert len(base) == 40_000 and set(base) <= set(spans)
+    assert any(k == "phone" for _, _, k in pii.find(long, field)[1])
+    assert time.time() - began < 60

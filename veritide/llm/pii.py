@@ -1,7 +1,8 @@
 """Personal data, found by fixed patterns and by a semi-Markov conditional random field.
 
-Text is cut into tokens only near characters that personal data need (digits,
-``@``, or the words for it).  The field scores whole candidate segments: shape of
+Only lines that hold what personal data need (seven digits, ``@``, or a spelled-out
+one) are cut into tokens; as no segment crosses a line, the best segmentation is
+that of the whole text.  The field scores whole candidate segments: shape of
 the whole span, its digits, its separators, checksums and the words around it.
 Dynamic programming over segments of bounded length chooses boundaries and types
 together.  Weights are fitted by conditional likelihood to labelled sentences
@@ -11,6 +12,7 @@ adds those that the patterns miss.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import random
@@ -99,12 +101,15 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 _DIGIT = re.compile(r"[0-9]")
 _TOKEN = re.compile(r"[0-9]+|[A-Za-z]+|[^\s]|[ \t]+|\n")
-#: What a region of interest must hold: two digits close together, an @, or a spelled-out one.
-_SEED = re.compile(r"[0-9][^A-Za-z\n]{0,3}[0-9]|@|[\[(](?i:at)[\])]")
-_REACH = 64
-_SPACE = re.compile(r"\s")
+#: What a line must hold for any segment in it to be a candidate.
+_NEEDED = re.compile(r"@|[\[(](?i:at)[\])]|(?:[0-9][^0-9\n]*){7}")
+_AT = re.compile(r"@|[\[(](?i:at)[\])]")
+#: Digits that a candidate without an at sign holds at least.
+_DIGITS = 7
 #: Tokens of the longest segment.
 MAX_SEGMENT = 16
+#: Characters of the longest segment.
+MAX_CHARS = 320
 _CUES = {
     "phone": frozenset("phone tel telephone call mobile cell fax whatsapp telefon telefono".split()),
     "card": frozenset("card visa mastercard amex credit debit karte tarjeta carte".split()),
@@ -113,22 +118,16 @@ _CUES = {
 }
 
 
-def regions(text: str) -> list[tuple[int, int]]:
-    """Stretches around seeds, out to white space or the stretch before, merged where they meet."""
-    out: list[list[int]] = []
-    for m in _SEED.finditer(text):
-        a, b = max(0, m.start() - _REACH), min(len(text), m.end() + _REACH)
-        done = out[-1][1] if out else 0
-        if b <= done:
-            continue
-        while a > done and not text[a - 1].isspace():
-            a -= 1
-        b = end.start() if (end := _SPACE.search(text, b)) else len(text)
-        if out and a <= done:
-            out[-1][1] = b
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
+def lines_of_interest(text: str) -> list[tuple[int, int]]:
+    """Lines in which a segment can be a candidate, without their line feeds."""
+    out, at = [], 0
+    while m := _NEEDED.search(text, at):
+        a = text.rfind("\n", at, m.start()) + 1 or at
+        b = text.find("\n", m.end())
+        b = len(text) if b < 0 else b
+        out.append((a, b))
+        at = b + 1
+    return out
 
 
 def segment_features(text: str, toks: list[tuple[int, int]], i: int, j: int) -> list[str] | None:
@@ -137,6 +136,8 @@ def segment_features(text: str, toks: list[tuple[int, int]], i: int, j: int) ->
     if not (first.isascii() and (first.isalnum() or first in "+(")) or not (last.isascii() and last.isalnum()):
         return None
     a, b = toks[i][0], toks[j - 1][1]
+    if b - a > MAX_CHARS:
+        return None
     before = text[a - 1] if a else " "
     after = text[b] if b < len(text) else " "
     if before.isalnum() or after.isalnum():
@@ -146,8 +147,8 @@ def segment_features(text: str, toks: list[tuple[int, int]], i: int, j: int) ->
         return None
     digits = [c for c in span if c.isdigit() and c.isascii()]
     n = len(digits)
-    at = "@" in span or re.search(r"[\[(]at[\])]", span, re.I) is not None
-    if n < 7 and not at:
+    at = _AT.search(span) is not None
+    if n < _DIGITS and not at:
         return None
     letters = sum(c.isalpha() for c in span)
     shape = re.sub(r"[A-Za-z]+", "a", re.sub(r"[0-9]+", "9", span))
@@ -183,14 +184,31 @@ def segment_features(text: str, toks: list[tuple[int, int]], i: int, j: int) ->
     return out
 
 
-def lattice(text: str) -> tuple[list[tuple[int, int]], list[tuple[int, int, list[str]]]]:
-    """Tokens of a text and the candidate segments (first token, end token, features)."""
-    toks = [m.span() for m in _TOKEN.finditer(text)]
+def lattice(text: str, start: int = 0, end: int | None = None) -> tuple[list[tuple[int, int]], list[tuple[int, int, list[str]]]]:
+    """Tokens of a text from start to end, and the candidate segments (first token, end token, features).
+
+    Only token runs that hold enough digits or an at sign are looked at; no other
+    run can be a candidate.
+    """
+    end = len(text) if end is None else end
+    toks = [m.span() for m in _TOKEN.finditer(text, start, end)]
+    n = len(toks)
+    if not n:
+        return [], []
+    begins = np.array([a for a, _ in toks])
+    firsts = [text[a] for a, _ in toks]
+    digits = np.concatenate(([0], np.cumsum([b - a if "0" <= c <= "9" else 0 for (a, b), c in zip(toks, firsts, strict=True)])))
+    enough = np.searchsorted(digits, digits[:-1] + _DIGITS)
+    ats = [m.span() for m in _AT.finditer(text, start, end)]
+    at_from = np.searchsorted(begins, [a for a, _ in ats], "right") - 1
+    at_to = np.searchsorted(begins, [b - 1 for _, b in ats], "right")
+    at_end = np.append(at_to, n + 1)[np.searchsorted(at_from, np.arange(n))]
+    breaks = np.append([i for i, c in enumerate(firsts) if c == "\n"], n).astype(np.int64)
+    last = np.minimum(np.arange(n) + MAX_SEGMENT, breaks[np.searchsorted(breaks, np.arange(n))])
+    first = np.minimum(enough, at_end)
     segments = []
-    for i in range(len(toks)):
-        for j in range(i + 1, min(i + MAX_SEGMENT, len(toks)) + 1):
-            if text[toks[j - 1][0]] == "\n":
-                break
+    for i in np.flatnonzero(first <= last).tolist():
+        for j in range(int(first[i]), int(last[i]) + 1):
             if (f := segment_features(text, toks, i, j)) is not None:
                 segments.append((i, j, f))
     return toks, segments
@@ -206,9 +224,9 @@ class Field:
         zero = np.zeros(len(KINDS))
         return np.array([sum((self.weights.get(f, zero) for f in fs), zero) for _, _, fs in segments]).reshape(-1, len(KINDS))
 
-    def decode(self, text: str) -> list[tuple[int, int, str]]:
-        """Best segmentation of a text."""
-        toks, segments = lattice(text)
+    def decode(self, text: str, start: int = 0, end: int | None = None) -> list[tuple[int, int, str]]:
+        """Best segmentation of a text from start to end; what stands around that part counts as context."""
+        toks, segments = lattice(text, start, end)
         if not segments:
             return []
         scores = self.scores(segments)
@@ -365,22 +383,25 @@ def trained(sentences: int = 250, rounds: int = 40, seed: int = 11) -> Field:
 
 
 def field_spans(text: str, field: Field) -> list[tuple[int, int, str]]:
-    """Spans that the field finds in the regions of a text."""
-    out = []
-    for a, b in regions(text):
-        out += [(a + s, a + e, k) for s, e, k in field.decode(text[a:b])]
-    return out
+    """Spans of the best segmentation of a whole text, found line by line."""
+    return [s for a, b in lines_of_interest(text) for s in field.decode(text, a, b)]
 
 
 def find(text: str, field: Field) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
     """Base spans, and all spans: the field's are added where they touch no base span."""
     base = base_spans(text)
+    taken: list[list[int]] = []
+    for a, b, _ in base:
+        if taken and a <= taken[-1][1]:
+            taken[-1][1] = max(taken[-1][1], b)
+        else:
+            taken.append([a, b])
+    starts = [a for a, _ in taken]
     added = []
-    if "@" in text or _DIGIT.search(text) or "(" in text or "[" in text:
-        taken = sorted((a, b) for a, b, _ in base)
-        for a, b, k in field_spans(text, field):
-            if not any(a < y and x < b for x, y in taken):
-                added.append((a, b, k))
+    for a, b, k in field_spans(text, field):
+        i = bisect.bisect_left(starts, b) - 1
+        if i < 0 or taken[i][1] <= a:
+            added.append((a, b, k))
     everything = sorted([*base, *added], key=lambda s: (s[0], KINDS.index(s[2])))
     return base, everything
 
@@ -430,7 +451,7 @@ def redact(docs: DataFrame, keep: list[str], text: str = "text", field: Field |
 
 
 def op9_pii(spark, sf_dir: str) -> DataFrame:
-    """Personal data in every document."""
+    """Personal data in every document; see detect() for nulls, empty texts and repeats."""
     found = detect(table(spark, sf_dir, "documents"))
     listed = F.col("base_spans")
     return found.select(
