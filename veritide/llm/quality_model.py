@@ -33,7 +33,7 @@ def shape(word: str) -> str:
             return "Aa"
     for pattern, mark in _RUNS:
         word = pattern.sub(mark, word)
-    return _REPEATED.sub(r"\1\1", word)[:12]
+    return _REPEATED.sub(r"\1\1", word)
 
 
 class Features:
@@ -143,8 +143,10 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     """Fit on at most ``rows_per_class`` labelled rows of each class, those outside the held-out fold with the smallest hashes.
 
     That bound is all that reaches the driver; the sample's texts stay in the
-    tasks, which send their n-grams.  Null labels and documents with
-    contradicting labels are left out, null texts count as empty.
+    tasks, which send their n-grams.  Of rows that repeat a doc_id, the text with
+    the smallest hash counts.  Null labels and documents with contradicting labels
+    are left out, null texts count as empty; with labels of one class or none, or
+    an empty table, every score is a half.
     """
     clean = (
         labels.where(F.col(doc_id).isNotNull() & F.col(label).isin(0, 1) & ~held_out(doc_id))
@@ -160,7 +162,9 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     sample = (
         docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
         .join(F.broadcast(picked.drop("h")), "doc_id")
-        .select("y", "text")
+        .groupBy("doc_id", "y")
+        .agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("one"))
+        .select("y", "one.text")
     )
 
     def make():
@@ -173,13 +177,15 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
     found = map_texts(sample, ["y"], "text", make, "grams string").collect()
     found.sort(key=lambda r: (r["y"], r["grams"]))
-    # Documents may repeat a doc_id; the bound holds for what is fitted.
     sets = [{tuple(g) if isinstance(g, list) else g for g in json.loads(r["grams"])} for r in found]
     return fit(sets, [r["y"] for r in found])
 
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text: str = "text", threshold: float = 0.3) -> DataFrame:
-    """The columns ``keep``, score and predicted of every row; only the text counts, null as empty."""
+    """The columns ``keep``, score and predicted of every row; only the text counts, null as empty.
+
+    Repeated rows give repeated results, whatever their ids; an empty table gives an empty result.
+    """
 
     def make():
         extract = Features()
@@ -194,7 +200,7 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), te
 
 
 def op1_quality_nbsvm(spark, sf_dir: str) -> DataFrame:
-    """Score every document with a model trained outside the held-out fold."""
+    """Score every document with a model trained outside the held-out fold; see train() and score() for nulls, empty texts and repeats."""
     docs = table(spark, sf_dir, "documents")
     model = train(docs, table(spark, sf_dir, "labels"))
     return score(docs, model).select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
