@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 import xxhash
 
 from veritide.llm import simhash
@@ -50,7 +51,10 @@ def test_fingerprints_and_groups(spark):
     assert all(got[i].kept == (got[i].component_id == i) for i, _, _ in rows)
 
 
-def test_links_of_random_fingerprints(spark):
+@pytest.mark.parametrize(("hot", "sent"), [(8192, 500_000), (3, 500_000), (3, 0)])
+def test_links_of_random_fingerprints(spark, monkeypatch, hot, sent):
+    monkeypatch.setattr(simhash, "HOT", hot)
+    monkeypatch.setattr(simhash, "_SENT", sent)
     rng = np.random.default_rng(3)
     base = rng.integers(0, 2**63, 60, dtype=np.uint64)
     values = set(base.tolist())
@@ -77,10 +81,38 @@ def test_links_of_random_fingerprints(spark):
     assert len({(w, root(i)) for i, w in enumerate(want)}) == len(set(want)) == len({root(i) for i in range(len(values))})
 
 
+def test_one_anchor_of_many_fingerprints(spark, monkeypatch):
+    """All stand at one anchor of a half; groups span batches."""
+    monkeypatch.setattr(simhash, "HOT", 1500)
+    rng = np.random.default_rng(8)
+    values = np.unique((rng.integers(0, 2**31, 6000, dtype=np.uint64) << np.uint64(32)) | np.uint64(12345))
+    near = values[:300] ^ (np.uint64(1) << rng.integers(32, 63, 300).astype(np.uint64))
+    values = np.unique(np.concatenate([values, near]))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    try:
+        rows = simhash.link_fingerprints(spark.createDataFrame([(int(v),) for v in values.view(np.int64)], "fp long").repartition(3)).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    parent = {int(v): int(v) for v in values}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a, b in rows:
+        assert (a ^ b).bit_count() <= 3
+        parent[root(a)] = root(b)
+    for i, v in enumerate(values):
+        close = values[:i][np.bitwise_count(values[:i] ^ v) <= 3]
+        assert all(root(int(c)) == root(int(v)) for c in close)
+
+
 def test_every_anchor_is_reached():
     fp = np.random.default_rng(5).integers(-(2**62), 2**62, 200)
     row, key, home = simhash.anchors(fp)
     assert home.sum() == 2 * len(fp)
+    assert sorted(key[home].tolist()) == sorted(simhash.home_anchors(fp).tolist())
     assert not simhash._syndrome(key & 0x7FFFFFFF).any()
 
 

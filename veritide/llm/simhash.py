@@ -24,6 +24,10 @@ from .components import components
 
 #: Rows of one block of comparisons.
 _BLOCK = 1024
+#: Fingerprints that stand at an anchor in one task; an anchor of more is split.
+HOT = 8192
+#: Split anchors (16 bytes each) that are sent to every task at most; more are joined by a shuffle.
+_SENT = 500_000
 
 
 def fingerprint_of(text: str, words: int = 3, seed: int = 42) -> int:
@@ -104,12 +108,17 @@ def anchors(fp: np.ndarray, threshold: int = 3) -> tuple[np.ndarray, np.ndarray,
     return np.concatenate(rows), np.concatenate(keys), np.concatenate(homes)
 
 
-def spanning_links(fps: np.ndarray, home: np.ndarray, threshold: int) -> list[tuple[int, int]]:
-    """Links that join the same groups as all pairs (home, any) within ``threshold`` bits do; fewer than len(fps)."""
+def home_anchors(fp: np.ndarray) -> np.ndarray:
+    """The anchors at which fingerprints stand, one for each half, end to end."""
+    return np.concatenate([_nearest((fp >> (32 * half)) & 0x7FFFFFFF) | np.int64(half) << 31 for half in (0, 1)])
+
+
+def spanning_links(fps: np.ndarray, owner: np.ndarray, other: np.ndarray, threshold: int) -> list[tuple[int, int]]:
+    """Links that join the same groups as all pairs (owner, other) within ``threshold`` bits do; fewer than len(fps)."""
     parent = np.arange(len(fps))
     value = fps.view(np.uint64)
     out: list[tuple[int, int]] = []
-    owners = np.flatnonzero(home)
+    owners, others = np.flatnonzero(owner), np.flatnonzero(other)
 
     def root(i: int) -> int:
         while parent[i] != i:
@@ -117,32 +126,56 @@ def spanning_links(fps: np.ndarray, home: np.ndarray, threshold: int) -> list[tu
             i = parent[i]
         return i
 
+    def apart(mine: np.ndarray, theirs: np.ndarray) -> np.ndarray:
+        return np.array([root(i) for i in mine])[:, None] != np.array([root(j) for j in theirs])[None, :]
+
     for a in range(0, len(owners), _BLOCK):
         mine = owners[a : a + _BLOCK]
-        for b in range(0, len(fps), _BLOCK):
-            near = np.bitwise_count(value[mine][:, None] ^ value[b : b + _BLOCK][None, :]) <= threshold
-            group = np.array([root(i) for i in mine]), np.array([root(j) for j in range(b, min(b + _BLOCK, len(fps)))])
-            near &= group[0][:, None] != group[1][None, :]
+        for b in range(0, len(others), _BLOCK):
+            theirs = others[b : b + _BLOCK]
+            near = np.bitwise_count(value[mine][:, None] ^ value[theirs][None, :]) <= threshold
+            if near.any():
+                near &= apart(mine, theirs)
             while near.any():
                 # One link for each later member still apart, then look again at what is left.
                 i = near.argmax(axis=0)
                 j = np.flatnonzero(near.any(axis=0))
-                for x, y in zip(mine[i[j]].tolist(), (j + b).tolist(), strict=True):
+                for x, y in zip(mine[i[j]].tolist(), theirs[j].tolist(), strict=True):
                     p, q = root(x), root(y)
                     if p != q:
                         parent[max(p, q)] = min(p, q)
                         out.append((int(fps[x]), int(fps[y])))
-                group = np.array([root(i) for i in mine]), np.array([root(j) for j in range(b, min(b + _BLOCK, len(fps)))])
-                near &= group[0][:, None] != group[1][None, :]
+                near &= apart(mine, theirs)
     return out
 
 
+def _split(copies: DataFrame, hot: DataFrame) -> DataFrame:
+    """Copies with the cells in which they are compared: cell 0, or for a hot anchor of n parts the pairs (p, q) of parts.
+
+    Cell (p, q) holds those that stand at the anchor of part p and all copies of part q.
+    """
+    count = hot.count()
+    if not count:
+        return copies.select("anchor", F.lit(0).alias("cell"), "fp", F.col("home").alias("owner"), F.lit(True).alias("other"))
+    hot = hot.withColumnRenamed("anchor", "hot_anchor")
+    joined = copies.join(F.broadcast(hot) if count <= _SENT else hot, F.col("anchor") == F.col("hot_anchor"), "left")
+    parts = F.coalesce("parts", F.lit(1))
+    mine = F.pmod(F.xxhash64("fp"), parts).cast("int")
+    each = F.sequence(F.lit(0), parts - 1)
+    as_other = F.transform(each, lambda p: F.struct((p * parts + mine).alias("cell"), (F.col("home") & (p == mine)).alias("owner"), F.lit(True).alias("other")))
+    away = F.filter(each, lambda q: q != mine)
+    as_owner = F.transform(F.when(F.col("home"), away).otherwise(F.slice(each, 1, 0)), lambda q: F.struct((mine * parts + q).alias("cell"), F.lit(True).alias("owner"), F.lit(False).alias("other")))
+    return joined.select("anchor", "fp", F.inline(F.concat(as_other, as_owner))).select("anchor", "cell", "fp", "owner", "other")
+
+
 def link_fingerprints(distinct: DataFrame, threshold: int = 3) -> DataFrame:
     """(a, b): fingerprint links that join all fingerprints within ``threshold`` bits; at most one row per copy.
 
-    ``distinct`` has one long column of different fingerprints.  An anchor's
-    group holds different fingerprints only, eight bytes each, and is compared
-    in blocks; its links form a forest, so none grows with the square of a group.
+    ``distinct`` has one long column of different fingerprints.  A group is one
+    anchor's copies, eight bytes each; an anchor at which more than HOT
+    fingerprints stand is split, and every pair of its parts is a group of its
+    own.  A group is compared in blocks and its links form a forest, so none
+    grows with the square of a group.
     """
     column = distinct.columns[0]
 
@@ -156,43 +189,54 @@ def link_fingerprints(distinct: DataFrame, threshold: int = 3) -> DataFrame:
                     [pa.array(key), pa.array(part[row]), pa.array(home)], names=["anchor", "fp", "home"]
                 )
 
+    def stand(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(home_anchors(batch.column(0).to_numpy(zero_copy_only=False)))], names=["anchor"])
+
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sorted by anchor: groups may span batches."""
+        """Sorted by anchor and cell: groups may span batches."""
 
-        def emit(key, fp, home):
-            n = len(key)
-            starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if n else np.zeros(0, np.int64)
+        def emit(anchor, cell, fp, owner, other):
+            n = len(anchor)
+            starts = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (cell[1:] != cell[:-1])])
             ends = np.r_[starts[1:], n]
             links = []
-            counts = np.add.reduceat(home.astype(np.int64), starts) if n else starts
+            counts = np.add.reduceat(owner.astype(np.int64), starts)
             size = ends - starts
             two = (size == 2) & (counts > 0)
             i = starts[two]
+            i = i[(owner[i] & other[i + 1]) | (other[i] & owner[i + 1])]
             close = np.bitwise_count(fp[i].view(np.uint64) ^ fp[i + 1].view(np.uint64)) <= threshold
             links.extend(zip(fp[i][close].tolist(), fp[i + 1][close].tolist(), strict=True))
-            for s, e in zip(starts[(size > 2) & (counts > 0)].tolist(), ends[(size > 2) & (counts > 0)].tolist(), strict=True):
-                links.extend(spanning_links(fp[s:e], home[s:e], threshold))
+            more = (size > 2) & (counts > 0)
+            for s, e in zip(starts[more].tolist(), ends[more].tolist(), strict=True):
+                links.extend(spanning_links(fp[s:e], owner[s:e], other[s:e], threshold))
             return pa.RecordBatch.from_arrays(
                 [pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], names=["a", "b"]
             )
 
-        rest = None
+        rest: list[list[np.ndarray]] = []
         for batch in batches:
-            now = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)]
-            if rest is not None:
-                now = [np.concatenate(x) for x in zip(rest, now, strict=True)]
+            now = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(5)]
             if not len(now[0]):
                 continue
-            edge = int(np.searchsorted(now[0], now[0][-1]))
+            last = np.flatnonzero((now[0] != now[0][-1]) | (now[1] != now[1][-1]))
+            edge = int(last[-1]) + 1 if len(last) else 0
             if edge:
-                yield emit(*[x[:edge] for x in now])
-            rest = [x[edge:] for x in now]
-        if rest is not None:
-            yield emit(*rest)
-
-    copies = distinct.where(F.col(column).isNotNull()).mapInArrow(spread, "anchor long, fp long, home boolean")
+                yield emit(*[np.concatenate(x) for x in zip(*rest, [x[:edge] for x in now], strict=True)])
+                rest = []
+            elif rest and (rest[-1][0][-1], rest[-1][1][-1]) != (now[0][0], now[1][0]):
+                yield emit(*[np.concatenate(x) for x in zip(*rest, strict=True)])
+                rest = []
+            rest.append([x[edge:] for x in now])
+        if rest:
+            yield emit(*[np.concatenate(x) for x in zip(*rest, strict=True)])
+
+    known = distinct.where(F.col(column).isNotNull())
+    hot = known.mapInArrow(stand, "anchor long").groupBy("anchor").agg(F.ceil(F.count(F.lit(1)) / HOT).cast("int").alias("parts")).where("parts > 1")
+    cells = _split(known.mapInArrow(spread, "anchor long, fp long, home boolean"), cut(hot))
     n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return copies.repartition(n, "anchor").sortWithinPartitions("anchor").mapInArrow(compare, "a long, b long")
+    return cells.repartition(n, "anchor", "cell").sortWithinPartitions("anchor", "cell").mapInArrow(compare, "a long, b long")
 
 
 def near_duplicates(
@@ -236,5 +280,5 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresh
 
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:
-    """Fingerprint and near-duplicate group of every document."""
+    """Fingerprint and near-duplicate group of every document; see near_duplicates() for nulls, empty texts and repeats."""
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id", "kept")
