@@ -121,6 +121,27 @@ def test_code_list_versions():
     from datetime import date
 
     assert "HRK" in V.code_list("iso4217", date(2022, 1, 1)) and "HRK" not in V.code_list("iso4217")
+    assert "ZWL" in V.code_list("iso4217", date(2024, 6, 1)) and "ZWL" not in V.code_list("iso4217", date(2025, 4, 1))
+    assert {"GB", "ZW", "NA"} <= set(V.code_list("iso3166")) and len(V.code_list("iso3166")) >= 249 and "XX" not in V.code_list("iso3166")
+    with pytest.raises(ValueError):
+        V.code_list("iso4217", date(2020, 1, 1))
+
+
+def test_account_numbers_of_countries_and_signs(spark):
+    good = F.array(*[V.iban(F.lit(x)) for x in ("MR1300020001010000123456753", "XK051212012345678906", "BR1800360305000010009795493C1")])
+    # The last two have right check digits, but one is of no issuing country and one is too short.
+    bad = F.array(*[V.iban(F.lit(x)) for x in ("US64SVBKUS6S3300958879", "DE8937040044053201300")])
+    got = one(spark, good=good, bad=bad, cusip=V.cusip(F.lit("837649128")), signs=V.cusip(F.lit("12*4@6#81")), wrong=V.cusip(F.lit("12*4@6#82")))
+    assert got["good"] == [True] * 3 and got["bad"] == [False] * 2 and got["cusip"]
+    digits = [1, 2, 36, 4, 37, 6, 38, 8]
+    total = sum(sum(divmod(v * (1 + i % 2), 10)) for i, v in enumerate(digits))
+    assert got["signs"] == ((10 - total % 10) % 10 == 1) and got["wrong"] == ((10 - total % 10) % 10 == 2)
+
+
+def test_words_of_names_in_camel_case():
+    from veritide.operators import relations
+
+    assert relations.name_strength("customerId", "CustomerKey") == 0.35 and relations.name_strength("orderId", "CustomerKey") == 0.0
 
 
 def test_import_of_rules(spark):
@@ -138,3 +159,29 @@ def test_gaps_and_gate(spark):
     planned = declare.controls(d)
     assert declare.gaps(d, df.schema, planned)[0] == ("k", "validity", 5)
     assert declare.schema_gate(df.schema, spark.createDataFrame([], "k long, z int").schema) == ["k is int, not bigint", "z is missing"]
+
+
+def test_adaptive_level_in_chunks_is_the_fold(spark):
+    from veritide.operators import monitor
+
+    import random
+
+    rng = random.Random(3)
+    rows = [(s, t, int(rng.random() < r)) for s, r in (("a", 0.05), ("b", 0.9), ("c", 0.0)) for t in range(700)]
+    want = {}
+    for s, _, a in rows:
+        want[s] = min(1.0, max(0.0, want.get(s, 0.05) + 0.01 * (0.05 - a)))
+    df = spark.createDataFrame(rows, "series string, t int, alert int")
+    for chunk in (7, 4096):
+        got = {r.series: r.level for r in monitor.adaptive_level(df, chunk=chunk).collect()}
+        assert all(abs(got[s] - want[s]) < 1e-9 for s in want)
+
+
+def test_keys_and_dependencies_of_many_columns(spark):
+    from veritide.operators import mining
+
+    df = spark.range(3000).selectExpr("id as a", "id % 50 as b", "(id % 50) div 5 as c", "id div 50 as d")
+    assert {r.key for r in mining.keys(df, most=2).collect()} == {"a", "b,d"}
+    got = {(r.determinant, r.dependent): r.support for r in mining.dependencies(df, most=1).collect()}
+    want = {(r.determinant, r.dependent): r.support for d, e in (("b", "c"), ("c", "b"), ("d", "c")) for r in mining.dependency_support(df, [d], e).collect()}
+    assert got[("b", "c")] == want[("b", "c")] == 1.0 and ("c", "b") not in got and ("d", "c") not in got

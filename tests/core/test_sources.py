@@ -103,7 +103,7 @@ def test_large_blocks_are_compared_whole(spark):
 
 def test_roots_and_trust_travel_any_number_of_hops(spark):
     names = [f"n{i:02}" for i in range(16)]
-    edges = spark.createDataFrame([(a, b, "copy") for a, b in zip(names, names[1:])], "source string, target string, kind string")
+    edges = spark.createDataFrame([(a, b, "identity") for a, b in zip(names, names[1:])], "source string, target string, kind string")
     alerts = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "node string, i int").select("node", F.timestamp_seconds("i").alias("ts"))
     assert {r.root for r in incidents.incidents(alerts, edges).collect()} == {"n00"}
     with pytest.raises(RuntimeError):
@@ -112,3 +112,30 @@ def test_roots_and_trust_travel_any_number_of_hops(spark):
     assert {r.trust for r in lineage.trust(nodes, edges).collect()} == {0.25}
     with pytest.raises(RuntimeError):
         lineage.trust(nodes, edges, max_rounds=5)
+
+
+def test_edges_of_unknown_kinds_raise(spark):
+    e = spark.createDataFrame([("a", "b", "copied")], "source string, target string, kind string")
+    with pytest.raises(Exception, match="unknown kind of edge"):
+        lineage.blast_radius(e, "a").collect()
+
+
+def test_evidence_of_equal_records_and_tampering(spark, tmp_path):
+    rows = spark.createDataFrame([("c", i % 3, "pass") for i in range(200)], "control string, n int, verdict string")
+    path = f"{tmp_path}/evidence"
+    first = sinks.append_evidence(rows, path, "r1")
+    second = sinks.append_evidence(rows, path, "r2", first)
+    assert first != second and {r.run: r.intact for r in sinks.verify_chain(spark, path).collect()} == {"r1": True, "r2": True}
+    spark.read.parquet(f"{path}/run=r2").limit(150).write.parquet(f"{tmp_path}/other/run=r2")
+    assert [r.intact for r in sinks.verify_chain(spark, f"{tmp_path}/other").collect()] == [False]
+
+
+def test_merkle_root_against_a_plain_version(spark):
+    import hashlib
+
+    hashes = [hashlib.sha256(str(i % 30).encode()).hexdigest() for i in range(41)]
+    level = sorted(hashes)
+    while len(level) > 1:
+        level = [hashlib.sha256("".join(level[i : i + 2]).encode()).hexdigest() for i in range(0, len(level), 2)]
+    df = spark.createDataFrame([(h,) for h in hashes], "content_hash string")
+    assert sinks.merkle_root(df) == sinks.merkle_root(df.repartition(7)) == level[0]

@@ -12,8 +12,9 @@ from .scalars import col
 
 
 def _values(c: Column) -> Column:
-    """Numbers of the characters: digits as they are, letters from 10."""
-    return F.transform(F.split(F.upper(c), ""), lambda x: F.ascii(x) - F.when(x.between("0", "9"), 48).otherwise(55))
+    """Numbers of the characters: digits as they are, letters from 10, then the three signs of a CUSIP."""
+    signs = lambda x: F.when(x == "*", 36).when(x == "@", 37).when(x == "#", 38)
+    return F.transform(F.split(F.upper(c), ""), lambda x: F.coalesce(signs(x), F.ascii(x) - F.when(x.between("0", "9"), 48).otherwise(55)))
 
 
 def _expanded(c: Column) -> Column:
@@ -68,7 +69,7 @@ def cusip(x) -> Column:
         )
         return (10 - _sum(body) % 10) % 10 == F.substring(c, 9, 1).cast("int")
 
-    return _checked(col(x), r"^[A-Z0-9]{8}[0-9]$", check)
+    return _checked(col(x), r"^[A-Z0-9*@#]{8}[0-9]$", check)
 
 
 def figi(x) -> Column:
@@ -85,12 +86,15 @@ def lei(x) -> Column:
     return _checked(col(x), r"^[A-Z0-9]{18}[0-9]{2}$", lambda c: _mod97(c) == 1)
 
 
-#: Lengths of account numbers by country.
+#: Lengths of account numbers by country, as registered; no other country issues them.
 IBAN_LENGTHS = {
-    "AD": 24, "AE": 23, "AT": 20, "BE": 16, "BG": 22, "BH": 22, "CH": 21, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "EE": 20,
-    "ES": 24, "FI": 18, "FR": 27, "GB": 22, "GI": 23, "GR": 27, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IS": 26, "IT": 27,
-    "KW": 30, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "MC": 27, "MT": 31, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "QA": 29,
-    "RO": 24, "SA": 24, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "TR": 26, "UA": 29,
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28, "CH": 21,
+    "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FO": 18, "FR": 27,
+    "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IS": 26, "IT": 27,
+    "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "LY": 25, "MC": 27, "MD": 24,
+    "ME": 22, "MK": 19, "MR": 27, "MT": 31, "MU": 30, "NL": 18, "NO": 15, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29,
+    "RO": 24, "RS": 22, "SA": 24, "SC": 31, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "ST": 25, "SV": 28, "TL": 23, "TN": 24,
+    "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20,
 }
 
 
@@ -98,7 +102,7 @@ def iban(x) -> Column:
     lengths = F.create_map(*[F.lit(v) for kv in IBAN_LENGTHS.items() for v in kv])
 
     def check(c: Column) -> Column:
-        length = F.coalesce(F.try_element_at(lengths, F.substring(c, 1, 2)), F.length(c))
+        length = F.coalesce(F.try_element_at(lengths, F.substring(c, 1, 2)), F.lit(0))
         return (F.length(c) == length) & (_mod97(F.concat(F.substring(c, 5, 40), F.substring(c, 1, 4))) == 1)
 
     return _checked(F.upper(F.replace(col(x), F.lit(" "), F.lit(""))), r"^[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}$", check)
@@ -186,23 +190,54 @@ def register_validator(name: str, build: Callable[..., Column]) -> None:
     VALIDATORS[name] = build
 
 
-# Code lists with the day from which a version holds.
-CODE_LISTS: dict[str, dict[date, tuple[str, ...]]] = {
-    "iso4217": {
-        date(1999, 1, 1): tuple("AUD BRL CAD CHF CNY CZK DKK EUR GBP HKD HRK HUF IDR ILS INR JPY KRW MXN MYR NOK NZD PHP PLN RON RUB SEK SGD THB TRY USD ZAR".split()),
-        date(2023, 1, 1): tuple("AUD BRL CAD CHF CNY CZK DKK EUR GBP HKD HUF IDR ILS INR JPY KRW MXN MYR NOK NZD PHP PLN RON RUB SEK SGD THB TRY USD ZAR".split()),
-    },
-    "iso3166": {
-        date(1974, 1, 1): tuple("AE AR AT AU BE BG BR CA CH CL CN CY CZ DE DK EE ES FI FR GB GR HK HR HU ID IE IL IN IS IT JP KR LI LT LU LV MC MT MX MY NL NO NZ PH PL PT QA RO SA SE SG SI SK TH TR TW UA US ZA".split())
-    },
-    "zero_decimal_currencies": {date(1970, 1, 1): ("BIF", "CLP", "DJF", "GNF", "ISK", "JPY", "KMF", "KRW", "PYG", "RWF", "UGX", "VND", "VUV", "XAF", "XOF", "XPF")},
-    "trade_side": {date(1970, 1, 1): ("BUY", "SELL")},
+# Currency codes of 2021, and what changed on later days.
+_CURRENCIES = frozenset(
+    """AED AFN ALL AMD ANG AOA ARS AUD AWG AZN BAM BBD BDT BGN BHD BIF BMD BND BOB BOV BRL BSD BTN BWP BYN BZD CAD CDF CHE CHF
+    CHW CLF CLP CNY COP COU CRC CUC CUP CVE CZK DJF DKK DOP DZD EGP ERN ETB EUR FJD FKP GBP GEL GHS GIP GMD GNF GTQ GYD HKD
+    HNL HRK HTG HUF IDR ILS INR IQD IRR ISK JMD JOD JPY KES KGS KHR KMF KPW KRW KWD KYD KZT LAK LBP LKR LRD LSL LYD MAD MDL
+    MGA MKD MMK MNT MOP MRU MUR MVR MWK MXN MXV MYR MZN NAD NGN NIO NOK NPR NZD OMR PAB PEN PGK PHP PKR PLN PYG QAR RON RSD
+    RUB RWF SAR SBD SCR SDG SEK SGD SHP SLL SOS SRD SSP STN SVC SYP SZL THB TJS TMT TND TOP TRY TTD TWD TZS UAH UGX USD USN
+    UYI UYU UYW UZS VED VES VND VUV WST XAF XAG XAU XBA XBB XBC XBD XCD XDR XOF XPD XPF XPT XSU XTS XUA XXX YER ZAR ZMW ZWL""".split()
+)
+_CURRENCY_CHANGES = (
+    (date(2023, 1, 1), {"SLE"}, {"HRK", "CUC"}),
+    (date(2024, 4, 5), {"ZWG"}, set()),
+    (date(2025, 3, 31), {"XCG"}, {"ZWL"}),
+    (date(2026, 3, 31), set(), {"ANG"}),
+)
+
+
+def _currencies() -> dict[date, tuple[str, ...]]:
+    out, now = {date(2021, 1, 1): tuple(sorted(_CURRENCIES))}, set(_CURRENCIES)
+    for day, more, gone in _CURRENCY_CHANGES:
+        now = (now | more) - gone
+        out[day] = tuple(sorted(now))
+    return out
+
+
+def _countries() -> dict[date, tuple[str, ...]]:
+    """The two-letter codes that the JVM's own table of the standard holds."""
+    from pyspark.sql import SparkSession
+
+    codes = SparkSession.active()._jvm.java.util.Locale.getISOCountries()
+    return {date(2021, 1, 1): tuple(sorted(codes))}
+
+
+#: Code lists with the day from which a version holds, or a function that makes them.
+CODE_LISTS: dict[str, dict[date, tuple[str, ...]] | Callable[[], dict[date, tuple[str, ...]]]] = {
+    "iso4217": _currencies(),
+    "iso3166": _countries,
+    # Currencies without a minor unit, and sides of a trade.
+    "zero_decimal_currencies": {date(2021, 1, 1): tuple("BIF CLP DJF GNF ISK JPY KMF KRW PYG RWF UGX UYI VND VUV XAF XOF XPF".split())},
+    "trade_side": {date(2021, 1, 1): ("BUY", "SELL")},
 }
 
 
 def code_list(name: str, as_of: date | None = None) -> tuple[str, ...]:
     """The version of a list that holds on a day; the latest without one."""
     versions = CODE_LISTS[name]
+    if callable(versions):
+        versions = versions()
     days = [d for d in versions if as_of is None or d <= as_of]
     if not days:
         raise ValueError(f"{name} has no version on {as_of}")

@@ -57,14 +57,18 @@ def tournament(scored: DataFrame, target: float = 0.05, least: int = 200) -> Dat
 
 
 def cadence(runs: DataFrame, base: int, floor: int, ceiling: int) -> DataFrame:
-    """(control, seconds): intervals half as long again after every ten passes in a row, the floor after a fail, held after three unjudged."""
-    rows = runs.groupBy("control").agg(F.array_sort(F.collect_list(F.struct("t", "verdict"))).alias("h"))
-    start = F.struct(F.lit(float(base)).alias("s"), F.lit(0).alias("passes"))
+    """(control, seconds, hold): intervals half as long again after every ten passes in a row, the floor after a fail, held after three unjudged.
 
-    def step(acc, x):
-        passed = x["verdict"] == "pass"
-        ten = passed & ((acc["passes"] + 1) % 10 == 0)
-        seconds = F.when(x["verdict"] == "fail", F.lit(float(floor))).when(ten, F.least(acc["s"] * 1.5, F.lit(float(ceiling)))).otherwise(acc["s"])
-        return F.struct(seconds.alias("s"), F.when(passed, acc["passes"] + 1).when(x["verdict"] == "fail", 0).otherwise(acc["passes"]).alias("passes"))
-
-    return rows.select("control", F.aggregate("h", start, step, lambda a: a["s"]).alias("seconds"), ((F.size("h") >= 3) & F.forall(F.slice("h", -3, 3), lambda x: x["verdict"] == "indeterminate")).alias("hold"))
+    Only the passes since the last fail count, so no history is gathered; runs
+    that aren't judged don't break a row of passes.  ``t`` tells a control's runs
+    apart.
+    """
+    last = runs.groupBy("control").agg(F.max(F.when(F.col("verdict") == "fail", F.col("t"))).alias("failed"), F.max(F.when(F.col("verdict") != "indeterminate", F.col("t"))).alias("judged"))
+    since = lambda c: F.col(c).isNull() | (F.col("t") > F.col(c))
+    counted = runs.join(last.withColumnRenamed("control", "__c"), F.col("control") == F.col("__c")).groupBy("control").agg(
+        F.count_if((F.col("verdict") == "pass") & since("failed")).alias("passes"), F.count_if(since("judged")).alias("unjudged"), F.first("failed").isNotNull().alias("fell")
+    )
+    start = F.when(F.col("fell"), F.lit(float(floor))).otherwise(F.lit(float(base)))
+    tens = F.floor(F.col("passes") / 10)
+    seconds = F.when(tens > 0, F.least(start * F.pow(F.lit(1.5), tens), F.lit(float(ceiling)))).otherwise(start)
+    return counted.select("control", seconds.alias("seconds"), (F.col("unjudged") >= 3).alias("hold"))

@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 
 from ..sources.store import cut
 
-#: What passes along each kind of edge.
-ATTENUATION = {"copy": 1.0, "rename": 1.0, "transform": 0.7, "aggregate": 0.35, "join": 0.9, "filter": 0.8}
+#: The share of an upstream defect that passes along each kind of edge.
+ATTENUATION = {"identity": 1.0, "rename": 1.0, "derived": 0.7, "aggregated": 0.35, "filter": 0.9, "join_key": 0.8}
 
 
 def _factor() -> Column:
+    """The share that an edge passes on; a kind that isn't known, null included, raises."""
     pairs = F.create_map(*[F.lit(x) for kv in ATTENUATION.items() for x in kv])
-    return F.coalesce(F.try_element_at(pairs, F.col("kind")), F.lit(1.0))
+    unknown = F.raise_error(F.concat(F.lit("unknown kind of edge: "), F.coalesce("kind", F.lit("null")))).cast("double")
+    return F.when(F.coalesce(F.col("kind").isin(*ATTENUATION), F.lit(False)), F.try_element_at(pairs, F.col("kind"))).otherwise(unknown)
 
 
 def blast_radius(edges: DataFrame, start: str, floor: float = 0.01, depth: int = 12, upstream: bool = False) -> DataFrame:

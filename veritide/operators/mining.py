@@ -22,12 +22,28 @@ def _floats(df: DataFrame) -> set[str]:
     return {f.name for f in df.schema if isinstance(f.dataType, FloatType | DoubleType)}
 
 
+def _likely_keys(df: DataFrame, sets: Sequence[tuple[str, ...]], least_unique: float, error: float = 0.02) -> list[tuple[str, ...]]:
+    """The sets whose sketched number of distinct values comes near the rows; one aggregation, far outside the sketch's error."""
+    if not sets:
+        return []
+    full = [reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in cs]) for cs in sets]
+    got = df.agg(
+        *[F.approx_count_distinct(F.when(f, F.xxhash64(*cs)), error).alias(f"d{i}") for i, (f, cs) in enumerate(zip(full, sets, strict=True))],
+        *[F.count_if(f).alias(f"f{i}") for i, f in enumerate(full)],
+    ).first()
+    return [cs for i, cs in enumerate(sets) if got[f"d{i}"] >= (1 - 6 * error) * least_unique * got[f"f{i}"]]
+
+
 def keys(df: DataFrame, columns: Sequence[str] | None = None, most: int = 3, least_unique: float = 0.999, most_null: float = 0.05, least_rows: int = 200) -> DataFrame:
-    """(key, unique_rate): minimal column sets that tell rows apart; floating columns take no part."""
+    """(key, unique_rate): minimal column sets that tell rows apart; floating columns take no part.
+
+    Sketches of all sets of a size in one scan leave the few that are counted exactly.
+    """
     names = [c for c in columns or df.columns if c not in _floats(df)]
     spark, found, rows = df.sparkSession, [], None
     for size in range(1, most + 1):
         todo = [c for c in combinations(names, size) if not any(set(k) <= set(c) for k, _ in found)]
+        todo = _likely_keys(df, todo, least_unique)
         for at in range(0, len(todo), _BATCH):
             part = todo[at : at + _BATCH]
             full = [reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in cs]) for cs in part]
@@ -56,20 +72,27 @@ def dependency_support(df: DataFrame, determinant: Sequence[str], dependent: str
     )
 
 
+def _supports(df: DataFrame, determinant: Sequence[str], dependents: Sequence[str]) -> DataFrame:
+    """As dependency_support(), for all dependents of one determinant in one scan and one shuffle of counts."""
+    known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in determinant])
+    values = F.explode(F.array(*[F.struct(F.lit(d).alias("dependent"), F.col(d).cast("string").alias("value")) for d in dependents])).alias("x")
+    long = df.where(known).select(*determinant, values).select(*determinant, F.col("x.dependent").alias("__dependent"), F.col("x.value").alias("__value")).where("__value is not null")
+    pairs = long.groupBy("__dependent", *determinant, "__value").agg(F.count(F.lit(1)).alias("n"))
+    each = pairs.groupBy("__dependent", *determinant).agg(F.sum("n").alias("n"), F.max("n").alias("top"))
+    return each.groupBy(F.col("__dependent").alias("dependent")).agg(
+        F.lit(",".join(determinant)).alias("determinant"), F.sum("n").alias("rows"), F.count(F.lit(1)).alias("groups"), F.try_divide(F.sum("top").cast("double"), F.sum("n")).alias("support")
+    ).select("determinant", "dependent", "rows", "groups", "support")
+
+
 def dependencies(df: DataFrame, columns: Sequence[str] | None = None, most: int = 2, least: float = 0.95, near_key: float = 0.9) -> DataFrame:
     """(determinant, dependent, rows, groups, support) of dependencies that hold for a share ``least`` of rows.
 
-    Determinants that are nearly unique are passed over: they determine everything.
+    Determinants that are nearly unique are passed over: they determine
+    everything.  Each determinant takes one scan for all its dependents.
     """
     names = [c for c in columns or df.columns if c not in _floats(df)]
-    parts = [
-        dependency_support(df, det, dep)
-        for size in range(1, most + 1)
-        for det in combinations(names, size)
-        for dep in names
-        if dep not in det
-    ]
-    out = reduce(DataFrame.unionByName, parts)
+    sets = [det for size in range(1, most + 1) for det in combinations(names, size) if len(det) < len(names)]
+    out = reduce(DataFrame.unionByName, [_supports(df, det, [c for c in names if c not in det]) for det in sets])
     return out.where((F.col("support") >= least) & (F.col("groups") < near_key * F.col("rows")))
 
 

@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .prefix import running_totals
+
 
 def _history(series: str, t: str, n: int):
     return Window.partitionBy(series).orderBy(t).rowsBetween(-n, -1)
@@ -145,16 +147,12 @@ def chi_square(shares: DataFrame) -> DataFrame:
 
 
 def _distribution(reference: DataFrame, current: DataFrame, value: str) -> DataFrame:
-    """Distinct values with both cumulative shares.
-
-    The running sum over distinct values is the one global order that these statistics need.
-    """
+    """Distinct values with both cumulative counts, summed range by range."""
     both = reference.select(F.col(value).cast("double").alias("v"), F.lit(1).alias("r")).union(current.select(F.col(value).cast("double").alias("v"), F.lit(0).alias("r")))
     counts = both.where("v is not null").groupBy("v").agg(F.sum("r").alias("a"), F.sum(1 - F.col("r")).alias("b"))
     total = counts.agg(F.sum("a").alias("ta"), F.sum("b").alias("tb"))
-    w = Window.orderBy("v")
-    run = w.rowsBetween(Window.unboundedPreceding, 0)
-    return counts.select("v", F.sum("a").over(run).alias("ca"), F.sum("b").over(run).alias("cb"), (F.lead("v").over(w) - F.col("v")).alias("gap")).join(F.broadcast(total))
+    run = running_totals(counts, ["v"], ["a", "b"], following="v")
+    return run.select("v", F.col("total_a").alias("ca"), F.col("total_b").alias("cb"), (F.col("next") - F.col("v")).alias("gap")).join(F.broadcast(total))
 
 
 def kolmogorov_smirnov(reference: DataFrame, current: DataFrame, value: str = "value", critical: float = 1.36) -> DataFrame:
@@ -217,13 +215,28 @@ def hierarchical(df: DataFrame, family: str, alpha: float = 0.05) -> DataFrame:
     return ranked.withColumn("selected", F.coalesce(F.col("p") <= cut, F.lit(False))).drop("k", "m", "share")
 
 
-def adaptive_level(alerts: DataFrame, target: float = 0.05, step: float = 0.01) -> DataFrame:
-    """(series, level): the alert level after following each series' past alerts (0 or 1) towards a target rate."""
-    rows = alerts.groupBy("series").agg(F.array_sort(F.collect_list(F.struct("t", "alert"))).alias("a"))
-    level = F.aggregate(
-        "a", F.lit(target), lambda acc, x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), acc + step * (target - x["alert"].cast("double"))))
-    )
-    return rows.select("series", level.alias("level"))
+def adaptive_level(alerts: DataFrame, target: float = 0.05, step: float = 0.01, chunk: int = 4096) -> DataFrame:
+    """(series, level): the alert level after following each series' past alerts (0 or 1) towards a target rate.
+
+    Each alert shifts the level and holds it between 0 and 1.  Such steps compose
+    to one shift between two bounds, so every ``chunk`` of a series becomes one
+    step and a long series a short list.
+    """
+    w = Window.partitionBy("series").orderBy("t")
+    part = F.floor((F.row_number().over(w) - 1) / chunk).alias("part")
+    rows = alerts.select("series", part, "t", F.col("alert").cast("double").alias("alert"))
+    each = rows.groupBy("series", "part").agg(F.array_sort(F.collect_list(F.struct("t", "alert"))).alias("a"))
+    held = lambda x, low, high: F.greatest(low, F.least(high, x))
+    zero, one = F.lit(0.0), F.lit(1.0)
+
+    def follow(acc: Column, x: Column) -> Column:
+        move = step * (target - x["alert"])
+        return F.struct((acc["shift"] + move).alias("shift"), held(acc["low"] + move, zero, one).alias("low"), held(acc["high"] + move, zero, one).alias("high"))
+
+    whole = F.aggregate("a", F.struct(zero.alias("shift"), zero.alias("low"), one.alias("high")), follow)
+    steps = each.select("series", "part", whole.alias("s")).groupBy("series").agg(F.array_sort(F.collect_list(F.struct("part", "s"))).alias("s"))
+    level = F.aggregate("s", F.lit(float(target)), lambda acc, x: held(acc + x["s"]["shift"], x["s"]["low"], x["s"]["high"]))
+    return steps.select("series", level.alias("level"))
 
 
 def wilson(successes: Column, trials: Column, z: float = 1.96) -> tuple[Column, Column]:

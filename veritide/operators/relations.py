@@ -85,7 +85,8 @@ def identifier_consistency(a: DataFrame, b: DataFrame, key: str, identifier: str
 
 
 def _words(name: str) -> set[str]:
-    return {w for w in re.split(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])", name.lower()) if w and w not in ("id", "key", "code", "no")}
+    parts = re.split(r"[^A-Za-z0-9]+|(?<=[a-z0-9])(?=[A-Z])", name)
+    return {w.lower() for w in parts} - {"", "id", "key", "code", "no"}
 
 
 def name_strength(child: str, parent: str) -> float:

@@ -304,7 +304,12 @@ def _(t, spark):
     return t("events").select("event_id", V.card_number(F.concat(F.lit("4"), F.lpad(F.col("event_id").cast("string"), 15, "0"))).alias("ok"))
 
 
-@query("codelist_membership", "SELECT n_name, substr(n_name, 1, 2) IN ('AR','BR','CA','EG','GE','IN','JA','RO','RU','UN') AS short, upper(substr(n_name, 1, 2)) IN ('AE','AR','AT','AU','BE','BG','BR','CA','CH','CL','CN','CY','CZ','DE','DK','EE','ES','FI','FR','GB','GR','HK','HR','HU','ID','IE','IL','IN','IS','IT','JP','KR','LI','LT','LU','LV','MC','MT','MX','MY','NL','NO','NZ','PH','PL','PT','QA','RO','SA','SE','SG','SI','SK','TH','TR','TW','UA','US','ZA') AS iso FROM nation")
+@query(
+    "codelist_membership",
+    """WITH c AS (SELECT n_name, chr(CAST(65 + n_nationkey % 26 AS INTEGER)) || chr(CAST(65 + (n_nationkey * 5 + 4) % 26 AS INTEGER)) AS two FROM nation)
+       SELECT n_name, substr(n_name, 1, 2) IN ('AR','BR','CA','NA') AS short, two IN ('AE','BJ','CO','GI','HN','IS','MM','NR','TV','UA') AS iso FROM c""",
+)
 def _(t, spark):
-    two = F.substring("n_name", 1, 2)
-    return t("nation").select("n_name", P.in_list(two, "AR BR CA EG GE IN JA RO RU UN".split()).alias("short"), P.in_list(F.upper(two), V.code_list("iso3166")).alias("iso"))
+    letter = lambda n: F.char(65 + n % 26)
+    two = F.concat(letter(F.col("n_nationkey")), letter(F.col("n_nationkey") * 5 + 4))
+    return t("nation").select("n_name", P.in_list(F.substring("n_name", 1, 2), "AR BR CA NA".split()).alias("short"), P.in_list(two, V.code_list("iso3166")).alias("iso"))

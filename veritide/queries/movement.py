@@ -173,7 +173,14 @@ def _(t, spark):
     return diff.keyless_diff(t("orders").select(*COLUMNS), new_orders(t))
 
 
-@query("schema_diff", """SELECT * FROM (VALUES ('o_orderpriority', 'removed', 'string', ''), ('o_channel', 'added', '', 'string'), ('o_custkey', 'retyped', 'bigint', 'string')) v("column", change, old_type, new_type)""")
+@query(
+    "schema_diff",
+    """WITH a AS (SELECT column_name AS c, CASE column_type WHEN 'BIGINT' THEN 'bigint' WHEN 'VARCHAR' THEN 'string' ELSE column_type END AS ty FROM (DESCRIBE SELECT * FROM orders)),
+       b AS (SELECT column_name AS c, CASE column_type WHEN 'BIGINT' THEN 'bigint' WHEN 'VARCHAR' THEN 'string' ELSE column_type END AS ty
+             FROM (DESCRIBE SELECT * EXCLUDE (o_orderpriority) REPLACE (CAST(o_custkey AS VARCHAR) AS o_custkey), 'web' AS o_channel FROM orders))
+       SELECT coalesce(a.c, b.c) AS "column", CASE WHEN b.c IS NULL THEN 'removed' WHEN a.c IS NULL THEN 'added' ELSE 'retyped' END AS change, coalesce(a.ty, '') AS old_type, coalesce(b.ty, '') AS new_type
+       FROM a FULL JOIN b ON a.c = b.c WHERE a.ty IS DISTINCT FROM b.ty""",
+)
 def _(t, spark):
     new = t("orders").drop("o_orderpriority").withColumn("o_custkey", F.col("o_custkey").cast("string")).withColumn("o_channel", F.lit("web"))
     return diff.schema_diff(spark, t("orders").schema, new.schema).fillna("")
@@ -228,33 +235,64 @@ def _(t, spark):
     return p.join(first).select("p_partkey", F.round(entity.jaccard(F.col("t"), F.col("r")), 6).alias("similarity"))
 
 
-EDGES = [("a.x", "b.x", "copy"), ("b.x", "c.y", "transform"), ("c.y", "d.z", "aggregate"), ("b.x", "d.z", "filter"), ("d.z", "b.x", "copy"), ("d.z", "e.w", "aggregate"), ("q.q", "e.w", "join")]
+# A tree over all orders: each order feeds the one of half its number, by an edge whose kind its status gives.
+KINDS = {"F": "derived", "O": "identity", "P": "filter"}
+
 
+def edges(t):
+    kind = F.element_at(F.create_map(*[F.lit(x) for kv in KINDS.items() for x in kv]), F.col("o_orderstatus"))
+    number = F.col("o_orderkey")
+    name = lambda n: F.concat(F.lit("o"), (n % 5).cast("string"), F.lit("."), n.cast("string"))
+    return t("orders").where("o_orderkey > 1").select(name(number).alias("source"), name(F.floor(number / 2)).alias("target"), kind.alias("kind"))
 
-def edges(spark):
-    return spark.createDataFrame(EDGES, "source string, target string, kind string")
+
+TREE = """e AS (SELECT 'o' || (o_orderkey % 5) || '.' || o_orderkey AS s, 'o' || ((o_orderkey // 2) % 5) || '.' || (o_orderkey // 2) AS t,
+  CASE o_orderstatus WHEN 'F' THEN 0.7 WHEN 'O' THEN 1.0 ELSE 0.9 END AS f FROM orders WHERE o_orderkey > 1)"""
 
 
 @query(
     "blast_radius",
-    """WITH RECURSIVE e AS (SELECT * FROM (VALUES ('a.x','b.x',1.0),('b.x','c.y',0.7),('c.y','d.z',0.35),('b.x','d.z',0.8),('d.z','b.x',1.0),('d.z','e.w',0.35),('q.q','e.w',0.9)) v(s, t, f)),
-       r AS (SELECT 'a.x' AS node, 1.0::DOUBLE AS strength, 0 AS hops UNION ALL SELECT t, strength * f, hops + 1 FROM r JOIN e ON node = s WHERE hops < 12 AND strength * f >= 0.01)
-       SELECT node, round(max(strength), 6) AS strength FROM r WHERE node <> 'a.x' GROUP BY node""",
+    f"""WITH RECURSIVE {TREE}, r AS (SELECT 'o1.1' AS node, 1.0::DOUBLE AS strength, 0 AS hops UNION ALL SELECT s, strength * f, hops + 1 FROM r JOIN e ON node = t WHERE strength * f >= 0.01)
+       SELECT node, round(strength, 6) AS strength, hops FROM r WHERE node <> 'o1.1'""",
 )
 def _(t, spark):
-    return lineage.blast_radius(edges(spark), "a.x").select("node", F.round("strength", 6).alias("strength"))
+    return lineage.blast_radius(edges(t), "o1.1", depth=60, upstream=True).select("node", F.round("strength", 6).alias("strength"), "hops")
 
 
-@query("dataset_edges", "SELECT * FROM (VALUES ('a','b',1::BIGINT),('b','c',1),('c','d',1),('b','d',1),('d','b',1),('d','e',1),('q','e',1)) v(source, target, columns)")
+@query(
+    "blast_radius_kinds",
+    """WITH k AS (SELECT DISTINCT o_orderstatus AS st, CASE o_orderstatus WHEN 'F' THEN 0.35 WHEN 'O' THEN 0.8 ELSE 0.9 END AS f FROM orders)
+       SELECT st AS node, f AS strength FROM k UNION ALL SELECT 'end', max(f * f) FROM k""",
+)
 def _(t, spark):
-    return lineage.dataset_edges(edges(spark))
+    kind = F.when(F.col("o_orderstatus") == "F", "aggregated").when(F.col("o_orderstatus") == "O", "join_key").otherwise("filter")
+    each = t("orders").select(F.col("o_orderstatus").alias("st"), kind.alias("kind")).distinct()
+    e = each.select(F.lit("start").alias("source"), F.col("st").alias("target"), "kind").union(each.select("st", F.lit("end"), "kind"))
+    return lineage.blast_radius(e, "start").select("node", F.round("strength", 6).alias("strength"))
 
 
-@query("trust_min_product", "SELECT node, trust::DOUBLE AS trust FROM (VALUES ('a', 0.9), ('b', 0.72), ('c', 0.5226), ('d', 1.0)) v(node, trust)")
+@query(
+    "dataset_edges",
+    f"""WITH {TREE} SELECT split_part(s, '.', 1) AS source, split_part(t, '.', 1) AS target, count(*) AS columns FROM e WHERE split_part(s, '.', 1) <> split_part(t, '.', 1) GROUP BY 1, 2""",
+)
 def _(t, spark):
-    # b: 0.8 * 0.9; c: 0.65 * (1 - (1 - 0.72) * 0.7).
-    nodes = spark.createDataFrame([("a", 0.9), ("b", 0.8), ("c", 0.65), ("d", 1.0)], "node string, trust double")
-    e = spark.createDataFrame([("a", "b", "copy"), ("b", "c", "transform"), ("d", "c", "copy")], "source string, target string, kind string")
+    return lineage.dataset_edges(edges(t))
+
+
+@query(
+    "trust_min_product",
+    """WITH c AS (SELECT c_custkey, c_nationkey, 0.5 + (c_custkey % 50) / 100.0 AS x FROM customer),
+       n AS (SELECT n_nationkey, n_regionkey, (0.6 + (n_nationkey % 4) / 10.0) * coalesce((SELECT min(1 - (1 - x) * CASE WHEN c_custkey % 2 = 0 THEN 0.7 ELSE 0.35 END) FROM c WHERE c_nationkey = n_nationkey), 1.0) AS x FROM nation),
+       r AS (SELECT r_regionkey, 0.95 * coalesce((SELECT min(1 - (1 - x) * 0.9) FROM n WHERE n_regionkey = r_regionkey), 1.0) AS x FROM region)
+       SELECT 'c' || c_custkey AS node, round(x::DOUBLE, 6) AS trust FROM c UNION ALL SELECT 'n' || n_nationkey, round(x::DOUBLE, 6) FROM n UNION ALL SELECT 'r' || r_regionkey, round(x::DOUBLE, 6) FROM r""",
+)
+def _(t, spark):
+    name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    c, n, r = t("customer"), t("nation"), t("region")
+    nodes = c.select(name("c", "c_custkey").alias("node"), (0.5 + (F.col("c_custkey") % 50) / 100.0).alias("trust"))
+    nodes = nodes.union(n.select(name("n", "n_nationkey"), 0.6 + (F.col("n_nationkey") % 4) / 10.0)).union(r.select(name("r", "r_regionkey"), F.lit(0.95)))
+    e = c.select(name("c", "c_custkey").alias("source"), name("n", "c_nationkey").alias("target"), F.when(F.col("c_custkey") % 2 == 0, "derived").otherwise("aggregated").alias("kind"))
+    e = e.union(n.select(name("n", "n_nationkey"), name("r", "n_regionkey"), F.lit("filter")))
     return lineage.trust(nodes, e).select("node", F.round("trust", 6).alias("trust"))
 
 
@@ -303,36 +341,61 @@ def _(t, spark):
     return score.admit(work, 5_000_000, "o_orderstatus").select("o_orderstatus", F.col("item").alias("o_orderkey"), "admitted")
 
 
+# One file for each day of orders: what befalls it follows from the day's place among them.
 @query(
     "arrival_status",
-    """SELECT coalesce(CAST(day AS VARCHAR), '') AS day, status FROM (VALUES (DATE '2024-03-01', 'on_time'), (DATE '2024-03-02', 'unexpected_day'), (DATE '2024-03-04', 'late'), (DATE '2024-03-05', 'missing'), (DATE '2024-03-06', 'duplicate'),
-       (DATE '2024-03-07', 'out_of_sequence'), (DATE '2024-03-08', 'truncated'), (DATE '2024-03-11', 'early'), (NULL, 'unreadable_name')) v(day, status)""",
+    """WITH d AS (SELECT CAST(o_orderdate AS DATE) AS day, count(*) AS n FROM orders GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY day) AS i FROM d)
+       SELECT CAST(day AS VARCHAR) AS day, CASE WHEN i % 11 = 1 THEN 'missing' WHEN isodow(day) >= 6 THEN 'unexpected_day' WHEN i % 11 = 2 THEN 'duplicate' WHEN i % 11 = 4 AND n > 1 THEN 'truncated'
+         WHEN i % 11 = 5 THEN 'early' WHEN i % 11 = 6 THEN 'late' ELSE 'on_time' END AS status FROM r WHERE NOT (i % 11 = 1 AND isodow(day) >= 6)
+       UNION ALL SELECT '', 'unreadable_name' FROM r WHERE i % 11 = 7""",
 )
 def _(t, spark):
-    rows = [
-        ("pos_20240301_1.csv", "2024-03-01 06:00", 5, 5), ("pos_20240302_2.csv", "2024-03-02 06:00", 5, 5), ("pos_20240304_3.csv", "2024-03-04 09:30", 5, 5), ("pos_20240306_4.csv", "2024-03-06 06:00", 5, 5),
-        ("pos_20240306_4.csv", "2024-03-06 06:10", 5, 5), ("pos_20240307_9.csv", "2024-03-07 06:00", 5, 5), ("pos_20240308_10.csv", "2024-03-08 06:00", 5, 3), ("pos_20240311_11.csv", "2024-03-11 01:00", 5, 5), ("pos_x.csv", "2024-03-11 06:00", 5, 5),
-    ]
-    files = spark.createDataFrame(rows, "name string, arrived string, rows_declared int, rows_read int").withColumn("arrived", F.col("arrived").cast("timestamp"))
-    cal = feeds.calendar(spark, date(2024, 3, 1), date(2024, 3, 11))
-    due = cal.where("business").select("day", (F.col("day").cast("timestamp") + F.expr("INTERVAL 7 HOURS")).alias("due"))
-    out = feeds.arrivals(due, feeds.parsed_names(files, "pos_{yyyymmdd}_{seq}.csv"))
+    from pyspark.sql import Window
+
+    d = t("orders").groupBy(F.to_date("o_orderdate").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    # One row for each day.
+    d = d.withColumn("i", F.row_number().over(Window.orderBy("day")) % 11)
+    name = F.concat(F.lit("pos_"), F.date_format("day", "yyyyMMdd"), F.lit(".csv"))
+    at = F.col("day").cast("timestamp") + F.when(F.col("i") == 5, F.expr("INTERVAL 1 HOURS")).when(F.col("i") == 6, F.expr("INTERVAL 9 HOURS")).otherwise(F.expr("INTERVAL 6 HOURS"))
+    read = F.when((F.col("i") == 4) & (F.col("n") > 1), F.col("n") - 1).otherwise(F.col("n"))
+    files = d.where("i <> 1").select(name.alias("name"), at.alias("arrived"), F.col("n").cast("int").alias("rows_declared"), read.cast("int").alias("rows_read"), "i")
+    files = files.drop("i").union(files.where("i = 2").drop("i")).union(files.where("i = 7").drop("i").withColumn("name", F.lit("pos_x.csv")))
+    due = d.where(F.weekday("day") < 5).select("day", (F.col("day").cast("timestamp") + F.expr("INTERVAL 7 HOURS")).alias("due"))
+    out = feeds.arrivals(due, feeds.parsed_names(files, "pos_{yyyymmdd}.csv"))
     return out.withColumn("day", F.coalesce(F.col("day").cast("string"), F.lit("")))
 
 
-@query("business_day_shift", "SELECT CAST(day AS VARCHAR) AS day, CAST(shifted AS VARCHAR) AS shifted FROM (VALUES (DATE '2024-03-28', DATE '2024-04-03'), (DATE '2024-04-02', DATE '2024-04-04'), (DATE '2024-04-05', DATE '2024-04-09')) v(day, shifted)")
+@query(
+    "business_day_shift",
+    """WITH days AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders), span AS (SELECT min(day) AS a, max(day) AS b FROM days),
+       cal AS (SELECT CAST(unnest(generate_series(a::TIMESTAMP, b + INTERVAL 60 DAY, INTERVAL 1 DAY)) AS DATE) AS d FROM span),
+       bus AS (SELECT d, row_number() OVER (ORDER BY d) AS n FROM cal WHERE isodow(d) < 6 AND strftime(d, '%m-%d') NOT IN ('01-01', '12-25')),
+       pl AS (SELECT day, (SELECT max(n) FROM bus WHERE d <= day) AS n FROM days)
+       SELECT CAST(day AS VARCHAR) AS day, CAST(bus.d AS VARCHAR) AS shifted FROM pl LEFT JOIN bus ON bus.n = coalesce(pl.n, 0) + 2""",
+)
 def _(t, spark):
-    off = [feeds.easter(2024), date(2024, 3, 29), date(2024, 4, 1)]
-    cal = feeds.calendar(spark, date(2024, 3, 1), date(2024, 4, 30), off)
-    days = spark.createDataFrame([(date(2024, 3, 28),), (date(2024, 4, 2),), (date(2024, 4, 5),)], "day date")
+    days = t("orders").select(F.to_date("o_orderdate").alias("day")).distinct()
+    first, last = days.agg(F.min("day"), F.max("day")).first()
+    end = date.fromordinal(last.toordinal() + 60)
+    off = [date(y, m, d) for y in range(first.year, end.year + 1) for m, d in ((1, 1), (12, 25))]
+    cal = feeds.calendar(spark, first, end, off)
     return feeds.shift(days, cal, "day", 2).select(F.col("day").cast("string").alias("day"), F.col("shifted").cast("string").alias("shifted"))
 
 
-@query("trailer_check", "SELECT * FROM (VALUES ('a', 2::BIGINT, TRUE), ('b', 1, FALSE), ('c', 1, FALSE)) v(file, rows, ok)")
+@query(
+    "trailer_check",
+    """SELECT o_orderpriority AS file, count(*) AS rows, o_orderpriority NOT IN ('1-URGENT', '2-HIGH', '5-LOW') AS ok FROM orders GROUP BY o_orderpriority""",
+)
 def _(t, spark):
-    rows = [("a", "id,amount"), ("a", "1,2.50"), ("a", "2,3.50"), ("a", "TRL,2,6.00"), ("b", "id,amount"), ("b", "1,2.50"), ("b", "TRL,2,2.50"), ("c", "id,amount"), ("c", "1,2")]
-    lines = spark.createDataFrame(rows, "file string, line string")
-    return feeds.trailers(lines, "TRL", headers=1, amount=1).select("file", "rows", "ok")
+    o = t("orders").select(F.col("o_orderpriority").alias("file"), "o_orderkey", F.col("o_totalprice").cast("decimal(18,2)").alias("price"))
+    body = o.select("file", F.concat_ws(",", F.col("o_orderkey").cast("string"), F.col("price").cast("string")).alias("line"))
+    # One file declares a row too many, one a total that is a cent off, one has no trailer.
+    totals = o.groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.sum("price").alias("total"))
+    rows = F.col("n") + F.when(F.col("file") == "1-URGENT", 1).otherwise(0)
+    total = F.col("total") + F.when(F.col("file") == "2-HIGH", F.lit("0.01").cast("decimal(18,2)")).otherwise(F.lit("0").cast("decimal(18,2)"))
+    end = totals.where("file <> '5-LOW'").select("file", F.concat_ws(",", F.lit("TRL"), rows.cast("string"), total.cast("string")).alias("line"))
+    head = totals.select("file", F.lit("id,amount").alias("line"))
+    return feeds.trailers(head.union(body).union(end), "TRL", headers=1, amount=1).select("file", "rows", "ok")
 
 
 @query("manifest_missing", "SELECT n_name AS name FROM nation WHERE n_nationkey % 4 = 1")

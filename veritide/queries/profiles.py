@@ -92,7 +92,7 @@ def _(t, spark):
     return profile.segment_plan(now, old)
 
 
-@query("key_candidates", """SELECT * FROM (VALUES ('n_nationkey', TRUE, FALSE), ('n_name', TRUE, FALSE), ('n_regionkey', FALSE, FALSE)) v("column", key_candidate, constant)""")
+@query("key_candidates", " UNION ALL ".join(f"""SELECT '{c}' AS "column", count({c}) = count(*) AND count(DISTINCT {c}) = count(*) AS key_candidate, count(DISTINCT {c}) = 1 AS constant FROM nation""" for c in ("n_nationkey", "n_name", "n_regionkey")))
 def _(t, spark):
     return profile.key_candidates(profile.columns(t("nation")))
 

@@ -44,12 +44,21 @@ def _(t, spark):
     return out
 
 
-@query("relationship_discovery", "SELECT * FROM (VALUES ('orders.o_custkey', 'customer.c_custkey')) v(child, parent)")
+@query(
+    "relationship_discovery",
+    """WITH k(child, parent, inside, known) AS (
+         SELECT 'orders.o_custkey', 'customer.c_custkey', (SELECT count(DISTINCT o_custkey) FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer)), (SELECT count(DISTINCT o_custkey) FROM orders)
+         UNION ALL SELECT 'customer.c_nationkey', 'nation.n_nationkey', (SELECT count(DISTINCT c_nationkey) FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation)), (SELECT count(DISTINCT c_nationkey) FROM customer)
+         UNION ALL SELECT 'nation.n_nationkey', 'customer.c_custkey', (SELECT count(*) FROM nation WHERE n_nationkey IN (SELECT c_custkey FROM customer)), (SELECT count(*) FROM nation)
+         UNION ALL SELECT 'customer.c_nationkey', 'customer.c_custkey', (SELECT count(DISTINCT c_nationkey) FROM customer WHERE c_nationkey IN (SELECT c_custkey FROM customer)), (SELECT count(DISTINCT c_nationkey) FROM customer)),
+       s AS (SELECT *, CASE WHEN inside = known THEN 0.8 ELSE 0.65 END AS held, CASE WHEN split_part(split_part(child, '.', 2), '_', 2) = split_part(split_part(parent, '.', 2), '_', 2) OR split_part(split_part(child, '.', 2), '_', 1) = split_part(split_part(parent, '.', 2), '_', 1) THEN 0.35 ELSE 0 END AS named FROM k WHERE inside >= 0.9 * known)
+       SELECT child, parent, round(1 - (1 - held) * (1 - named), 6)::DOUBLE AS confidence FROM s""",
+)
 def _(t, spark):
-    tables = {n: t(n) for n in ("orders", "customer")}
-    found = mining.inclusions(tables, {"orders": ["o_custkey"], "customer": ["c_custkey"]})
+    tables = {n: t(n) for n in ("orders", "customer", "nation")}
+    found = mining.inclusions(tables, {"orders": ["o_custkey"], "customer": ["c_custkey", "c_nationkey"], "nation": ["n_nationkey"]})
     rows = relations.propose(found, {n: df.columns for n, df in tables.items()})
-    return spark.createDataFrame([r[:2] for r in rows if r[2] > 0.6], "child string, parent string")
+    return spark.createDataFrame([(c, p, round(x, 6)) for c, p, x in rows], "child string, parent string, confidence double")
 
 
 @query(
@@ -67,14 +76,29 @@ def _(t, spark):
     return suite.evaluate(t("customer"), declare.controls(d))
 
 
-@query("incident_roots", "SELECT * FROM (VALUES ('a', 'a'), ('b', 'a'), ('c', 'a'), ('e', 'e'), ('f', 'f')) v(node, root)")
+# Each user alerts at the first event; the user of the next number stands downstream.
+@query(
+    "incident_roots",
+    """WITH u AS (SELECT user_id, floor(epoch(min(ts))) AS sec FROM events GROUP BY 1),
+       g AS (SELECT user_id, CASE WHEN lag(user_id) OVER w = user_id - 1 AND sec - lag(sec) OVER w BETWEEN 0 AND 21600 THEN 0 ELSE 1 END AS starts FROM u WINDOW w AS (ORDER BY user_id)),
+       i AS (SELECT user_id, sum(starts) OVER (ORDER BY user_id) AS island FROM g)
+       SELECT CAST(user_id AS VARCHAR) AS node, CAST(min(user_id) OVER (PARTITION BY island) AS VARCHAR) AS root FROM i""",
+)
 def _(t, spark):
-    alerts = spark.createDataFrame([("a", "2024-01-01 00:00:00"), ("b", "2024-01-01 00:10:00"), ("c", "2024-01-01 00:50:00"), ("e", "2024-01-01 03:00:00"), ("f", "2024-01-01 00:05:00")], "node string, ts string")
-    e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "e"), ("x", "f")], "source string, target string")
-    return incidents.incidents(alerts.withColumn("ts", F.col("ts").cast("timestamp")), e).select("node", "root")
+    u = t("events").groupBy("user_id").agg(F.min("ts").alias("ts"))
+    alerts = u.select(F.col("user_id").cast("string").alias("node"), "ts")
+    e = u.select(F.col("user_id").cast("string").alias("source"), (F.col("user_id") + 1).cast("string").alias("target"))
+    return incidents.incidents(alerts, e, minutes=360).select("node", "root")
 
 
-@query("adaptive_cadence", "SELECT * FROM (VALUES ('a', 90.0::DOUBLE, FALSE), ('b', 30.0, FALSE), ('c', 60.0, TRUE)) v(control, seconds, hold)")
+@query(
+    "adaptive_cadence",
+    """WITH r AS (SELECT user_id % 40 AS c, event_id AS t, CASE WHEN value < 1 THEN 'fail' WHEN event_type = 'error' THEN 'indeterminate' ELSE 'pass' END AS v FROM events),
+       l AS (SELECT c, max(t) FILTER (WHERE v = 'fail') AS f, max(t) FILTER (WHERE v <> 'indeterminate') AS j FROM r GROUP BY 1),
+       p AS (SELECT r.c, any_value(f) AS f, count(*) FILTER (WHERE v = 'pass' AND (f IS NULL OR t > f)) AS n, count(*) FILTER (WHERE j IS NULL OR t > j) AS tail FROM r JOIN l ON r.c = l.c GROUP BY 1)
+       SELECT CAST(c AS VARCHAR) AS control, round(least(CASE WHEN f IS NULL THEN 60.0 ELSE 30.0 END * power(1.5, n // 10), 600.0), 6)::DOUBLE AS seconds, tail >= 3 AS hold FROM p""",
+)
 def _(t, spark):
-    rows = [("a", i, "pass") for i in range(10)] + [("b", 0, "pass"), ("b", 1, "fail")] + [("c", i, "indeterminate") for i in range(3)]
-    return incidents.cadence(spark.createDataFrame(rows, "control string, t int, verdict string"), 60, 30, 600)
+    verdict = F.when(F.col("value") < 1, "fail").when(F.col("event_type") == "error", "indeterminate").otherwise("pass")
+    runs = t("events").select((F.col("user_id") % 40).cast("string").alias("control"), F.col("event_id").alias("t"), verdict.alias("verdict"))
+    return incidents.cadence(runs, 60, 30, 600).withColumn("seconds", F.round("seconds", 6))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -11,6 +11,16 @@ def append_metrics(metrics: DataFrame, path: str) -> None:
     metrics.withColumn("day", F.to_date("computed_at")).write.mode("append").partitionBy("day").parquet(path)
 
 
+#: Leading hexadecimal digits by which a run's hashes are gathered, 4,096 groups of them.
+_GROUP = 3
+
+
+def _chained(rows: DataFrame, column: str, previous: Column) -> DataFrame:
+    """(run, digest): hash of the previous run's and of this run's hashes in order, gathered by their first digits."""
+    groups = rows.groupBy("run", F.substring(column, 1, _GROUP).alias("g")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(column)), ""), 256).alias("h"), F.min(previous).alias("p"))
+    return groups.groupBy("run").agg(F.sha2(F.concat(F.min("p"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("g", "h"))), lambda x: x["h"]), "")), 256).alias("digest"))
+
+
 def append_evidence(results: DataFrame, path: str, run: str, previous: str = "") -> str:
     """Append a run's verdicts, each with the hash of its content and the run's place in the chain; returns the run's hash.
 
@@ -19,8 +29,7 @@ def append_evidence(results: DataFrame, path: str, run: str, previous: str = "")
     spark = results.sparkSession
     content = F.sha2(F.to_json(F.struct(*[F.col(c) for c in sorted(results.columns)])), 256)
     hashed = results.withColumn("content_hash", content)
-    # Verdicts are one row for each control and segment.
-    digest = hashed.agg(F.sha2(F.concat_ws("", F.lit(previous), F.array_sort(F.collect_list("content_hash"))), 256)).first()[0]
+    digest = _chained(hashed.withColumn("run", F.lit(run)), "content_hash", F.lit(previous)).first()["digest"]
     hashed.withColumns({"run": F.lit(run), "previous": F.lit(previous), "run_hash": F.lit(digest)}).write.mode("append").partitionBy("run").parquet(path)
     return digest
 
@@ -31,19 +40,18 @@ def verify_chain(spark: SparkSession, path: str) -> DataFrame:
     fields = [c for c in rows.columns if c not in ("content_hash", "run", "previous", "run_hash")]
     again = F.sha2(F.to_json(F.struct(*[F.col(c) for c in sorted(fields)])), 256)
     checked = rows.withColumn("again", again)
-    return checked.groupBy("run").agg(
-        (
-            (F.count_if(F.col("again") != F.col("content_hash")) == 0)
-            & (F.sha2(F.concat_ws("", F.first("previous"), F.array_sort(F.collect_list("again"))), 256) == F.first("run_hash"))
-        ).alias("intact")
-    )
+    whole = _chained(checked, "again", F.col("previous")).withColumnRenamed("run", "of_run")
+    each = checked.groupBy("run").agg((F.count_if(F.col("again") != F.col("content_hash")) == 0).alias("same"), F.first("run_hash").alias("run_hash"))
+    return each.join(whole, F.col("run") == F.col("of_run")).select("run", (F.col("same") & (F.col("digest") == F.col("run_hash"))).alias("intact"))
 
 
 def merkle_root(records: DataFrame, column: str = "content_hash") -> str:
-    """Root over sorted record hashes, pairing level by level in Spark."""
-    from pyspark.sql import Window
+    """Root over sorted record hashes, pairing level by level in Spark; equal hashes are told apart by a count."""
+    from ..operators.prefix import running_totals
 
-    level = records.select(F.col(column).alias("h"), (F.row_number().over(Window.orderBy(column)) - 1).alias("i"))
+    counted = records.groupBy(F.col(column).alias("h")).agg(F.count(F.lit(1)).alias("n"))
+    placed = running_totals(counted, ["h"], ["n"])
+    level = placed.select("h", F.explode(F.sequence(F.col("total_n") - F.col("n"), F.col("total_n") - 1)).alias("i"))
     n = level.count()
     while n > 1:
         level = level.groupBy(F.floor(F.col("i") / 2).alias("i")).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "h"))), lambda x: x["h"]), ""), 256).alias("h"))

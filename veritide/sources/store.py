@@ -8,8 +8,17 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder, so that later steps neither recompute it nor depend on one executor."""
-    sc = df.sparkSession.sparkContext
+    """Write ``df`` to the checkpoint folder, so that later steps neither recompute it nor depend on one executor.
+
+    The folder is the one that spark.checkpoint.dir names; only a local master may do without.
+    """
+    spark = df.sparkSession
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="veritide-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not folder:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+            folder = tempfile.mkdtemp(prefix="veritide-")
+        sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
