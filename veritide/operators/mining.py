@@ -207,3 +207,50 @@ def column_types(df: DataFrame, columns: Sequence[str], validators: Mapping[str,
     return long.where((F.col("values") >= least_values) & (F.col("hits") >= least * F.col("values"))).select(
         "column", "type", "values", F.try_divide(F.col("hits").cast("double"), F.col("values")).alias("rate")
     )
+
+
+def not_entailed(df: DataFrame, found_orderings: DataFrame, found_identities: DataFrame) -> DataFrame:
+    """Orderings that don't follow from an identity: of a + b = c with b never negative, a <= c does; of a * b = c, with b at least one."""
+    facts = [(r["a"], r["op"], r["b"], r["c"]) for r in found_identities.select("a", "op", "b", "c").collect()]
+    others = sorted({x for a, _, b, _ in facts for x in (a, b)})
+    if not facts:
+        return found_orderings
+    # One row for each identity of a table's columns.
+    least = df.agg(*[F.min(F.col(c).cast("double")).alias(c) for c in others]).first()
+    enough = lambda c, op: least[c] is not None and least[c] >= (0.0 if op == "+" else 1.0)
+    entailed = {(x, c) for a, op, b, c in facts for x, y in ((a, b), (b, a)) if enough(y, op)}
+    if not entailed:
+        return found_orderings
+    known = df.sparkSession.createDataFrame(sorted(entailed), "__low string, __high string")
+    return found_orderings.join(F.broadcast(known), (F.col("low") == F.col("__low")) & (F.col("high") == F.col("__high")), "left_anti")
+
+
+def caveats(sample: DataFrame, total_rows: int | None = None, partition: str | None = None, representative: float = 0.1, small: int = 1000) -> list[str]:
+    """What to discount a sample's findings by."""
+    got = sample.agg(F.count(F.lit(1)).alias("n"), (F.count_distinct(partition) if partition else F.lit(2)).alias("p")).first()
+    out = []
+    if partition and got["p"] == 1:
+        out.append(f"all rows have one {partition}: findings hold within it and may not hold across")
+    if total_rows is None:
+        out.append("the table's size is unknown")
+    elif total_rows and got["n"] < representative * total_rows:
+        out.append(f"{got['n']} of {total_rows} rows were looked at")
+    if got["n"] < small:
+        out.append(f"{got['n']} rows are few")
+    return out
+
+
+def meaning_groups(attributes: DataFrame) -> DataFrame:
+    """(meaning, by, attribute): attributes of two datasets or more that share a concept, else a term, else a semantic type.
+
+    attributes: dataset, attribute, concept, term, semantic_type.  Each attribute
+    is placed once, by its strongest sign.
+    """
+    rest, parts = attributes, []
+    for by in ("concept", "term", "semantic_type"):
+        known = rest.where(F.col(by).isNotNull())
+        shared = known.groupBy(F.col(by).alias("__m")).agg(F.count_distinct("dataset").alias("d")).where("d >= 2").select("__m")
+        placed = known.join(shared, F.col(by) == F.col("__m")).select(F.col("__m").alias("meaning"), F.lit(by).alias("by"), F.concat_ws(".", "dataset", "attribute").alias("attribute"))
+        parts.append(placed)
+        rest = rest.join(shared, F.col(by) == F.col("__m"), "left_anti")
+    return reduce(DataFrame.union, parts)

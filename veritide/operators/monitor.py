@@ -265,3 +265,67 @@ def seasonal_groups(df: DataFrame, least: int = 20) -> DataFrame:
     least_of = lambda c: F.min(c).over(Window.partitionBy("series"))
     season = F.when(least_of("__cd") >= least, F.col("__d")).when(least_of("__ck") >= least, F.col("__k")).otherwise("all")
     return d.withColumn("season", season).drop("__d", "__k", "__cd", "__ck")
+
+
+def ensemble(scored: dict[str, DataFrame], n: int = 200, least: int = 20) -> DataFrame:
+    """(series, t, p, detectors): p-values of several detectors, each calibrated on its own past, joined by Simes' rule.
+
+    Scores of detectors have scales of their own and are never mixed.
+    """
+    parts = [conformal_p(df, n, least).select("series", "t", F.lit(name).alias("detector"), "p") for name, df in scored.items()]
+    long = parts[0]
+    for p in parts[1:]:
+        long = long.unionByName(p)
+    return simes(long, ["series", "t"]).withColumnRenamed("members", "detectors")
+
+
+#: What is expected before anything was seen.
+DEFAULT_NULL_RATE, DEFAULT_AGE_SECONDS = (0.0, 0.2), (0.0, 3600.0)
+
+
+def priors(attributes: DataFrame, by_type: dict[str, tuple[float, float]] | None = None) -> DataFrame:
+    """(attribute, low, high, source): the null rate to expect on the first day.
+
+    attributes: attribute, mandatory, semantic_type, siblings (null rates of
+    comparable attributes).  A declaration goes first, then the semantic type,
+    then three or more siblings, halved and doubled, then the default.
+    """
+    known = by_type or {}
+    bound = lambda i: F.try_element_at(F.create_map(*[F.lit(x) for k, v in known.items() for x in (k, v[i])]), F.col("semantic_type")) if known else F.lit(None).cast("double")
+    mandatory, typed, many = F.coalesce("mandatory", F.lit(False)), bound(1).isNotNull(), F.coalesce(F.size("siblings") >= 3, F.lit(False))
+
+    def choose(declared, of_type, of_siblings, default) -> Column:
+        return F.when(mandatory, declared).when(typed, of_type).when(many, of_siblings).otherwise(default)
+
+    return attributes.select(
+        "attribute",
+        choose(F.lit(0.0), bound(0), F.array_min("siblings") * 0.5, F.lit(DEFAULT_NULL_RATE[0])).alias("low"),
+        choose(F.lit(0.0), bound(1), F.least(F.array_max("siblings") * 2.0, F.lit(1.0)), F.lit(DEFAULT_NULL_RATE[1])).alias("high"),
+        choose(F.lit("declaration"), F.lit("semantic_type"), F.lit("siblings"), F.lit("default")).alias("source"),
+    )
+
+
+def budget_level(false_alarms: float, tests: int, resolution: float | None = None) -> tuple[float, bool]:
+    """(level, reachable): the level at which so many tests give that many false alarms, and whether p-values are fine enough for it."""
+    level = min(1.0, false_alarms / tests) if tests > 0 else 0.0
+    return level, resolution is None or level >= resolution
+
+
+def rolled_up(df: DataFrame, family: str, alpha: float = 0.05, share: float = 0.6, least: int = 5) -> DataFrame:
+    """(family, member, p, covers): findings of two levels, with families that fail as a whole as one finding.
+
+    A family of ``least`` members or more of which a ``share`` lies below the
+    shrunk level is one finding with the family's own p-value; member is null
+    and covers the members below the level.
+    """
+    families = select_alerts(simes(df, [family]).withColumnRenamed("p", "family_p").withColumn("p", F.col("family_p")), alpha)
+    level = families.agg((alpha * F.count_if("selected") / F.count(F.lit(1))).alias("level"))
+    opened = families.where("selected").select(F.col(family).alias("__f"), "family_p")
+    inside = df.where("p is not null").join(opened, F.col(family) == F.col("__f")).join(F.broadcast(level))
+    extent = inside.groupBy("__f").agg(F.count_if(F.col("p") <= F.col("level")).alias("below"), F.count(F.lit(1)).alias("all"), F.first("family_p").alias("family_p"))
+    whole = (F.col("all") >= least) & (F.col("below") >= share * F.col("all"))
+    rolled = extent.where(whole).select(F.col("__f").alias("family"), F.lit(None).cast("string").alias("member"), F.col("family_p").alias("p"), F.col("below").alias("covers"))
+    apart = extent.where(~whole).select(F.col("__f").alias("__g"))
+    single = hierarchical(df.select(F.col(family).alias("family"), F.col("member"), "p"), "family", alpha).where("selected")
+    kept = single.join(apart, F.col("family") == F.col("__g"), "left_semi").select("family", F.col("member").cast("string").alias("member"), "p", F.lit(1).cast("long").alias("covers"))
+    return rolled.unionByName(kept)

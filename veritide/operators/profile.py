@@ -140,3 +140,48 @@ def detectable_rate(rows: Column) -> Column:
 
 def sample_fraction(rows: int, full_up_to: int = 5_000_000, target: int = 1_000_000) -> float:
     return 1.0 if rows <= full_up_to else target / rows
+
+
+def metric_points(profile: DataFrame, dataset: str, computed_at: str, by: Sequence[str] = (), sampling: str = "full", representative: bool = True, run_id: str | None = None) -> DataFrame:
+    """A profile's numbers as metric points, each with where it comes from; numbers that a column doesn't have are left out."""
+    skip = {"column", *by}
+    numbers = [c for c, kind in profile.dtypes if c not in skip and kind in ("bigint", "int", "double")]
+    rate = F.try_divide(F.col("nulls").cast("double"), F.col("rows"))
+    with_rate = profile.withColumn("null_rate", rate)
+    each = F.inline(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in [*numbers, "null_rate"]]))
+    segment = F.concat_ws("|", *[F.concat(F.lit(f"{b}="), F.coalesce(F.col(b).cast("string"), F.lit("null"))) for b in by]) if by else F.lit(None).cast("string")
+    points = with_rate.select(F.col("column").alias("attribute"), segment.alias("segment"), F.col("rows").alias("rows_examined"), each).where("value is not null")
+    whole = with_rate.groupBy(segment.alias("segment")).agg(F.max("rows").alias("rows_examined")).select(
+        F.lit(None).cast("string").alias("attribute"), "segment", "rows_examined", F.lit("row_count").alias("metric"), F.col("rows_examined").cast("double").alias("value")
+    )
+    return points.where("metric <> 'rows'").unionByName(whole).select(
+        F.lit(dataset).alias("dataset"), "attribute", "segment", "metric", "value", F.lit(computed_at).cast("timestamp").alias("computed_at"), "rows_examined",
+        F.lit(sampling).alias("sampling"), F.lit(representative).alias("representative"), F.lit(run_id).cast("string").alias("run_id"),
+    )
+
+
+def suggested(profile: DataFrame, representative: bool = True, error: float = 0.01) -> DataFrame:
+    """(column, suggestion, prefill): what a declaration may take over from a profile; nothing is filled in from rows that don't represent the table."""
+    found = key_candidates(profile, error).join(profile.select(F.col("column").alias("__c"), "rows", "nulls", "distinct", "blanks"), F.col("column") == F.col("__c"))
+    says = F.array_compact(
+        F.array(
+            F.when(F.col("key_candidate"), "grain"), F.when((F.col("nulls") == 0) & (F.col("rows") > 0), "required"), F.when(F.col("constant"), "constant: worth a look"),
+            F.when((F.col("rows") > 0) & (F.col("nulls") == F.col("rows")), "always null: worth a look"), F.when(F.col("blanks") > 0, "blank texts: worth a look"),
+        )
+    )
+    out = found.select("column", F.explode(says).alias("suggestion"))
+    return out.withColumn("prefill", F.lit(representative) & F.col("suggestion").isin("grain", "required"))
+
+
+def count_min(df: DataFrame, c: str, width: int = 1 << 16, depth: int = 5) -> DataFrame:
+    """(row, bucket, n): a Count-Min sketch as a table of at most width * depth rows; sketches add up by (row, bucket)."""
+    cells = F.explode(F.array(*[F.struct(F.lit(i).alias("row"), F.pmod(F.xxhash64(F.lit(i), F.col(c)), F.lit(width)).cast("int").alias("bucket")) for i in range(depth)])).alias("x")
+    known = df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("k"))
+    return known.select("k", cells).groupBy("x.row", "x.bucket").agg(F.sum("k").alias("n"))
+
+
+def count_min_estimate(sketch: DataFrame, values: DataFrame, c: str, width: int = 1 << 16, depth: int = 5) -> DataFrame:
+    """(value, estimate): never below the true count; above it by more than e / width of all rows in one of e ** depth cases."""
+    cells = F.explode(F.array(*[F.struct(F.lit(i).alias("row"), F.pmod(F.xxhash64(F.lit(i), F.col(c)), F.lit(width)).cast("int").alias("bucket")) for i in range(depth)])).alias("x")
+    asked = values.select(F.col(c).alias("value"), cells).select("value", F.col("x.row").alias("r"), F.col("x.bucket").alias("b"))
+    return asked.join(sketch, (F.col("r") == F.col("row")) & (F.col("b") == F.col("bucket")), "left").groupBy("value").agg(F.min(F.coalesce("n", F.lit(0))).alias("estimate"))

@@ -218,3 +218,38 @@ def roll_forward(balances: DataFrame, keys: Sequence[str], period: str, toleranc
         tolerance.holds((dec("opening") + dec("movements")).cast(AMOUNT), dec("closing")).alias("rolls"),
         F.when(before.isNotNull(), tolerance.holds(before, dec("opening"))).alias("carries"),
     )
+
+
+def dated_rates(amounts: DataFrame, rates: DataFrame, currency: str, day: str, target: str, carry_days: int = 0) -> DataFrame:
+    """Adds rate and rate_day: the rate into ``target`` of the row's day, or of the latest day up to ``carry_days`` before it.
+
+    rates: (source, target, day, rate); a quoted rate goes before an inverted one
+    of any day, as a quote is no arithmetic.  Without a rate both are null.  A
+    rate is copied to the days that it may be carried to, so the join is by
+    equality.
+    """
+    if carry_days < 0:
+        raise ValueError("carry_days can't be negative")
+    quoted = rates.where(F.col("target") == target).select(F.col("source").alias("__ccy"), F.col("day").alias("__of"), F.col("rate").cast("double").alias("__rate"), F.lit(0).alias("__how"))
+    inverse = rates.where((F.col("source") == target) & (F.col("rate") != 0)).select(F.col("target"), "day", 1 / F.col("rate").cast("double"), F.lit(1))
+    spread = quoted.union(inverse).select("*", F.explode(F.sequence(F.lit(0), F.lit(carry_days))).alias("__age"))
+    best = spread.groupBy("__ccy", F.date_add("__of", F.col("__age")).alias("__day")).agg(F.min(F.struct("__how", "__age", "__rate", "__of")).alias("__b"))
+    joined = amounts.join(best, (F.upper(currency) == F.col("__ccy")) & (F.col(day) == F.col("__day")), "left")
+    own = F.upper(currency) == target
+    return joined.withColumns({"rate": F.when(own, 1.0).otherwise(F.col("__b.__rate")), "rate_day": F.when(own, F.col(day)).otherwise(F.col("__b.__of"))}).drop("__ccy", "__day", "__b")
+
+
+def map_codes(df: DataFrame, column: str, mapping: DataFrame, strict: bool = True) -> DataFrame:
+    """``column`` in the other side's codes, from (code, other) rows, case aside; an unmapped code raises, or stays null if not ``strict``."""
+    pairs = mapping.select(F.upper("code").alias("__code"), F.col("other").alias("__other"), F.lit(True).alias("__there"))
+    joined = df.join(pairs, F.upper(F.col(column).cast("string")) == F.col("__code"), "left")
+    missing = F.col(column).isNotNull() & F.col("__there").isNull()
+    value = F.when(missing, F.raise_error(F.concat(F.lit("no mapping for the code "), F.col(column).cast("string"))).cast("string")) if strict else F.when(missing, F.lit(None).cast("string"))
+    return joined.withColumn(column, value.otherwise(F.col("__other"))).drop("__code", "__other", "__there")
+
+
+def unmapped_codes(df: DataFrame, column: str, mapping: DataFrame) -> DataFrame:
+    """(code, rows) of codes that a mapping lacks, before a run fails on them."""
+    known = mapping.select(F.upper("code").alias("__code"))
+    found = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("string").alias("code")).agg(F.count(F.lit(1)).alias("rows"))
+    return found.join(known, F.upper("code") == F.col("__code"), "left_anti")

@@ -115,13 +115,17 @@ def evaluate(
     segments: Sequence[str] = (),
     having: Column | None = None,
     parents: Mapping[str, DataFrame] | None = None,
+    scan_limit: int | None = None,
 ) -> DataFrame:
     """One row for each control and segment: segments, control, scanned_rows, violating_rows, verdict.
 
     A null segment value stays null.  ``having`` filters on the result's columns
-    before anything is rolled up.
+    before anything is rolled up.  With ``scan_limit`` only that many rows are
+    read, for a preview; a column ``coverage`` then says so.
     """
     check(df, controls)
+    if scan_limit is not None:
+        return evaluate(df.limit(scan_limit), controls, segments, having, parents).withColumn("coverage", F.lit("preview"))
     parts, fused = [], [c for c in controls if hasattr(c, "aggregates")]
     if fused:
         parts.append(_fused(df, fused, segments))
@@ -159,6 +163,28 @@ def quarantine(df: DataFrame, controls: Sequence[RowCheck]) -> tuple[DataFrame,
     return marked.where(F.size("reasons") == 0).drop("reasons"), marked.where(F.size("reasons") > 0)
 
 
+def delegate(df: DataFrame, name: str, violates, columns: Sequence[str], threshold=None) -> DataFrame:
+    """Judge rows by a Python function from a pandas frame of ``columns`` to a Boolean for each row (true: it violates).
+
+    Rows go through in Arrow batches, counted within their batch; an answer that
+    is missing counts as a violation.
+    """
+    from .controls import Threshold
+
+    def count(batches):
+        import pandas as pd
+
+        for batch in batches:
+            bad = pd.Series(violates(batch)).astype("boolean").fillna(True)
+            if len(bad) != len(batch):
+                raise ValueError(f"{name}: {len(bad)} answers for {len(batch)} rows")
+            yield pd.DataFrame({"n": [len(batch)], "bad": [int(bad.sum())]})
+
+    counts = df.select(*columns).mapInPandas(count, "n long, bad long")
+    totals = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("scanned_rows"), F.coalesce(F.sum("bad"), F.lit(0)).alias("violating_rows"))
+    return _judged(totals, RowCheck(name, F.lit(True), threshold=threshold or Threshold()), ())
+
+
 def custom_sql(spark, query: str, name: str, threshold=None, **tables: DataFrame) -> DataFrame:
     """Judge a query that returns violating_rows and, if it likes, scanned_rows."""
     from ..sources.guard import read_only

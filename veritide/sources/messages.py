@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -106,3 +108,90 @@ def fixed_width(df: DataFrame, raw: str, layout: list[tuple[str, int, int, str]]
         else:
             out[name] = packed_decimal(part, int(kind.partition(":")[2] or 0))
     return df.withColumns(out)
+
+
+#: Fixed values: (name, digits of the length prefix or 0, length) of common data elements.
+ISO8583_ELEMENTS = {
+    2: ("pan", 2, 19), 3: ("processing_code", 0, 6), 4: ("amount", 0, 12), 7: ("transmitted", 0, 10), 11: ("trace", 0, 6), 12: ("local_time", 0, 6), 13: ("local_date", 0, 4), 14: ("expiry", 0, 4),
+    18: ("merchant_type", 0, 4), 22: ("entry_mode", 0, 3), 25: ("condition", 0, 2), 32: ("acquirer", 2, 11), 35: ("track2", 2, 37), 37: ("reference", 0, 12), 38: ("approval", 0, 6),
+    39: ("response", 0, 2), 41: ("terminal", 0, 8), 42: ("merchant", 0, 15), 43: ("place", 0, 40), 49: ("currency", 0, 3),
+}
+
+
+def iso8583_fields(df: DataFrame, message: str) -> DataFrame:
+    """Adds the message type and the fields of a text message in order of its primary bitmap.
+
+    A map of element number to value; reading stops at an element that isn't
+    among the known ones, whose number is then in ``stopped_at``.
+    """
+    head = iso8583_header(df, message)
+    spec = lambda i: F.create_map(*[F.lit(x) for k, v in ISO8583_ELEMENTS.items() for x in (k, v[i])])
+    start = F.struct(F.lit(21).alias("at"), F.create_map().cast("map<int,string>").alias("m"), F.lit(None).cast("int").alias("stop"))
+
+    def step(acc: Column, e: Column) -> Column:
+        prefix, width = F.try_element_at(spec(1), e), F.try_element_at(spec(2), e)
+        size = F.when(prefix > 0, F.substring(F.col(message), acc["at"], prefix).try_cast("int")).otherwise(width)
+        known = acc["stop"].isNull() & prefix.isNotNull() & size.isNotNull() & (size <= width)
+        value = F.substring(F.col(message), acc["at"] + prefix, size)
+        read = F.struct((acc["at"] + prefix + size).alias("at"), F.map_concat(acc["m"], F.create_map(e, value)).alias("m"), acc["stop"].alias("stop"))
+        return F.when(known, read).otherwise(F.struct(acc["at"].alias("at"), acc["m"].alias("m"), F.coalesce(acc["stop"], e).alias("stop")))
+
+    walked = F.aggregate(F.filter("elements", lambda e: e > 1), start, step)
+    return head.withColumn("__w", walked).select(*df.columns, "mti", F.col("__w.m").alias("fields"), F.col("__w.stop").alias("stopped_at"))
+
+
+_ITEM = re.compile(r"^\s*(\d\d)\s+([A-Z0-9-]+)(.*?)\.?\s*$", re.IGNORECASE)
+
+
+def copybook(text: str) -> list[tuple[str, int, int, str]]:
+    """The layout for fixed_width() that a record description gives: (name, start, bytes, kind) of each elementary item.
+
+    Groups hold their items; OCCURS repeats an item or a group, with the place
+    behind the name; REDEFINES starts at the item that it names and moves nothing
+    on.  A picture that can't be read raises, as all that follows would shift.
+    """
+    rows = [m.groups() for line in text.splitlines() if not line.lstrip().startswith("*") and (m := _ITEM.match(line))]
+    rows = [(int(level), name, rest.upper()) for level, name, rest in rows if level not in ("88", "66")]
+
+    def width(rest: str) -> tuple[int, str]:
+        pic = re.search(r"\bPIC(?:TURE)?\s+(?:IS\s+)?(\S+)", rest)[1].rstrip(".")
+        flat = re.sub(r"(.)\((\d+)\)", lambda m: m[1] * int(m[2]), pic)
+        if set(flat) <= {"X"} or set(flat) <= {"A"}:
+            return len(flat), "text"
+        if not re.fullmatch(r"S?9*V?9*", flat):
+            raise ValueError(f"the picture {pic} can't be read")
+        digits, scale = flat.count("9"), len(flat.partition("V")[2])
+        if re.search(r"\b(COMP-3|COMPUTATIONAL-3|PACKED-DECIMAL)\b", rest):
+            return digits // 2 + 1, f"packed:{scale}"
+        if re.search(r"\b(COMP|BINARY|COMPUTATIONAL)\b", rest) or scale:
+            raise ValueError(f"the item {pic} is stored in a way that isn't read")
+        return digits, "zoned"
+
+    def place(i: int, end: int, start: int, suffix: str, known: dict) -> tuple[list, int]:
+        """Items i..end laid out from ``start``: (fields, the place after them)."""
+        out, at = [], start
+        while i < end:
+            level, name, rest = rows[i]
+            j = i + 1
+            while j < end and rows[j][0] > level:
+                j += 1
+            times = int(m[1]) if (m := re.search(r"\bOCCURS\s+(\d+)", rest)) else 1
+            over = re.search(r"\bREDEFINES\s+([A-Z0-9-]+)", rest)
+            if over and over[1].upper() not in known:
+                raise ValueError(f"{name} redefines {over[1]}, which stands nowhere above it")
+            here = known[over[1].upper()] if over else at
+            known[name.upper()] = here
+            for k in range(times):
+                tail = suffix + (f"_{k + 1}" if times > 1 else "")
+                if "PIC" in rest:
+                    size, kind = width(rest)
+                    out.append((name.lower().replace("-", "_") + tail, here, size, kind))
+                    here += size
+                else:
+                    inner, here = place(i + 1, j, here, tail, known)
+                    out += inner
+            at = at if over else here
+            i = j
+        return out, at
+
+    return place(0, len(rows), 1, "", {})[0]

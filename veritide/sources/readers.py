@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -128,6 +128,27 @@ def changed_since(df: DataFrame, column: str, mark, lookback_seconds: int = 0) -
     return df.where(F.col(column) >= F.lit(mark).cast("timestamp") - F.make_dt_interval(secs=F.lit(lookback_seconds)))
 
 
+def scan_scope(df: DataFrame, column: str, mark, lookback_seconds: int = 0, change_column: str | None = None, now=None, last_sweep=None, sweep_seconds: int | None = None) -> tuple[DataFrame, str]:
+    """(rows to read, coverage): full, incremental, or forward_only where a restatement would not be seen.
+
+    All rows are read without a high point or when a sweep is due; else those at
+    or after it less the lookback, and those whose ``change_column`` is.
+    """
+    due = sweep_seconds is not None and (last_sweep is None or (now - last_sweep).total_seconds() >= sweep_seconds)
+    if mark is None or due:
+        return df, "full"
+    low = F.lit(mark).cast("timestamp") - F.make_dt_interval(secs=F.lit(lookback_seconds))
+    wanted = F.col(column) >= low
+    if change_column:
+        wanted = wanted | (F.col(change_column) >= low)
+    return df.where(wanted), "incremental" if lookback_seconds or change_column else "forward_only"
+
+
+def qualified(verdict: Column, coverage: str) -> Column:
+    """A verdict said at the width at which it was established."""
+    return verdict if coverage == "full" else F.concat(verdict, F.lit(" over the rows examined"))
+
+
 def latest(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     """The newest row of each key."""
     w = Window.partitionBy(*keys).orderBy(F.desc(order))
