@@ -1,7 +1,9 @@
 """Corpus pipeline: quality, line dedup, near-dedup, personal data, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
-return the columns of ``documents``.
+return the columns of ``documents``.  A stage reads no other columns, so extra
+ones of any name do no harm; an empty table gives an empty result; rows that
+repeat others are treated each like its equals.
 """
 
 from __future__ import annotations
@@ -22,29 +24,41 @@ def _with_length(df: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that the classifier rejects; it learns outside the held-out fold."""
+    """Drop documents that the classifier rejects; it learns outside the held-out fold.
+
+    Only the text counts: a null one is kept or dropped as an empty one is, and
+    lang, source and ids may be null.  Without labels of both classes all stay.
+    """
     model = quality_model.train(docs, table(spark, sf_dir, "labels"))
     return quality_model.score(docs, model, keep=COLUMNS).where("predicted = 1").select(*COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Take repeated and nearly repeated lines out of the texts; every document stays."""
+    """Take repeated and nearly repeated lines out of the texts; every document stays.
+
+    A null text stays null; rows that repeat both doc_id and text get the same
+    result, of other repeats of a text the one with the smallest doc_id keeps it.
+    """
     return _with_length(lines.dedup(docs, keep=["lang", "source"]))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near-duplicates."""
+    """Keep one document of each group of near-duplicates.
+
+    Texts without a word, null ones included, are one group.  Rows that repeat a
+    doc_id stay or go together, and so do those without one.
+    """
     return simhash.keep_one(docs).select(*COLUMNS)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replace personal data by its kind."""
+    """Replace personal data by its kind; every document stays, and a null text stays null."""
     redacted = pii.redact(docs, ["doc_id", "lang", "source"])
     return _with_length(redacted.withColumnRenamed("redacted", "text"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences of the documents that are left."""
+    """Token sequences of the documents that are left; a null or empty text is one sequence of the end id alone."""
     return packing.pack(docs)
 
 
