@@ -84,3 +84,48 @@ def test_stages(spark, tmp_path):
         assert sorted(lengths[d]) == sorted(packing.piece_lengths(n))
     whole = cp.run(spark, folder).select("doc_id", "start", "length", "ids_crc32").collect()
     assert sorted(map(tuple, whole), key=str) == sorted(((r.doc_id, r.start, r.length, r.ids_crc32) for r in out.collect()), key=str)
+
+
+ODD = [
+    (1, "The river was cold and wide again.", "en", "s", 34), (1, "The river was cold and wide again.", "en", "s", 34), (2, None, None, None, None), (None, "The grey stone was light.", None, "s", 25),
+    (None, None, None, None, None), (3, "", "en", "s", 0), (4, "mail jo@x.org now\nmail jo@x.org now", "de", None, 35), (5, "word " * 200_000, "en", "s", 1_000_000),
+]
+
+
+def test_each_stage_on_nulls_repeats_ties_and_clashing_columns(spark, tmp_path):
+    folder = str(tmp_path)
+    spark.createDataFrame([(1, 1, 0), (4, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    clash = "score double, predicted int, mark long, numbers array<int>, fp long, kept boolean, stay_id long, text_is_null boolean, redacted string, bucket long, y int"
+    docs = spark.createDataFrame([(*r, 0.5, 1, 7, [1], 9, True, 3, False, "x", 1, 0) for r in ODD], f"{SCHEMA}, {clash}")
+    for name, stage in cp.STAGES:
+        out = stage(spark, docs, folder)
+        rows = out.collect()
+        if name == "packing":
+            whole = {}
+            for r in rows:
+                whole[r.doc_id] = whole.get(r.doc_id, 0) + r.length
+            assert set(whole) == {r[0] for r in ODD} and whole[2] == whole[3] == 1 and all(r.offset == 0 for r in rows)
+            continue
+        assert out.columns == list(cp.COLUMNS)
+        assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in rows)
+        ids = sorted(str(r.doc_id) for r in rows)
+        if name == "near_dedup":
+            # No word: 2, 3 and one row without an id; the rows without an id stay or go together.
+            assert ids.count("1") == 2 and "2" in ids and "3" not in ids and ids.count("None") in (0, 2)
+        else:
+            assert ids == sorted(str(r[0]) for r in ODD)
+        text = {str(r.doc_id): r.text for r in rows if r.doc_id is not None}
+        if name == "line_dedup":
+            assert text["4"] == "mail jo@x.org now" and text["2"] is None and text["3"] == ""
+        if name == "personal_data":
+            assert text["4"] == "mail [EMAIL] now\nmail [EMAIL] now" and text["2"] is None
+
+
+def test_each_stage_on_an_empty_table(spark, tmp_path):
+    folder = str(tmp_path)
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([], SCHEMA).write.parquet(f"{folder}/documents.parquet")
+    for name, stage in cp.STAGES:
+        out = stage(spark, spark.createDataFrame([], SCHEMA), folder)
+        assert out.count() == 0 and (name == "packing" or out.columns == list(cp.COLUMNS))
+    assert cp.run(spark, folder).count() == 0
