@@ -37,13 +37,15 @@ def _likely_keys(df: DataFrame, sets: Sequence[tuple[str, ...]], least_unique: f
 def keys(df: DataFrame, columns: Sequence[str] | None = None, most: int = 3, least_unique: float = 0.999, most_null: float = 0.05, least_rows: int = 200) -> DataFrame:
     """(key, unique_rate): minimal column sets that tell rows apart; floating columns take no part.
 
-    Sketches of all sets of a size in one scan leave the few that are counted exactly.
+    Where a size has more sets than one exact count takes, sketches of all of them
+    in one scan leave the few that are counted exactly.
     """
     names = [c for c in columns or df.columns if c not in _floats(df)]
     spark, found, rows = df.sparkSession, [], None
     for size in range(1, most + 1):
         todo = [c for c in combinations(names, size) if not any(set(k) <= set(c) for k, _ in found)]
-        todo = _likely_keys(df, todo, least_unique)
+        if len(todo) > _BATCH:
+            todo = _likely_keys(df, todo, least_unique)
         for at in range(0, len(todo), _BATCH):
             part = todo[at : at + _BATCH]
             full = [reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in cs]) for cs in part]
