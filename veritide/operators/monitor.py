@@ -11,11 +11,43 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import cut
 from .prefix import running_totals
 
 
-def _history(series: str, t: str, n: int):
-    return Window.partitionBy(series).orderBy(t).rowsBetween(-n, -1)
+#: Rows of a stretch that one task judges, however long its series is.
+STRETCH = 65_536
+
+
+def _largest(df: DataFrame, by: Sequence[str]) -> int:
+    """Rows of the largest group, counted before the shuffle."""
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+
+
+def stretches(df: DataFrame, back: int, series: str = "series", t: str = "t", size: int = STRETCH) -> DataFrame:
+    """Rows dealt to stretches of about ``size`` rows of one series, so that a hot series isn't one task.
+
+    Adds ``__stretch``, ``__i`` (the row's place in the order of its series or of
+    all series) and ``__own``: the up to ``back`` rows before a stretch are
+    repeated in front of it with ``__own`` false.  Where no series is longer than
+    ``size``, each is one stretch and rows aren't put in a global order first.
+    """
+    size = max(size, back)
+    if _largest(df, [series]) <= size:
+        return df.withColumns({"__i": F.col(t), "__stretch": F.lit(0).cast("long"), "__own": F.lit(True)})
+    placed = running_totals(df.withColumn("__one", F.lit(1)), [series, t], ["__one"]).withColumn("__i", F.col("total___one").cast("long")).drop("__one", "total___one")
+    at = F.floor((F.col("__i") - 1) / size)
+    ends = (F.col("__i") - 1) % size >= size - back
+    to = F.array_compact(F.array(F.struct(at.alias("s"), F.lit(True).alias("own")), F.when(ends, F.struct((at + 1).alias("s"), F.lit(False).alias("own")))))
+    out = placed.withColumn("__to", F.explode(to))
+    return out.withColumn("__stretch", F.col("__to.s")).withColumn("__own", F.col("__to.own")).drop("__to")
+
+
+def _gathered(df: DataFrame, name: str, value: Column, first: int, last: int, series: str = "series", t: str = "t", size: int = STRETCH) -> DataFrame:
+    """Adds ``name``: the values of the rows from ``first`` to ``last`` places off, oldest first."""
+    w = Window.partitionBy(series, "__stretch").orderBy("__i").rowsBetween(first, last)
+    dealt = stretches(df, -first, series, t, size).withColumn(name, F.collect_list(value).over(w))
+    return dealt.where("__own").drop("__stretch", "__i", "__own")
 
 
 def _median(a: Column) -> Column:
@@ -28,7 +60,7 @@ def _median(a: Column) -> Column:
 
 def with_history(df: DataFrame, n: int = 60, series: str = "series", t: str = "t", value: str = "value") -> DataFrame:
     """Adds ``history``: up to n values before each row, oldest first."""
-    return df.withColumn("history", F.collect_list(F.col(value).cast("double")).over(_history(series, t, n)))
+    return _gathered(df, "history", F.col(value).cast("double"), -n, -1, series, t)
 
 
 def robust_deviation(df: DataFrame, n: int = 60, least: int = 10, value: str = "value") -> DataFrame:
@@ -82,8 +114,7 @@ def local_outlier(df: DataFrame, n: int = 60, k: int = 5, least: int = 10, value
 
 def shape_distance(df: DataFrame, width: int = 7, n: int = 56, value: str = "value") -> DataFrame:
     """Adds ``score``: distance of the last ``width`` values, standardised, to the nearest earlier stretch of that length."""
-    w = Window.partitionBy("series").orderBy("t").rowsBetween(-(width + n - 1), 0)
-    h = df.withColumn("all", F.collect_list(F.col(value).cast("double")).over(w))
+    h = _gathered(df, "all", F.col(value).cast("double"), -(width + n - 1), 0)
 
     def standard(a: Column) -> Column:
         mean = F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.size(a)
@@ -172,47 +203,78 @@ def wasserstein(reference: DataFrame, current: DataFrame, value: str = "value")
 
 def conformal_p(df: DataFrame, n: int = 200, least: int = 20, half_life: float | None = None, score: str = "score") -> DataFrame:
     """Adds ``p``: the weighted share of earlier scores at least as large; null, so no alert, before ``least`` scores."""
-    w = Window.partitionBy("series").orderBy("t").rowsBetween(-n, -1)
-    h = df.withColumn("past", F.collect_list(F.col(score)).over(w))
-    age = lambda i: F.size("past") - i
-    weight = (lambda i: F.pow(F.lit(0.5), age(i) / half_life)) if half_life else (lambda i: F.lit(1.0))
-    pairs = F.transform("past", lambda s, i: F.struct(weight(i).alias("w"), (s >= F.col(score)).alias("up")))
-    above = F.aggregate(pairs, F.lit(0.0), lambda a, x: a + F.when(x["up"], x["w"]).otherwise(0.0))
-    total = F.aggregate(pairs, F.lit(0.0), lambda a, x: a + x["w"])
+    h = _gathered(df, "past", F.col(score), -n, -1)
+    if half_life:
+        pairs = F.transform("past", lambda s, i: F.struct(F.pow(F.lit(0.5), (F.size("past") - i) / half_life).alias("w"), (s >= F.col(score)).alias("up")))
+        above = F.aggregate(pairs, F.lit(0.0), lambda a, x: a + F.when(x["up"], x["w"]).otherwise(0.0))
+        total = F.aggregate(pairs, F.lit(0.0), lambda a, x: a + x["w"])
+    else:
+        above, total = F.size(F.filter("past", lambda s: s >= F.col(score))), F.size("past")
     return h.withColumn("p", F.when((F.size("past") >= least) & F.col(score).isNotNull(), (above + 1) / (total + 1))).drop("past")
 
 
+def _harmonic(m: Column) -> Column:
+    """1 + 1/2 + ... + 1/m; beyond 1,000 by its expansion, whose error is then below 1e-14."""
+    x = m.cast("double")
+    short = F.aggregate(F.sequence(F.lit(1), F.least(m, F.lit(1000)).cast("int")), F.lit(0.0), lambda a, i: a + 1 / i)
+    return F.when(m <= 1000, short).otherwise(F.log(x) + 0.5772156649015329 + 1 / (2 * x) - 1 / (12 * x * x))
+
+
+def _ranks(df: DataFrame, by: Sequence[str], size: int = STRETCH) -> DataFrame:
+    """(by, p, k, m): each different p-value of a group with the last of its ranks and the size of the group.
+
+    Equal p-values are counted together first.  Where a group holds more than
+    ``size`` values, ranks are summed range by range, so that it isn't one task.
+    """
+    keys = [F.col(c).alias(f"__g{i}") for i, c in enumerate(by)]
+    names = [f"__g{i}" for i in range(len(by))]
+    counts = df.where("p is not null").groupBy(*keys, "p").agg(F.count(F.lit(1)).alias("n"))
+    if _largest(df, by) <= size:
+        w = Window.partitionBy(*names)
+        upto = w.orderBy("p").rowsBetween(Window.unboundedPreceding, 0)
+        return counts.select(*names, "p", F.sum("n").over(upto).alias("k"), F.sum("n").over(w).alias("m"))
+    total = running_totals(counts, [*names, "p"], ["n"])
+    extent = total.groupBy(*names).agg(F.min(F.col("total_n") - F.col("n")).alias("before"), F.sum("n").alias("m"))
+    extent = extent.select(*[F.col(c).alias(f"__e{i}") for i, c in enumerate(names)], "before", "m")
+    ranked = total.join(extent, _same(len(by), "__g", "__e")) if by else total.join(F.broadcast(extent))
+    return ranked.select(*names, "p", (F.col("total_n") - F.col("before")).cast("long").alias("k"), F.col("m").cast("long").alias("m"))
+
+
+def _same(n: int, a: str, b: str) -> Column:
+    on = F.lit(True)
+    for i in range(n):
+        on = on & F.col(f"{a}{i}").eqNullSafe(F.col(f"{b}{i}"))
+    return on
+
+
+def _step_up(df: DataFrame, by: Sequence[str], level: Column) -> DataFrame:
+    """Adds ``selected``: p at or below the largest p with p <= level * k / m in its group, where there is one."""
+    cuts = _ranks(df, by).where(F.col("p") <= level * F.col("k") / F.col("m"))
+    names = [f"__g{i}" for i in range(len(by))]
+    cuts = cuts.groupBy(*names).agg(F.max("p").alias("__cut"))
+    keyed = df.withColumns({f"__k{i}": F.col(c) for i, c in enumerate(by)}) if by else df
+    joined = keyed.join(cuts, _same(len(by), "__k", "__g"), "left") if by else keyed.join(F.broadcast(cuts))
+    return joined.withColumn("selected", F.coalesce(F.col("p") <= F.col("__cut"), F.lit(False))).drop("__cut", *names, *[f"__k{i}" for i in range(len(by))])
+
+
 def select_alerts(df: DataFrame, alpha: float = 0.05, by: Sequence[str] = (), dependent: bool = False) -> DataFrame:
     """Adds ``selected`` by the step-up rule on p-values within each group; with ``dependent``, its stricter form."""
-    known = df.where("p is not null")
-    w = Window.partitionBy(*by).orderBy("p")
-    whole = Window.partitionBy(*by)
-    ranked = known.withColumn("k", F.row_number().over(w)).withColumn("m", F.count(F.lit(1)).over(whole))
     level = F.lit(alpha)
-    if dependent:
-        level = level / F.aggregate(F.sequence(F.lit(1), F.col("m").cast("int")), F.lit(0.0), lambda a, i: a + 1 / i)
-    cut = F.max(F.when(F.col("p") <= level * F.col("k") / F.col("m"), F.col("p"))).over(whole)
-    picked = ranked.withColumn("selected", F.coalesce(F.col("p") <= cut, F.lit(False))).drop("k", "m")
-    return picked.unionByName(df.where("p is null").withColumn("selected", F.lit(False)))
+    return _step_up(df, by, level / _harmonic(F.col("m")) if dependent else level)
 
 
 def simes(df: DataFrame, by: Sequence[str]) -> DataFrame:
     """Family p-value: the smallest p_k * m / k."""
-    w = Window.partitionBy(*by).orderBy("p")
-    ranked = df.where("p is not null").withColumn("k", F.row_number().over(w)).withColumn("m", F.count(F.lit(1)).over(Window.partitionBy(*by)))
-    return ranked.groupBy(*by).agg(F.least(F.min(F.col("p") * F.col("m") / F.col("k")), F.lit(1.0)).alias("p"), F.count(F.lit(1)).alias("members"))
+    names = [F.col(f"__g{i}").alias(c) for i, c in enumerate(by)]
+    return _ranks(df, by).groupBy(*names).agg(F.least(F.min(F.col("p") * F.col("m") / F.col("k")), F.lit(1.0)).alias("p"), F.max("m").alias("members"))
 
 
 def hierarchical(df: DataFrame, family: str, alpha: float = 0.05) -> DataFrame:
     """Families first, by their Simes p-values; members then, within selected families, at a level shrunk by the families' share."""
-    families = select_alerts(simes(df, [family]), alpha)
-    share = families.agg((F.count_if("selected") / F.count(F.lit(1))).alias("share"))
-    members = df.join(families.where("selected").select(family), family).join(F.broadcast(share))
-    w = Window.partitionBy(family).orderBy("p")
-    whole = Window.partitionBy(family)
-    ranked = members.where("p is not null").withColumn("k", F.row_number().over(w)).withColumn("m", F.count(F.lit(1)).over(whole))
-    cut = F.max(F.when(F.col("p") <= alpha * F.col("share") * F.col("k") / F.col("m"), F.col("p"))).over(whole)
-    return ranked.withColumn("selected", F.coalesce(F.col("p") <= cut, F.lit(False))).drop("k", "m", "share")
+    families = cut(select_alerts(simes(df, [family]), alpha))
+    share = families.agg((F.count_if("selected") / F.count(F.lit(1))).alias("share")).first()["share"] or 0.0
+    members = df.where("p is not null").join(families.where("selected").select(family), family)
+    return _step_up(members, [family], F.lit(alpha * share))
 
 
 def adaptive_level(alerts: DataFrame, target: float = 0.05, step: float = 0.01, chunk: int = 4096) -> DataFrame:

@@ -48,14 +48,25 @@ def _(t, spark):
     return monitor.forecast_residual(daily(t)).select("series", "t", F.round(F.coalesce("forecast", F.lit(-1.0)), 6).alias("forecast"))
 
 
-@query("local_outlier")
+@query("local_outlier", f"""WITH a AS ({HISTORY}),
+   b AS (SELECT *, list_median(list_transform(h, lambda x: list_sum(list_slice(list_sort(list_transform(h, lambda y: abs(y - x))), 2, 6)) / 5)) AS typical,
+     list_sum(list_slice(list_sort(list_transform(h, lambda y: abs(y - value))), 1, 5)) / 5 AS mine FROM a)
+   SELECT series, t, value, round(CASE WHEN len(h) >= 10 THEN CASE WHEN typical > 0 THEN mine / typical WHEN mine = 0 THEN 1 ELSE 'Infinity'::DOUBLE END ELSE -1 END, 6) AS score FROM b""")
 def _(t, spark):
-    return monitor.local_outlier(daily(t))
+    return rounded(monitor.local_outlier(daily(t)).withColumn("score", F.coalesce("score", F.lit(-1.0))), "score")
 
 
-@query("shape_distance")
+def _standard(a: str) -> str:
+    return f"CASE WHEN list_aggregate({a}, 'var_pop') > 0 THEN list_transform({a}, lambda x: (x - list_avg({a})) / sqrt(list_aggregate({a}, 'var_pop'))) ELSE list_transform({a}, lambda x: 0) END"
+
+
+@query("shape_distance", f"""WITH a AS (SELECT series, t, value, list(value) OVER (PARTITION BY series ORDER BY t ROWS BETWEEN 23 PRECEDING AND CURRENT ROW) AS h FROM {DAILY}),
+   s AS (SELECT series, t, unnest(range(1, len(h) - 6)) AS i, h FROM a WHERE len(h) >= 11), p AS (SELECT series, t, list_slice(h, i, i + 3) AS one, list_slice(h, len(h) - 3, len(h)) AS two FROM s),
+   z AS (SELECT series, t, {_standard("one")} AS one, {_standard("two")} AS two FROM p),
+   d AS (SELECT series, t, min(sqrt((one[1] - two[1]) ** 2 + (one[2] - two[2]) ** 2 + (one[3] - two[3]) ** 2 + (one[4] - two[4]) ** 2)) AS score FROM z GROUP BY 1, 2)
+   SELECT a.series, a.t, a.value, round(coalesce(d.score, -1), 6) AS score FROM a LEFT JOIN d USING (series, t)""")
 def _(t, spark):
-    return monitor.shape_distance(daily(t), width=4, n=20)
+    return rounded(monitor.shape_distance(daily(t), width=4, n=20).withColumn("score", F.coalesce("score", F.lit(-1.0))), "score")
 
 
 @query("changepoint", """WITH s AS (SELECT CAST(user_id % 3 AS VARCHAR) AS series, event_id AS t, value + CASE WHEN event_id > 6000 THEN 500 ELSE 0 END AS v FROM events),
@@ -150,10 +161,11 @@ def _(t, spark):
     return monitor.calibration(ps(t)).select("level", "n", F.round("rate", 6).alias("rate"))
 
 
-@query("adaptive_level")
+@query("adaptive_level", """SELECT event_type AS series, round(list_reduce(list_prepend(0.05::DOUBLE, list(CASE WHEN event_id % 20 = 0 THEN 1 ELSE 0 END::DOUBLE ORDER BY event_id)),
+   lambda level, alert: greatest(0, least(1, level + 0.01 * (0.05 - alert)))), 6) AS level FROM events GROUP BY 1""")
 def _(t, spark):
     alerts = t("events").select(F.col("event_type").alias("series"), F.col("event_id").alias("t"), (F.col("event_id") % 20 == 0).cast("int").alias("alert"))
-    return monitor.adaptive_level(alerts)
+    return rounded(monitor.adaptive_level(alerts), "level")
 
 
 @query("seasonal_groups", """WITH d AS (SELECT event_type AS series, CAST(ts AS DATE) AS t FROM events GROUP BY 1, 2), e AS (SELECT *, (isodow(t) - 1) AS wd, CASE WHEN isodow(t) <= 5 THEN 'workday' ELSE 'weekend' END AS k FROM d),
