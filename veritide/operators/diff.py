@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -57,6 +57,19 @@ def column_changes(diff: DataFrame) -> DataFrame:
     return diff.select(F.explode("columns").alias("column")).groupBy("column").agg(F.count(F.lit(1)).alias("keys"))
 
 
+def examples(diff: DataFrame, keys: Sequence[str], n: int = 100) -> DataFrame:
+    """The first ``n`` keys of each change, by key; Spark limits each partition to ``n`` of a kind before the shuffle (for n up to 1,000)."""
+    w = Window.partitionBy("change").orderBy(*keys)
+    return diff.where("change <> 'unchanged'").withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= n).drop("__n")
+
+
+def selector_drift(approved: DataFrame, now: DataFrame) -> DataFrame:
+    """(selector, attribute, change): attributes that a selector takes in or leaves out since it was approved."""
+    pair = lambda df, side: df.select("selector", "attribute").distinct().withColumn("__s", F.lit(side))
+    sides = pair(approved, 1).unionByName(pair(now, 2)).groupBy("selector", "attribute").agg(F.sum("__s").alias("__s"))
+    return sides.where("__s < 3").select("selector", "attribute", F.when(F.col("__s") == 2, "added").otherwise("removed").alias("change"))
+
+
 def keyless_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     """(change, rows): distinct rows only in the old table, only in the new one, and in both."""
     columns = [c for c in old.columns if c in new.columns]

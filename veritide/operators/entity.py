@@ -55,8 +55,8 @@ class Field:
         return F.when(agreement == 1, yes).when(agreement == 0, no).otherwise(0.0)
 
 
-def blocked_pairs(df: DataFrame, record: str, keys: Mapping[str, Column], largest: int = 1000) -> tuple[DataFrame, DataFrame]:
-    """(pairs a < b that share some key, keys of more than ``largest`` records).
+def _met(df: DataFrame, record: str, keys: Mapping[str, Column], largest: int) -> tuple[DataFrame, DataFrame]:
+    """((rule, a, b) of records a < b that share a key, keys of more than ``largest`` records).
 
     Every block is compared whole.  One of more than ``largest`` records is cut
     into sub-blocks, and each pair of these is a join key of its own, so that no
@@ -78,7 +78,32 @@ def blocked_pairs(df: DataFrame, record: str, keys: Mapping[str, Column], larges
     left = placed.where("mine = p").select(*group, "id")
     right = placed.where("mine = q").select(*group, F.col("id").alias("other"))
     met = left.join(right, group).where((F.col("p") < F.col("q")) | (F.col("id") < F.col("other")))
-    return met.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct(), wide
+    return met.select("rule", F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")), wide
+
+
+def blocked_pairs(df: DataFrame, record: str, keys: Mapping[str, Column], largest: int = 1000) -> tuple[DataFrame, DataFrame]:
+    """(pairs a < b that share some key, keys of more than ``largest`` records); every block is compared whole."""
+    met, wide = _met(df, record, keys, largest)
+    return met.select("a", "b").distinct(), wide
+
+
+def rule_yield(df: DataFrame, record: str, keys: Mapping[str, Column], largest: int = 1000) -> DataFrame:
+    """(rule, pairs, fresh, verdict): what each blocking rule adds to those before it.
+
+    fresh counts pairs that no rule before it brings together.  A rule without
+    pairs is useless, one without fresh pairs redundant: useful if another goes.
+    """
+    met, _ = _met(df, record, keys, largest)
+    order = {name: i for i, name in enumerate(keys)}
+    if len(order) > 62:
+        raise ValueError("at most 62 rules")
+    bit = reduce(lambda c, kv: c.when(F.col("rule") == kv[0], 1 << kv[1]), order.items(), F.when(F.lit(False), 0)).cast("long")
+    by_pair = met.groupBy("a", "b").agg(F.bit_or(bit).alias("rules"))
+    has = lambda i: F.col("rules").bitwiseAND(F.lit(1 << i)) != 0
+    before = lambda i: F.col("rules").bitwiseAND(F.lit((1 << i) - 1)) != 0
+    counts = by_pair.agg(*[c for i in order.values() for c in (F.count_if(has(i)).alias(f"p{i}"), F.count_if(has(i) & ~before(i)).alias(f"f{i}"))])
+    rows = counts.select(F.inline(F.array(*[F.struct(F.lit(n).alias("rule"), F.col(f"p{i}").alias("pairs"), F.col(f"f{i}").alias("fresh")) for n, i in order.items()])))
+    return rows.withColumn("verdict", F.when(F.col("pairs") == 0, "useless").when(F.col("fresh") == 0, "redundant").otherwise("needed"))
 
 
 def agreements(pairs: DataFrame, df: DataFrame, record: str, fields: Sequence[Field]) -> DataFrame:

@@ -79,6 +79,24 @@ def shift(df: DataFrame, cal: DataFrame, day: str, by: int) -> DataFrame:
     return df.join(F.broadcast(at), F.col(day) == F.col("__d"), "left").join(F.broadcast(to), F.col("__n") + by == F.col("__t"), "left").drop("__d", "__n", "__t")
 
 
+def expected_at(day, at: str, zone: str) -> Column:
+    """The instant in UTC, without a zone, at which something due at a local time of day is due."""
+    local = F.to_timestamp_ntz(F.concat_ws(" ", F.date_format(day, "yyyy-MM-dd"), F.lit(at)), F.lit("yyyy-MM-dd HH:mm:ss"))
+    return F.convert_timezone(F.lit(zone), F.lit("UTC"), local)
+
+
+def business_dates(df: DataFrame, cal: DataFrame, ts: str, zone: str, boundary: str = "00:00:00") -> DataFrame:
+    """Adds ``business_date``: the business day that an instant (UTC, without a zone) belongs to.
+
+    A local day begins at ``boundary``; what falls on a day off belongs to the
+    business day before.
+    """
+    local = F.convert_timezone(F.lit("UTC"), F.lit(zone), F.col(ts).cast("timestamp_ntz"))
+    early = F.date_format(local, "HH:mm:ss") < boundary
+    day = F.date_sub(F.to_date(local), F.when(early, 1).otherwise(0))
+    return shift(df.withColumn("__day", day), cal, "__day", 0).withColumnRenamed("shifted", "business_date").drop("__day")
+
+
 def arrivals(expected: DataFrame, files: DataFrame, early_minutes: int = 60) -> DataFrame:
     """Status of each expected day and of each file that nobody expects.
 

@@ -146,6 +146,15 @@ def changepoint(df: DataFrame, least: int = 20, value: str = "value") -> DataFra
     return ok.groupBy("series").agg(F.max_by("t", F.struct("strength", -F.col("i"))).alias("t"), F.max("strength").alias("strength"))
 
 
+def since_accepted(df: DataFrame, accepted: DataFrame) -> DataFrame:
+    """The points of each series from its last accepted break on; what came before says nothing about the new regime.
+
+    accepted: series, at (the t from which the new regime holds).
+    """
+    last = accepted.groupBy(F.col("series").alias("__s")).agg(F.max("at").alias("__at"))
+    return df.join(last, F.col("series") == F.col("__s"), "left").where(F.col("__at").isNull() | (F.col("t") >= F.col("__at"))).drop("__s", "__at")
+
+
 # Drift between a reference and a current sample of one number.
 
 

@@ -28,14 +28,24 @@ def composite(scores: DataFrame, tiers: Mapping[str, float], how: str = "weighte
     return each.groupBy("dataset").agg(F.try_divide(F.sum(F.col("s") * w), F.sum(w)).alias("score"))
 
 
-def scorecard(results: DataFrame, by: Sequence[str] = ("dataset",)) -> DataFrame:
+def _card(grouped) -> DataFrame:
     of = lambda v: F.count_if(F.col("verdict") == v)
-    return results.groupBy(*by).agg(
+    return grouped.agg(
         F.count(F.lit(1)).alias("controls"), of("pass").alias("passed"), of("fail").alias("failed"), of("indeterminate").alias("unjudged"),
         F.try_divide(of("pass").cast("double"), of("pass") + of("fail")).alias("pass_rate"),
     )
 
 
+def scorecard(results: DataFrame, by: Sequence[str] = ("dataset",)) -> DataFrame:
+    return _card(results.groupBy(*by))
+
+
+def estate(results: DataFrame, whole: str = "(all)") -> DataFrame:
+    """A card for each dataset and one, named ``whole``, for all of them; results of no dataset are left out."""
+    cards = _card(results.where("dataset is not null").rollup("dataset"))
+    return cards.withColumn("dataset", F.coalesce("dataset", F.lit(whole)))
+
+
 def service_level(results: DataFrame, objective: float, by: Sequence[str] = ("dataset",)) -> DataFrame:
     """Attained share, error budget and how much of it is used up."""
     attained = 1 - F.try_divide(F.sum("violating_rows").cast("double"), F.sum("scanned_rows"))

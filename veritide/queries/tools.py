@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import functions as F
 
-from ..operators import lineage, mining, monitor, profile, reconcile
+from ..operators import diff, entity, feeds, lineage, mining, monitor, profile, reconcile, score
 from ..plans import imports, suite
 from ..sources import readers
+from . import movement, series
 from .catalogue import query
 
 DBT = {
@@ -302,3 +305,54 @@ def _(t, spark):
         F.when(F.col("n_nationkey") < 15, F.concat(F.lit("m"), (F.col("n_nationkey") % 5).cast("string"))).alias("concept"), F.lit("t").alias("term"), F.lit("s").alias("semantic_type"),
     )
     return mining.meaning_groups(a)
+
+
+# Rules that add nothing, cards of an estate, local times, accepted breaks, examples of changes, drift of selectors.
+
+@query("blocking_rule_yield", """WITH c AS (SELECT c_custkey AS id, c_mktsegment || c_nationkey AS k1, c_mktsegment || c_nationkey || (c_custkey % 2) AS k2, c_nationkey || '/' || floor(c_acctbal / 1000) AS k3, c_name AS k4 FROM customer),
+   r AS (SELECT id, unnest([1, 2, 3, 4]) AS i, unnest([k1, k2, k3, k4]) AS k FROM c), p AS (SELECT a.id AS a, b.id AS b, a.i FROM r a JOIN r b ON a.i = b.i AND a.k = b.k AND a.id < b.id),
+   m AS (SELECT i, min(i) OVER (PARTITION BY a, b) AS first FROM p), n AS (SELECT i, count(*) AS pairs, count(*) FILTER (WHERE i = first) AS fresh FROM m GROUP BY 1)
+   SELECT ['segment', 'half', 'balance', 'name'][t.i] AS rule, coalesce(pairs, 0) AS pairs, coalesce(fresh, 0) AS fresh, CASE WHEN coalesce(pairs, 0) = 0 THEN 'useless' WHEN fresh = 0 THEN 'redundant' ELSE 'needed' END AS verdict
+   FROM (SELECT unnest([1, 2, 3, 4]) AS i) t LEFT JOIN n USING (i)""")
+def _(t, spark):
+    segment = F.concat("c_mktsegment", F.col("c_nationkey").cast("string"))
+    half = F.concat(segment, (F.col("c_custkey") % 2).cast("string"))
+    balance = F.concat_ws("/", "c_nationkey", F.floor(F.col("c_acctbal") / 1000))
+    return entity.rule_yield(t("customer"), "c_custkey", {"segment": segment, "half": half, "balance": balance, "name": F.col("c_name")})
+
+
+@query("estate_scorecard", f"""SELECT coalesce(dataset, '(all)') AS dataset, count(*) AS controls, count(*) FILTER (WHERE violating_rows = 0) AS passed, count(*) FILTER (WHERE violating_rows > 0) AS failed, 0 AS unjudged,
+   round(count(*) FILTER (WHERE violating_rows = 0) / count(*), 6) AS pass_rate FROM {movement.RESULTS} GROUP BY ROLLUP (dataset)""")
+def _(t, spark):
+    judged = movement.results(t).withColumn("verdict", F.when(F.col("violating_rows") == 0, "pass").otherwise("fail"))
+    return score.estate(judged).withColumn("pass_rate", F.round("pass_rate", 6))
+
+
+@query("business_dates", """WITH l AS (SELECT timezone('America/New_York', timezone('UTC', ts)) AS local FROM events), d AS (SELECT CAST(local - INTERVAL 3 HOUR AS DATE) AS day FROM l),
+   b AS (SELECT day - CAST(greatest(isodow(day) - 5, 0) AS INTEGER) AS day FROM d)
+   SELECT CAST(day AS VARCHAR) AS business_date, CAST(timezone('UTC', timezone('America/New_York', day + TIME '06:30:00')) AS VARCHAR) AS due, count(*) AS n FROM b GROUP BY 1, 2""")
+def _(t, spark):
+    events = t("events")
+    first, last = events.agg(F.min(F.to_date("ts")), F.max(F.to_date("ts"))).first()
+    cal = feeds.calendar(spark, date(first.year - 1, 12, 1), date(last.year + 1, 1, 31))
+    due = F.date_format(feeds.expected_at("business_date", "06:30:00", "America/New_York"), "yyyy-MM-dd HH:mm:ss")
+    return feeds.business_dates(events.select("ts"), cal, "ts", "America/New_York", "03:00:00").groupBy(F.col("business_date").cast("string").alias("business_date"), due.alias("due")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("accepted_breaks", f"""SELECT d.* FROM {series.DAILY} d LEFT JOIN (SELECT event_type AS series, max(CAST(CAST(ts AS DATE) AS VARCHAR)) AS at FROM events WHERE event_id % 97 = 0 AND ts < TIMESTAMP '2024-01-15' GROUP BY 1) a USING (series) WHERE a.at IS NULL OR d.t >= a.at""")
+def _(t, spark):
+    accepted = t("events").where("event_id % 97 = 0 and ts < timestamp_ntz'2024-01-15'").select(F.col("event_type").alias("series"), F.to_date("ts").cast("string").alias("at"))
+    return monitor.since_accepted(series.daily(t), accepted)
+
+
+@query("row_diff_examples", f"SELECT * FROM ({movement.ROW_DIFF}) WHERE change <> 'unchanged' QUALIFY row_number() OVER (PARTITION BY change ORDER BY o_orderkey) <= 20")
+def _(t, spark):
+    found = diff.row_diff(t("orders").select(*movement.COLUMNS), movement.new_orders(t), ["o_orderkey"])
+    return diff.examples(found, ["o_orderkey"], 20).withColumn("columns", F.array_join("columns", ","))
+
+
+@query("selector_drift", """WITH a AS (SELECT DISTINCT p_brand AS selector, p_type || p_size AS attribute FROM part WHERE p_size > 20), b AS (SELECT DISTINCT p_brand AS selector, p_type || p_size AS attribute FROM part WHERE p_size > 10 AND p_size <= 40)
+   SELECT *, 'removed' AS change FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT *, 'added' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)""")
+def _(t, spark):
+    part = t("part").select(F.col("p_brand").alias("selector"), F.concat("p_type", F.col("p_size").cast("string")).alias("attribute"), "p_size")
+    return diff.selector_drift(part.where("p_size > 20"), part.where("p_size > 10 and p_size <= 40"))
