@@ -132,14 +132,15 @@ def shape_distance(df: DataFrame, width: int = 7, n: int = 56, value: str = "val
 
 
 def changepoint(df: DataFrame, least: int = 20, value: str = "value") -> DataFrame:
-    """(series, t, strength): the break that best splits each series: largest difference of means over the spread."""
-    w = Window.partitionBy("series").orderBy("t")
-    whole = Window.partitionBy("series")
-    v = F.col(value).cast("double")
-    s = df.select(
-        "series", "t", F.row_number().over(w).alias("i"), F.count(F.lit(1)).over(whole).alias("n"),
-        F.sum(v).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("head"), F.sum(v).over(whole).alias("total"), F.stddev_pop(v).over(whole).alias("spread"),
-    )
+    """(series, t, strength): the break that best splits each series: largest difference of means over the spread.
+
+    Points without a value take no part.  Means on both sides come from running
+    totals, so a long series is many tasks.
+    """
+    points = df.select("series", "t", F.col(value).cast("double").alias("v"), F.lit(1).alias("one")).where("v is not null")
+    whole = points.groupBy(F.col("series").alias("__s")).agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("total"), F.stddev_pop("v").alias("spread"))
+    run = running_totals(points, ["t"], ["one", "v"], within=["series"])
+    s = run.join(whole, F.col("series").eqNullSafe(F.col("__s"))).withColumnsRenamed({"total_one": "i", "total_v": "head"})
     gap = F.abs(F.col("head") / F.col("i") - (F.col("total") - F.col("head")) / F.nullif(F.col("n") - F.col("i"), F.lit(0)))
     strength = F.try_divide(gap, F.col("spread"))
     ok = s.where((F.col("i") >= least) & (F.col("n") - F.col("i") >= least)).withColumn("strength", strength).where("strength is not null")
@@ -242,11 +243,11 @@ def _ranks(df: DataFrame, by: Sequence[str], size: int = STRETCH) -> DataFrame:
         w = Window.partitionBy(*names)
         upto = w.orderBy("p").rowsBetween(Window.unboundedPreceding, 0)
         return counts.select(*names, "p", F.sum("n").over(upto).alias("k"), F.sum("n").over(w).alias("m"))
-    total = running_totals(counts, [*names, "p"], ["n"])
-    extent = total.groupBy(*names).agg(F.min(F.col("total_n") - F.col("n")).alias("before"), F.sum("n").alias("m"))
-    extent = extent.select(*[F.col(c).alias(f"__e{i}") for i, c in enumerate(names)], "before", "m")
+    total = running_totals(counts, ["p"], ["n"], within=names)
+    extent = total.groupBy(*names).agg(F.sum("n").alias("m"))
+    extent = extent.select(*[F.col(c).alias(f"__e{i}") for i, c in enumerate(names)], "m")
     ranked = total.join(extent, _same(len(by), "__g", "__e")) if by else total.join(F.broadcast(extent))
-    return ranked.select(*names, "p", (F.col("total_n") - F.col("before")).cast("long").alias("k"), F.col("m").cast("long").alias("m"))
+    return ranked.select(*names, "p", F.col("total_n").cast("long").alias("k"), "m")
 
 
 def _same(n: int, a: str, b: str) -> Column:

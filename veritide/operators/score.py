@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .prefix import running_totals
+
 
 def dimension_scores(results: DataFrame, by: Sequence[str] = ("dataset", "dimension")) -> DataFrame:
     """Share of scanned rows that pass; results that scanned nothing take no part."""
@@ -58,6 +60,6 @@ def least_trusted(trust: DataFrame, n: int) -> DataFrame:
 
 
 def admit(work: DataFrame, budget: float, group: str) -> DataFrame:
-    """Work (group, item, priority, cost) taken by priority until each group's budget is used up."""
-    w = Window.partitionBy(group).orderBy(F.desc("priority"), "item").rowsBetween(Window.unboundedPreceding, 0)
-    return work.withColumn("spent", F.sum("cost").over(w)).withColumn("admitted", F.col("spent") <= budget)
+    """Work (group, item, priority, cost) taken by priority until each group's budget is used up; a large group is many tasks."""
+    spent = running_totals(work, [F.desc("priority"), "item"], ["cost"], within=[group])
+    return spent.withColumnRenamed("total_cost", "spent").withColumn("admitted", F.col("spent") <= budget)
