@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -33,6 +34,45 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Scratch:
+    """Intermediate tables, as Parquet, in a folder of their own below the checkpoint folder.
+
+    A table that is read back loses its lineage, and later steps read only the
+    columns they need.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark = spark
+        self.folder = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{self.folder}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{name}")
+
+    def drop(self, *names: str) -> None:
+        """Remove tables that nothing will read again."""
+        jvm = self.spark.sparkContext._jvm
+        for name in names:
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str, rows: str, how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right`` on ``key``, where a few keys may hold most of ``left``.
+
+    ``right`` has one row for each key; its column ``rows`` says how many rows of
+    ``left`` have that key.  Keys with more than a thousandth of the sum are fewer
+    than a thousand; those are broadcast, the others are shuffled.  ``how`` is
+    "inner" or "left"; keys aren't null.
+    """
+    total = right.agg(F.sum(rows)).first()[0] or 0
+    heavy = F.col(rows) * 1000 > total
+    hot = right.where(heavy)
+    of_hot = left.join(F.broadcast(hot), key)
+    others = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(right.where(~heavy), key, how)
+    return of_hot.unionByName(others)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
