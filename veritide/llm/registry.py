@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import embeddings, lines, packing, pages, pieces, pii, quality_model, quality_rules, secrets, simhash, sql
+from . import embeddings, filter_audit, lines, packing, pages, pieces, pii, quality_model, quality_rules, secrets, simhash, sql, vector_codes
 
 
 def queries() -> dict:
@@ -19,6 +19,8 @@ def queries() -> dict:
         "op8_simhash": simhash.op8_simhash,
         "op9_pii": pii.op9_pii,
         "op10_main_text": pages.op10_main_text,
+        "op11_filter_audit": filter_audit.op11_filter_audit,
+        "op12_vector_codes": vector_codes.op12_vector_codes,
         "pipeline": corpus_pipeline.run,
     }
 

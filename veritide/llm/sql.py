@@ -45,4 +45,46 @@ LINES = """WITH docs AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls
   SELECT d.doc_id, CAST(len(ls) AS BIGINT) AS n_lines, coalesce(n, 0) AS n_removed, CAST(length(coalesce(k.text, '')) AS BIGINT) AS n_chars, sha256(coalesce(k.text, '')) AS text_sha256
   FROM docs d LEFT JOIN kept k USING (doc_id) LEFT JOIN n USING (doc_id)"""
 
-ORACLE: dict[str, str] = {"op3_secrets": secrets_sql(), "op6_line_dedup": LINES}
+AUDIT = r"""WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first FROM documents),
+  w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words FROM d),
+  f AS (SELECT doc_id, part, concat(CASE WHEN len(words) < 100 THEN 'A' END, CASE WHEN 100 * len(list_distinct(words)) < 80 * len(words) THEN 'B' END,
+          CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) THEN 'C' END, CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' END,
+          CASE WHEN doc_id > first THEN 'E' END) AS fails FROM w),
+  l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+  n AS (SELECT part, fails, coalesce(good, FALSE) AS good, coalesce(toxic, FALSE) AS toxic, count(*) AS n FROM f LEFT JOIN l USING (doc_id) GROUP BY ALL),
+  c AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c),
+  o AS (SELECT concat(a.c, b.c, d.c, e.c, g.c) AS filter_order FROM c a, c b, c d, c e, c g WHERE len(list_distinct([a.c, b.c, d.c, e.c, g.c])) = 5),
+  s AS (SELECT filter_order, CAST(i AS INTEGER) AS step, filter_order[i] AS f, filter_order[1:i-1] AS before FROM o, range(1, 6) r(i)),
+  x AS (SELECT part, filter_order, step, f, n, good, toxic, contains(fails, f) AS hit, translate(fails, before, '') <> fails AS gone, fails = f AS alone FROM n, s),
+  g AS (SELECT part, filter_order, step, f, CAST(coalesce(sum(n) FILTER (WHERE NOT gone AND NOT hit), 0) AS BIGINT) AS kept, CAST(coalesce(sum(n) FILTER (WHERE NOT gone AND hit), 0) AS BIGINT) AS removed,
+          CAST(coalesce(sum(n) FILTER (WHERE gone AND hit), 0) AS BIGINT) AS redundant, CAST(coalesce(sum(n) FILTER (WHERE alone), 0) AS BIGINT) AS unique_fails,
+          CAST(coalesce(sum(n) FILTER (WHERE NOT gone AND hit AND good), 0) AS BIGINT) AS good_lost, CAST(coalesce(sum(n) FILTER (WHERE NOT gone AND hit AND toxic), 0) AS BIGINT) AS toxic_lost
+        FROM x GROUP BY ALL)
+  SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley FROM g"""
+
+
+def codes_sql(rounds: int = 4) -> str:
+    """Lloyd's rounds one after the other, each part compared with every entry; doubles hold these whole numbers exactly."""
+    ctes = [
+        "v AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS x FROM embeddings WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
+        "p AS MATERIALIZED (SELECT vec_id, part, x[part * (len(x) // 4) + 1 : (part + 1) * (len(x) // 4)] AS x FROM v, range(4) r(part))",
+        "c0 AS MATERIALIZED (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, x AS c FROM p WHERE vec_id IN (SELECT vec_id FROM v ORDER BY vec_id LIMIT 256))",
+    ]
+    for i in range(rounds + 1):
+        ctes.append(
+            f"""a{i} AS MATERIALIZED (SELECT vec_id, part, min(struct_pack(d := list_dot_product(x, x) - 2 * list_dot_product(x, c) + list_dot_product(c, c), entry := entry)) AS best
+            FROM p JOIN c{i} USING (part) GROUP BY vec_id, part)"""
+        )
+        if i < rounds:
+            ctes.append(
+                f"""m{i} AS (SELECT part, entry, list(m ORDER BY i) AS m FROM (SELECT part, best.entry AS entry, i, floor(sum(x[i]) / count(*)) AS m
+                FROM p JOIN a{i} USING (vec_id, part), range(1, len(x) + 1) r(i) GROUP BY part, best.entry, i) GROUP BY part, entry),
+                c{i + 1} AS MATERIALIZED (SELECT part, entry, coalesce(m, c) AS c FROM c{i} LEFT JOIN m{i} USING (part, entry))"""
+            )
+    return f"""WITH {", ".join(ctes)},
+    g AS (SELECT vec_id, string_agg(lower(printf('%02x', CAST(best.entry AS INTEGER))), '' ORDER BY part) AS code, CAST(sum(best.d) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id),
+    h AS (SELECT sha256(string_agg(array_to_string(list_transform(c, lambda x: CAST(x AS BIGINT)), ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM c{rounds})
+    SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM g JOIN v USING (vec_id), h"""
+
+
+ORACLE: dict[str, str] = {"op3_secrets": secrets_sql(), "op6_line_dedup": LINES, "op11_filter_audit": AUDIT, "op12_vector_codes": codes_sql()}
