@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import embeddings, filter_audit, lines, packing, pages, pieces, pii, quality_model, quality_rules, secrets, simhash, sql, vector_codes
+from . import embeddings, filter_audit, lines, packing, pages, pieces, pii, quality_model, quality_rules, secrets, simhash, sql, suffix_dedup, vector_codes
 
 
 def queries() -> dict:
@@ -21,6 +21,7 @@ def queries() -> dict:
         "op10_main_text": pages.op10_main_text,
         "op11_filter_audit": filter_audit.op11_filter_audit,
         "op12_vector_codes": vector_codes.op12_vector_codes,
+        "op13_suffix_dedup": suffix_dedup.op13_suffix_dedup,
         "pipeline": corpus_pipeline.run,
     }
 

@@ -87,4 +87,13 @@ def codes_sql(rounds: int = 4) -> str:
     SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM g JOIN v USING (vec_id), h"""
 
 
-ORACLE: dict[str, str] = {"op3_secrets": secrets_sql(), "op6_line_dedup": LINES, "op11_filter_audit": AUDIT, "op12_vector_codes": codes_sql()}
+REPEATS = """WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+  w AS (SELECT r, i, md5_number(substr(h, 2 * i + 1, 800)) AS m FROM (SELECT r, h, unnest(range(0, n - 399)) AS i FROM d WHERE n >= 400)),
+  m AS (SELECT m FROM w GROUP BY m HAVING count(*) > 1),
+  s AS (SELECT r, i, i > lag(i, 1, -401) OVER (PARTITION BY r ORDER BY i) + 400 AS opens FROM w SEMI JOIN m USING (m)),
+  g AS (SELECT r, min(i) AS a, max(i) + 400 AS b FROM (SELECT r, i, sum(CAST(opens AS INTEGER)) OVER (PARTITION BY r ORDER BY i) AS span FROM s) GROUP BY r, span),
+  k AS (SELECT r, h, a, b, lag(b, 1, 0) OVER (PARTITION BY r ORDER BY a) AS before, lead(a) OVER (PARTITION BY r ORDER BY a) AS later FROM g JOIN d USING (r)),
+  o AS (SELECT r, sum(b - a) AS n_removed, count(*) AS n_spans, string_agg(concat(substr(h, 2 * before + 1, 2 * (a - before)), CASE WHEN later IS NULL THEN substr(h, 2 * b + 1) END), '' ORDER BY a) AS kept FROM k GROUP BY r)
+  SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM d LEFT JOIN o USING (r)"""
+
+ORACLE: dict[str, str] = {"op3_secrets": secrets_sql(), "op6_line_dedup": LINES, "op11_filter_audit": AUDIT, "op12_vector_codes": codes_sql(), "op13_suffix_dedup": REPEATS}
