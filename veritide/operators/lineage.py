@@ -67,7 +67,7 @@ def trust(nodes: DataFrame, edges: DataFrame, how: str = "min_product", max_roun
     """
     combine = {
         "min": F.min("passed"), "min_product": F.min("passed"),
-        "product": F.exp(F.sum(F.log(F.greatest("passed", F.lit(1e-12))))), "mean": F.avg("passed"),
+        "product": F.when(F.min("passed") > 0, F.exp(F.sum(F.log(F.when(F.col("passed") > 0, F.col("passed")))))).otherwise(0.0), "mean": F.avg("passed"),
     }[how]
     current = nodes.select("node", F.col("trust").cast("double").alias("own"), F.col("trust").cast("double").alias("trust"))
     for _ in range(max_rounds):
@@ -101,86 +101,6 @@ def co_access(queries: DataFrame) -> DataFrame:
     return queries.select(F.array_distinct("datasets").alias("ds")).select(F.inline(pairs)).groupBy("a", "b").agg(F.count(F.lit(1)).alias("queries"))
 
 
-def column_lineage(df: DataFrame, target: str) -> DataFrame:
-    """(source, target, kind): edges from table columns to the columns of a query's result, read off its analysed plan.
-
-    Tables are named as the query names them.  The kind is the weakest step on
-    the way; columns of filters and of join conditions reach every column of the
-    result.
-    """
-    spark = df.sparkSession
-    influences: set[tuple[str, str]] = set()
-    named: dict[int, tuple] = {}
-
-    def items(seq) -> list:
-        return [seq.apply(i) for i in range(seq.size())]
-
-    def kind_of(e) -> str:
-        return e.getClass().getSimpleName()
-
-    def weaker(a: str, b: str) -> str:
-        return min(a, b, key=lambda k: (ATTENUATION[k], k != "rename"))
-
-    def step(e) -> str:
-        inner = e
-        while kind_of(inner) in ("Alias", "Cast"):
-            inner = inner.child()
-        if kind_of(inner) == "AttributeReference":
-            return "identity" if kind_of(e) == "AttributeReference" or (kind_of(e) == "Alias" and kind_of(e.child()) == "AttributeReference" and e.name() == inner.name()) else "rename"
-
-        def aggregates(x) -> bool:
-            return kind_of(x) == "AggregateExpression" or any(aggregates(c) for c in items(x.children()))
-
-        return "aggregated" if aggregates(e) else "derived"
-
-    def sources(e, env: dict) -> set[tuple[str, str]]:
-        return {s for a in items(e.references().toSeq()) for s in env.get(a.exprId().id(), ())}
-
-    def walk(plan, table: str) -> dict[int, set[tuple[str, str]]]:
-        name = plan.nodeName()
-        if name == "SubqueryAlias":
-            table = plan.identifier().name()
-        if name == "WithCTE":
-            for d in items(plan.cteDefs()):
-                named[d.id()] = ([a.exprId().id() for a in items(d.output())], walk(d.child(), table))
-            return walk(plan.plan(), table)
-        if name == "CTERelationRef":
-            ids, env = named[plan.cteId()]
-            return {a.exprId().id(): env.get(i, set()) for a, i in zip(items(plan.output()), ids, strict=True)}
-        children = items(plan.children())
-        # A view is a table to the query that reads it.
-        if not children or name == "View":
-            return {a.exprId().id(): {(f"{table}.{a.name()}", "identity")} for a in items(plan.output())}
-        inside = [walk(c, table) for c in children]
-        if name == "Union":
-            outputs = [items(c.output()) for c in children]
-            return {a.exprId().id(): {s for env, out in zip(inside, outputs, strict=True) for s in env.get(out[i].exprId().id(), ())} for i, a in enumerate(items(plan.output()))}
-        env = {k: v for x in inside for k, v in x.items()}
-        if name in ("Filter", "Join"):
-            condition = plan.condition()
-            for c in [condition] if name == "Filter" else [condition.get()] if condition.isDefined() else []:
-                influences.update((s, "filter" if name == "Filter" else "join_key") for s, _ in sources(c, env))
-        made = plan.projectList() if name == "Project" else plan.aggregateExpressions() if name == "Aggregate" else None
-        if made is not None:
-            new = {}
-            for e in items(made):
-                how = step(e)
-                new[e.toAttribute().exprId().id()] = {(s, weaker(k, how)) for s, k in sources(e, env)}
-            env |= new
-        elif name == "Window":
-            for e in items(plan.windowExpressions()):
-                env[e.toAttribute().exprId().id()] = {(s, weaker(k, "derived")) for s, k in sources(e, env)}
-        return env
-
-    plan = df._jdf.queryExecution().analyzed()
-    env = walk(plan, "")
-    outputs = items(plan.output())
-    edges = {(s, f"{target}.{a.name()}", k) for a in outputs for s, k in env.get(a.exprId().id(), ())}
-    edges |= {(s, f"{target}.{a.name()}", k) for a in outputs for s, k in influences}
-    # One row for each pair of columns of a query.
-    return spark.createDataFrame(sorted(edges), "source string, target string, kind string")
-
-
 def proposals(edges: DataFrame, controls: DataFrame) -> DataFrame:
     """(rule, target, detail): controls that lineage suggests.
 

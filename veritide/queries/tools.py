@@ -1,4 +1,4 @@
-"""Imports of other tools' rules, lineage of queries, metric points, sketches, dated rates, code mapping, selection."""
+"""Imports of other tools' rules, metric points, sketches, dated rates, code mapping, selection."""
 
 from __future__ import annotations
 
@@ -159,32 +159,6 @@ def _(t, spark):
     return suite.delegate(t("orders"), "digits", lambda rows: rows["o_orderkey"] % 7 == 3, ["o_orderkey"])
 
 
-@query(
-    "query_lineage",
-    """SELECT * FROM (VALUES ('customer.c_name', 'report.who', 'rename'), ('orders.o_totalprice', 'report.total', 'aggregated'), ('customer.c_acctbal', 'report.rich', 'derived'), ('customer.c_nationkey', 'report.c_nationkey', 'identity')) v(source, target, kind)
-       UNION ALL SELECT s, 'report.' || t, k FROM (VALUES ('customer.c_custkey', 'join_key'), ('orders.o_custkey', 'join_key'), ('orders.o_orderstatus', 'filter')) a(s, k), (VALUES ('who'), ('total'), ('rich'), ('c_nationkey')) b(t)""",
-)
-def _(t, spark):
-    for name in ("orders", "customer"):
-        t(name).createOrReplaceTempView(name)
-    df = spark.sql(
-        """SELECT c_name AS who, c_nationkey, sum(o.o_totalprice) AS total, c_acctbal > 100 AS rich FROM customer c JOIN (SELECT * FROM orders WHERE o_orderstatus = 'F') o ON c_custkey = o_custkey GROUP BY c_name, c_nationkey, c_acctbal"""
-    )
-    return lineage.column_lineage(df, "report")
-
-
-@query(
-    "lineage_proposals",
-    """SELECT 'propagated' AS rule, 'copy.' || c AS target, 'positive ' || c AS detail FROM (VALUES ('o_orderkey'), ('o_custkey')) v(c)
-       UNION ALL SELECT 'references', 'copy.' || c, 'orders.' || c FROM (VALUES ('o_orderkey'), ('o_custkey')) v(c)""",
-)
-def _(t, spark):
-    t("orders").createOrReplaceTempView("orders")
-    e = lineage.column_lineage(spark.sql("SELECT o_orderkey, o_custkey, o_totalprice * 2 AS o_totalprice FROM orders"), "copy")
-    rules = spark.createDataFrame([(f"orders.{c}", f"positive {c}") for c in ("o_orderkey", "o_custkey", "o_totalprice")], "column string, control string")
-    return lineage.proposals(e, rules)
-
-
 @query(
     "profile_points",
     " UNION ALL ".join(
