@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import os
 import tempfile
 import uuid
@@ -73,6 +74,40 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, rows: str, how: str =
     return of_hot.unionByName(others)
 
 
+#: Buckets of 32,768 bits, 4 KB, of a bitmap; there are BITS bits a key or more, up to the most buckets (32 MB).
+MOST_BUCKETS, BITS = 8192, 16
+
+
+def bitmaps(keys: DataFrame) -> tuple[DataFrame, int]:
+    """((bucket, bits), number of buckets): a bit for each of ``keys``, one column of longs, by their lowest bits."""
+    key = keys.columns[0]
+    wanted = max(1, BITS * keys.count())
+    buckets = min(MOST_BUCKETS, 1 << (math.ceil(wanted / 32768) - 1).bit_length())
+    bucket = F.pmod(F.shiftright(key, 15), F.lit(buckets)).cast("int")
+    return keys.groupBy(bucket.alias("bucket")).agg(F.bitmap_construct_agg(F.pmod(key, F.lit(32768))).alias("bits")), buckets
+
+
+def bitmap_bytes(keys: DataFrame) -> bytes:
+    """The bitmap of ``keys`` as one string of a power of two of bytes, 32 MB at most."""
+    rows, buckets = bitmaps(keys)
+    out = bytearray(4096 * buckets)
+    for r in rows.collect():
+        out[4096 * r["bucket"] : 4096 * (r["bucket"] + 1)] = r["bits"]
+    return bytes(out)
+
+
+def may_be_in(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose long ``key`` has a bit set by ``keys``: all that are in it and, as keys share bits, some others.
+
+    The bitmap is broadcast, so that most rows that a join would drop aren't shuffled for it.
+    """
+    rows, buckets = bitmaps(keys)
+    wide = df.join(F.broadcast(rows), F.pmod(F.shiftright(key, 15), F.lit(buckets)).cast("int") == F.col("bucket"))
+    position = F.pmod(key, F.lit(32768)).cast("int")
+    byte = F.conv(F.hex(F.substring("bits", F.floor(position / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    return wide.where(F.getbit(byte, position % 8) == 1).drop("bucket", "bits")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -17,6 +17,11 @@ many bytes as the cover's period, and what still ties by the ranks of the cover
 positions a few bytes on, which some shift below the period reaches for any two
 windows at once.  Neighbours with a whole window in common are repeats.
 
+*Unlike runs.*  A first pass counts the keys of runs, and a bitmap of bounded
+size of those found twice goes to the tasks of the second, so that most runs
+never leave theirs; likewise only texts that a bitmap lets through are shuffled
+where a text is wanted.  What shares a bit is told apart by what follows.
+
 *Hot buckets.*  A bucket with more than ``limit`` different texts is split
 without comparing them: its runs are cut into short runs at fixed distances from
 the minimizer, and bucketed by the bytes that all windows of a short run share;
@@ -33,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, join_hot, table
+from .common import Scratch, bitmap_bytes, join_hot, may_be_in, table
 
 #: Residues whose differences are all residues: powers of two modulo 73 (fixed values).
 PERIOD, COVER = 73, (1, 2, 4, 8, 16, 32, 37, 55, 64)
@@ -215,40 +220,64 @@ _RUN_NAMES = ["key", "digest", "node", "start", "windows", "lead"]
 _RUN_KINDS = [pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.int32()]
 
 
-def _all_runs(source: DataFrame, width: int) -> DataFrame:
-    """Runs of every text; a text longer than PIECE is hashed in pieces that overlap by a window."""
+def _pieces(batch: pa.RecordBatch, width: int) -> Iterator[list[tuple[bytes, int, bytes]]]:
+    """Lists of (node, place in its text, bytes), of PIECE bytes at most together; pieces of a longer text overlap by a window."""
+    pieces, size = [], 0
+    for node, raw in zip(batch.column(0), batch.column(1), strict=True):
+        node, raw = node.as_py(), raw.as_py()
+        if len(raw) < width:
+            continue
+        for at in range(0, len(raw) - width + 1, PIECE - width):
+            piece = raw[at : at + PIECE - 1]
+            if pieces and size + len(piece) > PIECE:
+                yield pieces
+                pieces, size = [], 0
+            pieces.append((node, at, piece))
+            size += len(piece)
+    if pieces:
+        yield pieces
+
+
+def _laid(pieces: list[tuple[bytes, int, bytes]]) -> tuple[bytes, np.ndarray]:
+    return b"".join(p[2] for p in pieces), np.cumsum([len(p[2]) for p in pieces])
+
+
+def _repeated_keys(source: DataFrame, width: int) -> DataFrame:
+    """(key): those of two runs or more."""
 
     def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mixing = _mixing()
+        for batch in batches:
+            for pieces in _pieces(batch, width):
+                raw, ends = _laid(pieces)
+                key, n = np.unique(runs(np.frombuffer(raw, np.uint8), ends, width, mixing)[3], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], names=["key", "n"])
+
+    return source.select("node", "bytes").mapInArrow(find, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key")
+
 
-        def done(pieces: list[tuple[bytes, int, bytes]]) -> pa.RecordBatch | None:
-            raw = b"".join(p[2] for p in pieces)
-            ends = np.cumsum([len(p[2]) for p in pieces])
-            start, windows, lead, key = runs(np.frombuffer(raw, np.uint8), ends, width, mixing)
-            which = np.searchsorted(ends, start, side="right")
-            before = np.r_[0, ends][which]
-            rows = []
-            for k, w, s, c, b, x in zip(key.tolist(), which.tolist(), start.tolist(), windows.tolist(), before.tolist(), lead.tolist(), strict=True):
-                node, offset, _ = pieces[w]
-                rows.append((k, hashlib.blake2b(raw[s : s + c + width - 1], digest_size=16).digest(), node, s - b + offset, c, x))
-            return _batches(rows, _RUN_NAMES, _RUN_KINDS) if rows else None
+def _all_runs(source: DataFrame, width: int, bits: bytes) -> DataFrame:
+    """Runs of every text whose key has its bit set."""
+    low = 8 * len(bits) - 1
 
+    def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mixing = _mixing()
+        marks = np.frombuffer(bits, np.uint8)
         for batch in batches:
-            pieces, size = [], 0
-            for node, raw in zip(batch.column(0), batch.column(1), strict=True):
-                node, raw = node.as_py(), raw.as_py()
-                if len(raw) < width:
-                    continue
-                for at in range(0, len(raw) - width + 1, PIECE - width):
-                    piece = raw[at : at + PIECE - 1]
-                    if pieces and size + len(piece) > PIECE:
-                        if (out := done(pieces)) is not None:
-                            yield out
-                        pieces, size = [], 0
-                    pieces.append((node, at, piece))
-                    size += len(piece)
-            if pieces and (out := done(pieces)) is not None:
-                yield out
+            for pieces in _pieces(batch, width):
+                raw, ends = _laid(pieces)
+                start, windows, lead, key = runs(np.frombuffer(raw, np.uint8), ends, width, mixing)
+                place = key & low
+                some = (marks[place >> 3] >> (place & 7)) & 1 == 1
+                start, windows, lead, key = start[some], windows[some], lead[some], key[some]
+                which = np.searchsorted(ends, start, side="right")
+                before = np.r_[0, ends][which]
+                rows = []
+                for k, w, s, c, b, x in zip(key.tolist(), which.tolist(), start.tolist(), windows.tolist(), before.tolist(), lead.tolist(), strict=True):
+                    node, offset, _ = pieces[w]
+                    rows.append((k, hashlib.blake2b(raw[s : s + c + width - 1], digest_size=16).digest(), node, s - b + offset, c, x))
+                if rows:
+                    yield _batches(rows, _RUN_NAMES, _RUN_KINDS)
 
     return source.select("node", "bytes").mapInArrow(find, _RUN)
 
@@ -332,15 +361,17 @@ def _sorted_marks(texts: DataFrame, width: int) -> DataFrame:
 
 
 def repeated_windows(source: DataFrame, owners: DataFrame, scratch: Scratch, width: int, limit: int) -> DataFrame:
-    """(node, start, windows): runs of windows that start elsewhere too; each window is in one row for each text it is in."""
+    """(node, start, windows): runs of windows that start elsewhere too; a run may be told more than once, whole or in parts."""
 
-    def of_texts(wanted: DataFrame) -> DataFrame:
+    def of_texts(wanted: DataFrame, name: str) -> DataFrame:
         """(node, bytes, list of ``wanted``'s rows), one text for each node."""
-        listed = wanted.groupBy("node").agg(F.collect_list(F.struct(*[c for c in wanted.columns if c != "node"])).alias("list"))
+        listed = scratch.keep(wanted.groupBy("node").agg(F.collect_list(F.struct(*[c for c in wanted.columns if c != "node"])).alias("list")), name)
         return with_text(source, owners, listed).select("node", "bytes", "list")
 
     found = []
-    table_ = scratch.keep(_all_runs(source, width), "runs")
+    # Most runs are like no other; those stay where they are.
+    keys = scratch.keep(_repeated_keys(source, width), "keys")
+    table_ = scratch.keep(_all_runs(source, width, bitmap_bytes(keys)), "runs")
     for turn, most in enumerate((*SPLITS, 0)):
         one = F.min(F.struct("node", "start", "windows", "lead")).alias("one")
         kinds = scratch.keep(table_.groupBy("key", "digest").agg(F.count(F.lit(1)).alias("weight"), one), f"kinds-{turn}")
@@ -350,22 +381,23 @@ def repeated_windows(source: DataFrame, owners: DataFrame, scratch: Scratch, wid
         mixed = scratch.keep(
             join_hot(kinds, buckets, "key", "kinds").select("key", "one.*", (F.col("weight") == 1).alias("single"), (F.col("kinds") > limit).alias("hot")), f"mixed-{turn}"
         )
-        found.append(_sorted_marks(_run_texts(of_texts(mixed.where("NOT hot").drop("hot", "lead")), width), width))
+        found.append(_sorted_marks(_run_texts(of_texts(mixed.where("NOT hot").drop("hot", "lead"), f"sorted-{turn}"), width), width))
         hot = mixed.where("hot")
         if not most or hot.isEmpty():
             break
-        table_ = scratch.keep(_short_runs(of_texts(hot.select("node", "start", "windows", "lead")), width, most), f"runs-{turn + 1}")
+        table_ = scratch.keep(_short_runs(of_texts(hot.select("node", "start", "windows", "lead"), f"hot-{turn}"), width, most), f"runs-{turn + 1}")
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
-    return out.distinct()
+    return out
 
 
 def with_text(source: DataFrame, owners: DataFrame, wanted: DataFrame) -> DataFrame:
     """``wanted``, one row for each node, with the bytes of a row that has the node's text."""
     placed = wanted.join(owners, "node").withColumnRenamed("node", "wanted_node")
     same = (F.col("node") == F.col("wanted_node")) & F.col("doc_id").eqNullSafe(F.col("owner"))
-    return source.join(placed.hint("shuffle_hash"), same)
+    few = may_be_in(source.withColumn("hash", F.xxhash64("node", "doc_id")), "hash", placed.select(F.xxhash64("wanted_node", "owner")))
+    return few.join(placed.hint("shuffle_hash"), same).drop("hash")
 
 
 def _digest(raw: Column) -> Column:
@@ -392,8 +424,16 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: in
     rows = scratch.keep(source.select("doc_id", "node", F.octet_length("bytes").cast("long").alias("n_bytes")), "rows")
     owners = scratch.keep(rows.groupBy("node").agg(F.min("doc_id").alias("owner"), F.count(F.lit(1)).alias("copies"), F.first("n_bytes").alias("size")), "owners")
     marks = repeated_windows(source, owners.select("node", "owner"), scratch, width, limit)
-    per_node = marks.groupBy("node").agg(F.collect_list(F.struct("start", "windows")).alias("marks"), F.sum("windows").alias("marked"))
-    per_node = scratch.keep(per_node.join(owners.select("node", "size"), "node"), "marks")
+    # Copies of a text tell the same marks; a set holds them once.
+    per_node = marks.groupBy("node").agg(F.collect_set(F.struct("start", "windows")).alias("marks"))
+    nothing = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("end"))
+
+    def further(acc: Column, m: Column) -> Column:
+        end = m["start"] + m["windows"]
+        return F.struct((acc["n"] + F.greatest(end - F.greatest(acc["end"], m["start"]), F.lit(0))).alias("n"), F.greatest(acc["end"], end).alias("end"))
+
+    marked = F.aggregate(F.array_sort("marks"), nothing, further)["n"].alias("marked")
+    per_node = scratch.keep(per_node.select("node", "marks", marked).join(owners.select("node", "size"), "node"), "marks")
     whole = F.col("marked") == F.col("size") - (width - 1)
 
     def remove(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -418,7 +458,7 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: in
     parts = some.mapInArrow(remove, "node binary, n_removed long, n_spans long, kept_sha256 string").distinct()
     all_ = per_node.where(whole).select("node", F.col("size").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), _digest(F.lit("").cast("binary")).alias("kept_sha256"))
     outcome = scratch.keep(parts.unionByName(all_).join(owners.select("node", "copies"), "node"), "outcome")
-    scratch.drop(*[f"{name}-{i}" for name in ("kinds", "mixed", "runs") for i in range(len(SPLITS) + 1)], "runs", "marks", "owners")
+    scratch.drop(*[f"{name}-{i}" for name in ("kinds", "mixed", "runs", "sorted", "hot") for i in range(len(SPLITS) + 1)], "keys", "runs", "marks", "owners")
     return join_hot(rows, outcome, "node", "copies", "left").select(
         "doc_id",
         "n_bytes",
