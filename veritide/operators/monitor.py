@@ -6,7 +6,8 @@ series, so that any number of series is judged at once.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from datetime import date
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -294,9 +295,8 @@ def adaptive_level(alerts: DataFrame, target: float = 0.05, step: float = 0.01,
     to one shift between two bounds, so every ``chunk`` of a series becomes one
     step and a long series a short list.
     """
-    w = Window.partitionBy("series").orderBy("t")
-    part = F.floor((F.row_number().over(w) - 1) / chunk).alias("part")
-    rows = alerts.select("series", part, "t", F.col("alert").cast("double").alias("alert"))
+    counted = running_totals(alerts.select("series", "t", F.col("alert").cast("double").alias("alert"), F.lit(1).alias("one")), ["t"], ["one"], within=["series"])
+    rows = counted.select("series", F.floor((F.col("total_one") - 1) / chunk).alias("part"), "t", "alert")
     each = rows.groupBy("series", "part").agg(F.array_sort(F.collect_list(F.struct("t", "alert"))).alias("a"))
     held = lambda x, low, high: F.greatest(low, F.least(high, x))
     zero, one = F.lit(0.0), F.lit(1.0)
@@ -328,15 +328,70 @@ def calibration(df: DataFrame, levels: Sequence[float] = (0.01, 0.05, 0.1)) -> D
 
 
 def seasonal_groups(df: DataFrame, least: int = 20) -> DataFrame:
-    """Adds ``season``: weekday if every one of a series' weekdays has ``least`` points, else working day or weekend, else all."""
+    """Adds ``season``: weekday if every one of a series' weekdays has ``least`` points, else working day or weekend, else all.
+
+    Counts by series and weekday are joined back, so no task holds a series.
+    """
     day = F.weekday(F.to_date("t"))
-    kind = F.when(day < 5, "workday").otherwise("weekend")
-    d = df.withColumn("__d", day.cast("string")).withColumn("__k", kind)
-    count = lambda c: F.count(F.lit(1)).over(Window.partitionBy("series", c))
-    d = d.withColumn("__cd", count("__d")).withColumn("__ck", count("__k"))
-    least_of = lambda c: F.min(c).over(Window.partitionBy("series"))
-    season = F.when(least_of("__cd") >= least, F.col("__d")).when(least_of("__ck") >= least, F.col("__k")).otherwise("all")
-    return d.withColumn("season", season).drop("__d", "__k", "__cd", "__ck")
+    kind = F.when(F.col("__d") < 5, "workday").otherwise("weekend")
+    by_day = df.groupBy("series", day.alias("__d")).agg(F.count(F.lit(1)).alias("n"))
+    by_kind = by_day.groupBy("series", kind.alias("__k")).agg(F.sum("n").alias("n"))
+    of_days = by_day.groupBy(F.col("series").alias("__s")).agg(F.min("n").alias("days"))
+    of_kinds = by_kind.groupBy(F.col("series").alias("__t")).agg(F.min("n").alias("kinds"))
+    size = of_days.join(of_kinds, F.col("__s").eqNullSafe(F.col("__t"))).drop("__t")
+    marked = df.withColumn("__d", day).join(size, F.col("series").eqNullSafe(F.col("__s")))
+    season = F.when(F.col("days") >= least, F.col("__d").cast("string")).when(F.col("kinds") >= least, kind).otherwise("all")
+    return marked.withColumn("season", season).drop("__d", "__s", "days", "kinds")
+
+
+#: Facets by which points are comparable, and what gives way first: the hour, then the weekday, then the kind of period end (any kind, then none), then the working day.
+_LEVELS = {
+    "hour": ("working", "period", "weekday", "hour"), "weekday": ("working", "period", "weekday"), "period": ("working", "period"), "any period": ("working", "any_period"),
+    "working day": ("working",), "declared": (),
+}
+
+
+def _facets(t: Column, closed: Sequence[date], intraday: bool) -> dict[str, Column]:
+    """working, period (the last working day of a year, quarter or month), any_period, weekday and hour of a moment."""
+    def works(d: Column) -> Column:
+        return (F.weekday(d) < 5) & ~d.isin(*closed) if closed else F.weekday(d) < 5
+
+    day = F.to_date(t)
+    # Ten days in a row without a working one don't occur; if they do, the month counts as not over.
+    after = F.get(F.filter(F.sequence(F.date_add(day, 1), F.date_add(day, 10 + len(closed))), works), F.lit(0))
+    period = F.when(~works(day) | after.isNull(), "none").when(F.year(after) != F.year(day), "year").when(F.quarter(after) != F.quarter(day), "quarter").when(F.month(after) != F.month(day), "month").otherwise("none")
+    return {
+        "working": works(day).cast("string"), "period": period, "any_period": (period != "none").cast("string"), "weekday": F.weekday(day).cast("string"),
+        "hour": F.hour(t).cast("string") if intraday else F.lit(""),
+    }
+
+
+def season_lattice(df: DataFrame, least: int = 20, closed: Sequence[date] = (), intraday: bool = False, drivers: Mapping[str, Column] | None = None) -> DataFrame:
+    """Adds level, season and members: the finest group of comparable points of its series that a point has ``least`` of, itself included.
+
+    A lattice of calendar facets, coarsened one at a time: hour, weekday, the kind
+    of period end, period ends at all, working days.  ``drivers`` are declared
+    conditions (Columns over ``df``), given up last of all, and then every point is
+    comparable (level ``all``).  ``closed`` are days on which nothing works.  An
+    ordinary day never shares a group with period ends before those are given up.
+
+    Points are counted by series and finest group, in one aggregation; coarser
+    groups are sums of those counts, so nothing holds a series.  A point without a
+    time is in a group of its own kind.
+    """
+    declared = {f"declared_{k}": F.coalesce(c.cast("boolean"), F.lit(False)).cast("string") for k, c in sorted((drivers or {}).items())}
+    facets = _facets(F.col("t").cast("timestamp"), list(closed), intraday) | declared
+    marked = df.withColumn("__f", F.struct(*[F.coalesce(c, F.lit("?")).alias(k) for k, c in facets.items()]))
+    finest = marked.groupBy("series", "__f").agg(F.count(F.lit(1)).alias("n"))
+    said = lambda keys: F.concat_ws(", ", *[F.concat(F.lit(f"{k}="), F.col(f"__f.{k}")) for k in keys])
+    steps = [(name, [*keys, *declared]) for name, keys in _LEVELS.items() if (intraday or name != "hour") and (declared or name != "declared")]
+    rows = [F.struct(F.lit(i).alias("level"), F.lit(name).alias("name"), said(keys).alias("season")) for i, (name, keys) in enumerate([*steps, ("all", [])])]
+    laid = finest.select("series", "__f", "n", F.inline(F.array(*rows)))
+    sizes = laid.groupBy("series", "level", "season").agg(F.sum("n").alias("members"))
+    enough = laid.join(sizes, ["series", "level", "season"]).where((F.col("members") >= least) | (F.col("name") == "all"))
+    chosen = enough.groupBy("series", "__f").agg(F.min(F.struct("level", "name", "season", "members")).alias("__c"))
+    out = marked.join(chosen.select(F.col("series").alias("__s"), F.col("__f").alias("__g"), "__c"), F.col("series").eqNullSafe(F.col("__s")) & (F.col("__f") == F.col("__g")))
+    return out.withColumns({"level": F.col("__c.name"), "season": F.col("__c.season"), "members": F.col("__c.members")}).drop("__f", "__s", "__g", "__c")
 
 
 def ensemble(scored: dict[str, DataFrame], n: int = 200, least: int = 20) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import validators as V
 from ..functions.predicates import character_mask
-from ..operators import mining, profile
+from ..operators import classify, mining, profile
 from .catalogue import query
 
 NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -162,3 +162,34 @@ def _(t, spark):
 def _(t, spark):
     df = t("events").select(F.concat((F.col("event_id") % 250).cast("string"), F.lit(".0.0.1")).alias("ip"), F.to_date("ts").cast("string").alias("day"), "event_type")
     return mining.column_types(df, df.columns, {k: V.VALIDATORS[k] for k in ("ipv4", "iso_date", "email", "uuid", "lei")})
+
+
+def labelled(t):
+    e, id_ = t("events"), F.col("event_id")
+    ip = F.concat((id_ % 250).cast("string"), F.lit(".0.0.1"))
+    return e.select(
+        ip.alias("ip"), F.lit("GB0000000000").alias("isin"), F.concat(F.lit("X"), F.lpad((id_ % 1000).cast("string"), 3, "0")).alias("entity_lei"), ip.alias("settlement_ccy"),
+        F.when(id_ % 3 == 0, "SELL").otherwise(" buy ").alias("side"), F.lit("BUY").alias("only"), F.when(id_ % 50 == 7, F.concat(F.lit("AB"), (10 + id_ % 90).cast("string"))).alias("few"),
+        F.when(id_ % 10 < 9, F.to_date("ts").cast("string")).otherwise("soon").alias("trade_date"), F.when(id_ < 7, F.lit("a@b.cd")).alias("note"),
+    )
+
+
+@query(
+    "column_classes",
+    """WITH c AS (SELECT count(*) AS n, count(*) FILTER (WHERE event_id % 50 = 7) AS f, count(*) FILTER (WHERE event_id % 10 < 9) AS d FROM events), x AS (
+         SELECT 'ip' AS "column", 'ipv4' AS type, 'check' AS stage, 1.0::DOUBLE AS rate, n AS examined, n * ln(0.35) AS e, NULL AS sure, '' AS conflicts FROM c
+         UNION ALL SELECT 'isin', 'isin', 'name', 0.0, 0, NULL, 0.4, 'refuted' FROM c UNION ALL SELECT 'entity_lei', 'mic', 'shape', 1.0, n, NULL, 0.5 + 0.35 * (1 - exp(-n / 50.0)), 'refuted' FROM c
+         UNION ALL SELECT 'settlement_ccy', 'ipv4', 'check', 1.0, n, n * ln(0.35), NULL, 'misnamed' FROM c UNION ALL SELECT 'side', 'trade_side', 'code list', 1.0, n, n * ln(2.0 / 36 ** 4), NULL, '' FROM c
+         UNION ALL SELECT 'only', 'trade_side', 'code list', 1.0, n, NULL, 0.5, '' FROM c UNION ALL SELECT 'few', 'mic', 'shape', 1.0, f, NULL, 0.5 + 0.35 * (1 - exp(-f / 50.0)), '' FROM c
+         UNION ALL SELECT 'trade_date', 'iso_date', 'check', d / n, n, d * ln(0.78), NULL, '' FROM c UNION ALL SELECT 'note', NULL, NULL, NULL, 0, NULL, NULL, '' FROM c)
+       SELECT "column", type, stage, CASE WHEN rate >= 0.99 THEN 'clean' WHEN rate >= 0.8 OR stage = 'name' THEN 'contaminated' END AS fit, round(rate, 6) AS rate, examined, round(conf, 6) AS confidence, coalesce(stage <> 'name' AND rate >= 0.8 AND conf >= 0.8, FALSE) AS evidence, conflicts
+       FROM (SELECT *, coalesce(sure, CASE WHEN e < -36 THEN 1 ELSE 1 - exp(e) END) AS conf FROM x)""",
+)
+def _(t, spark):
+    out = classify.classify(labelled(t)).select("column", "type", "stage", "fit", "rate", "examined", "confidence", "evidence", F.array_join("conflicts", ",").alias("conflicts"))
+    return out.withColumns({c: F.round(c, 6) for c in ("rate", "confidence")})
+
+
+@query("name_contradictions", "SELECT r AS rank, c AS \"column\", named, type, conflict, 1.0::DOUBLE AS failing FROM (VALUES (1, 'entity_lei', 'lei', 'mic', 'refuted'), (2, 'isin', 'isin', 'isin', 'refuted'), (3, 'settlement_ccy', 'iso4217', 'ipv4', 'misnamed')) v(r, c, named, type, conflict) WHERE (SELECT count(*) FROM events) >= 8")
+def _(t, spark):
+    return classify.contradictions(classify.classify(labelled(t)))

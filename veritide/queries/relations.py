@@ -102,3 +102,66 @@ def _(t, spark):
     verdict = F.when(F.col("value") < 1, "fail").when(F.col("event_type") == "error", "indeterminate").otherwise("pass")
     runs = t("events").select((F.col("user_id") % 40).cast("string").alias("control"), F.col("event_id").alias("t"), verdict.alias("verdict"))
     return incidents.cadence(runs, 60, 30, 600).withColumn("seconds", F.round("seconds", 6))
+
+
+# Alerts are one event in 23, each at its user's column; a user's column comes from the one before it, in runs of eight; changes are one event in 401.
+ALERTS = """up AS (SELECT DISTINCT user_id AS node, user_id AS ancestor, 0 AS hops FROM events UNION ALL SELECT node, ancestor - 1, hops + 1 FROM up WHERE ancestor % 8 <> 0),
+   alert AS (SELECT event_id AS alert, user_id AS node, ts, floor(epoch(ts)) AS sec FROM events WHERE event_id % 23 = 5), change AS (SELECT event_id AS change, user_id AS node, ts, floor(epoch(ts)) AS moment FROM events WHERE event_id % 401 = 7),
+   placed AS (SELECT alert, node, sec, ancestor, hops FROM alert JOIN up USING (node)),
+   link AS (SELECT a.alert AS a, b.alert AS b, 'lineage' AS signal FROM placed a JOIN placed b ON a.ancestor = b.ancestor AND a.alert <> b.alert AND abs(a.sec - b.sec) <= 10800
+      UNION SELECT a.alert, b.alert, 'time' FROM alert a JOIN alert b ON a.node // 3 = b.node // 3 AND a.alert <> b.alert AND abs(a.sec - b.sec) <= 10800
+      UNION SELECT a.alert, b.alert, 'change' FROM placed a JOIN change c ON a.ancestor = c.node AND a.sec BETWEEN moment AND moment + 43200 JOIN placed b ON b.ancestor = c.node AND b.sec BETWEEN moment AND moment + 43200 AND a.alert <> b.alert),
+   way AS (SELECT alert AS a, alert AS b FROM alert UNION SELECT way.a, link.b FROM way JOIN link ON link.a = way.b), member AS (SELECT a AS alert, min(b) AS incident FROM way GROUP BY a)"""
+REPORT = """whole AS (SELECT incident, count(*) AS alerts, count(DISTINCT node) AS nodes, min(ts) AS opened, max(ts) AS closed FROM member JOIN alert USING (alert) GROUP BY 1),
+   vote AS (SELECT incident, ancestor, count(*) AS covers, sum(hops) AS hops FROM member JOIN placed USING (alert) GROUP BY 1, 2),
+   origin AS (SELECT incident, ancestor AS origin, covers FROM vote QUALIFY row_number() OVER (PARTITION BY incident ORDER BY covers DESC, hops, concat('d', ancestor // 3, '.c', ancestor)) = 1),
+   told AS (SELECT incident, string_agg(DISTINCT signal, ',' ORDER BY signal) AS signals FROM link JOIN member ON alert = a GROUP BY 1)"""
+
+
+def _column(user):
+    return F.concat(F.lit("d"), F.floor(user / 3).cast("string"), F.lit(".c"), user.cast("string"))
+
+
+def alerted(t):
+    e, u = t("events"), F.col("user_id")
+    edges = e.select("user_id").distinct().where(u % 8 != 0).select(_column(u - 1).alias("source"), _column(u).alias("target"))
+    alerts = e.where("event_id % 23 = 5").select(F.col("event_id").alias("alert"), _column(u).alias("node"), "ts")
+    changes = e.where("event_id % 401 = 7").select(F.col("event_id").alias("change"), _column(u).alias("node"), F.col("ts").alias("at"))
+    return alerts, edges, changes
+
+
+@query("incident_members", f"WITH RECURSIVE {ALERTS} SELECT alert, incident FROM member")
+def _(t, spark):
+    return incidents.correlate(*alerted(t), minutes=180)[0].select("alert", "incident")
+
+
+@query(
+    "incident_report",
+    f"WITH RECURSIVE {ALERTS}, {REPORT} SELECT incident, alerts, nodes, strftime(opened, '%Y-%m-%d %H:%M:%S') AS opened_at, strftime(closed, '%Y-%m-%d %H:%M:%S') AS closed_at, concat('d', origin // 3, '.c', origin) AS origin, covers, coalesce(signals, '') AS signals FROM whole JOIN origin USING (incident) LEFT JOIN told USING (incident)",
+)
+def _(t, spark):
+    out = incidents.described(*incidents.correlate(*alerted(t), minutes=180))
+    text = {c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in ("opened_at", "closed_at")}
+    return out.withColumns({**text, "signals": F.array_join("signals", ",")})
+
+
+@query(
+    "cause_ranking",
+    f"""WITH RECURSIVE {ALERTS}, {REPORT}, c AS (SELECT incident, opened, origin, ancestor AS node, hops FROM whole JOIN origin USING (incident) JOIN up ON up.node = origin),
+       l AS (SELECT incident, c.node, max(struct_pack(moment := change.ts, change := change)) AS c FROM c JOIN change ON (change.node = c.node OR (change.change % 2 = 0 AND change.node // 3 = c.node // 3)) AND change.ts <= opened WHERE change.change % 2 = 0 OR change.node = c.node GROUP BY 1, 2),
+       f AS (SELECT DISTINCT user_id AS node FROM events WHERE event_id % 211 = 3), p AS (SELECT user_id AS node FROM events WHERE event_id % 307 = 11 GROUP BY 1),
+       e AS (SELECT c.*, l.c.change AS change, f.node IS NOT NULL AND c.node <> origin AS broken, l.c IS NOT NULL AS changed, c.node = origin OR hops <= 2 AS close, p.node IS NOT NULL AS prior
+             FROM c LEFT JOIN l USING (incident, node) LEFT JOIN f ON f.node = c.node LEFT JOIN p ON p.node = c.node),
+       s AS (SELECT *, round(1 - (CASE WHEN broken THEN 0 ELSE 1 END) * (CASE WHEN changed THEN 1 - 0.6 ELSE 1 END) * (CASE WHEN close THEN 1 - 0.25 ELSE 1 END) * (CASE WHEN prior THEN 1 - 0.15 ELSE 1 END), 6) AS score, count(*) OVER (PARTITION BY incident) AS considered FROM e),
+       r AS (SELECT *, row_number() OVER (PARTITION BY incident ORDER BY score DESC, node <> origin, concat('d', node // 3, '.c', node)) AS rank FROM s WHERE broken OR changed OR close OR prior)
+       SELECT incident, CAST(rank AS INTEGER) AS rank, concat('d', node // 3, '.c', node) AS node, CAST(hops AS INTEGER) AS hops, CAST(score AS DOUBLE) AS score,
+         concat_ws(',', CASE WHEN broken THEN 'upstream failing' END, CASE WHEN changed THEN 'change' END, CASE WHEN close THEN 'proximity' END, CASE WHEN prior THEN 'prior' END) AS evidence, coalesce(change, -1) AS change, considered FROM r WHERE rank <= 5""",
+)
+def _(t, spark):
+    """Changes of even numbers name all columns of the user's dataset; failing columns and earlier causes are other events' users."""
+    alerts, edges, changes = alerted(t)
+    found = incidents.described(*incidents.correlate(alerts, edges, changes, minutes=180)).select("incident", "origin", "opened_at")
+    wide = changes.withColumn("node", F.when(F.col("change") % 2 == 0, F.regexp_replace("node", r"[^.]+$", "*")).otherwise(F.col("node")))
+    of = lambda by, k: t("events").where(F.col("event_id") % by == k).select(_column(F.col("user_id")).alias("node"))
+    out = incidents.ranked_causes(found, edges, wide, of(211, 3), of(307, 11).withColumn("times", F.lit(1)))
+    return out.withColumns({"evidence": F.array_join("evidence", ","), "score": F.round("score", 6), "change": F.coalesce("change", F.lit(-1))})

@@ -225,3 +225,23 @@ def _(t, spark):
 def _(t, spark):
     out = drained(judge.count_windows(stream_of(t, spark), STREAM[0], "event_type", 100), spark)
     return out.groupBy("key").agg(F.count(F.lit(1)).alias("windows"))
+
+
+@query(
+    "season_lattice",
+    """WITH e AS (SELECT event_type AS series, event_id, ts, CAST(ts AS DATE) AS d, event_id % 40 = 0 AS payday FROM events),
+      f AS (SELECT *, isodow(d) <= 5 AS w, CASE WHEN isodow(d) = 5 THEN d + 3 WHEN isodow(d) = 6 THEN d + 2 ELSE d + 1 END AS after FROM e),
+      g AS (SELECT *, CASE WHEN NOT w THEN 'none' WHEN year(after) <> year(d) THEN 'year' WHEN quarter(after) <> quarter(d) THEN 'quarter' WHEN month(after) <> month(d) THEN 'month' ELSE 'none' END AS p FROM f),
+      l AS (SELECT *, unnest([{'i': 0, 'n': 'hour', 's': concat('working=', w, ', period=', p, ', weekday=', isodow(d) - 1, ', hour=', hour(ts), ', declared_payday=', payday)},
+          {'i': 1, 'n': 'weekday', 's': concat('working=', w, ', period=', p, ', weekday=', isodow(d) - 1, ', declared_payday=', payday)}, {'i': 2, 'n': 'period', 's': concat('working=', w, ', period=', p, ', declared_payday=', payday)},
+          {'i': 3, 'n': 'any period', 's': concat('working=', w, ', any_period=', p <> 'none', ', declared_payday=', payday)}, {'i': 4, 'n': 'working day', 's': concat('working=', w, ', declared_payday=', payday)},
+          {'i': 5, 'n': 'declared', 's': concat('declared_payday=', payday)}, {'i': 6, 'n': 'all', 's': ''}]) AS x FROM g),
+      c AS (SELECT series, event_id, x, count(*) OVER (PARTITION BY series, x) AS members FROM l),
+      b AS (SELECT series, event_id, min(struct_pack(i := x.i, n := x.n, s := x.s, m := members)) AS b FROM c WHERE members >= 20 OR x.n = 'all' GROUP BY 1, 2)
+      SELECT series, b.n AS level, b.s AS season, b.m AS members, count(*) AS points FROM b GROUP BY ALL""",
+)
+def _(t, spark):
+    """Every event as a point of its type's series; the comparable ones of each."""
+    e = t("events").select(F.col("event_type").alias("series"), F.col("ts").alias("t"), "event_id")
+    out = monitor.season_lattice(e, 20, intraday=True, drivers={"payday": F.col("event_id") % 40 == 0})
+    return out.groupBy("series", "level", "season", "members").agg(F.count(F.lit(1)).alias("points"))
