@@ -45,7 +45,7 @@ PERIOD, COVER = 73, (1, 2, 4, 8, 16, 32, 37, 55, 64)
 #: Bytes by which windows are sorted first: the period in whole words of eight.
 DEPTH = PERIOD + -PERIOD % 8
 #: Bytes of a k-mer, a power of two; of a piece of text hashed at once; of a block; windows of a bucket of leading bytes.
-KMER, PIECE, BLOCK, BUCKET = 32, 1 << 19, 1 << 22, 1 << 16
+KMER, PIECE, BLOCK, BUCKET = 32, 1 << 19, 1 << 20, 1 << 16
 #: Windows of a run after each split of a hot bucket.
 SPLITS = (16, 1)
 _RUN = "key long, digest binary, node binary, start int, windows int, lead int"
@@ -85,16 +85,29 @@ def _ties(group: np.ndarray) -> np.ndarray:
     return np.flatnonzero(same[1:] | same[:-1])
 
 
+def _uneven(group: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """The rows of those groups, runs of equal ``group``, in which ``key`` differs."""
+    new = np.r_[True, group[1:] != group[:-1]]
+    run = np.cumsum(new) - 1
+    differs = np.zeros(run[-1] + 1, bool)
+    differs[run[1:][(key[1:] != key[:-1]) & ~new[1:]]] = True
+    return np.flatnonzero(differs[run])
+
+
 def _refine(order: np.ndarray, group: np.ndarray, key) -> bool:
-    """Sort the groups of ``order`` by key(items) in place and split them; whether there was anything to do."""
+    """Sort the groups of ``order`` by key(items) in place and split them; whether any group was left."""
     tied = _ties(group)
     if not len(tied):
         return False
-    items, g = order[tied], group[tied]
-    k = key(items)
-    by = np.lexsort((k, g))
-    order[tied], g, k = items[by], g[by], k[by]
-    group[tied] = tied[_firsts(g, k)]
+    k = key(order[tied])
+    # Copies agree in every key; only groups that don't are sorted.
+    some = _uneven(group[tied], k)
+    tied, k = tied[some], k[some]
+    if len(tied):
+        items, g = order[tied], group[tied]
+        by = np.lexsort((k, g))
+        order[tied], g, k = items[by], g[by], k[by]
+        group[tied] = tied[_firsts(g, k)]
     return True
 
 
@@ -111,7 +124,7 @@ def _by_bytes(keys: np.ndarray, at: np.ndarray, depth: int) -> tuple[np.ndarray,
 def cover_ranks(keys: np.ndarray, size: int, depth: int) -> np.ndarray:
     """For each position of the cover, its rank by ``depth`` bytes or more; -1 elsewhere, and past the end."""
     at = np.flatnonzero(np.isin(np.arange(size) % PERIOD, COVER))
-    rank = np.full(len(keys) + depth + PERIOD, -1, np.int64)
+    rank = np.full(len(keys) + depth + PERIOD, -1, np.int32)
     order, group = _by_bytes(keys, at, PERIOD)
     reached = step = PERIOD
     while True:
@@ -160,12 +173,18 @@ def _repeated_in_bucket(keys, rank, shift, view, starts, rng) -> np.ndarray:
         item = order[left]
         d = shift[item % PERIOD, pivot % PERIOD]
         side = np.sign(rank[item + d] - rank[pivot + d])
-        turn = np.lexsort((side, g))
-        order[left], g, side = item[turn], g[turn], side[turn]
-        group[left] = left[_firsts(g, side)]
         open_[left] = side != 0
+        some = _uneven(g, side)
+        left, item, g, side = left[some], item[some], g[some], side[some]
+        if len(left):
+            turn = np.lexsort((side, g))
+            order[left], g, side = item[turn], g[turn], side[turn]
+            group[left] = left[_firsts(g, side)]
+            open_[left] = side != 0
     same = np.zeros(len(order) + 1, bool)
-    near = np.flatnonzero(prefix[1:] == prefix[:-1])
+    # Equal ranks say that a whole window is equal; other neighbours are compared.
+    same[1:-1] = group[1:] == group[:-1]
+    near = np.flatnonzero((prefix[1:] == prefix[:-1]) & ~same[1:-1])
     for at in range(0, len(near), 4096):
         i = near[at : at + 4096]
         same[i + 1] = (view[order[i]] == view[order[i + 1]]).all(axis=1)
