@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StringType
 
@@ -80,14 +81,14 @@ def character_classes(df: DataFrame, c: str) -> DataFrame:
     )
 
 
-def sketches(df: DataFrame, names: Sequence[str], by: Sequence[str]) -> DataFrame:
-    """Mergeable state for each segment: rows, nulls, a distinct sketch and, for numbers, a quantile sketch."""
+def sketches(df: DataFrame, names: Sequence[str], by: Sequence[str], k: int = 4096) -> DataFrame:
+    """Mergeable state for each segment: rows, nulls, a distinct sketch and, for numbers, a quantile sketch of parameter ``k``."""
     kinds = {f.name: f.dataType for f in df.schema}
     parts = []
     for c in names:
         parts += [F.count_if(F.col(c).isNull()).alias(f"{c}__nulls"), F.hll_sketch_agg(F.col(c).cast("string"), 14).alias(f"{c}__distinct")]
         if isinstance(kinds[c], NumericType):
-            parts.append(F.kll_sketch_agg_double(F.col(c).cast("double")).alias(f"{c}__quantiles"))
+            parts.append(F.kll_sketch_agg_double(F.col(c).cast("double"), k).alias(f"{c}__quantiles"))
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), *parts)
 
 
@@ -102,13 +103,60 @@ def merge_sketches(parts: DataFrame, names: Sequence[str], by: Sequence[str] = (
     return folded.select(*by, F.inline(F.array(*rows)))
 
 
+def merged_ranks(parts: DataFrame, name: str, at: Sequence[float] = QUANTILES, by: Sequence[str] = (), k: int = 4096) -> DataFrame:
+    """(quantile, value, n) of a column from the quantile sketches of segments, folded.
+
+    The rank of a value is off by 0.1 % of the rows at most, nearly always; far in
+    a long tail that may be far off in value: see magnitudes().  Segments without a
+    value give no rows.
+    """
+    folded = parts.groupBy(*by).agg(F.kll_merge_agg_double(f"{name}__quantiles", k).alias("s")).withColumn("n", F.kll_sketch_get_n_double("s"))
+    each = F.inline(F.array(*[F.struct(F.lit(float(q)).alias("quantile"), F.kll_sketch_get_quantile_double("s", F.lit(float(q))).alias("value")) for q in at]))
+    return folded.where("n > 0").select(*by, "n", each).select(*by, "quantile", "value", "n")
+
+
+def magnitudes(df: DataFrame, c: str, by: Sequence[str] = (), error: float = 0.001) -> DataFrame:
+    """(by, sign, bucket, n): how many values of a column lie in each of the intervals that grow by a constant factor.
+
+    A sketch as a table: segments merge by adding n up, in any grouping and with
+    nothing lost, and every quantile is off by at most ``error`` of its value,
+    however long the tail.  Nulls and NaN are left out; zeros have sign 0, values
+    that aren't finite keep their sign in a bucket of their own.
+    """
+    v = F.col(c).cast("double")
+    step = math.log1p(2 * error / (1 - error))
+    size = F.abs(v)
+    bucket = F.when(size == 0, 0).when(size == float("inf"), _ENDLESS).otherwise(F.ceil(F.log(F.when(size > 0, size)) / step)).cast("int")
+    kept = df.where(v.isNotNull() & ~F.isnan(v))
+    return kept.groupBy(*by, F.signum(v).cast("int").alias("sign"), bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+
+
+_ENDLESS = 1 << 30
+
+
+def magnitude_quantiles(parts: DataFrame, at: Sequence[float] = (0.5, 0.95, 0.99, 0.999), by: Sequence[str] = (), error: float = 0.001) -> DataFrame:
+    """(quantile, value, n) from merged magnitudes: the value at rank ceil(quantile * n), the first for 0, within ``error`` of itself.
+
+    A window holds the buckets of one group: at ``error`` 0.001 five thousand
+    cover values between 1 and 20,000 times as much.
+    """
+    step = math.log1p(2 * error / (1 - error))
+    folded = parts.groupBy(*by, "sign", "bucket").agg(F.sum("n").alias("n"))
+    size = F.when(F.col("bucket") == _ENDLESS, float("inf")).otherwise(F.exp(F.col("bucket") * step) * 2 / (1 + math.exp(step)))
+    # From the largest negative values up to the largest positive ones.
+    w = Window.partitionBy(*by).orderBy("sign", F.col("sign") * F.col("bucket"))
+    upto = folded.withColumn("upto", F.sum("n").over(w)).withColumn("all", F.sum("n").over(Window.partitionBy(*by)))
+    wanted = F.explode(F.array(*[F.lit(float(q)) for q in at])).alias("quantile")
+    rank = F.greatest(F.ceil(F.col("quantile") * F.col("all")), F.lit(1))
+    hit = upto.select("*", wanted).where((F.col("upto") >= rank) & (F.col("upto") - F.col("n") < rank))
+    return hit.select(*by, "quantile", F.when(F.col("sign") == 0, 0.0).otherwise(F.col("sign") * size).alias("value"), F.col("all").alias("n"))
+
+
 def segment_plan(current: DataFrame, ledger: DataFrame, newest_mutable: int = 3) -> DataFrame:
     """What to profile again: (segment, state) from (segment, fingerprint) now and as last profiled.
 
     new, changed, mutable (one of the newest), unverifiable (no fingerprint) or settled.
     """
-    from pyspark.sql import Window
-
     old = ledger.select(F.col("segment").alias("s"), F.col("fingerprint").alias("old"))
     joined = current.join(old, F.col("segment") == F.col("s"), "left")
     newest = F.row_number().over(Window.orderBy(F.desc("segment"))) <= newest_mutable

@@ -193,3 +193,37 @@ def _(t, spark):
 @query("name_contradictions", "SELECT r AS rank, c AS \"column\", named, type, conflict, 1.0::DOUBLE AS failing FROM (VALUES (1, 'entity_lei', 'lei', 'mic', 'refuted'), (2, 'isin', 'isin', 'isin', 'refuted'), (3, 'settlement_ccy', 'iso4217', 'ipv4', 'misnamed')) v(r, c, named, type, conflict) WHERE (SELECT count(*) FROM events) >= 8")
 def _(t, spark):
     return classify.contradictions(classify.classify(labelled(t)))
+
+
+@query(
+    "merged_tails",
+    """WITH v AS (SELECT l_returnflag AS flag, CASE WHEN l_linenumber = 3 THEN -l_extendedprice WHEN l_linenumber = 5 THEN 0 ELSE l_extendedprice * l_quantity * l_quantity END::DOUBLE AS v FROM lineitem),
+       r AS (SELECT flag, v, row_number() OVER (PARTITION BY flag ORDER BY v) AS r, count(*) OVER (PARTITION BY flag) AS n FROM v),
+       e AS (SELECT flag, q, n, v FROM r, (VALUES (0.0), (0.05), (0.25), (0.5), (0.95), (0.99), (0.999), (1.0)) t(q) WHERE r = greatest(ceil(q * n), 1))
+       SELECT flag, q::DOUBLE AS quantile, n, v = 0 AS zero, v < 0 AS negative, TRUE AS within FROM e""",
+)
+def _(t, spark):
+    """Magnitudes by day of receipt, merged by flag; each quantile is held against the exact one."""
+    at = (0.0, 0.05, 0.25, 0.5, 0.95, 0.99, 0.999, 1.0)
+    value = F.when(F.col("l_linenumber") == 3, -F.col("l_extendedprice")).when(F.col("l_linenumber") == 5, 0).otherwise(F.col("l_extendedprice") * F.col("l_quantity") * F.col("l_quantity"))
+    rows = t("lineitem").select(F.col("l_returnflag").alias("flag"), F.col("l_shipdate").alias("day"), value.cast("double").alias("v"))
+    got = profile.magnitude_quantiles(profile.magnitudes(rows, "v", ["flag", "day"]), at, ["flag"])
+    exact = rows.groupBy("flag").agg(F.expr(f"array({', '.join(f'percentile_disc({q}) WITHIN GROUP (ORDER BY v)' for q in at)})").alias("x"))
+    true = exact.select(F.col("flag").alias("f"), F.posexplode("x").alias("i", "x")).withColumn("q", F.element_at(F.array(*map(F.lit, at)), F.col("i") + 1))
+    both = got.join(true, (F.col("flag") == F.col("f")) & (F.col("quantile") == F.col("q")))
+    return both.select("flag", "quantile", "n", (F.col("value") == 0).alias("zero"), (F.col("value") < 0).alias("negative"), (F.abs(F.col("value") - F.col("x")) <= 0.0010001 * F.abs("x")).alias("within"))
+
+
+@query(
+    "merged_segment_quantiles",
+    "SELECT l_returnflag AS flag, q::DOUBLE AS quantile, count(*) AS n, TRUE AS near FROM lineitem, (VALUES (0.01), (0.25), (0.5), (0.75), (0.99)) t(q) GROUP BY 1, 2",
+)
+def _(t, spark):
+    """Quantile sketches of each flag and line number, folded to flags; near: the value's true rank is within 0.3 % of the quantile."""
+    rows = t("lineitem").select(F.col("l_returnflag").alias("flag"), "l_linenumber", F.col("l_extendedprice").cast("double").alias("v"))
+    folded = profile.merged_ranks(profile.sketches(rows, ["v"], ["flag", "l_linenumber"]), "v", (0.01, 0.25, 0.5, 0.75, 0.99), ["flag"])
+    asked = folded.groupBy(F.col("flag").alias("f")).agg(F.collect_list(F.struct("quantile", "value", "n")).alias("asked"))
+    at_most = rows.join(F.broadcast(asked), F.col("flag") == F.col("f")).select("flag", "v", F.explode("asked").alias("a"))
+    counted = at_most.groupBy("flag", "a.quantile", "a.n").agg(F.count_if(F.col("v") <= F.col("a.value")).alias("upto"), F.count_if(F.col("v") < F.col("a.value")).alias("below"))
+    low, high = F.col("below") / F.col("n"), F.col("upto") / F.col("n")
+    return counted.select("flag", "quantile", "n", ((low <= F.col("quantile") + 0.003) & (high >= F.col("quantile") - 0.003)).alias("near"))

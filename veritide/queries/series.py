@@ -245,3 +245,45 @@ def _(t, spark):
     e = t("events").select(F.col("event_type").alias("series"), F.col("ts").alias("t"), "event_id")
     out = monitor.season_lattice(e, 20, intraday=True, drivers={"payday": F.col("event_id") % 40 == 0})
     return out.groupBy("series", "level", "season", "members").agg(F.count(F.lit(1)).alias("points"))
+
+
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@query(
+    "opened_window_verdicts",
+    """WITH RECURSIVE u AS (SELECT user_id, list(ts ORDER BY ts) AS ts FROM events GROUP BY 1),
+       w AS (SELECT user_id, ts, ts[1] AS s FROM u UNION ALL SELECT user_id, rest, rest[1] FROM (SELECT user_id, list_filter(ts, lambda x: x >= s + INTERVAL 36 HOUR) AS rest FROM w) WHERE len(rest) > 0),
+       n AS (SELECT user_id, s, lead(s) OVER (PARTITION BY user_id ORDER BY s) AS next FROM w), m AS (SELECT max(ts) - INTERVAL 1 HOUR AS mark FROM events)
+       SELECT CAST(user_id AS VARCHAR) AS key, strftime(s, '%Y-%m-%d %H:%M:%S.%f') AS start, count(*) AS scanned_rows, count(*) FILTER (WHERE NOT coalesce(value >= 10, FALSE)) AS violating_rows,
+         CASE WHEN count(*) FILTER (WHERE NOT coalesce(value >= 10, FALSE)) = 0 THEN 'pass' ELSE 'fail' END AS verdict
+       FROM n JOIN events USING (user_id), m WHERE ts >= s AND ts < s + INTERVAL 36 HOUR AND (next IS NOT NULL OR s + INTERVAL 36 HOUR <= mark) GROUP BY 1, 2""",
+)
+def _(t, spark):
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS)
+    try:
+        out = drained(judge.opened_windows(stream_of(t, spark), STREAM[0], "user_id", "ts", 36 * 3600, "1 hour"), spark)
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    return out.withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+
+
+@query(
+    "stream_reconciliation",
+    """WITH l AS (SELECT event_id AS k, ts AS a, value AS v FROM events WHERE event_id % 10 <> 9),
+       r AS (SELECT event_id AS k, ts + CASE event_id % 6 WHEN 1 THEN INTERVAL 7 MINUTE WHEN 2 THEN INTERVAL 3 HOUR ELSE INTERVAL 0 MINUTE END AS a, CASE WHEN event_id % 7 = 3 THEN value + 5 ELSE value END AS v FROM events WHERE event_id % 10 <> 8),
+       m AS (SELECT least((SELECT max(a) FROM l), (SELECT max(a) FROM r)) - INTERVAL 1 HOUR AS mark),
+       j AS (SELECT l.k AS lk, r.k AS rk, l.a AS la, r.a AS ra, l.v AS lv, r.v AS rv FROM l FULL JOIN r ON l.k = r.k AND r.a BETWEEN l.a - INTERVAL 30 MINUTE AND l.a + INTERVAL 30 MINUTE)
+       SELECT CASE WHEN rk IS NULL THEN 'missing' WHEN lk IS NULL THEN 'extra' WHEN NOT coalesce(abs(lv - rv) <= 1, lv IS NULL AND rv IS NULL) THEN 'off' ELSE 'matched' END AS kind, count(*) AS n, min(coalesce(lk, rk)) AS first, max(coalesce(lk, rk)) AS last
+       FROM j, m WHERE (lk IS NOT NULL AND rk IS NOT NULL) OR coalesce(la, ra) + INTERVAL 30 MINUTE < mark GROUP BY 1""",
+)
+def _(t, spark):
+    """Two replays of the events as streams, one of them late, off or short of some messages."""
+    shift = F.when(F.col("event_id") % 6 == 1, 7).when(F.col("event_id") % 6 == 2, 180).otherwise(0)
+    left = stream_of(t, spark).where("event_id % 10 <> 9")
+    right = stream_of(t, spark).where("event_id % 10 <> 8").withColumns(
+        {"ts": F.col("ts") + F.make_dt_interval(mins=shift), "value": F.when(F.col("event_id") % 7 == 3, F.col("value") + 5).otherwise(F.col("value"))}
+    )
+    out = drained(judge.reconciled(left, right, "event_id", "value", "ts", "30 minutes", "1 hour", 1.0), spark)
+    return out.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("first"), F.max("key").alias("last"))
