@@ -381,17 +381,18 @@ def season_lattice(df: DataFrame, least: int = 20, closed: Sequence[date] = (),
     """
     declared = {f"declared_{k}": F.coalesce(c.cast("boolean"), F.lit(False)).cast("string") for k, c in sorted((drivers or {}).items())}
     facets = _facets(F.col("t").cast("timestamp"), list(closed), intraday) | declared
-    marked = df.withColumn("__f", F.struct(*[F.coalesce(c, F.lit("?")).alias(k) for k, c in facets.items()]))
-    finest = marked.groupBy("series", "__f").agg(F.count(F.lit(1)).alias("n"))
+    # In a struct, a series without a name equals itself.
+    marked = df.withColumns({"__s": F.struct("series"), "__f": F.struct(*[F.coalesce(c, F.lit("?")).alias(k) for k, c in facets.items()])})
+    finest = marked.groupBy("__s", "__f").agg(F.count(F.lit(1)).alias("n"))
     said = lambda keys: F.concat_ws(", ", *[F.concat(F.lit(f"{k}="), F.col(f"__f.{k}")) for k in keys])
     steps = [(name, [*keys, *declared]) for name, keys in _LEVELS.items() if (intraday or name != "hour") and (declared or name != "declared")]
     rows = [F.struct(F.lit(i).alias("level"), F.lit(name).alias("name"), said(keys).alias("season")) for i, (name, keys) in enumerate([*steps, ("all", [])])]
-    laid = finest.select("series", "__f", "n", F.inline(F.array(*rows)))
-    sizes = laid.groupBy("series", "level", "season").agg(F.sum("n").alias("members"))
-    enough = laid.join(sizes, ["series", "level", "season"]).where((F.col("members") >= least) | (F.col("name") == "all"))
-    chosen = enough.groupBy("series", "__f").agg(F.min(F.struct("level", "name", "season", "members")).alias("__c"))
-    out = marked.join(chosen.select(F.col("series").alias("__s"), F.col("__f").alias("__g"), "__c"), F.col("series").eqNullSafe(F.col("__s")) & (F.col("__f") == F.col("__g")))
-    return out.withColumns({"level": F.col("__c.name"), "season": F.col("__c.season"), "members": F.col("__c.members")}).drop("__f", "__s", "__g", "__c")
+    laid = finest.select("__s", "__f", "n", F.inline(F.array(*rows)))
+    sizes = laid.groupBy("__s", "level", "season").agg(F.sum("n").alias("members"))
+    enough = laid.join(sizes, ["__s", "level", "season"]).where((F.col("members") >= least) | (F.col("name") == "all"))
+    chosen = enough.groupBy("__s", "__f").agg(F.min(F.struct("level", "name", "season", "members")).alias("__c"))
+    out = marked.join(chosen, ["__s", "__f"])
+    return out.select(*df.columns, F.col("__c.name").alias("level"), F.col("__c.season").alias("season"), F.col("__c.members").alias("members"))
 
 
 def ensemble(scored: dict[str, DataFrame], n: int = 200, least: int = 20) -> DataFrame:

@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .as_of import as_of
+
 from ..sources.store import cut
 
 AMOUNT = "decimal(38,6)"
@@ -239,6 +241,23 @@ def dated_rates(amounts: DataFrame, rates: DataFrame, currency: str, day: str, t
     return joined.withColumns({"rate": F.when(own, 1.0).otherwise(F.col("__b.__rate")), "rate_day": F.when(own, F.col(day)).otherwise(F.col("__b.__of"))}).drop("__ccy", "__day", "__b")
 
 
+def rates_as_of(amounts: DataFrame, rates: DataFrame, currency: str, at: str, target: str, seconds: float | None = None) -> DataFrame:
+    """Adds rate and rate_at: the latest rate into ``target`` at or before the row's time, however long ago, or ``seconds`` ago at most.
+
+    rates: (source, target, at, rate).  A quoted rate goes before an inverted one
+    of any time.  Rows of the target currency itself have rate 1; without a rate
+    both are null.  Every row comes out once.
+    """
+    quoted = rates.where(F.col("target") == target).select(F.upper("source").alias("__ccy"), F.col("at").alias("__when"), F.col("rate").cast("double").alias("__quoted"))
+    inverse = rates.where((F.col("source") == target) & (F.col("rate") != 0)).select(F.upper("target").alias("__ccy"), F.col("at").alias("__when"), (1 / F.col("rate").cast("double")).alias("__inverse"))
+    asked = amounts.withColumns({"__ccy": F.upper(currency), "__when": F.col(at)})
+    one = as_of(asked, quoted, ["__ccy"], "__when", ["__quoted"], "__quoted_at", seconds)
+    both = as_of(one, inverse, ["__ccy"], "__when", ["__inverse"], "__inverse_at", seconds)
+    own = F.coalesce(F.col("__ccy") == target, F.lit(False))
+    rate = {"rate": F.when(own, 1.0).otherwise(F.coalesce("__quoted", "__inverse")), "rate_at": F.when(own, F.col(at)).when(F.col("__quoted").isNotNull(), F.col("__quoted_at")).otherwise(F.col("__inverse_at"))}
+    return both.withColumns(rate).select(*amounts.columns, "rate", "rate_at")
+
+
 def map_codes(df: DataFrame, column: str, mapping: DataFrame, strict: bool = True) -> DataFrame:
     """``column`` in the other side's codes, from (code, other) rows, case aside; an unmapped code raises, or stays null if not ``strict``."""
     pairs = mapping.select(F.upper("code").alias("__code"), F.col("other").alias("__other"), F.lit(True).alias("__there"))

@@ -402,3 +402,20 @@ def _(t, spark):
 def _(t, spark):
     names = t("nation").select(F.col("n_name").alias("name"), "n_nationkey")
     return feeds.manifest_missing(names.select("name"), names.where("n_nationkey % 4 <> 1"))
+
+
+@query(
+    "rates_as_of",
+    """WITH l AS (SELECT event_id, event_type AS ccy, ts FROM events), q AS (SELECT event_type AS ccy, ts, 1 + event_id / 1000.0 AS rate FROM events WHERE event_id % 50 = 7 AND event_type <> 'purchase'),
+       i AS (SELECT event_type AS ccy, ts, 1 / (2 + event_id / 1000.0) AS rate FROM events WHERE event_id % 70 = 3),
+       x AS (SELECT l.*, q.rate AS qr, q.ts AS qt FROM l ASOF LEFT JOIN q ON l.ccy = q.ccy AND l.ts >= q.ts), y AS (SELECT x.*, i.rate AS ir, i.ts AS it FROM x ASOF LEFT JOIN i ON x.ccy = i.ccy AND x.ts >= i.ts)
+       SELECT event_id, CAST(round(coalesce(CASE WHEN ccy = 'click' THEN 1 END, qr, ir), 6) AS DOUBLE) AS rate, strftime(CASE WHEN ccy = 'click' THEN ts WHEN qr IS NOT NULL THEN qt ELSE it END, '%Y-%m-%d %H:%M:%S') AS rate_at FROM y""",
+)
+def _(t, spark):
+    """Events as amounts in a currency for each type; some of them stand for quotes of rates, into or from the target."""
+    e, id_ = t("events"), F.col("event_id")
+    upper = F.upper("event_type")
+    quotes = e.where((id_ % 50 == 7) & (F.col("event_type") != "purchase")).select(upper.alias("source"), F.lit("CLICK").alias("target"), F.col("ts").alias("at"), (1 + id_ / 1000).alias("rate"))
+    other = e.where(id_ % 70 == 3).select(F.lit("CLICK").alias("source"), upper.alias("target"), F.col("ts").alias("at"), (2 + id_ / 1000).alias("rate"))
+    out = reconcile.rates_as_of(e, quotes.where("source <> 'CLICK'").union(other.where("target <> 'CLICK'")), "event_type", "ts", "CLICK")
+    return out.select("event_id", F.round("rate", 6).alias("rate"), F.date_format("rate_at", "yyyy-MM-dd HH:mm:ss").alias("rate_at"))
