@@ -5,6 +5,7 @@ All are Column expressions and stay inside whole-stage code generation.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -180,3 +181,22 @@ def settles_after_trade(trade, settle) -> Column:
 def sign_matches_side(amount, side) -> Column:
     s = F.upper(col(side))
     return F.when(s == "BUY", col(amount) >= 0).when(s == "SELL", col(amount) <= 0)
+
+
+#: Functions added under a name, for controls that are given as data: name to a builder of a Column from Columns.
+ADDED: dict[str, Callable[..., Column]] = {}
+
+
+def register_function(name: str, build: Callable[..., Column]) -> None:
+    """Add a function built from Columns, so that it stays inside Spark's plans; a name can't be taken twice."""
+    if name in ADDED or name.startswith("_") or name in globals():
+        raise ValueError(f"{name} is taken")
+    ADDED[name] = build
+
+
+def call(name: str, *arguments) -> Column:
+    """The function of a name, an added one or one of this module, applied to columns, given as Columns or by name."""
+    build = ADDED.get(name) or (None if name.startswith("_") else globals().get(name))
+    if build is None or not callable(build) or name in ("register_function", "call"):
+        raise ValueError(f"no function {name}")
+    return build(*[col(a) for a in arguments])

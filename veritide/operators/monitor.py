@@ -6,7 +6,7 @@ series, so that any number of series is judged at once.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, Window
@@ -457,3 +457,22 @@ def rolled_up(df: DataFrame, family: str, alpha: float = 0.05, share: float = 0.
     single = hierarchical(df.select(F.col(family).alias("family"), F.col("member"), "p"), "family", alpha).where("selected")
     kept = single.join(apart, F.col("family") == F.col("__g"), "left_semi").select("family", F.col("member").cast("string").alias("member"), "p", F.lit(1).cast("long").alias("covers"))
     return rolled.unionByName(kept)
+
+
+#: Detectors by name, of series (series, t, value): each adds a score that is larger the stranger a point is, or null.
+DETECTORS: dict[str, Callable[[DataFrame], DataFrame]] = {"robust_deviation": robust_deviation, "quantile_distance": quantile_distance, "forecast_residual": forecast_residual, "local_outlier": local_outlier}
+
+
+def register_detector(name: str, detect: Callable[[DataFrame], DataFrame]) -> None:
+    """Add a detector; a name can't be taken twice."""
+    if name in DETECTORS:
+        raise ValueError(f"{name} is taken")
+    DETECTORS[name] = detect
+
+
+def detected(df: DataFrame, names: Sequence[str] | None = None) -> dict[str, DataFrame]:
+    """What detectors, all or those named, say of series; ensemble() joins it."""
+    names = list(DETECTORS if names is None else names)
+    if unknown := [n for n in names if n not in DETECTORS]:
+        raise ValueError(f"no detector {', '.join(unknown)}")
+    return {n: DETECTORS[n](df) for n in names}

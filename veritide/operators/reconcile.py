@@ -258,6 +258,44 @@ def rates_as_of(amounts: DataFrame, rates: DataFrame, currency: str, at: str, ta
     return both.withColumns(rate).select(*amounts.columns, "rate", "rate_at")
 
 
+#: Fixed value: below this share of matched rows the keys don't fit, rather than the books.
+POOR_MATCH = 0.9
+
+
+def report(matched: DataFrame) -> DataFrame:
+    """One row on how two sides lined up: pairs, totalled_pairs, left_only, right_only, left_rows, right_rows, match_rate, verdict.
+
+    totalled_pairs compare sums, as their key repeats.  match_rate is the share of
+    rows whose key is on both sides; it is null, and the verdict "nothing
+    compared", where neither side has rows, which isn't agreement.  A rate under
+    POOR_MATCH is "misconfigured": then each break is a gap of the keys.
+    """
+    left, right = F.coalesce("left_rows", F.lit(0)), F.coalesce("right_rows", F.lit(0))
+    both = F.col("left_rows").isNotNull() & F.col("right_rows").isNotNull()
+    out = matched.agg(
+        F.count_if(both).alias("pairs"), F.count_if(both & ((left > 1) | (right > 1))).alias("totalled_pairs"), F.count_if(F.col("right_rows").isNull()).alias("left_only"),
+        F.count_if(F.col("left_rows").isNull()).alias("right_only"), F.coalesce(F.sum(left), F.lit(0)).alias("left_rows"), F.coalesce(F.sum(right), F.lit(0)).alias("right_rows"),
+        F.coalesce(F.sum(F.when(both, left + right)), F.lit(0)).alias("__both"),
+    )
+    rate = F.try_divide(F.col("__both").cast("double"), F.col("left_rows") + F.col("right_rows"))
+    verdict = F.when(F.col("match_rate").isNull(), "nothing compared").when(F.col("match_rate") < POOR_MATCH, "misconfigured").otherwise("comparable")
+    return out.withColumn("match_rate", rate).drop("__both").withColumn("verdict", verdict)
+
+
+def worst_first(breaks: DataFrame, n: int) -> DataFrame:
+    """The ``n`` breaks to look at first, ranked: those that a person must look at, then the larger difference, then by key.
+
+    A top-n, so no task sorts all breaks; what agrees isn't a break.
+    """
+    keys = [c for c in breaks.columns if c.startswith("k") and c[1:].isdigit()]
+    gap = F.abs(F.coalesce("left", F.lit(0).cast(AMOUNT)) - F.coalesce("right", F.lit(0).cast(AMOUNT))).cast(AMOUNT)
+    person = F.col("kind").isin("genuine", "missing", "extra", "no_amount")
+    order = [F.desc("needs_person"), F.desc("gap"), *keys]
+    first = breaks.where("kind <> 'matched'").withColumns({"gap": gap, "needs_person": person}).orderBy(*order).limit(n)
+    # The window ranks n rows.
+    return first.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+
+
 def map_codes(df: DataFrame, column: str, mapping: DataFrame, strict: bool = True) -> DataFrame:
     """``column`` in the other side's codes, from (code, other) rows, case aside; an unmapped code raises, or stays null if not ``strict``."""
     pairs = mapping.select(F.upper("code").alias("__code"), F.col("other").alias("__other"), F.lit(True).alias("__there"))

@@ -27,15 +27,34 @@ UNSTABLE = ("rand(", "randn(", "uuid(", "now(", "current_timestamp(", "current_d
 
 @dataclass(frozen=True)
 class Threshold:
-    """Most violating rows, or the largest violating share, that still pass."""
+    """What still passes: at most ``rows`` violating rows, or a share of at most ``rate``, or an ``amount`` of ``of`` in them.
+
+    With ``at_least`` the bound is the least number of rows, or share, or amount
+    that must violate, for controls that state what has to happen.  An amount is
+    the sum of absolute values of the column or expression ``of`` over violating
+    rows; a missing value adds nothing.
+    """
 
     rows: int = 0
     rate: float | None = None
-
-    def holds(self, violating: Column, scanned: Column) -> Column:
-        if self.rate is not None:
-            return F.try_divide(violating.cast("double"), scanned) <= self.rate
-        return violating <= self.rows
+    amount: float | None = None
+    of: str | None = None
+    at_least: bool = False
+
+    def __post_init__(self):
+        if (self.amount is None) != (self.of is None):
+            raise ValueError("an amount is of some column")
+        if self.amount is not None and self.rate is not None:
+            raise ValueError("a threshold is a share or an amount")
+
+    def holds(self, m: Callable[[str], Column]) -> Column:
+        if self.amount is not None:
+            value, bound = m("violating_amount"), F.lit(str(self.amount)).cast("decimal(38,6)")
+        elif self.rate is not None:
+            value, bound = F.try_divide(m("violating_rows").cast("double"), m("scanned_rows")), F.lit(self.rate)
+        else:
+            value, bound = m("violating_rows"), F.lit(self.rows)
+        return value >= bound if self.at_least else value <= bound
 
 
 def _text(c) -> str | None:
@@ -72,6 +91,8 @@ class Control:
         """What is wrong with the control for a schema, in words; empty if nothing is."""
         out = [f"{self.name}: no column {c}" for c in self.columns() if c not in schema.names]
         text = json.dumps(self.definition(), default=str).lower()
+        if self.threshold.amount is not None and not isinstance(self, RowCheck):
+            out.append(f"{self.name}: only a row check has an amount")
         return out + [f"{self.name}: {u[:-1]} is not repeatable" for u in UNSTABLE if u in text]
 
     def columns(self) -> tuple[str, ...]:
@@ -80,7 +101,7 @@ class Control:
     def verdict(self, m: Callable[[str], Column]) -> Column:
         return (
             F.when(m("scanned_rows") == 0, INDETERMINATE)
-            .when(self.threshold.holds(m("violating_rows"), m("scanned_rows")), PASS)
+            .when(self.threshold.holds(m), PASS)
             .otherwise(FAIL)
         )
 
@@ -96,8 +117,12 @@ class RowCheck(Control):
         return violation(F.expr(self.ok) if isinstance(self.ok, str) else self.ok, self.unknown)
 
     def aggregates(self) -> dict[str, Column]:
-        s = self.scope()
-        return {"scanned_rows": F.count_if(s), "violating_rows": F.count_if(s & self.violating())}
+        s, bad = self.scope(), self.violating()
+        out = {"scanned_rows": F.count_if(s), "violating_rows": F.count_if(s & bad)}
+        if self.threshold.of is not None:
+            value = F.abs(F.expr(self.threshold.of).cast("decimal(28,6)"))
+            out["violating_amount"] = F.coalesce(F.sum(F.when(s & bad, value)), F.lit(0).cast("decimal(38,6)"))
+        return out
 
 
 @dataclass(frozen=True)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
@@ -96,7 +97,7 @@ def from_dbt(document: Mapping) -> Imported:
             if kind == "unique_combination_of_columns" and k.get("combination_of_columns"):
                 out.add(dataset, UniqueKey(f"{dataset}.{kind}", tuple(k["combination_of_columns"])))
             elif kind == "expression_is_true" and k.get("expression"):
-                out.add(dataset, RowCheck(f"{dataset}.{kind}", k["expression"]))
+                out.add(dataset, _check(f"{dataset}.{kind}", F.expr(k["expression"])))
             else:
                 out.unmapped.append((f"{dataset}: {kind}", "no control says the same"))
         for column in m.get("columns") or ():
@@ -244,6 +245,94 @@ def from_contract(contract: Mapping) -> tuple[Declaration, list[str]]:
     return Declaration(first.get("name") or contract.get("dataProduct") or "", tuple(n for _, n in sorted(grain)), tuple(attributes)), left
 
 
+#: Metrics and rules of open data contracts, by what they count.
+_MISSING, _DOUBLE, _INVALID = ("nullValues", "nullCheck", "missingValues"), ("duplicateValues", "duplicateCount", "uniqueCheck"), ("invalidValues", "validValues")
+
+
+def _allowed(block: Mapping) -> Threshold | str:
+    """The threshold that a rule's bounds on failures allow; "less than 10" lets nine pass."""
+    percent = str(block.get("unit", "")).lower() in ("percent", "%")
+    if "mustBe" in block and block["mustBe"] == 0:
+        return Threshold(rate=0.0) if percent else Threshold()
+    for key, strict in (("mustBeLessOrEqualTo", False), ("mustBeLessThan", True)):
+        if key in block:
+            most = float(block[key])
+            if percent:
+                return Threshold(rate=max(most / 100 - (1e-9 if strict else 0), 0.0))
+            return Threshold(rows=max(math.ceil(most) - 1 if strict else math.floor(most), 0))
+    for key, strict in (("mustBeGreaterOrEqualTo", False), ("mustBeGreaterThan", True)):
+        if key in block:
+            least = float(block[key])
+            if percent:
+                return Threshold(rate=least / 100 + (1e-9 if strict else 0), at_least=True)
+            return Threshold(rows=math.floor(least) + 1 if strict else math.ceil(least), at_least=True)
+    if any(k.startswith("must") for k in block):
+        return "its bounds aren't those of a control"
+    return Threshold()
+
+
+def _quality(dataset: str, column: str | None, i: int, block: Mapping) -> Control | str:
+    kind = block.get("type", "library")
+    if kind == "text":
+        return "it is a text for people"
+    if kind == "custom":
+        return f"it is written for {block.get('engine', 'another engine')}"
+    if kind == "sql":
+        return "its query is run by suite.custom_sql()"
+    rule = block.get("metric") or block.get("rule")
+    options = block.get("arguments") or {}
+    where = f"{dataset}.{column}" if column else dataset
+    name = block.get("name") or f"{where}.{rule}.{i}"
+    if rule == "rowCount":
+        between = block.get("mustBeBetween") or (None, None)
+        low = block.get("mustBeGreaterOrEqualTo", between[0] if "mustBeGreaterThan" not in block else math.floor(block["mustBeGreaterThan"]) + 1)
+        high = block.get("mustBeLessOrEqualTo", between[1] if "mustBeLessThan" not in block else math.ceil(block["mustBeLessThan"]) - 1)
+        if "mustBe" in block:
+            low = high = block["mustBe"]
+        return RowCount(name, low, high) if low is not None or high is not None else "it has no bound"
+    allowed = _allowed(block)
+    if isinstance(allowed, str):
+        return allowed
+    if rule in _DOUBLE:
+        key = tuple(options.get("properties") or ([column] if column else ()))
+        return UniqueKey(name, key, threshold=allowed) if key else "it names no columns"
+    if column is None:
+        return "it is about a column, and none is named"
+    if rule in _MISSING:
+        blanks = [v for v in options.get("missingValues") or () if v is not None]
+        ok = F.col(column).isNotNull()
+        return RowCheck(name, ok & ~F.col(column).cast("string").isin(*map(str, blanks)) if blanks else ok, threshold=allowed)
+    if rule in _INVALID:
+        values, pattern = options.get("validValues") or block.get("validValues"), options.get("pattern")
+        if not values and not pattern:
+            return "it says nothing of what is valid"
+        ok = predicates.in_list(column, values) if values else F.lit(True)
+        return RowCheck(name, ok & F.col(column).rlike(f"^(?:{pattern})$") if pattern else ok, unknown=predicates.PASSES, threshold=allowed)
+    return "no control says the same"
+
+
+def from_contracts(contract: Mapping) -> tuple[list[Declaration], Imported]:
+    """(declarations, controls of quality rules by dataset) of every schema object of an open data contract.
+
+    Rules of a library become controls with the bounds that they state; texts,
+    queries and rules for other engines, and what no control says, are listed as
+    unmapped, each with why.
+    """
+    out, declared = Imported(), []
+    for one in contract.get("schema") or ():
+        declaration, left = from_contract({**contract, "schema": [one]})
+        declared.append(declaration)
+        out.unmapped.extend((f"{declaration.dataset}: {what}", "no part of a declaration") for what in left if not what.endswith(": quality"))
+        blocks = [(None, b) for b in one.get("quality") or ()] + [(p["name"], b) for p in one.get("properties") or () for b in p.get("quality") or ()]
+        for i, (column, block) in enumerate(blocks):
+            made = _quality(declaration.dataset, column, i, block)
+            if isinstance(made, str):
+                out.unmapped.append((f"{declaration.dataset}{'.' + column if column else ''}: {block.get('metric') or block.get('rule') or block.get('type')}", made))
+            else:
+                out.add(declaration.dataset, made)
+    return declared, out
+
+
 def to_contract(d: Declaration, version: str = "v3.0.0") -> dict:
     """An open data contract that from_contract() reads back."""
     def one(a: Attribute) -> dict:

@@ -313,3 +313,16 @@ def _(t, spark):
     letter = lambda n: F.char(65 + n % 26)
     two = F.concat(letter(F.col("n_nationkey")), letter(F.col("n_nationkey") * 5 + 4))
     return t("nation").select("n_name", P.in_list(F.substring("n_name", 1, 2), "AR BR CA NA".split()).alias("short"), P.in_list(two, V.code_list("iso3166")).alias("iso"))
+
+
+@query(
+    "threshold_amounts",
+    """WITH c AS (SELECT count(*) AS n, count(*) FILTER (WHERE NOT o_totalprice < 300000) AS dear, sum(o_totalprice) FILTER (WHERE NOT o_totalprice < 300000) AS amount, count(*) FILTER (WHERE NOT o_orderstatus <> 'F') AS closed, sum(o_totalprice) AS total FROM orders)
+       SELECT 'within amount' AS control, n AS scanned_rows, dear AS violating_rows, CASE WHEN coalesce(amount, 0) <= 1000000000 THEN 'pass' ELSE 'fail' END AS verdict FROM c
+       UNION ALL SELECT 'beyond amount', n, dear, CASE WHEN coalesce(amount, 0) <= 1000.5 THEN 'pass' ELSE 'fail' END FROM c
+       UNION ALL SELECT 'some closed', n, closed, CASE WHEN closed >= 10 THEN 'pass' ELSE 'fail' END FROM c UNION ALL SELECT 'most closed', n, closed, CASE WHEN closed / n >= 0.9 THEN 'pass' ELSE 'fail' END FROM c""",
+)
+def _(t, spark):
+    dear = lambda name, amount: RowCheck(name, "o_totalprice < 300000", threshold=Threshold(amount=amount, of="o_totalprice"))
+    closed = lambda name, **k: RowCheck(name, "o_orderstatus <> 'F'", threshold=Threshold(at_least=True, **k))
+    return suite.evaluate(t("orders"), [dear("within amount", 1e9), dear("beyond amount", 1000.5), closed("some closed", rows=10), closed("most closed", rate=0.9)])

@@ -419,3 +419,26 @@ def _(t, spark):
     other = e.where(id_ % 70 == 3).select(F.lit("CLICK").alias("source"), upper.alias("target"), F.col("ts").alias("at"), (2 + id_ / 1000).alias("rate"))
     out = reconcile.rates_as_of(e, quotes.where("source <> 'CLICK'").union(other.where("target <> 'CLICK'")), "event_type", "ts", "CLICK")
     return out.select("event_id", F.round("rate", 6).alias("rate"), F.date_format("rate_at", "yyyy-MM-dd HH:mm:ss").alias("rate_at"))
+
+
+@query(
+    "match_report",
+    """WITH l AS (SELECT o_custkey AS k, count(*) AS n FROM orders WHERE o_orderkey % 5 <> 0 GROUP BY 1), r AS (SELECT o_custkey AS k, count(*) AS n FROM orders WHERE o_orderkey % 3 <> 0 GROUP BY 1),
+       m AS (SELECT l.n AS ln, r.n AS rn FROM l FULL JOIN r USING (k)), x AS (SELECT count(*) FILTER (WHERE ln IS NOT NULL AND rn IS NOT NULL) AS pairs, count(*) FILTER (WHERE ln IS NOT NULL AND rn IS NOT NULL AND (ln > 1 OR rn > 1)) AS totalled_pairs,
+         count(*) FILTER (WHERE rn IS NULL) AS left_only, count(*) FILTER (WHERE ln IS NULL) AS right_only, CAST(sum(ln) AS BIGINT) AS left_rows, CAST(sum(rn) AS BIGINT) AS right_rows, sum(ln + rn) AS paired FROM m)
+       SELECT pairs, totalled_pairs, left_only, right_only, left_rows, right_rows, round(paired / (left_rows + right_rows), 9) AS match_rate, CASE WHEN paired / (left_rows + right_rows) < 0.9 THEN 'misconfigured' ELSE 'comparable' END AS verdict FROM x""",
+)
+def _(t, spark):
+    side = reconcile.Side(["o_custkey"], "o_totalprice")
+    out = reconcile.report(reconcile.match(side.totals(t("orders").where("o_orderkey % 5 <> 0")), side.totals(t("orders").where("o_orderkey % 3 <> 0"))))
+    return out.withColumn("match_rate", F.round("match_rate", 9))
+
+
+@query(
+    "worst_breaks",
+    f"""WITH {PLANTED}, c AS (SELECT k, la, ra, CASE WHEN la = ra THEN 'matched' WHEN la = -ra THEN 'sign' WHEN la <> 0 AND (ra = 2 * la OR la = 2 * ra OR ra = 3 * la OR la = 3 * ra OR ra = 4 * la OR la = 4 * ra) THEN 'duplicate' WHEN abs(la - ra) <= 0.01 THEN 'rounding' ELSE 'genuine' END AS kind FROM p)
+       SELECT CAST(row_number() OVER (ORDER BY kind = 'genuine' DESC, abs(la - ra) DESC, CAST(k AS VARCHAR)) AS INTEGER) AS rank, CAST(k AS VARCHAR) AS k0, kind, CAST(abs(la - ra) AS DOUBLE) AS gap FROM c WHERE kind <> 'matched' QUALIFY rank <= 50""",
+)
+def _(t, spark):
+    out = reconcile.worst_first(reconcile.classify(planted(t), reconcile.Tolerance()), 50)
+    return out.select("rank", "k0", "kind", F.col("gap").cast("double").alias("gap"))

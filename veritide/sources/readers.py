@@ -20,6 +20,13 @@ FORMATS = {
     "ndjson": ("json", {}),
 }
 
+def register_format(extension: str, source: str, **options: str) -> None:
+    """Read files of an extension with a source of Spark's, or one registered with it; an extension can't be taken twice."""
+    if extension.lower() in FORMATS:
+        raise ValueError(f".{extension} is taken")
+    FORMATS[extension.lower()] = (source, options)
+
+
 #: Driver URLs by database.
 JDBC_URLS = {
     "postgresql": "jdbc:postgresql://{host}:{port}/{database}",
