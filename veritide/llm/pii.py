@@ -104,6 +104,8 @@ _TOKEN = re.compile(r"[0-9]+|[A-Za-z]+|[^\s]|[ \t]+|\n")
 #: What a line must hold for any segment in it to be a candidate.
 _NEEDED = re.compile(r"@|[\[(](?i:at)[\])]|(?:[0-9][^0-9\n]*){7}")
 _AT = re.compile(r"@|[\[(](?i:at)[\])]")
+#: An address, its signs as such or spelled out.
+_ADDRESS = re.compile(r"[A-Za-z0-9._%+-]+ ?(?:@|[\[(] ?(?i:at) ?[\])]) ?[A-Za-z0-9-]+(?:(?:[.]| ?[\[(] ?(?i:dot) ?[\])] ?)[A-Za-z0-9-]+)+")
 #: Digits that a candidate without an at sign holds at least.
 _DIGITS = 7
 #: Tokens of the longest segment.
@@ -111,10 +113,10 @@ MAX_SEGMENT = 16
 #: Characters of the longest segment.
 MAX_CHARS = 320
 _CUES = {
-    "phone": frozenset("phone tel telephone call mobile cell fax whatsapp telefon telefono".split()),
-    "card": frozenset("card visa mastercard amex credit debit karte tarjeta carte".split()),
-    "email": frozenset("email mail contact write e-mail correo courriel".split()),
-    "ip": frozenset("ip host server address ping addr".split()),
+    "phone": frozenset("phone tel telephone call calling mobile cell fax whatsapp ring dial telefon telefonnummer handy mobil anrufen ruf rufnummer telefono teléfono móvil movil llamar llame téléphone tél portable appeler appelez".split()),
+    "card": frozenset("card visa mastercard amex credit debit karte kreditkarte tarjeta crédito carte crédit bancaire".split()),
+    "email": frozenset("email mail contact write e-mail reach kontakt schreiben schreib correo escribir escribe courriel écrire écrivez contacter".split()),
+    "ip": frozenset("ip host server address ping addr adresse dirección".split()),
 }
 
 
@@ -150,6 +152,17 @@ def segment_features(text: str, toks: list[tuple[int, int]], i: int, j: int) ->
     at = _AT.search(span) is not None
     if n < _DIGITS and not at:
         return None
+    words = tuple(re.findall(r"[a-zß-öø-ÿ-]+", text[max(0, a - 24) : a].lower())[-3:])
+    return _features(span, before, after, after == "." and b + 1 < len(text) and text[b + 1].isalnum(), words)
+
+
+@lru_cache(maxsize=1 << 16)
+def _features(span: str, before: str, after: str, glued: bool, words: tuple[str, ...]) -> list[str]:
+    """Features of a candidate, which nothing else depends on; dense texts ask for the same ones again."""
+    first = span[0]
+    digits = [c for c in span if c.isdigit() and c.isascii()]
+    n = len(digits)
+    at = _AT.search(span) is not None
     letters = sum(c.isalpha() for c in span)
     shape = re.sub(r"[A-Za-z]+", "a", re.sub(r"[0-9]+", "9", span))
     groups = [len(g) for g in re.findall(r"[0-9]+", span)]
@@ -160,26 +173,26 @@ def segment_features(text: str, toks: list[tuple[int, int]], i: int, j: int) ->
         f"digits={n if n < 7 else '7-8' if n < 9 else '9-11' if n < 12 else '12-19' if n < 20 else '20+'}",
         f"plus={first == '+'}",
         f"paren={first == '('}",
-        f"dots={min(shape.count('.'), 4)}",
-        f"spaces={min(span.count(' '), 4)}",
-        f"dashes={min(span.count('-'), 4)}",
         f"open={before in '+@.-_/:=#$(' or after in '@_/=-'}",
-        f"glued={after == '.' and b + 1 < len(text) and text[b + 1].isalnum()}",
+        f"glued={glued}",
     ]
+    if not at:
+        # The shape of an address says as much as its separators could.
+        out += [f"dots={min(shape.count('.'), 4)}", f"spaces={min(span.count(' '), 4)}", f"dashes={min(span.count('-'), 4)}"]
     if not letters and not at:
         out += [
             f"groups={'-'.join(map(str, groups[:6]))}",
             f"luhn={12 <= n <= 19 and luhn(''.join(digits))}",
             f"octets={len(groups) == 4 and all(int(g) <= 255 for g in re.findall(r'[0-9]{1,3}', span)) and shape.count('.') == 3}",
             f"one={len(groups) == 1}",
-            f"odd={any(c not in '0123456789 ().+-' for c in span)}",
+            f"odd={any(c not in '0123456789 ().+-/' for c in span)}",
+            f"slashes={min(span.count('/'), 2)}",
         ]
     if at:
-        out += [
-            f"mail={re.fullmatch(r'[A-Za-z0-9._%+-]+ ?(?:@|[\[(] ?(?i:at) ?[\])]) ?[A-Za-z0-9-]+(?: ?(?:[.]|[\[(] ?(?i:dot) ?[\])]) ?[A-Za-z0-9-]+)+', span) is not None}",
-            f"ats={min(span.count('@'), 2)}",
-        ]
-    words = re.findall(r"[a-z-]+", text[max(0, a - 24) : a].lower())[-3:]
+        mail = _ADDRESS.fullmatch(span) is not None
+        spelled = "spelled" if mail and "@" not in span else "sign"
+        out += [f"mail={mail}", f"ats={min(span.count('@'), 2)}"]
+        out += [f"form={spelled}, {'dots' if '.' in span[_AT.search(span).end():] else 'spelled dots'}"] if mail else []
     out += [f"cue={k}" for k, cues in _CUES.items() if any(w in cues for w in words)]
     return out
 
@@ -296,9 +309,11 @@ def labelled_sentences(n: int, seed: int = 11) -> list[tuple[str, list[tuple[int
 
     def make(kind: str) -> tuple[str, str]:
         if kind == "email":
-            at, dot = rng.choice([("@", "."), ("@", "."), (" [at] ", " [dot] "), ("(at)", "(dot)"), (" (at) ", ".")])
-            ascii_word = re.sub(r"[^a-z]", "x", word())
-            return "", f"{ascii_word}{rng.choice(['', '.', '_'])}{digits(2)}{at}{rng.choice(['mail', 'example', 'post-x'])}{rng.choice(['', '1'])}{dot}{rng.choice(['com', 'org', 'co.uk'])}"
+            at, dot = rng.choice([("@", "."), ("@", "."), (" [at] ", " [dot] "), ("[at]", "[dot]"), ("(at)", "(dot)"), (" (at) ", " (dot) "), (" (at) ", ".")])
+            name = lambda: re.sub(r"[^a-z]", "x", word()) or "x"
+            local = name() + rng.choice(["", "", rng.choice("._-") + name()]) + rng.choice(["", "", digits(2), digits(1)])
+            host = rng.choice([name(), "mail", "example", "post-x"]) + rng.choice(["", "", digits(1)])
+            return rng.choice(["", "", rng.choice(sorted(_CUES["email"])) + " "]), f"{local}{at}{host}{dot}{rng.choice(['com', 'org', 'de', 'net', 'co' + dot + 'uk'])}"
         if kind == "ip":
             return rng.choice(["", "ip "]), ".".join(str(rng.randint(0, 255)) for _ in range(4))
         if kind == "card":
@@ -307,8 +322,8 @@ def labelled_sentences(n: int, seed: int = 11) -> list[tuple[str, list[tuple[int
                 d = rng.choice(" -").join(d[i : i + 4] for i in range(0, len(d), 4))
             return rng.choice(["", "card ", "visa "]), d
         d = digits(10)
-        form = rng.choice(["+1 ({}) {}-{}", "+49 {} {} {}", "({}) {}-{}", "{}-{}-{}", "+1-{}-{}-{}"])
-        cue = "" if form[0] in "+(" else rng.choice(["call ", "tel ", "phone "])
+        form = rng.choice(["+1 ({}) {}-{}", "+49 {} {} {}", "({}) {}-{}", "{}-{}-{}", "+1-{}-{}-{}", "{} {} {}", "{}/{} {}", "{}/{}{}", "{}.{}.{}"])
+        cue = "" if form[0] in "+(" else rng.choice(sorted(_CUES["phone"])) + rng.choice([" ", " ", ": ", ". "])
         return cue, form.format(d[:3], d[3:6], d[6:])
 
     def other() -> str:
@@ -327,6 +342,11 @@ def labelled_sentences(n: int, seed: int = 11) -> list[tuple[str, list[tuple[int
                 lambda: f"{digits(4)} {digits(4)}",
                 lambda: f"{digits(3)} {digits(3)} {digits(3)} {digits(3)} {digits(3)}",
                 lambda: f"{digits(2)}, {digits(2)}, {digits(3)}, {digits(2)}",
+                lambda: f"{digits(2)}/{digits(2)}/20{digits(2)}",
+                lambda: f"{digits(3)}/{digits(3)} {digits(4)}",
+                lambda: f"{word()} (at) {word()}",
+                lambda: f"{digits(2)} [at] {digits(2)}",
+                lambda: f"{word()} {word()} (at) {rng.choice(['noon', 'home', 'last'])}, {word()}",
             ]
         )()
 
@@ -350,7 +370,7 @@ def labelled_sentences(n: int, seed: int = 11) -> list[tuple[str, list[tuple[int
 
 
 @lru_cache(maxsize=2)
-def trained(sentences: int = 250, rounds: int = 40, seed: int = 11) -> Field:
+def trained(sentences: int = 300, rounds: int = 40, seed: int = 11) -> Field:
     """A field fitted to generated sentences by gradient ascent on the penalised conditional likelihood."""
     data = []
     index: dict[str, int] = {}
