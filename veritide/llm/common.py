@@ -96,16 +96,22 @@ def bitmap_bytes(keys: DataFrame) -> bytes:
     return bytes(out)
 
 
-def may_be_in(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
-    """The rows of ``df`` whose long ``key`` has a bit set by ``keys``: all that are in it and, as keys share bits, some others.
+def marked_by(df: DataFrame, key: str, keys: DataFrame, flag: str) -> DataFrame:
+    """``df`` with whether its long ``key`` has a bit set by ``keys``: true for all that are in it and, as keys share bits, for some others.
 
-    The bitmap is broadcast, so that most rows that a join would drop aren't shuffled for it.
+    The bitmap is broadcast, so that most rows that a join would leave alone
+    aren't shuffled for it.
     """
     rows, buckets = bitmaps(keys)
-    wide = df.join(F.broadcast(rows), F.pmod(F.shiftright(key, 15), F.lit(buckets)).cast("int") == F.col("bucket"))
+    wide = df.join(F.broadcast(rows), F.pmod(F.shiftright(key, 15), F.lit(buckets)).cast("int") == F.col("bucket"), "left")
     position = F.pmod(key, F.lit(32768)).cast("int")
     byte = F.conv(F.hex(F.substring("bits", F.floor(position / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
-    return wide.where(F.getbit(byte, position % 8) == 1).drop("bucket", "bits")
+    return wide.withColumn(flag, F.coalesce(F.getbit(byte, position % 8) == 1, F.lit(False))).drop("bucket", "bits")
+
+
+def may_be_in(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose long ``key`` may be in ``keys``: all that are, and a few others."""
+    return marked_by(df, key, keys, "__may").where("__may").drop("__may")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

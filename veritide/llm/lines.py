@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, slices, table
+from .common import cut, marked_by, slices, table
 
 SEGMENTS = 16
 #: Buckets of 32,768 bits, 4 KB, of the bitmap; there are at least BITS bits a half up to the most buckets (32 MB).
@@ -259,9 +259,14 @@ def dedup(
     keep = [c for c in keep or [] if c not in (doc_id, text)]
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.struct(*[F.col(c) for c in keep] or [F.lit(0)]).alias("others"))
     drops = cut(dropped_lines(source.select("doc_id", "text"), max_edits, chars_per_edit)).withColumnsRenamed({"doc_id": "drop_id", "mark": "drop_mark"})
-    marked = source.withColumn("mark", F.xxhash64("text"))
+    marked = source.withColumn("mark", F.xxhash64("text")).withColumn("hash", F.xxhash64("mark", "doc_id"))
+    # A text that loses nothing stays where it is, but for the few that share a bit with one that does.
+    flagged = marked_by(marked, "hash", drops.select(F.xxhash64("drop_mark", "drop_id")), "moves")
+    moved = flagged.where("moves")
     # Hashing the drops spares sorting whole texts; both keys together are as good as unique, so no partition grows hot.
-    joined = marked.join(drops.hint("shuffle_hash"), (F.col("mark") == F.col("drop_mark")) & F.col("doc_id").eqNullSafe(F.col("drop_id")), "left")
+    joined = moved.join(drops.hint("shuffle_hash"), (F.col("mark") == F.col("drop_mark")) & F.col("doc_id").eqNullSafe(F.col("drop_id")), "left")
+    columns = ["doc_id", "text", "others", "numbers"]
+    joined = joined.select(*columns).unionByName(flagged.where("NOT moves").withColumn("numbers", F.lit(None).cast("array<int>")).select(*columns))
     lines = F.split("text", "\n", -1)
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("numbers"))
     left = F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
