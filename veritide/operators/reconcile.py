@@ -62,7 +62,9 @@ class Side:
             df = df.join(F.broadcast(rates) if rates.count() <= 10_000 else rates, F.col(self.currency) == F.col("__ccy"), "left")
             missing = F.col("__rate").isNull() & F.col(self.amount).isNotNull()
             value = value * F.when(missing, F.raise_error(F.lit("no rate for a currency")).cast(RATE)).otherwise(F.col("__rate"))
-        value = (value * F.lit(str(-self.scale if self.negate else self.scale)).cast(AMOUNT)).cast(AMOUNT)
+        if self.scale != 1:
+            value = value * F.lit(str(self.scale)).cast(AMOUNT)
+        value = (-value if self.negate else value).cast(AMOUNT)
         if self.places is not None:
             value = F.bround(value, self.places).cast(AMOUNT)
         # The text of a whole number is normal as it is, without patterns for every row.

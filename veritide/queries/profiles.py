@@ -20,7 +20,7 @@ NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
     ),
 )
 def _(t, spark):
-    p = profile.columns(t("lineitem"), NUMBERS)
+    p = profile.columns(t("lineitem"), NUMBERS, metrics=("rows", "nulls", "min", "max", "mean", "stddev"))
     return p.select("column", "rows", "nulls", "min", "max", F.round("mean", 4).alias("mean"), F.round("stddev", 4).alias("stddev"))
 
 
@@ -32,19 +32,19 @@ def _(t, spark):
     ),
 )
 def _(t, spark):
-    p = profile.columns(t("customer"), ["c_name", "c_mktsegment"])
+    p = profile.columns(t("customer"), ["c_name", "c_mktsegment"], metrics=("rows", "nulls", "min_length", "max_length", "mean_length", "blanks"))
     return p.select("column", "rows", "nulls", "min_length", "max_length", F.round("mean_length", 4).alias("mean_length"), "blanks")
 
 
 @query("profile_segmented", "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS rows, min(value) AS min, max(value) AS max, round(avg(value), 4) AS mean FROM events GROUP BY 1")
 def _(t, spark):
     e = t("events").withColumn("day", F.to_date("ts").cast("string"))
-    return profile.columns(e, ["value"], by=["day"]).select("day", "rows", "min", "max", F.round("mean", 4).alias("mean"))
+    return profile.columns(e, ["value"], by=["day"], metrics=("rows", "min", "max", "mean")).select("day", "rows", "min", "max", F.round("mean", 4).alias("mean"))
 
 
 @query("profile_distinct_estimate")
 def _(t, spark):
-    return profile.columns(t("lineitem"), ["l_orderkey", "l_partkey", "l_returnflag"]).select("column", "distinct")
+    return profile.columns(t("lineitem"), ["l_orderkey", "l_partkey", "l_returnflag"], metrics=("distinct",)).select("column", "distinct")
 
 
 @query("exact_quantiles", "SELECT unnest([0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99])::DOUBLE AS quantile, round(unnest(quantile_cont(o_totalprice, [0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99])), 4) AS value FROM orders")
