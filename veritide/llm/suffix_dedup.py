@@ -423,7 +423,7 @@ def _digest(raw: Column) -> Column:
     return F.sha2(raw, 256)
 
 
-def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 400, limit: int = 4096) -> DataFrame:
+def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 400, limit: int = 2048) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
     A null text counts as empty.  Equal texts are one node: each of its windows
