@@ -173,7 +173,7 @@ def _features(span: str, before: str, after: str, glued: bool, words: tuple[str,
         f"digits={n if n < 7 else '7-8' if n < 9 else '9-11' if n < 12 else '12-19' if n < 20 else '20+'}",
         f"plus={first == '+'}",
         f"paren={first == '('}",
-        f"open={before in '+@.-_/:=#$(' or after in '@_/=-'}",
+        f"open={before in _OPENS or after in _CLOSES}",
         f"glued={glued}",
     ]
     if not at:
@@ -193,8 +193,7 @@ def _features(span: str, before: str, after: str, glued: bool, words: tuple[str,
         spelled = "spelled" if mail and "@" not in span else "sign"
         out += [f"mail={mail}", f"ats={min(span.count('@'), 2)}"]
         out += [f"form={spelled}, {'dots' if '.' in span[_AT.search(span).end():] else 'spelled dots'}"] if mail else []
-    out += [f"cue={k}" for k, cues in _CUES.items() if any(w in cues for w in words)]
-    return out
+    return out + [f"cue={k}" for k, cues in _CUES.items() if any(w in cues for w in words)]
 
 
 def lattice(text: str, start: int = 0, end: int | None = None) -> tuple[list[tuple[int, int]], list[tuple[int, int, list[str]]]]:
@@ -220,22 +219,111 @@ def lattice(text: str, start: int = 0, end: int | None = None) -> tuple[list[tup
     last = np.minimum(np.arange(n) + MAX_SEGMENT, breaks[np.searchsorted(breaks, np.arange(n))])
     first = np.minimum(enough, at_end)
     segments = []
+    plain = _Plain(text, toks, start)
     for i in np.flatnonzero(first <= last).tolist():
+        with_at = int(at_end[i])
         for j in range(int(first[i]), int(last[i]) + 1):
-            if (f := segment_features(text, toks, i, j)) is not None:
+            f = segment_features(text, toks, i, j) if j >= with_at else plain.features(i, j)
+            if f is not None:
                 segments.append((i, j, f))
     return toks, segments
 
 
+class _Plain:
+    """Features of token runs without an at sign, from running counts over the tokens; what segment_features() says of them."""
+
+    def __init__(self, text: str, toks: list[tuple[int, int]], start: int):
+        self.text, self.toks = text, toks
+        digits, letters, dots, spaces, dashes, slashes, odd, gaps, groups = [0], [0], [0], [0], [0], [0], [0], [0], [0]
+        self.sizes: list[int] = []
+        before = start
+        for a, b in toks:
+            c = text[a]
+            number = "0" <= c <= "9"
+            if number:
+                self.sizes.append(b - a)
+            digits.append(digits[-1] + (b - a if number else 0))
+            groups.append(groups[-1] + number)
+            letters.append(letters[-1] + (0 if number else c.isalpha()))
+            dots.append(dots[-1] + (c == "."))
+            spaces.append(spaces[-1] + (text.count(" ", a, b) if c in " \t" else 0))
+            dashes.append(dashes[-1] + (c == "-"))
+            slashes.append(slashes[-1] + (c == "/"))
+            odd.append(odd[-1] + (not number and c not in "().+-/" and text.count(" ", a, b) < b - a))
+            gaps.append(gaps[-1] + (a > before))
+            before = b
+        self.digits, self.letters, self.dots, self.spaces, self.dashes, self.slashes, self.odd, self.gaps, self.groups = digits, letters, dots, spaces, dashes, slashes, odd, gaps, groups
+
+    def features(self, i: int, j: int) -> list[str] | None:
+        text = self.text
+        a, b = self.toks[i][0], self.toks[j - 1][1]
+        first, last = text[a], text[b - 1]
+        if not (first.isascii() and (first.isalnum() or first in "+(")) or not (last.isascii() and last.isalnum()) or b - a > MAX_CHARS:
+            return None
+        before = text[a - 1] if a else " "
+        after = text[b] if b < len(text) else " "
+        n = self.digits[j] - self.digits[i]
+        if before.isalnum() or after.isalnum() or n < _DIGITS:
+            return None
+        letters = self.letters[j] > self.letters[i]
+        dots = self.dots[j] - self.dots[i]
+        out = [
+            "bias",
+            "at=False",
+            "letters=True" if letters else "letters=False",
+            "digits=7-8" if n < 9 else "digits=9-11" if n < 12 else "digits=12-19" if n < 20 else "digits=20+",
+            "plus=True" if first == "+" else "plus=False",
+            "paren=True" if first == "(" else "paren=False",
+            "open=True" if before in _OPENS or after in _CLOSES else "open=False",
+            "glued=True" if after == "." and b + 1 < len(text) and text[b + 1].isalnum() else "glued=False",
+            f"dots={min(dots, 4)}",
+            f"spaces={min(self.spaces[j] - self.spaces[i], 4)}",
+            f"dashes={min(self.dashes[j] - self.dashes[i], 4)}",
+        ]
+        if not letters:
+            g, h = self.groups[i], self.groups[j]
+            odd = self.odd[j] > self.odd[i] or self.gaps[j] > self.gaps[i + 1]
+            digits = "".join([c for c in text[a:b] if "0" <= c <= "9"]) if 12 <= n <= 19 else ""
+            out += [
+                "groups=" + "-".join([str(x) for x in self.sizes[g : min(h, g + 6)]]),
+                "luhn=True" if digits and luhn(digits) else "luhn=False",
+                f"octets={h - g == 4 and dots == 3 and all(int(x) <= 255 for x in re.findall(r'[0-9]{1,3}', text[a:b]))}",
+                "one=True" if h - g == 1 else "one=False",
+                "odd=True" if odd else "odd=False",
+                f"slashes={min(self.slashes[j] - self.slashes[i], 2)}",
+            ]
+        return out + _cues(text[max(0, a - 24) : a])
+
+
+_OPENS, _CLOSES = "+@.-_/:=#$(", "@_/=-"
+
+
+def _cues(before: str) -> list[str]:
+    """The kinds that one of the three words before a span hints at."""
+    words = re.findall(r"[a-zß-öø-ÿ-]+", before.lower())[-3:] if before.strip(" 0123456789") else []
+    return [f"cue={k}" for k, cues in _CUES.items() if any(w in cues for w in words)] if words else []
+
+
 class Field:
     """Weights by (feature, kind); a token outside all segments scores zero."""
 
     def __init__(self, weights: dict[str, np.ndarray] | None = None):
         self.weights = weights or {}
+        self.rows: dict[str, int] = {}
+        self.table: np.ndarray | None = None
 
     def scores(self, segments) -> np.ndarray:
-        zero = np.zeros(len(KINDS))
-        return np.array([sum((self.weights.get(f, zero) for f in fs), zero) for _, _, fs in segments]).reshape(-1, len(KINDS))
+        """Of each segment and kind, the sum of its features' weights."""
+        if not segments:
+            return np.zeros((0, len(KINDS)))
+        if self.table is None:
+            self.rows = {f: i for i, f in enumerate(self.weights)}
+            self.table = np.array([*self.weights.values(), np.zeros(len(KINDS))])
+        none = len(self.table) - 1
+        get = self.rows.get
+        flat = np.array([get(f, none) for _, _, fs in segments for f in fs])
+        sizes = np.array([len(fs) for _, _, fs in segments])
+        return np.add.reduceat(self.table[flat], np.cumsum(sizes) - sizes)
 
     def decode(self, text: str, start: int = 0, end: int | None = None) -> list[tuple[int, int, str]]:
         """Best segmentation of a text from start to end; what stands around that part counts as context."""
@@ -243,6 +331,7 @@ class Field:
         if not segments:
             return []
         scores = self.scores(segments)
+        kinds, values = scores.argmax(axis=1).tolist(), scores.max(axis=1).tolist()
         ending: dict[int, list[int]] = {}
         for s, (_, j, _) in enumerate(segments):
             ending.setdefault(j, []).append(s)
@@ -251,9 +340,8 @@ class Field:
         for j in range(1, len(toks) + 1):
             best[j] = best[j - 1]
             for s in ending.get(j, ()):
-                k = int(scores[s].argmax())
-                if (v := best[segments[s][0]] + scores[s, k]) > best[j]:
-                    best[j], back[j] = v, (s, k)
+                if (v := best[segments[s][0]] + values[s]) > best[j]:
+                    best[j], back[j] = v, (s, kinds[s])
         out, j = [], len(toks)
         while j > 0:
             if back[j] is None:
