@@ -267,9 +267,9 @@ def dedup(
     joined = moved.join(drops.hint("shuffle_hash"), (F.col("mark") == F.col("drop_mark")) & F.col("doc_id").eqNullSafe(F.col("drop_id")), "left")
     columns = ["doc_id", "text", "others", "numbers"]
     joined = joined.select(*columns).unionByName(flagged.where("NOT moves").withColumn("numbers", F.lit(None).cast("array<int>")).select(*columns))
-    lines = F.split("text", "\n", -1)
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("numbers"))
-    left = F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
+    stay = lambda lines: F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("numbers"))
+    # An array of one, so that a text is split once and not for every line that stays.
+    left = F.element_at(F.transform(F.array(F.split("text", "\n", -1)), lambda lines: F.array_join(F.transform(stay(lines), lambda i: F.get(lines, i)), "\n")), 1)
     return joined.select(
         "doc_id",
         *[F.col(f"others.`{c}`").alias(c) for c in keep],
