@@ -88,7 +88,8 @@ def codes_sql(rounds: int = 4) -> str:
 
 
 REPEATS = """WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
-  w AS (SELECT r, i, md5_number(substr(h, 2 * i + 1, 800)) AS m FROM (SELECT r, h, unnest(range(0, n - 399)) AS i FROM d WHERE n >= 400)),
+  c AS (SELECT r, n, a, substr(h, 2 * a + 1, 2800) AS piece FROM (SELECT r, n, h, unnest(range(0, n - 399, 1000)) AS a FROM d WHERE n >= 400)),
+  w AS (SELECT r, a + j AS i, md5_number(substr(piece, 2 * j + 1, 800)) AS m FROM (SELECT r, a, piece, unnest(range(0, least(1000, n - 399 - a))) AS j FROM c)),
   m AS (SELECT m FROM w GROUP BY m HAVING count(*) > 1),
   s AS (SELECT r, i, i > lag(i, 1, -401) OVER (PARTITION BY r ORDER BY i) + 400 AS opens FROM w SEMI JOIN m USING (m)),
   g AS (SELECT r, min(i) AS a, max(i) + 400 AS b FROM (SELECT r, i, sum(CAST(opens AS INTEGER)) OVER (PARTITION BY r ORDER BY i) AS span FROM s) GROUP BY r, span),
