@@ -75,7 +75,7 @@ def fpml_trade(df: DataFrame, document: str) -> DataFrame:
 def iso8583_header(df: DataFrame, message: str) -> DataFrame:
     """Adds the message type and the numbers of the data elements that the bitmaps mark as present.
 
-    Element 1 says that a second bitmap follows the first; it is no field.
+    Element 1 says that a second bitmap follows the first; it holds no field.
     """
     def marked(at: int) -> Column:
         bits = F.lpad(F.conv(F.substring(message, at, 16), 16, 2), 64, "0")
@@ -83,7 +83,7 @@ def iso8583_header(df: DataFrame, message: str) -> DataFrame:
 
     first = marked(5)
     second = F.when(F.array_contains(first, 1), F.transform(marked(21), lambda i: i + 64)).otherwise(F.array().cast("array<int>"))
-    return df.withColumns({"mti": F.substring(message, 1, 4), "elements": F.concat(F.filter(first, lambda i: i > 1), second)})
+    return df.withColumns({"mti": F.substring(message, 1, 4), "elements": F.concat(first, second)})
 
 
 def packed_decimal(raw, scale: int = 0) -> Column:
@@ -168,7 +168,7 @@ def iso8583_fields(df: DataFrame, message: str) -> DataFrame:
         read = F.struct((acc["at"] + prefix + size).alias("at"), F.map_concat(acc["m"], F.create_map(e, value)).alias("m"), acc["stop"].alias("stop"))
         return F.when(known, read).otherwise(F.struct(acc["at"].alias("at"), acc["m"].alias("m"), F.coalesce(acc["stop"], e).alias("stop")))
 
-    walked = F.aggregate("elements", start, step)
+    walked = F.aggregate(F.filter("elements", lambda e: e > 1), start, step)
     return head.withColumn("__w", walked).select(*df.columns, "mti", F.col("__w.m").alias("fields"), F.col("__w.stop").alias("stopped_at"))
 
 
