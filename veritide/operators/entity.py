@@ -55,30 +55,34 @@ class Field:
         return F.when(agreement == 1, yes).when(agreement == 0, no).otherwise(0.0)
 
 
-def _met(df: DataFrame, record: str, keys: Mapping[str, Column], largest: int) -> tuple[DataFrame, DataFrame]:
+def _met(df: DataFrame, record: str, keys: Mapping[str, Column], largest: int, one_of: str | None = None) -> tuple[DataFrame, DataFrame]:
     """((rule, a, b) of records a < b that share a key, keys of more than ``largest`` records).
 
     Every block is compared whole.  One of more than ``largest`` records is cut
     into sub-blocks, and each pair of these is a join key of its own, so that no
     task has more than the pairs of two sub-blocks.  Such keys emit their square
-    and are also reported, for a finer key to be chosen.
+    and are also reported, for a finer key to be chosen.  With ``one_of``, a
+    boolean column, at least one record of a pair has it, and others aren't joined.
     """
-    long = reduce(DataFrame.union, [df.select(F.lit(n).alias("rule"), k.cast("string").alias("key"), F.col(record).alias("id")) for n, k in keys.items()])
+    long = reduce(DataFrame.union, [df.select(F.lit(n).alias("rule"), k.cast("string").alias("key"), F.col(record).alias("id"), (F.col(one_of) if one_of else F.lit(True)).alias("one")) for n, k in keys.items()])
     long = long.where("key is not null and id is not null")
-    sizes = long.groupBy("rule", "key").agg(F.count(F.lit(1)).alias("n"))
-    wide = sizes.where(F.col("n") > largest)
+    sizes = long.groupBy("rule", "key").agg(F.count(F.lit(1)).alias("n"), F.max("one").alias("any"))
+    wide = sizes.where(F.col("n") > largest).drop("any")
     parts = F.ceil(F.col("n") / largest).cast("int")
     # Equal ids fall into one sub-block, so ids of two sub-blocks differ.
     placed = (
-        long.join(sizes.where("n > 1"), ["rule", "key"])
-        .select("rule", "key", "id", F.pmod(F.xxhash64("id"), parts).cast("int").alias("mine"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
-        .select("rule", "key", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), "mine", "id")
+        long.join(sizes.where("n > 1 and any"), ["rule", "key"])
+        .select("rule", "key", "id", "one", F.pmod(F.xxhash64("id"), parts).cast("int").alias("mine"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
+        .select("rule", "key", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), "mine", "id", "one")
     )
     group = ["rule", "key", "p", "q"]
-    left = placed.where("mine = p").select(*group, "id")
-    right = placed.where("mine = q").select(*group, F.col("id").alias("other"))
-    met = left.join(right, group).where((F.col("p") < F.col("q")) | (F.col("id") < F.col("other")))
-    return met.select("rule", F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")), wide
+
+    def joined(left: DataFrame, right: DataFrame) -> DataFrame:
+        met = left.where("mine = p").select(*group, "id").join(right.where("mine = q").select(*group, F.col("id").alias("other")), group)
+        return met.where((F.col("p") < F.col("q")) | (F.col("id") < F.col("other"))).select("rule", F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
+
+    met = joined(placed.where("one"), placed).union(joined(placed.where("NOT one"), placed.where("one"))) if one_of else joined(placed, placed)
+    return met, wide
 
 
 def blocked_pairs(df: DataFrame, record: str, keys: Mapping[str, Column], largest: int = 1000) -> tuple[DataFrame, DataFrame]:
@@ -87,22 +91,65 @@ def blocked_pairs(df: DataFrame, record: str, keys: Mapping[str, Column], larges
     return met.select("a", "b").distinct(), wide
 
 
+#: Rules up to which counts of combined keys stand for pairs: there are 2 to their number less one.
+COMBINED = 10
+
+
+def _shared(forms: DataFrame, names: Sequence[str]) -> DataFrame:
+    """One row with, for each set of rules (bits), the pairs of records that share the keys of all of them: c<set>.
+
+    The sizes of the blocks of the combined keys tell, so that no pair is formed.
+    Blocks of one rule are counted first by all keys.
+    """
+    sets = [tuple(i for i in range(len(names)) if s >> i & 1) for s in range(1, 1 << len(names))]
+    keys = [f"k{i}" for i in range(len(names))]
+    classes = forms.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    each = F.explode(F.array(*[F.struct(F.lit(sum(1 << i for i in s)).alias("set"), *[(F.col(k) if i in s else F.lit(None).cast("string")).alias(k) for i, k in enumerate(keys)]) for s in sets]))
+    blocks = classes.select("n", each.alias("b")).select("n", "b.*")
+    # A record without the key of a rule is in no block of it.
+    whole = reduce(lambda x, y: x & y, [(F.col("set").bitwiseAND(F.lit(1 << i)) == 0) | F.col(k).isNotNull() for i, k in enumerate(keys)])
+    sizes = blocks.where(whole).groupBy("set", *keys).agg(F.sum("n").alias("n"))
+    pairs = F.expr("n * (n - 1) div 2")
+    return sizes.agg(*[F.coalesce(F.sum(F.when(F.col("set") == s, pairs)), F.lit(0)).alias(f"c{s}") for s in range(1, 1 << len(names))])
+
+
+def _counted(by_pair: DataFrame, n: int) -> DataFrame:
+    """One row with, for each of ``n`` rules, its pairs p<i> and those that no rule before it brings together f<i>."""
+    has = lambda i: F.col("rules").bitwiseAND(F.lit(1 << i)) != 0
+    before = lambda i: F.col("rules").bitwiseAND(F.lit((1 << i) - 1)) != 0
+    return by_pair.agg(*[c for i in range(n) for c in (F.count_if(has(i)).alias(f"p{i}"), F.count_if(has(i) & ~before(i)).alias(f"f{i}"))])
+
+
 def rule_yield(df: DataFrame, record: str, keys: Mapping[str, Column], largest: int = 1000) -> DataFrame:
     """(rule, pairs, fresh, verdict): what each blocking rule adds to those before it.
 
     fresh counts pairs that no rule before it brings together.  A rule without
     pairs is useless, one without fresh pairs redundant: useful if another goes.
+    Up to COMBINED rules, records with one set of keys form no pairs: fresh is the
+    sum, over all sets of earlier rules, of the pairs that share those keys too,
+    added for an even number of rules and subtracted for an odd one.  Records whose
+    rows differ in their keys are paired with all they meet.
     """
-    met, _ = _met(df, record, keys, largest)
     order = {name: i for i, name in enumerate(keys)}
-    if len(order) > 62:
+    n = len(order)
+    if n > 62:
         raise ValueError("at most 62 rules")
+    forms = df.select(F.col(record).alias("id"), *[k.cast("string").alias(f"k{i}") for i, k in enumerate(keys.values())]).where("id is not null").distinct()
+    by_key = {name: F.col(f"k{i}") for name, i in order.items()}
     bit = reduce(lambda c, kv: c.when(F.col("rule") == kv[0], 1 << kv[1]), order.items(), F.when(F.lit(False), 0)).cast("long")
-    by_pair = met.groupBy("a", "b").agg(F.bit_or(bit).alias("rules"))
-    has = lambda i: F.col("rules").bitwiseAND(F.lit(1 << i)) != 0
-    before = lambda i: F.col("rules").bitwiseAND(F.lit((1 << i) - 1)) != 0
-    counts = by_pair.agg(*[c for i in order.values() for c in (F.count_if(has(i)).alias(f"p{i}"), F.count_if(has(i) & ~before(i)).alias(f"f{i}"))])
-    rows = counts.select(F.inline(F.array(*[F.struct(F.lit(n).alias("rule"), F.col(f"p{i}").alias("pairs"), F.col(f"f{i}").alias("fresh")) for n, i in order.items()])))
+    if n > COMBINED:
+        met, _ = _met(forms, "id", by_key, largest)
+        counts = _counted(met.groupBy("a", "b").agg(F.bit_or(bit).alias("rules")), n)
+    else:
+        several = forms.groupBy("id").agg(F.count(F.lit(1)).alias("forms")).withColumn("several", F.col("forms") > 1).drop("forms")
+        marked = forms.join(several, "id")
+        met, _ = _met(marked, "id", by_key, largest, "several")
+        few = _counted(met.groupBy("a", "b").agg(F.bit_or(bit).alias("rules")), n)
+        shared = _shared(marked.where("NOT several"), list(order))
+        fresh = lambda i: reduce(lambda x, y: x + y, [F.col(f"c{1 << i | s}") * (-1) ** s.bit_count() for s in range(1 << i)])
+        many = shared.select(*[c for i in range(n) for c in (F.col(f"c{1 << i}").alias(f"p{i}"), fresh(i).alias(f"f{i}"))])
+        counts = few.unionByName(many).agg(*[F.sum(f"{c}{i}").alias(f"{c}{i}") for i in range(n) for c in "pf"])
+    rows = counts.select(F.inline(F.array(*[F.struct(F.lit(name).alias("rule"), F.col(f"p{i}").alias("pairs"), F.col(f"f{i}").alias("fresh")) for name, i in order.items()])))
     return rows.withColumn("verdict", F.when(F.col("pairs") == 0, "useless").when(F.col("fresh") == 0, "redundant").otherwise("needed"))
 
 
