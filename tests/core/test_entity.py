@@ -1,8 +1,10 @@
 from itertools import combinations
 
+import duckdb
 from pyspark.sql import functions as F
 
 from veritide.operators import entity
+from veritide.queries import ORACLE, QUERIES
 
 KEYS = ("x", "y", "z")
 
@@ -30,3 +32,13 @@ def test_rules_are_counted_without_pairs(spark):
 def test_ids_with_several_rows_pair_once(spark):
     rows = [(i, f"{i % 3}", f"{i % 7}", f"{i % 4}") for i in range(40)] + [(i, f"{(i + 1) % 3}", f"{i % 7}", None) for i in range(0, 40, 9)] + [(3, "0", "3", "3")] * 2
     assert yields(spark, rows) == yields(spark, rows, largest=5) == by_hand(rows)
+
+
+def test_blocks_agree_with_their_sql_on_signed_zeros(spark, tmp_path):
+    balances = [0.0, -0.0, -0.0, 3.0, 499.99, 500.0, -0.01, -500.0, None]
+    rows = [(i, f"Customer#{i}", 1, b, "FURNITURE") for i, b in enumerate(balances * 2)]
+    spark.createDataFrame(rows, "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string").coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    duckdb.execute(f"CREATE OR REPLACE VIEW customer AS FROM '{tmp_path}/customer.parquet/*.parquet'")
+    for name in ("blocking_pairs", "match_scores", "blocking_rule_yield"):
+        got = sorted((tuple(r) for r in QUERIES[name](spark, str(tmp_path)).collect()), key=repr)
+        assert got == sorted(duckdb.sql(ORACLE[name]).fetchall(), key=repr), name

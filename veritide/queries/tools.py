@@ -291,7 +291,7 @@ def _(t, spark):
 def _(t, spark):
     segment = F.concat("c_mktsegment", F.col("c_nationkey").cast("string"))
     half = F.concat(segment, (F.col("c_custkey") % 2).cast("string"))
-    balance = F.concat_ws("/", "c_nationkey", F.floor(F.col("c_acctbal") / 1000))
+    balance = F.concat("c_nationkey", F.lit("/"), movement.step("c_acctbal", 1000))
     return entity.rule_yield(t("customer"), "c_custkey", {"segment": segment, "half": half, "balance": balance, "name": F.col("c_name")})
 
 
