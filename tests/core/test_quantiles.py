@@ -52,3 +52,22 @@ def test_signs_zeros_and_ends(spark):
     assert profile.magnitude_quantiles(parts.limit(0), at).count() == 0
     empty = profile.sketches(spark.createDataFrame([("a", None)], "s string, v double"), ["v"], ["s"])
     assert profile.merged_ranks(empty, "v", AT).count() == 0
+
+
+def test_exact_ranks_need_no_group_in_one_task(spark):
+    rows = [("a", float(i % 50 - 25)) for i in range(501)] + [("a", None)] * 5 + [(None, float(i)) for i in range(7)] + [("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    by = {g: sorted(v for h, v in rows if h == g and v is not None) for g in ("a", None, "none")}
+    at = (0.0, 0.05, 0.5, 0.99, 1.0)
+    out = profile.ranked_quantiles(df, "v", at, ["g"])
+    assert "percentile" not in out._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert {(r.g, r.quantile): r.value for r in out.collect()} == {(g, q): exact(v, q) if v else None for g, v in by.items() for q in at}
+    whole = profile.exact_quantiles(df, "v", at, ["g"])
+    assert "percentile" not in whole._jdf.queryExecution().optimizedPlan().toString().lower()
+
+    def between(v, q):
+        p = q * (len(v) - 1)
+        return v[math.floor(p)] if p == math.floor(p) else (math.ceil(p) - p) * v[math.floor(p)] + (p - math.floor(p)) * v[math.ceil(p)]
+
+    assert {(r.g, r.quantile): r.value for r in whole.collect()} == {(g, q): between(v, q) if v else None for g, v in by.items() for q in at}
+    assert [tuple(r) for r in profile.exact_quantiles(df.where("false"), "v", (0.5,)).collect()] == [(0.5, None)]

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StringType
 
 from ..functions.predicates import character_mask
+from .prefix import running_totals
 
 QUANTILES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
 
@@ -51,11 +53,42 @@ def columns(df: DataFrame, names: Sequence[str] | None = None, rsd: float = 0.01
     return wide.select(*[F.col(f"__by{i}").alias(c) for i, c in enumerate(by)], F.inline(F.array(*[F.col(f"c{i}") for i in range(len(names))])))
 
 
+def _at_ranks(df: DataFrame, c: str, by: Sequence[str], asked: Column) -> DataFrame:
+    """(by, quantile, all, rank, value): the values at the ranks that ``asked``, an array of (quantile, rank) made of all, the count of values, names.
+
+    Equal values are one row, and running totals over ranges of them give the ranks, so
+    that neither a group's values nor its distinct ones must fit into one task.
+    """
+    keys = [f"__k{i}" for i in range(len(by))]
+    counted = df.where(F.col(c).isNotNull()).groupBy(*[F.col(x).alias(k) for x, k in zip(by, keys, strict=True)], F.col(c).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    upto = running_totals(counted, ["value"], ["n"], within=keys)
+    groups = df.groupBy(*[F.col(x).alias(f"__g{i}") for i, x in enumerate(by)]).agg(F.count(c).alias("all"))
+    wanted = groups.select("*", F.explode(asked).alias("__a")).select(*[f"__g{i}" for i in range(len(by))], "all", "__a.quantile", "__a.rank")
+    hit = (F.col("total_n") >= F.col("rank")) & (F.col("total_n") - F.col("n") < F.col("rank"))
+    # A row for each group and rank; all values pass by them.
+    on = reduce(lambda x, y: x & y, [F.col(f"__g{i}").eqNullSafe(F.col(k)) for i, k in enumerate(keys)], hit)
+    found = upto.join(wanted, on).select(*[f"__g{i}" for i in range(len(by))], "quantile", "rank", "value")
+    same = reduce(lambda x, y: x & y, [F.col(f"w.__g{i}").eqNullSafe(F.col(f"f.__g{i}")) for i in range(len(by))], (F.col("w.quantile") == F.col("f.quantile")) & (F.col("w.rank") == F.col("f.rank")))
+    out = wanted.alias("w").join(found.alias("f"), same, "left")
+    return out.select(*[F.col(f"w.__g{i}").alias(x) for i, x in enumerate(by)], "w.quantile", "w.all", "w.rank", "f.value")
+
+
 def exact_quantiles(df: DataFrame, c: str, at: Sequence[float] = QUANTILES, by: Sequence[str] = ()) -> DataFrame:
-    """(quantile, value) by linear interpolation."""
-    wide = df.groupBy(*by).agg(F.percentile(c, F.array(*map(F.lit, at))).alias("q"))
-    pairs = F.arrays_zip(F.array(*map(F.lit, at)).alias("quantile"), F.col("q").alias("value"))
-    return wide.select(*by, F.inline(pairs).alias("quantile", "value"))
+    """(quantile, value) by linear interpolation; null where there are no values."""
+    place = lambda q: F.lit(float(q)) * (F.col("all") - 1)
+    pair = [f(place(q)).cast("long") + 1 for q in at for f in (F.floor, F.ceil)]
+    asked = F.array_distinct(F.array(*[F.struct(F.lit(float(q)).alias("quantile"), pair[2 * i + j].alias("rank")) for i, q in enumerate(at) for j in (0, 1)]))
+    ends = _at_ranks(df.select(*by, F.col(c).cast("double").alias(c)), c, by, asked)
+    folded = ends.groupBy(*by, "quantile").agg(F.max("all").alias("all"), F.min("value").alias("low"), F.max("value").alias("high"))
+    at_ = F.col("quantile") * (F.col("all") - 1)
+    value = F.when(F.col("low") == F.col("high"), F.col("low")).otherwise((F.ceil(at_) - at_) * F.col("low") + (at_ - F.floor(at_)) * F.col("high"))
+    return folded.select(*by, "quantile", value.alias("value"))
+
+
+def ranked_quantiles(df: DataFrame, c: str, at: Sequence[float] = QUANTILES, by: Sequence[str] = ()) -> DataFrame:
+    """(quantile, value): the value at rank ceil(quantile * n), the first for 0; null where there are no values."""
+    asked = F.array(*[F.struct(F.lit(float(q)).alias("quantile"), F.greatest(F.ceil(F.lit(float(q)) * F.col("all")), F.lit(1)).cast("long").alias("rank")) for q in at])
+    return _at_ranks(df, c, by, asked).select(*by, "quantile", "value")
 
 
 def approximate_quantiles(df: DataFrame, c: str, at: Sequence[float] = QUANTILES, accuracy: int = 10_000, by: Sequence[str] = ()) -> DataFrame:

@@ -208,8 +208,7 @@ def _(t, spark):
     value = F.when(F.col("l_linenumber") == 3, -F.col("l_extendedprice")).when(F.col("l_linenumber") == 5, 0).otherwise(F.col("l_extendedprice") * F.col("l_quantity") * F.col("l_quantity"))
     rows = t("lineitem").select(F.col("l_returnflag").alias("flag"), F.col("l_shipdate").alias("day"), value.cast("double").alias("v"))
     got = profile.magnitude_quantiles(profile.magnitudes(rows, "v", ["flag", "day"]), at, ["flag"])
-    exact = rows.groupBy("flag").agg(F.expr(f"array({', '.join(f'percentile_disc({q}) WITHIN GROUP (ORDER BY v)' for q in at)})").alias("x"))
-    true = exact.select(F.col("flag").alias("f"), F.posexplode("x").alias("i", "x")).withColumn("q", F.element_at(F.array(*map(F.lit, at)), F.col("i") + 1))
+    true = profile.ranked_quantiles(rows, "v", at, ["flag"]).select(F.col("flag").alias("f"), F.col("quantile").alias("q"), F.col("value").alias("x"))
     both = got.join(true, (F.col("flag") == F.col("f")) & (F.col("quantile") == F.col("q")))
     return both.select("flag", "quantile", "n", (F.col("value") == 0).alias("zero"), (F.col("value") < 0).alias("negative"), (F.abs(F.col("value") - F.col("x")) <= 0.0010001 * F.abs("x")).alias("within"))
 
