@@ -196,12 +196,20 @@ def stream_of(t, spark):
 
 
 def drained(stream, spark, mode="append"):
-    """What a stream yields when everything there is has been read."""
-    from ..sources.store import cut
+    """What a stream yields when everything there is has been read.
+
+    Rows and state are kept in the shared folder; only what is complete after each
+    batch, a row for each group, goes by way of the driver.
+    """
+    from ..sources.store import cut, folder
 
     name = f"s{uuid.uuid4().hex}"
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    q.awaitTermination()
+    at = f"{folder(spark)}/{name}"
+    writer = stream.writeStream.option("checkpointLocation", f"{at}/state").outputMode(mode).trigger(availableNow=True)
+    if mode == "append":
+        writer.format("parquet").start(f"{at}/rows").awaitTermination()
+        return spark.read.schema(stream.schema).parquet(f"{at}/rows")
+    writer.format("memory").queryName(name).start().awaitTermination()
     out = cut(spark.table(name))
     spark.catalog.dropTempView(name)
     return out
