@@ -22,9 +22,10 @@ def blast_radius(edges: DataFrame, start: str, floor: float = 0.01, depth: int =
     """(node, strength, hops): nodes reached from ``start`` with the strongest path's strength, down to ``floor``.
 
     One join for each hop; only nodes that got stronger go on, so cycles end.
+    Edges are found and dealt by their start once, not for each hop.
     """
     a, b = ("target", "source") if upstream else ("source", "target")
-    steps = edges.select(F.col(a).alias("from"), F.col(b).alias("to"), _factor().alias("factor"))
+    steps = cut(edges.select(F.col(a).alias("from"), F.col(b).alias("to"), _factor().alias("factor")).repartition("from"))
     best = edges.sparkSession.createDataFrame([(start, 1.0, 0)], "node string, strength double, hops int")
     front = best
     for hop in range(1, depth + 1):
