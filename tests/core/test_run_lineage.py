@@ -22,6 +22,12 @@ def test_events_of_a_run_are_merged_whatever_their_order(spark):
     assert [(r.state, r.events) for r in run_lineage.runs(parsed).collect()] == [("complete", 3)]
 
 
+def test_a_text_is_parsed_once_however_many_fields_are_read(spark):
+    parsed, gaps = read(spark, [event("COMPLETE", "2024-01-01T00:00:00Z", "r", {"a": [("raw", "x", "IDENTITY")]})])
+    for df in (parsed, gaps, run_lineage.runs(parsed)):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 1
+
+
 def test_only_complete_runs_move_values_and_the_latest_is_current(spark):
     rows = [
         event("COMPLETE", "2024-01-01T00:00:00Z", "r1", {"a": [("raw", "x", "IDENTITY")], "b": [("raw", "y", None)]}),

@@ -112,6 +112,8 @@ def proposals(edges: DataFrame, controls: DataFrame) -> DataFrame:
     carried = edges.where(F.col("kind").isin("identity", "rename"))
     if "status" in edges.columns:
         carried = carried.where("status <> 'inferred'")
+    # Both rules read it: edges are found once.
+    carried = cut(carried.select("source", "target"))
     propagated = carried.join(controls, F.col("source") == F.col("column")).select(F.lit("propagated").alias("rule"), "target", F.col("control").alias("detail"))
     of = lambda c: F.regexp_extract(c, r"^(.*)\.[^.]*$", 1)
     key = F.regexp_extract("target", r"[^.]*$", 0).rlike(r"(?i)(^id$|_id$|key$|^key_)")

@@ -31,6 +31,11 @@ def _told(c: Column) -> Column:
     return F.when(F.trim(c) != "", c)
 
 
+def _parsed(df: DataFrame, body: str, schema: str, *keep: Column | str) -> DataFrame:
+    """``keep``, body and e, the JSON text parsed once: a generator's output is computed once, where a projection would be repeated in every use of every field."""
+    return df.select(*keep, F.col(body).alias("body"), F.explode(F.array(F.from_json(body, schema))).alias("e"))
+
+
 def _kind(subtype: Column) -> Column:
     """The kind of a subtype; without one, or with one that isn't known, no more than "derived" is claimed."""
     known = F.create_map(*[F.lit(x) for kv in SUBTYPES.items() for x in kv])
@@ -43,7 +48,7 @@ def parse_events(events: DataFrame, body: str = "event") -> tuple[DataFrame, Dat
     A job is "namespace/name".  An event that is no JSON object, or has no job
     name, is a gap; one without a run id is a run of its own.
     """
-    read = events.select(F.from_json(body, _EVENT).alias("e"), F.col(body).alias("body"))
+    read = _parsed(events, body, _EVENT)
     name, space = _told(F.col("e.job.name")), _told(F.col("e.job.namespace"))
     # A text that isn't an object parses to a struct of nulls.
     shaped = F.substring(F.ltrim("body"), 1, 1) == "{"

@@ -13,7 +13,8 @@ _SUBTYPE = ("IDENTITY", "AGGREGATION", "JOIN", "WINDOW", "made up")
 
 def run_events(t) -> DataFrame:
     """Each event as a run event: users are runs, event types jobs; some bodies are broken, some jobs have no name, some runs never complete."""
-    e = t("events").select("event_id", "user_id", "event_type", "ts")
+    # A row's text is ten times as wide: rows are dealt out first, as a table's file may be a single split.
+    e = t("events").select("event_id", "user_id", "event_type", "ts").repartition("event_id")
     subtype = F.element_at(F.array(*map(F.lit, _SUBTYPE)), (F.col("event_id") % 5 + 1).cast("int"))
     fields = F.map_from_arrays(
         F.array(F.concat(F.lit("C"), (F.col("event_id") % 3).cast("string"))),
