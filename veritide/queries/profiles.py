@@ -165,7 +165,8 @@ def _(t, spark):
 
 
 def labelled(t):
-    e, id_ = t("events"), F.col("event_id")
+    # Rows are dealt out before some twenty checks each, as a table's file may be a single split.
+    e, id_ = t("events").repartition("event_id"), F.col("event_id")
     ip = F.concat((id_ % 250).cast("string"), F.lit(".0.0.1"))
     return e.select(
         ip.alias("ip"), F.lit("GB0000000000").alias("isin"), F.concat(F.lit("X"), F.lpad((id_ % 1000).cast("string"), 3, "0")).alias("entity_lei"), ip.alias("settlement_ccy"),
