@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+#: Places that copies of one row are dealt to.
+SPREAD = 16
+
 
 def schema_diff(spark, old: StructType, new: StructType) -> DataFrame:
     """(column, change, old_type, new_type) for added, removed and retyped columns."""
@@ -71,10 +74,16 @@ def selector_drift(approved: DataFrame, now: DataFrame) -> DataFrame:
 
 
 def keyless_diff(old: DataFrame, new: DataFrame) -> DataFrame:
-    """(change, rows): distinct rows only in the old table, only in the new one, and in both."""
+    """(change, rows): distinct rows only in the old table, only in the new one, and in both.
+
+    Rows are dealt out by what they hold before they are combined, copies of one
+    row to ``SPREAD`` places at most, so that no task combines a whole file's
+    rows and none has all copies of a frequent one.
+    """
     columns = [c for c in old.columns if c in new.columns]
-    a = old.select(*columns).distinct().withColumn("__s", F.lit(1))
-    b = new.select(*columns).distinct().withColumn("__s", F.lit(2))
-    sides = a.union(b).groupBy(*columns).agg(F.sum("__s").alias("__s"))
-    name = F.when(F.col("__s") == 1, "removed").when(F.col("__s") == 2, "added").otherwise("unchanged")
+    side = lambda df, s: df.select(*columns, F.lit(s == 1).alias("__old"), F.lit(s == 2).alias("__new"))
+    both = side(old, 1).union(side(new, 2))
+    dealt = both.withColumn("__place", F.monotonically_increasing_id() % SPREAD).repartition(*columns, "__place").drop("__place")
+    sides = dealt.groupBy(*columns).agg(F.max("__old").alias("__old"), F.max("__new").alias("__new"))
+    name = F.when(~F.col("__new"), "removed").when(~F.col("__old"), "added").otherwise("unchanged")
     return sides.groupBy(name.alias("change")).agg(F.count(F.lit(1)).alias("rows"))
