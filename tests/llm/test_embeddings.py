@@ -123,3 +123,27 @@ def test_narrow_cone_with_outliers_reaches_the_recall(spark):
     queries = [i for i in range(0, len(m), 50)] + list(range(4000, 4200))
     assert sum(got[i] for i in queries) >= 0.98 * want[queries].sum()
     assert all(got[i] <= want[i] for i in got)
+
+
+def test_every_link_is_found_whatever_the_number_of_vectors(spark, monkeypatch):
+    """Few passes find nearly all links of tight pairs, hardly any of three loose pairs; small blocks stand for many vectors."""
+    rng = np.random.default_rng(8)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    m = unit(rng.standard_normal((1203, 32)))
+    side = rng.standard_normal((603, 32))
+    side = unit(side - (side * m[:603]).sum(axis=1, keepdims=True) * m[:603])
+    c = np.r_[np.full(600, 0.99999), np.full(3, 0.901)][:, None]
+    m = np.concatenate([m, c * m[:603] + np.sqrt(1 - c * c) * side])
+    rows = [(i, v.tolist()) for i, v in enumerate(m)] + [(3000, [1.0, 2.0]), (3001, [2.0, 3.9]), (3002, [0.0, 0.0])]
+    near = np.triu(m @ m.T >= 0.9, 1)
+    want = {(int(a), int(b)) for a, b in zip(*np.nonzero(near), strict=True)} | {(3000, 3001)}
+    assert {(i, 1203 + i) for i in range(603)} <= want
+    ends = [x for pair in want for x in pair]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    monkeypatch.setattr(embeddings, "default_passes", lambda *a: 2)
+    for wide, tile in ((16_384, 1024), (200, 64)):
+        monkeypatch.setattr(embeddings, "WIDE", wide)
+        monkeypatch.setattr(embeddings, "TILE", tile, raising=False)
+        got = {r.vec_id: r for r in embeddings.near_duplicates(df, window=1).collect()}
+        assert all(got[a].component_id == got[b].component_id for a, b in want)
+        assert {i: r.n_links for i, r in got.items()} == {i: ends.count(i) for i, _ in rows}

@@ -4,8 +4,9 @@ A pass orders the vectors by the concatenated signs of random projections and
 compares each with a bounded window of neighbours; links that hold by cosine in
 double precision join the groups of all passes.  Near vectors share long
 prefixes of signs and so stand close in some pass.  Equal vectors are one node
-throughout.  Within the joined groups links are then counted block by block, so
-that a large group yields counts, not pairs.
+throughout.  An exact check of the groups against each other adds what no pass
+found; within the joined groups links are then counted block by block, so that
+a large group yields counts, not pairs.
 """
 
 from __future__ import annotations
@@ -25,10 +26,8 @@ from .components import components
 _BITS = 62
 #: (largest group, vectors of a block) of the counting step: small groups spread, large ones copy each vector less often.
 BLOCKS = ((4096, 256), (65_536, 1024), (None, 4096))
-#: Vectors of one side of a task that compares all with all.
-WIDE = 4096
-#: Vectors whose links are counted exactly to measure what the passes found, about.
-QUERIES = 4096
+#: Vectors of one side of a task of the exact check at most, components of such a side at most, and vectors of a side compared at once.
+WIDE, CELLS, TILE = 16_384, 1 << 20, 1024
 
 
 def sort_keys(vectors: np.ndarray, passes: int, seed: int) -> np.ndarray:
@@ -151,7 +150,7 @@ def window_links(nodes: DataFrame, passes: int, window: int, least: float, seed:
     return dealt.repartitionByRange(n, "chunk").sortWithinPartitions("chunk", "pos").mapInArrow(compare, "a long, b long")
 
 
-def _unit(vectors: list) -> np.ndarray:
+def _unit(vectors: list | np.ndarray) -> np.ndarray:
     m = np.array(vectors, np.float64)
     m /= np.abs(m).max(axis=1, keepdims=True)
     m /= np.sqrt((m * m).sum(axis=1, keepdims=True))
@@ -179,74 +178,43 @@ def _spanning(near: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def all_links(nodes: DataFrame, count: int, least: float) -> DataFrame:
-    """(a, b): links of a comparison of all with all, as a spanning forest of each pair of blocks."""
-    blocks = max(1, math.ceil(count / WIDE))
+def missed_links(nodes: DataFrame, roots: DataFrame, count: int, dims: int, least: float) -> DataFrame:
+    """(a, b): links between nodes that ``roots`` has in different components, enough of them to join what all such links join.
+
+    Every pair of blocks is one task's work, compared tile by tile, so memory is
+    bounded at any number and length of vectors; work grows with count squared.
+    """
+    wide = max(1, min(WIDE, CELLS // max(1, dims)))
+    blocks = max(1, math.ceil(count / wide))
+    known = nodes.join(roots, "node", "left").select("node", "vector", F.coalesce("component", -1 - F.col("node")).alias("component"))
     mine = F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other")
-    placed = nodes.select(mine.alias("mine"), F.size("vector").alias("dims"), other, "node", "vector").select(
-        "dims", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), "mine", "node", "vector"
+    placed = known.select(mine.alias("mine"), F.size("vector").alias("dims"), other, "node", "component", "vector").select(
+        "dims", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), "mine", "node", "component", "vector"
     )
 
     def compare(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        p, q = key[1].as_py(), key[2].as_py()
-        m, mine, node = _unit(t.column("vector").to_pylist()), t.column("mine").to_numpy(), t.column("node").to_numpy()
+        dims, p, q = (k.as_py() for k in key)
+        flat = t.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        m = _unit(flat.reshape(-1, dims))
+        mine, node, group = (t.column(c).to_numpy() for c in ("mine", "node", "component"))
         left, right = np.flatnonzero(mine == p), np.flatnonzero(mine == q)
-        near = np.empty((len(left), len(right)), bool)
-        for at in range(0, len(left), 512):
-            near[at : at + 512] = m[left[at : at + 512]] @ m[right].T >= least
-        found = np.array(_spanning(near), np.int64).reshape(-1, 2)
-        return pa.table({"a": node[left[found[:, 0]]], "b": node[right[found[:, 1]]]})
+        forest, found = _Forest(), []
+        for i in range(0, len(left), TILE):
+            for j in range(0, len(right), TILE):
+                x, y = left[i : i + TILE], right[j : j + TILE]
+                near = m[x] @ m[y].T >= least
+                if near.any():
+                    near &= group[x][:, None] != group[y]
+                    for u, v in _spanning(near):
+                        if forest.join(int(node[x[u]]), int(node[y[v]])):
+                            found.append((node[x[u]], node[y[v]]))
+        pairs = np.array(found, np.int64).reshape(-1, 2)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
     return placed.groupBy("dims", "p", "q").applyInArrow(compare, "a long, b long")
 
 
-def found_share(nodes: DataFrame, roots: DataFrame, count: int, least: float) -> float:
-    """The share of links that join nodes of one component, measured by brute force.
-
-    About QUERIES nodes are compared with all.  The least of three shares counts:
-    of links, of links for each node, and the latter for nodes of few links, which
-    large groups would hide.
-    """
-    known = nodes.join(roots, "node", "left").select("node", "vector", F.coalesce("component", F.lit(-1)).alias("component"))
-    picked = known.where(F.pmod(F.xxhash64("vector"), F.lit(max(1, count))) < QUERIES).collect()
-    queries: dict[int, list] = {}
-    for r in picked:
-        queries.setdefault(len(r.vector), []).append(r)
-    sides = {
-        size: (_unit([r.vector for r in rows]), np.array([r.node for r in rows]), np.array([r.component for r in rows]))
-        for size, rows in queries.items()
-    }
-
-    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = {size: np.zeros((2, len(side[1])), np.int64) for size, side in sides.items()}
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                values = part.column(1).to_pylist()
-                nodes_, groups = (part.column(i).to_numpy(zero_copy_only=False) for i in (0, 2))
-                for size, (m, node, group) in sides.items():
-                    own = [i for i, v in enumerate(values) if len(v) == size]
-                    if own:
-                        near = m @ _unit([values[i] for i in own]).T >= least
-                        near &= node[:, None] != nodes_[own]
-                        sums[size][0] += near.sum(axis=1)
-                        sums[size][1] += (near & (group[:, None] == groups[own]) & (group[:, None] >= 0)).sum(axis=1)
-        for size, (_, node, _) in sides.items():
-            some = sums[size][0] > 0
-            yield pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (node, *sums[size])], names=["node", "links", "found"])
-
-    rows = known.mapInArrow(compare, "node long, links long, found long").groupBy("node").agg(F.sum("links"), F.sum("found")).collect()
-    if not rows:
-        return 1.0
-    links, found = np.array([[r[1], r[2]] for r in rows], np.float64).T
-    shares = [found.sum() / links.sum(), (found / links).mean()]
-    few = links <= 8
-    if few.any():
-        shares.append((found[few] / links[few]).mean())
-    return float(min(shares))
-
-
 def count_links(members: DataFrame, least: float) -> DataFrame:
     """(node, links): for each member of a group, the weight of the others of its group within reach.
 
@@ -324,10 +292,11 @@ def near_duplicates(
     Each row counts: equal vectors link with each other, and rows that repeat a
     vec_id are vectors of their own.  component_id is the smallest vec_id
     reached; it is null only for a row without a vec_id that reaches none, which
-    is kept.  Unless ``passes`` is given, what the passes found is measured by
-    brute force for about QUERIES vectors; passes and window are doubled until the
-    share ``recall`` of links is found, or all vectors are compared with all once
-    that copies no more rows.  An empty table gives an empty result.
+    is kept.  Unless ``passes`` is given, an exact check follows the passes, so
+    that every link counts, whatever the number of vectors; ``recall`` says only
+    how many of them the passes are meant to find.  With ``passes``, links
+    between groups that no pass brings together are left out.  An empty table
+    gives an empty result.
     """
     source = vectors.select(F.col(vec_id).alias("vec_id"), F.col(embedding).alias("vector"))
     linkable = source.where(usable("vector"))
@@ -341,20 +310,18 @@ def near_duplicates(
     )
     n = distinct.count()
     nodes = distinct.select("node", "vector")
-    turns = passes or default_passes(n, window, least)
+    turns = passes or default_passes(n, window, least, recall)
     links = window_links(nodes, turns, window, least, seed)
-    roots = components(links)
-    # The number of passes supposes vectors spread evenly; what they found is measured, and more follows if it is too little.
-    while passes is None and found_share(nodes, roots, n, least) < recall:
-        turns, window, seed = 2 * turns, 2 * window, seed + 1
-        if whole := n <= turns * WIDE:
-            # A comparison of all with all copies each vector no oftener than these passes would.
-            links = all_links(nodes, n, least)
-        else:
-            links = cut(links.union(window_links(nodes, turns, window, least, seed)))
+    if passes is None:
+        # What no pass brought together is found by an exact check of the groups against each other, at any number of vectors.
+        links = cut(links)
+        roots = components(links)
+        longest = distinct.agg(F.max(F.size("vector"))).first()[0] or 0
+        more = cut(missed_links(nodes, roots, n, longest, least))
+        if not more.isEmpty():
+            roots = components(links.union(more))
+    else:
         roots = components(links)
-        if whole:
-            break
     grouped = roots.join(distinct, "node")
     sizes = roots.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     named = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
