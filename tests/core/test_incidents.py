@@ -90,3 +90,13 @@ def test_causes_are_ranked_by_independent_evidence(spark):
     ]
     assert [(r.node, r.considered) for r in rows if r.incident == 2] == [("lone.x", 1)]
     assert incidents.ranked_causes(found, edges, changes, failing, priors, most=1).count() == 2
+
+
+def test_what_is_upstream_is_written_once_for_each_hop(spark, monkeypatch):
+    written, cut = [], incidents.cut
+    monkeypatch.setattr(incidents, "cut", lambda df: written.append(cut(df)) or written[-1])
+    edges = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(5)] + [("n5", "n0"), ("n0", "n0")], "source string, target string")
+    got = incidents.upstream(spark.createDataFrame([("n5",), ("n5",), ("n2",)], "node string"), edges)
+    assert sorted(tuple(r) for r in got.collect()) == sorted((f"n{n}", f"n{(n - h) % 6}", h) for n in (5, 2) for h in range(6))
+    # Two nodes of twelve ancestors in all, and seven edges.
+    assert sum(df.count() for df in written) == 12 + 7

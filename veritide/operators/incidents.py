@@ -53,15 +53,16 @@ def causes(found: DataFrame, changes: DataFrame, hours: int = 24) -> DataFrame:
 
 def upstream(nodes: DataFrame, edges: DataFrame, depth: int = 64) -> DataFrame:
     """(node, ancestor, hops): every node that a node's values come from within ``depth`` hops, itself included; one join for each hop."""
-    found = cut(nodes.select("node").distinct().select("node", F.col("node").alias("ancestor"), F.lit(0).alias("hops")))
-    steps = edges.select(F.col("target").alias("ancestor"), F.col("source").alias("up")).distinct()
-    front = found
+    front = cut(nodes.select("node").distinct().select("node", F.col("node").alias("ancestor"), F.lit(0).alias("hops")))
+    steps = cut(edges.select(F.col("target").alias("ancestor"), F.col("source").alias("up")).distinct())
+    # Each hop is written once; what is found is all hops, never written anew.
+    found = front
     for hop in range(1, depth + 1):
         next_ = front.join(steps, "ancestor").select("node", F.col("up").alias("ancestor")).distinct()
         front = cut(next_.join(found, ["node", "ancestor"], "left_anti").withColumn("hops", F.lit(hop)))
         if front.isEmpty():
             break
-        found = cut(found.unionByName(front))
+        found = found.unionByName(front)
     return found
 
 
