@@ -106,6 +106,20 @@ def test_dedup_against_plain_counting(spark, monkeypatch, limit):
     assert sorted((tuple(r) for r in got), key=key) == sorted(((r[0], *w) for r, w in zip(rows, want, strict=True)), key=key)
 
 
+def test_passages_of_over_50_words_go_from_400_bytes_on(spark):
+    rng = random.Random(5)
+    say = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    # 57 words of six letters with a blank between make 398 bytes; the last word is longer by one or two.
+    short, long = (" ".join([say(6) for _ in range(56)] + [say(7 + more)]) for more in (0, 1))
+    assert (len(short), len(long), len(short.split())) == (399, 400, 57)
+    # The digit on either side differs from document to document, so that no longer string repeats.
+    texts = [f"{say(200)}{i}{passage}{i}{say(300)}" for i, passage in enumerate([short] * 4 + [long] * 4)]
+    texts += [say(900) for _ in range(4)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in suffix_dedup.dedup(docs).collect()}
+    assert got == {i: (len(t), 400 if long in t else 0, int(long in t)) for i, t in enumerate(texts)}
+
+
 def test_empty_table_and_narrow_windows(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert suffix_dedup.dedup(docs).collect() == []
