@@ -120,6 +120,18 @@ def test_passages_of_over_50_words_go_from_400_bytes_on(spark):
     assert got == {i: (len(t), 400 if long in t else 0, int(long in t)) for i, t in enumerate(texts)}
 
 
+def test_a_passage_of_51_words_goes_at_its_own_width(spark):
+    rng = random.Random(6)
+    say = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    passage = " ".join([say(4) for _ in range(34)] + [say(5) for _ in range(17)])
+    assert (len(passage), len(passage.split())) == (271, 51)
+    texts = [f"{say(200)}{i}{passage}{i}{say(300)}" for i in range(4)] + [say(900) for _ in range(4)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for width, gone in ((271, 271), (272, 0), (400, 0)):
+        got = {r.doc_id: r.n_removed for r in suffix_dedup.dedup(docs, width=width).collect()}
+        assert got == {i: gone if passage in t else 0 for i, t in enumerate(texts)}
+
+
 def test_empty_table_and_narrow_windows(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert suffix_dedup.dedup(docs).collect() == []
