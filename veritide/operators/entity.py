@@ -6,6 +6,7 @@ import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
+from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -50,8 +51,12 @@ class Field:
             same = jaccard(trigrams(normalised(x)), trigrams(normalised(y))) >= self.least
         return F.when(x.isNotNull() & y.isNotNull(), same.cast("int"))
 
+    def weights(self) -> tuple[float, float]:
+        """Of agreement and of disagreement."""
+        return math.log2(self.m / self.u), math.log2((1 - self.m) / (1 - self.u))
+
     def weight(self, agreement: Column) -> Column:
-        yes, no = math.log2(self.m / self.u), math.log2((1 - self.m) / (1 - self.u))
+        yes, no = self.weights()
         return F.when(agreement == 1, yes).when(agreement == 0, no).otherwise(0.0)
 
 
@@ -85,12 +90,96 @@ def _met(df: DataFrame, record: str, keys: Mapping[str, Column], largest: int, o
     return met, wide
 
 
+#: Ids of several rows, and the keys that these have, are told by buckets of their hashes, of which at most so many are broadcast.
+BUCKETS = 1 << 16
+
+
+def _bucket(*cols) -> Column:
+    return F.pmod(F.xxhash64(*cols), F.lit(BUCKETS))
+
+
+def _forms(df: DataFrame, record: str, keys: Mapping[str, Column], fields: Sequence[str] = ()) -> DataFrame:
+    """(id, k0, k1, ..., f_<field>): each row's keys and what is compared of it."""
+    return df.where(F.col(record).isNotNull()).select(F.col(record).alias("id"), *[k.cast("string").alias(f"k{i}") for i, k in enumerate(keys.values())], *[F.col(f).alias(f"f_{f}") for f in fields])
+
+
+def _long(forms: DataFrame, rules: int, others: Sequence[str] = ()) -> DataFrame:
+    """(rule, key, before<j>, others): one row for each key that a row has, with its keys of the rules before."""
+    before = lambda i: [F.when(F.lit(j < i), F.col(f"k{j}")).alias(f"before{j}") for j in range(rules - 1)]
+    each = F.array(*[F.struct(F.lit(i).alias("rule"), F.col(f"k{i}").alias("key"), *before(i)) for i in range(rules)])
+    return forms.select(*others, F.inline(each)).where("key IS NOT NULL")
+
+
+def _cells(forms: DataFrame, wide: DataFrame, rules: int, largest: int, others: Sequence[str]) -> DataFrame:
+    """Rows dealt out by (rule, key, p, q), where those of one block that are to meet lie together.
+
+    A block of more than ``largest`` rows is cut into sub-blocks, and each two of
+    these have a cell.  The rows of one sub-block meet in one of its cells, its home.
+    """
+    parts = F.coalesce(F.ceil(F.col("n") / largest), F.lit(1)).cast("int")
+    long = _long(forms, rules, ["id", *others]).join(F.broadcast(wide), ["rule", "key"], "left").withColumn("parts", parts)
+    # Equal ids fall into one sub-block, so ids of two sub-blocks differ.
+    mine = long.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    beside = F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: p != F.col("mine")))
+    placed = mine.withColumn("other", F.explode(beside)).withColumns({"p": F.least("mine", "other"), "q": F.greatest("mine", "other"), "home": (F.col("mine") + 1) % F.col("parts") == F.col("other")})
+    # By number, as the work in a cell is the square of its rows: few bytes aren't few pairs.
+    n = int(forms.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    group = ["rule", "key", "p", "q"]
+    return placed.select(*group, "mine", "home", "id", *others, *[f"before{j}" for j in range(rules - 1)]).repartition(n, *group)
+
+
+def _meet(cells: DataFrame, *only: Column) -> DataFrame:
+    """Rows l and r of one block, of which l has the lesser id, and for which all of ``only`` hold."""
+    same = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in ("rule", "key", "p", "q")]
+    here = (F.col("l.mine") != F.col("r.mine")) | (F.col("l.home") & F.col("r.home"))
+    return cells.alias("l").hint("merge").join(cells.alias("r"), reduce(lambda x, y: x & y, [*same, F.col("l.id") < F.col("r.id"), here, *only]))
+
+
+def _paired(df: DataFrame, record: str, keys: Mapping[str, Column], largest: int, fields: Sequence[str] = ()) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(l and r of pairs whose ids have one row each, other pairs a < b, the rows of those, keys of more than ``largest`` rows).
+
+    Where an id has one row, a pair that shares the key of several rules is left to
+    the first of them as the rows meet, so that rows are shuffled but no pairs.
+    Pairs of which an id has, or by its bucket may have, several rows are made
+    distinct; only the blocks of such rows are formed again for these.
+    """
+    rules = len(keys)
+    forms = _forms(df, record, keys, fields)
+    wide = _long(forms, rules).groupBy("rule", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > largest)
+    again = forms.groupBy("id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select(_bucket("id").alias("bucket")).distinct()
+    marked = forms.join(F.broadcast(again), _bucket("id") == F.col("bucket"), "left").withColumn("several", F.col("bucket").isNotNull()).drop("bucket")
+    compared = [f"f_{f}" for f in fields]
+
+    alone = marked.where("NOT several").drop("several")
+    first = [~F.coalesce(F.col(f"l.before{j}") == F.col(f"r.before{j}"), F.lit(False)) for j in range(rules - 1)]
+    once = _meet(_cells(alone, wide, rules, largest, compared), *first)
+
+    places = [_bucket(F.lit(i), F.col(f"k{i}")) for i in range(rules)]
+    taken = marked.where("several").select(F.explode(F.array(*places)).alias("place")).distinct()
+    near = marked
+    for i, place in enumerate(places):
+        near = near.join(F.broadcast(taken.withColumnRenamed("place", f"place{i}")), place == F.col(f"place{i}"), "left")
+    near = near.where(reduce(lambda x, y: x | y, [F.col(f"place{i}").isNotNull() for i in range(rules)], F.col("several"))).select(*marked.columns)
+    rest = _meet(_cells(near, wide, rules, largest, ["several"]), F.col("l.several") | F.col("r.several")).select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct()
+    name = F.element_at(F.array(*[F.lit(k) for k in keys]), F.col("rule") + 1)
+    return once, rest, near, wide.select(name.alias("rule"), "key", "n")
+
+
 def blocked_pairs(df: DataFrame, record: str, keys: Mapping[str, Column], largest: int = 1000) -> tuple[DataFrame, DataFrame]:
     """(pairs a < b that share some key, keys of more than ``largest`` records); every block is compared whole."""
     met, wide = _met(df, record, keys, largest)
     return met.select("a", "b").distinct(), wide
 
 
+def blocked_agreements(df: DataFrame, record: str, keys: Mapping[str, Column], fields: Sequence[Field], largest: int = 1000) -> tuple[DataFrame, DataFrame]:
+    """(``agreements`` of all pairs that share some key, keys of more than ``largest`` records); fields are compared where rows meet, so that pairs aren't joined to rows."""
+    names = list(dict.fromkeys(f.name for f in fields))
+    once, rest, near, wide = _paired(df, record, keys, largest, names)
+    met = once.select(F.col("l.id").alias("a"), F.col("r.id").alias("b"), *[f.agreement("l.f_", "r.f_").alias(f"agree_{f.name}") for f in fields])
+    rows = near.select(F.col("id").alias(record), *[F.col(f"f_{n}").alias(n) for n in names if n != record])
+    return met.union(agreements(rest, rows, record, fields)), wide
+
+
 #: Rules up to which counts of combined keys stand for pairs: there are 2 to their number less one.
 COMBINED = 10
 
@@ -162,12 +251,23 @@ def agreements(pairs: DataFrame, df: DataFrame, record: str, fields: Sequence[Fi
     return joined.select("a", "b", *[f.agreement("a_", "b_").alias(f"agree_{f.name}") for f in fields])
 
 
-def score(agreed: DataFrame, fields: Sequence[Field], match: float = 4.0, non_match: float = -2.0) -> DataFrame:
-    """Adds the sum of weights and the verdict."""
-    total = reduce(lambda x, y: x + y, [f.weight(F.col(f"agree_{f.name}")) for f in fields])
-    return agreed.withColumn("weight", total).withColumn(
-        "verdict", F.when(F.col("weight") >= match, MATCH).when(F.col("weight") <= non_match, NON_MATCH).otherwise(REVIEW)
-    )
+#: Patterns of agreement up to which weights are rounded once for each: 3 to the number of fields.
+PATTERNS = 729
+
+
+def score(agreed: DataFrame, fields: Sequence[Field], match: float = 4.0, non_match: float = -2.0, digits: int | None = None) -> DataFrame:
+    """Adds the sum of weights and the verdict; with ``digits`` the sum is rounded, after the verdict."""
+    given = [F.col(f"agree_{f.name}") for f in fields]
+    total = reduce(lambda x, y: x + y, [f.weight(g) for f, g in zip(fields, given, strict=True)])
+    out = agreed.withColumn("weight", total).withColumn("verdict", F.when(F.col("weight") >= match, MATCH).when(F.col("weight") <= non_match, NON_MATCH).otherwise(REVIEW))
+    if digits is None:
+        return out
+    if 3 ** len(fields) > PATTERNS:
+        return out.withColumn("weight", F.round("weight", digits))
+    # To round a double takes longer than all else that is done for a pair, and a pattern has one sum.
+    sums = [reduce(lambda x, y: x + y, w) for w in product(*[(0.0, *f.weights()) for f in fields])]
+    number = reduce(lambda n, g: n * 3 + F.when(g == 1, 1).when(g == 0, 2).otherwise(0), given, F.lit(0))
+    return out.withColumn("weight", F.get(F.array(*[F.round(F.lit(s), digits) for s in sums]), number))
 
 
 def patterns(agreed: DataFrame, fields: Sequence[Field]) -> DataFrame:
