@@ -102,3 +102,18 @@ def test_weights_rounded_by_pattern_equal_weights_rounded_by_row(spark, monkeypa
     assert got == [tuple(r) for r in entity.score(agreed, fields).withColumn("weight", F.round("weight", 3)).collect()]
     monkeypatch.setattr(entity, "PATTERNS", 0)
     assert got == [tuple(r) for r in entity.score(agreed, fields, digits=3).collect()]
+
+
+def test_blocked_pairs_are_not_shuffled(spark, tmp_path, monkeypatch):
+    alike(spark, tmp_path)
+    got, rows = shuffled(spark, lambda: QUERIES["blocking_pairs"](spark, str(tmp_path)).selectExpr("count(*)", "sum(a)", "sum(b)").collect())
+    assert tuple(got[0]) == duckdb.sql(f"SELECT count(*), sum(a), sum(b) FROM ({ORACLE['blocking_pairs']})").fetchall()[0]
+    assert rows < 20 * 1500
+    df = spark.createDataFrame(MIXED, "id long, x string, y string, z string, name string")
+    for buckets in (entity.BUCKETS, 7, 1):
+        monkeypatch.setattr(entity, "BUCKETS", buckets)
+        for largest in (1000, 5):
+            pairs, wide = entity.blocked_pairs(df, "id", {k: F.col(k) for k in KEYS}, largest)
+            assert sorted(tuple(r) for r in pairs.collect()) == sorted(pairs_by_hand()), (buckets, largest)
+            sizes = Counter((k, r[i]) for r in MIXED if r[0] is not None for i, k in enumerate(KEYS, 1) if r[i] is not None)
+            assert {(r.rule, r.key): r.n for r in wide.collect()} == {k: n for k, n in sizes.items() if n > largest}

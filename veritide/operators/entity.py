@@ -167,8 +167,8 @@ def _paired(df: DataFrame, record: str, keys: Mapping[str, Column], largest: int
 
 def blocked_pairs(df: DataFrame, record: str, keys: Mapping[str, Column], largest: int = 1000) -> tuple[DataFrame, DataFrame]:
     """(pairs a < b that share some key, keys of more than ``largest`` records); every block is compared whole."""
-    met, wide = _met(df, record, keys, largest)
-    return met.select("a", "b").distinct(), wide
+    once, rest, _, wide = _paired(df, record, keys, largest)
+    return once.select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).union(rest), wide
 
 
 def blocked_agreements(df: DataFrame, record: str, keys: Mapping[str, Column], fields: Sequence[Field], largest: int = 1000) -> tuple[DataFrame, DataFrame]:
