@@ -59,7 +59,7 @@ def shuffled(spark, run):
     return got, sum(n for stage, n in stages().items() if stage not in known)
 
 
-def alike(spark, folder, n=1500):
+def alike(spark, folder, n=4500):
     """A customer table of ``n`` rows in one block, more than fit one sub-block."""
     spark.range(n).selectExpr("id AS c_custkey", "concat('Customer#', id) AS c_name", "1 AS c_nationkey", "CAST(id % 40 AS DOUBLE) AS c_acctbal", "'FURNITURE' AS c_mktsegment").write.parquet(f"{folder}/customer.parquet")
     duckdb.execute(f"CREATE OR REPLACE VIEW customer AS FROM '{folder}/customer.parquet/*.parquet'")
@@ -70,8 +70,8 @@ def test_scored_pairs_are_not_shuffled(spark, tmp_path):
     sums = "count(*) AS n, sum(a) AS a, sum(b) AS b, sum(CAST(weight * 1000000 AS BIGINT)) AS w"
     got, rows = shuffled(spark, lambda: QUERIES["match_scores"](spark, str(tmp_path)).selectExpr("count(*)", "sum(a)", "sum(b)", "sum(CAST(round(weight * 1000000) AS BIGINT))").collect())
     assert tuple(got[0]) == duckdb.sql(f"SELECT {sums} FROM ({ORACLE['match_scores']})").fetchall()[0]
-    assert got[0][0] == 1500 * 1499 // 2
-    assert rows < 20 * 1500
+    assert got[0][0] == 4500 * 4499 // 2
+    assert rows < 20 * 4500
 
 
 MIXED = [(i, f"{i % 3}", f"{i % 7}" if i % 5 else None, f"{i % 4}", f"n{i % 2}" if i % 11 else None) for i in range(60)]
@@ -90,7 +90,7 @@ def test_ids_with_several_rows_are_scored_by_all_of_them(spark, monkeypatch):
     fields = [entity.Field("name"), entity.Field("x")]
     for buckets in (entity.BUCKETS, 7, 1):
         monkeypatch.setattr(entity, "BUCKETS", buckets)
-        for largest in (1000, 5):
+        for largest in (1000, 2):
             agreed, _ = entity.blocked_agreements(df, "id", {k: F.col(k) for k in KEYS}, fields, largest)
             assert Counter(tuple(r) for r in agreed.collect()) == want, (buckets, largest)
 
@@ -108,11 +108,11 @@ def test_blocked_pairs_are_not_shuffled(spark, tmp_path, monkeypatch):
     alike(spark, tmp_path)
     got, rows = shuffled(spark, lambda: QUERIES["blocking_pairs"](spark, str(tmp_path)).selectExpr("count(*)", "sum(a)", "sum(b)").collect())
     assert tuple(got[0]) == duckdb.sql(f"SELECT count(*), sum(a), sum(b) FROM ({ORACLE['blocking_pairs']})").fetchall()[0]
-    assert rows < 20 * 1500
+    assert rows < 20 * 4500
     df = spark.createDataFrame(MIXED, "id long, x string, y string, z string, name string")
     for buckets in (entity.BUCKETS, 7, 1):
         monkeypatch.setattr(entity, "BUCKETS", buckets)
-        for largest in (1000, 5):
+        for largest in (1000, 2):
             pairs, wide = entity.blocked_pairs(df, "id", {k: F.col(k) for k in KEYS}, largest)
             assert sorted(tuple(r) for r in pairs.collect()) == sorted(pairs_by_hand()), (buckets, largest)
             sizes = Counter((k, r[i]) for r in MIXED if r[0] is not None for i, k in enumerate(KEYS, 1) if r[i] is not None)

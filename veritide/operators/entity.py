@@ -94,6 +94,10 @@ def _met(df: DataFrame, record: str, keys: Mapping[str, Column], largest: int, o
 BUCKETS = 1 << 16
 
 
+#: Rows of a sub-block, times ``largest``: two lie in a cell, and the more of them, the fewer copies of a row.
+SUB_BLOCK = 4
+
+
 def _bucket(*cols) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(BUCKETS))
 
@@ -113,25 +117,26 @@ def _long(forms: DataFrame, rules: int, others: Sequence[str] = ()) -> DataFrame
 def _cells(forms: DataFrame, wide: DataFrame, rules: int, largest: int, others: Sequence[str]) -> DataFrame:
     """Rows dealt out by (rule, key, p, q), where those of one block that are to meet lie together.
 
-    A block of more than ``largest`` rows is cut into sub-blocks, and each two of
-    these have a cell.  The rows of one sub-block meet in one of its cells, its home.
+    A block of more than SUB_BLOCK times ``largest`` rows is cut into sub-blocks,
+    and each two of these have a cell.  A row has a copy for each cell that it lies in.
     """
-    parts = F.coalesce(F.ceil(F.col("n") / largest), F.lit(1)).cast("int")
-    long = _long(forms, rules, ["id", *others]).join(F.broadcast(wide), ["rule", "key"], "left").withColumn("parts", parts)
+    parts = F.coalesce(F.ceil(F.col("n") / (SUB_BLOCK * largest)), F.lit(1)).cast("int")
+    long = _long(forms, rules, ["id", *others]).join(F.broadcast(wide.where(F.col("n") > SUB_BLOCK * largest)), ["rule", "key"], "left").withColumn("parts", parts)
     # Equal ids fall into one sub-block, so ids of two sub-blocks differ.
     mine = long.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     beside = F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: p != F.col("mine")))
-    placed = mine.withColumn("other", F.explode(beside)).withColumns({"p": F.least("mine", "other"), "q": F.greatest("mine", "other"), "home": (F.col("mine") + 1) % F.col("parts") == F.col("other")})
+    placed = mine.withColumn("other", F.explode(beside)).withColumns({"p": F.least("mine", "other"), "q": F.greatest("mine", "other")})
     # By number, as the work in a cell is the square of its rows: few bytes aren't few pairs.
     n = int(forms.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     group = ["rule", "key", "p", "q"]
-    return placed.select(*group, "mine", "home", "id", *others, *[f"before{j}" for j in range(rules - 1)]).repartition(n, *group)
+    return placed.select(*group, "mine", "id", *others, *[f"before{j}" for j in range(rules - 1)]).repartition(n, *group)
 
 
 def _meet(cells: DataFrame, *only: Column) -> DataFrame:
     """Rows l and r of one block, of which l has the lesser id, and for which all of ``only`` hold."""
     same = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in ("rule", "key", "p", "q")]
-    here = (F.col("l.mine") != F.col("r.mine")) | (F.col("l.home") & F.col("r.home"))
+    # The rows of one sub-block meet in its cell with the first, those of the first in its cell with the second.
+    here = (F.col("l.mine") != F.col("r.mine")) | ((F.col("l.p") == 0) & ((F.col("l.mine") > 0) | (F.col("l.q") <= 1)))
     return cells.alias("l").hint("merge").join(cells.alias("r"), reduce(lambda x, y: x & y, [*same, F.col("l.id") < F.col("r.id"), here, *only]))
 
 
